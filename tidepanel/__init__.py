@@ -9,4 +9,11 @@ plans       forecasting, evaluation, refresh and page-level views
 streaming   Structured Streaming jobs for bars, news and prices
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with the job, so the workers need no copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"

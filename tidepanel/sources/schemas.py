@@ -21,7 +21,7 @@ FUNDAMENTALS = _schema(
 FINANCIALS = _schema(("symbol", _S), ("fiscal_date", _D), ("metric", _S), ("value", _X))
 ARTICLES = _schema(("published", _TS), ("title", _S), ("description", _S), ("url", _S))
 PARAMS = _schema(("symbol", _S), ("model", _S), ("p", _I), ("d", _I), ("q", _I),
-                 ("P", _I), ("D", _I), ("Q", _I), ("m", _I))
+                 ("sp", _I), ("sd", _I), ("sq", _I), ("m", _I))
 STOCKS = _schema(("symbol", _S), ("price", _X), ("change", _X), ("market_cap", T.LongType()),
                  ("bg_color", _S), ("last_updated", _TS))
 FORECAST_RUNS = _schema(("symbol", _S), ("model", _S), ("steps", _I), ("backtest_mae", _X),

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["panel"]
+MODULES = ["panel", "eda", "models"]
 
 
 def load_all() -> None:
