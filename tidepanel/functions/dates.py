@@ -24,6 +24,12 @@ def to_zone(ts, zone: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), col_of(ts).cast("timestamp_ntz"))
 
 
+def utc_instant(ts) -> Column:
+    """Instant of a zone-less UTC time; watermarks need one. Not bound to the session zone."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, col_of(ts).cast("timestamp_ntz")))
+
+
 def roll_forward(day) -> Column:
     """First weekday on or after ``day``."""
     day = col_of(day)

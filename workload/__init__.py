@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["panel", "eda", "models"]
+MODULES = ["panel", "eda", "models", "pages"]
 
 
 def load_all() -> None:

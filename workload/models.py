@@ -382,3 +382,25 @@ def _(spark, folder):
     return arima.best_orders(arima.order_search(panel, arima.SEASONAL_GRID, ("a",))).select(
         "symbol", "p", "d", "q", "sp", "sd",
         "sq", "m", r("aic", 3))
+
+
+# ---- learned model ----------------------------------------------------------
+def _feature_panel(spark, folder):
+    """Prices with their indicators; the indicators are kept as levels."""
+    from tidepanel.operators.indicators import indicator_matrix
+
+    return indicator_matrix(I.panel(spark, folder))
+
+
+def learned(spark, folder, steps):
+    from tidepanel.operators.indicators import indicator_names
+    from tidepanel.plans.learned import learned_fits
+
+    return learned_fits(_feature_panel(spark, folder), steps, indicator_names())
+
+
+@query("forecast_learned")
+def _(spark, folder):
+    """One global windowed model: recursive for 7 days, blocks for 180."""
+    return arima.forecast_points(learned(spark, folder, [7, 180])).select(
+        "symbol", "steps", "kind", "step", "date", r("price", 2))
