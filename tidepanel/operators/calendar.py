@@ -33,13 +33,18 @@ def backwards(key: str = "symbol"):
             .rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
+def in_cents(value: str) -> Column:
+    """Nearest whole cent; plain arithmetic stays in generated code, decimal rounding would not."""
+    return F.floor(F.col(value) * 100 + 0.5)
+
+
 def daily_mean(df: DataFrame, key: str, ts: str, value: str, *, name: str, out: str) -> DataFrame:
     """One mean per (key, day) from raw rows, in exact cents.
 
     Integer sums give the same double for every split of the input, and the
     partial sums are built before the shuffle, so one heavy key costs nothing.
     """
-    cents = F.round(F.col(value) * 100).cast("long")
+    cents = in_cents(value)
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(key).cast("string").alias(name), F.col(ts).cast("date").alias("date"))
@@ -79,41 +84,54 @@ def expand(df: DataFrame, key: str, value: str, lo: Column | None = None,
 
 
 def ensure_business_days(df: DataFrame, key: str = "symbol", value: str = "close") -> DataFrame:
-    """Weekday grid with forward fill only; keys that are already regular stay as they are."""
-    regular = regular_series(df, key)
-    grid = expand(df, key, value).where(is_weekday("date")).select(key, "date", value)
-    kept = df.join(regular, key, "left_semi").select(key, "date", value)
-    return grid.join(regular, key, "left_anti").unionByName(kept)
+    """Weekday grid with forward fill only; series that are already regular stay as they are.
+
+    Regularity is decided by aggregates over the same window partition that carries
+    the fill, so the series is read and sorted once.
+    """
+    marked = _with_regularity(df, key)
+    seen = F.when(is_weekday("date"), F.col(value))
+    w = series(key)
+    rows = marked.select(
+        key, "date", F.col(value).alias("_own"), "_regular",
+        F.last(seen, ignorenulls=True).over(so_far(key)).alias("_value"),
+        F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date")).alias("_to"),
+    )
+    grid = F.filter(F.sequence("date", "_to"), lambda d: F.weekday(d) < 5)
+    return rows.select(
+        key,
+        F.explode(F.when(F.col("_regular"), F.array("date")).otherwise(grid)).alias("day"),
+        F.when(F.col("_regular"), F.col("_own")).otherwise(F.col("_value")).alias(value),
+    ).withColumnRenamed("day", "date").select(key, "date", value)
+
+
+def _with_regularity(df: DataFrame, key: str) -> DataFrame:
+    """``_regular``: the dates follow one frequency, which is a constant step, all
+    weekdays, or every n-th month start / month end. Under three dates never do."""
+    w = series(key)
+    steps = df.withColumns({
+        "_gap": F.datediff("date", F.lag("date").over(w)),
+        "_months": (F.year("date") * 12 + F.month("date"))
+        - F.lag(F.year("date") * 12 + F.month("date")).over(w),
+    })
+    wd = F.weekday("date")
+    on_weekdays = (wd < 5) & (F.col("_gap").isNull()
+                              | (F.col("_gap") == F.when(wd == 0, 3).otherwise(1)))
+    p = W.partitionBy(key)
+
+    def same(c: str) -> Column:
+        return F.min(c).over(p) == F.max(c).over(p)
+
+    anchored = (F.min(F.dayofmonth("date") == 1).over(p)
+                | F.min(F.last_day("date") == F.col("date")).over(p))
+    regular = (F.count("date").over(p) >= 3) & (
+        same("_gap") | F.min(on_weekdays).over(p) | (same("_months") & anchored))
+    return steps.withColumn("_regular", F.coalesce(regular, F.lit(False))).drop("_gap", "_months")
 
 
 def regular_series(df: DataFrame, key: str = "symbol") -> DataFrame:
-    """Keys whose dates follow one frequency: a constant step, all weekdays,
-    or every n-th month start / month end. Fewer than three dates never do."""
-    day = F.col("date")
-    gaps = df.select(
-        key, "date",
-        F.datediff("date", F.lag("date").over(series(key))).alias("gap"),
-        (F.year("date") * 12 + F.month("date")).alias("month"),
-        (F.dayofmonth("date") == 1).alias("starts"),
-        (F.last_day("date") == day).alias("ends"),
-        F.weekday("date").alias("wd"),
-    ).withColumn("months", F.col("month") - F.lag("month").over(series(key)))
-    weekday_step = F.when(F.col("wd") == 0, 3).otherwise(1)
-    return (
-        gaps.groupBy(key)
-        .agg(
-            F.count("*").alias("n"),
-            (F.min("gap") == F.max("gap")).alias("constant"),
-            F.min((F.col("wd") < 5) & (F.col("gap").isNull() | (F.col("gap") == weekday_step))).alias("business"),
-            (F.min("months") == F.max("months")).alias("monthly"),
-            F.min("starts").alias("starts"),
-            F.min("ends").alias("ends"),
-        )
-        .where((F.col("n") >= 3)
-               & (F.col("constant") | F.col("business")
-                  | (F.col("monthly") & (F.col("starts") | F.col("ends")))))
-        .select(key)
-    )
+    """Keys whose dates follow one frequency."""
+    return _with_regularity(df.select(key, "date"), key).where("_regular").select(key).distinct()
 
 
 def align_business_days(df: DataFrame, key: str = "symbol", value: str = "close") -> DataFrame:
@@ -147,8 +165,9 @@ def align_to_common(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def align_to_union(df: DataFrame, key: str = "symbol", value: str = "close") -> DataFrame:
     """Every key on every date that any key has; last value carried, lead = first value."""
-    lo = df.agg(F.min("date")).scalar()
-    hi = df.agg(F.max("date")).scalar()
+    dates = df.select("date").distinct()
+    lo = dates.agg(F.min("date")).scalar()
+    hi = dates.agg(F.max("date")).scalar()
     w = series(key)
     first = F.lag("date").over(w).isNull()
     spans = df.select(
@@ -157,7 +176,7 @@ def align_to_union(df: DataFrame, key: str = "symbol", value: str = "close") ->
         F.coalesce(F.date_sub(F.lead("date").over(w), 1), hi).alias("_to"),
     )
     days = spans.select(key, F.explode(F.sequence("_from", "_to")).alias("date"), value)
-    return days.join(df.select("date").distinct(), "date", "left_semi").select(key, "date", value)
+    return days.join(dates, "date", "left_semi").select(key, "date", value)
 
 
 def forward_fill(df: DataFrame, cols: list[str], key: str = "symbol") -> DataFrame:

@@ -1,20 +1,31 @@
 """Recursive exponential means as a two-level scan.
 
-``y[t] = (1-a) y[t-1] + a x[t]``, ``y[1] = x[1]``. A series is cut in blocks of
-``BLOCK`` rows. Inside a block the mean started from nothing is a running sum of
+``y[t] = (1-a) y[t-1] + a x[t]``, ``y[1] = x[1]``. A series is cut in blocks of B
+rows. Inside a block the mean started from nothing is a running sum of
 ``a x (1-a)^-i`` scaled back by ``(1-a)^i``; what came before enters as the value
 at the end of the previous block times ``(1-a)^(i+1)``. The end value of a block
-holds its own partial plus ``D = (1-a)^BLOCK`` of the one before. ``D`` is below
-2e-18 for every smoothing factor from 2/51 up, and three earlier blocks are kept,
-so the cut of the chain lies far below the last bit of a double.
+holds its own partial plus ``D = (1-a)^B`` of the one before. B is chosen from the
+slowest factor so that ``D < 2e-18``, and two earlier blocks are kept, so the cut of
+the chain lies far below the last bit of a double.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BLOCK = 1024
-REACH = 3  # earlier blocks that are carried in
+REACH = 2  # earlier blocks that are carried in
+
+
+def block_rows(alphas) -> int:
+    """Rows per block: long enough for the slowest factor to fade, short enough for the
+    weights of the fastest one to stay far inside the range of a double."""
+    fade = [-math.log1p(-a) for a in alphas]
+    rows = math.ceil(41 / min(fade))
+    if rows * max(fade) > 500:
+        raise ValueError("smoothing factors are too far apart for one scan; use two calls")
+    return rows
 
 
 def alpha_of_span(n: int) -> float:
@@ -32,13 +43,11 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "sym
     All entries share the same three window passes over one partitioning by key.
     Inputs must not be null.
     """
-    for out, (_, a) in specs.items():
-        if not 2.0 / 51 <= a <= 0.5:
-            raise ValueError(f"{out}: smoothing factor {a} is outside [2/51, 0.5]")
+    block = block_rows([a for _, a in specs.values()])
     rn = F.row_number().over(W.partitionBy(key).orderBy(order))
     marked = df.withColumn("_rn", rn).withColumns({
-        "_blk": F.floor((F.col("_rn") - 1) / BLOCK).cast("int"),
-        "_i": ((F.col("_rn") - 1) % BLOCK).cast("double"),
+        "_blk": F.floor((F.col("_rn") - 1) / block).cast("int"),
+        "_i": ((F.col("_rn") - 1) % block).cast("double"),
     })
     inside = (W.partitionBy(key, "_blk").orderBy("_rn")
               .rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -50,18 +59,23 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "sym
 
     parts = marked.withColumns({f"_p_{o}": partial(x, a) for o, (x, a) in specs.items()})
     ordered = W.partitionBy(key).orderBy("_blk")
+    ends = F.struct(*[f"_p_{o}" for o in specs])
+    joined = parts.withColumns({
+        f"_end{back}": F.max_by(ends, "_rn").over(ordered.rangeBetween(-back, -back))
+        for back in range(1, REACH + 1)
+    })
 
     def carry(out: str, a: float) -> Column:
         total = F.lit(0.0)
         for back in range(1, REACH + 1):
-            end = F.max_by(F.col(f"_p_{out}"), F.col("_rn")).over(ordered.rangeBetween(-back, -back))
-            total = total + F.coalesce(end, F.lit(0.0)) * (1 - a) ** (BLOCK * (back - 1))
+            end = F.col(f"_end{back}")[f"_p_{out}"]
+            total = total + F.coalesce(end, F.lit(0.0)) * (1 - a) ** (block * (back - 1))
         return total
 
-    joined = parts.withColumns({f"_c_{o}": carry(o, a) for o, (_, a) in specs.items()})
     done = joined.withColumns({
-        o: F.col(f"_p_{o}") + F.col(f"_c_{o}") * F.pow(F.lit(1 - a), F.col("_i") + 1)
+        o: F.col(f"_p_{o}") + carry(o, a) * F.pow(F.lit(1 - a), F.col("_i") + 1)
         for o, (_, a) in specs.items()
     })
-    drop = [f"_p_{o}" for o in specs] + [f"_c_{o}" for o in specs] + ["_rn", "_blk", "_i"]
+    drop = [f"_p_{o}" for o in specs] + [f"_end{b}" for b in range(1, REACH + 1)]
+    drop += ["_rn", "_blk", "_i"]
     return done.drop(*drop)

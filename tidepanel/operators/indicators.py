@@ -61,13 +61,15 @@ def bollinger(df: DataFrame, n: int = 20, width: float = 2.0, value: str = "clos
               strict: bool = False, key: str = "symbol") -> DataFrame:
     """Position inside the band; ``strict=False`` guards an empty band by 1e-9."""
     need = n if strict else 1
-    mid = trailing(F.avg, value, n, key, need)
-    std = trailing(F.stddev_pop, value, n, key, need)
-    low = mid - width * std
-    band = 2 * width * std
+    rows = df.withColumns({
+        "_mid": trailing(F.avg, value, n, key, need),
+        "_std": trailing(F.stddev_pop, value, n, key, need),
+    })
+    low, band = F.col("_mid") - width * F.col("_std"), 2 * width * F.col("_std")
     pct = (F.try_divide(F.col(value) - low, band) if strict
            else (F.col(value) - low) / (band + 1e-9))
-    return df.withColumns({"bb_low": low, "bb_high": low + band, "bb_pct": pct})
+    return rows.withColumns({"bb_low": low, "bb_high": low + band, "bb_pct": pct}).drop(
+        "_mid", "_std")
 
 
 def indicator_matrix(df: DataFrame, value: str = "close", key: str = "symbol") -> DataFrame:

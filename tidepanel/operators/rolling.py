@@ -26,10 +26,16 @@ def log_difference(value, key: str = "symbol") -> Column:
 
 
 def trailing(agg, value, rows: int, key: str = "symbol", min_rows: int | None = None) -> Column:
-    """``agg`` over the last ``rows`` rows; null until ``min_rows`` values are there."""
+    """``agg`` over the last ``rows`` rows; null until ``min_rows`` values are there.
+
+    Use the result as a column of its own: a window expression that appears twice
+    in a projection is evaluated twice.
+    """
     value = col_of(value)
     frame = series(key).rowsBetween(-(rows - 1), 0)
     need = rows if min_rows is None else min_rows
+    if need <= 1:
+        return agg(value).over(frame)
     return F.when(F.count(value).over(frame) >= need, agg(value).over(frame))
 
 
@@ -50,13 +56,15 @@ def moving_averages(df: DataFrame, value: str = "close") -> DataFrame:
 
 def rolling_volatility(df: DataFrame, value: str = "close", rows: int = 20) -> DataFrame:
     """Sample deviation of returns: with any history, full window in percent, scaled."""
-    rets = df.withColumn("ret", pct_change(value))
-    full = trailing(F.stddev_samp, "ret", rows)
+    frame = series().rowsBetween(-(rows - 1), 0)
+    rets = df.withColumn("ret", pct_change(value)).withColumns({
+        "_std": F.stddev_samp("ret").over(frame), "_k": F.count("ret").over(frame)})
+    full = F.when(F.col("_k") >= rows, F.col("_std"))
     return rets.withColumns({
-        "vol_any": F.coalesce(trailing(F.stddev_samp, "ret", rows, min_rows=2), F.lit(0.0)),
+        "vol_any": F.coalesce("_std", F.lit(0.0)),
         "vol_pct": full * 100,
         "vol_scaled_pct": full * float(rows) ** 0.5 * 100,
-    })
+    }).drop("_std", "_k")
 
 
 def level_volatility(df: DataFrame, value: str = "close", rows: int = 20) -> DataFrame:
@@ -187,13 +195,13 @@ def winsorized(df: DataFrame, value: str = "ret", *, center: str = "mean", width
                key: str = "symbol") -> DataFrame:
     """Clip to ``width`` sample deviations around the mean or around zero."""
     w = W.partitionBy(key)
-    mid = F.avg(value).over(w) if center == "mean" else F.lit(0.0)
-    band = F.stddev_samp(value).over(w) * width
-    clipped = F.when(
-        F.col(value).isNotNull(),
-        F.least(F.greatest(F.col(value), mid - band), mid + band),
-    )
-    return df.withColumn("clipped", clipped)
+    rows = df.withColumns({
+        "_mid": F.avg(value).over(w) if center == "mean" else F.lit(0.0),
+        "_band": F.stddev_samp(value).over(w) * width,
+    })
+    low, high = F.col("_mid") - F.col("_band"), F.col("_mid") + F.col("_band")
+    clipped = F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), low), high))
+    return rows.withColumn("clipped", clipped).drop("_mid", "_band")
 
 
 def rolling_median_replaced(df: DataFrame, value: str = "ret", key: str = "symbol") -> DataFrame:

@@ -145,18 +145,51 @@ def with_parameters(grid: DataFrame, params: DataFrame,
     })
 
 
-def possible_orders(params: dict[tuple[str, str], tuple], models: list[str], steps: list[int],
-                    defaults: dict[str, tuple] | None = None) -> list[tuple[str, int, Order]]:
-    """Every (model, steps, order) the configuration can produce; driver-side, tiny."""
-    out = []
-    for model, s in itertools.product(models, steps):
-        h = S.business_horizon(s)
-        m = 5 if h <= 30 else 20 if h <= 365 else 252
-        fallback = (defaults or {}).get(model, S.DEFAULT_ORDER + S.DEFAULT_SEASONAL)
-        for o in {v for (_, mo), v in params.items() if mo == model} | {fallback}:
-            season = (o[3], o[4], o[5], m) if model != "arima" else (0, 0, 0, 0)
-            out.append((model, s, Order(o[0], o[1], o[2], *season)))
-    return out
+def configured_tasks(params: dict[tuple[str, str], tuple], models: list[str], steps: list[int],
+                     kinds: tuple[str, ...], defaults: dict[str, tuple] | None = None,
+                     season: int | None = None):
+    """The tasks of every configured symbol and of all others, from configuration alone.
+
+    Returns (tasks per symbol, tasks of the rest, samples). A task names its order and
+    the sample it is fitted on. ``season`` overrides the horizon rule.
+    """
+    def tasks_of(symbol: str | None) -> list[tuple[Sample, dict]]:
+        out = []
+        for model, s, kind in itertools.product(models, steps, kinds):
+            h = S.business_horizon(s)
+            fallback = (defaults or {}).get(model, S.DEFAULT_ORDER + S.DEFAULT_SEASONAL)
+            o = params.get((symbol, model), fallback)
+            m = season or (5 if h <= 30 else 20 if h <= 365 else 252)
+            seasonal = (o[3], o[4], o[5], m) if model != "arima" else (0, 0, 0, 0)
+            order = Order(o[0], o[1], o[2], *seasonal)
+            task = {"model": model, "steps": s, "kind": kind, "h": h, "p": order.p, "d": order.d,
+                    "q": order.q, "sp": order.P, "sd": order.D, "sq": order.Q, "m": order.m,
+                    "use_exog": model == "sarimax"}
+            out.append((Sample(order.d, order.D, order.m, h if kind == "backtest" else 0), task))
+        return out
+
+    named = {sym: tasks_of(sym) for sym in sorted({k[0] for k in params})}
+    rest = tasks_of(None)
+    samples = sorted({smp for tasks in [*named.values(), rest] for smp, _ in tasks},
+                     key=lambda x: (x.d, x.D, x.m, x.holdout))
+
+    def numbered_tasks(tasks):
+        return [task | {"sample": samples.index(smp)} for smp, task in tasks]
+
+    return {k: numbered_tasks(v) for k, v in named.items()}, numbered_tasks(rest), samples
+
+
+TASK_TYPE = ("array<struct<model:string,steps:int,kind:string,h:int,p:int,d:int,q:int,sp:int,"
+             "sd:int,sq:int,m:int,use_exog:boolean,sample:int>>")
+
+
+def with_tasks(df: DataFrame, named: dict[str, list[dict]], rest: list[dict]) -> DataFrame:
+    """``tasks`` per row by its symbol. The joined table has one row per configured
+    symbol, so it is broadcast; every other symbol takes the default list."""
+    table = df.sparkSession.createDataFrame(list(named.items()), f"symbol string, _own {TASK_TYPE}")
+    default = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in t.items()]) for t in rest])
+    return df.join(F.broadcast(table), "symbol", "left").withColumn(
+        "tasks", F.coalesce("_own", default.cast(TASK_TYPE))).drop("_own")
 
 
 # ---- design -----------------------------------------------------------------
@@ -203,16 +236,17 @@ def _sample_struct(i: int, s: Sample, shape: Shape) -> str:
 
 
 def design_rows(panel: DataFrame, samples: list[Sample], shape: Shape,
-                needs: DataFrame | None) -> DataFrame:
-    """One row per (series row, sample). ``needs(symbol, need)`` lists the samples a
-    series takes part in; it is joined on the key the panel is partitioned by."""
+                betas: DataFrame | None = None) -> DataFrame:
+    """One row per (series row, sample its tasks name). ``betas`` holds one row per
+    series and is joined on the key the panel is partitioned by."""
     rows = _class_columns(numbered(panel), samples, shape)
     structs = "array(" + ", ".join(_sample_struct(i, s, shape) for i, s in enumerate(samples)) + ")"
     keep = []
-    if needs is not None:
-        rows = rows.join(needs, "symbol")
-        structs = f"filter({structs}, s -> array_contains(need, s.sample))"
-        keep = [c for c in needs.columns if c == "first_beta"]
+    if "tasks" in panel.columns:
+        structs = f"filter({structs}, s -> exists(tasks, t -> t.sample = s.sample))"
+    if betas is not None:
+        rows = rows.join(betas, "symbol")
+        keep = ["first_beta"]
     levels = f"cast(array({', '.join(shape.exog)}) as array<double>) as xs"
     return rows.selectExpr("symbol", "date", "rn", "n", "close", levels, *keep,
                            f"inline({structs})").selectExpr(
@@ -237,19 +271,15 @@ def _first_stage(gram: pd.Series, one: pd.Series, season: pd.Series) -> pd.Serie
     return pd.Series(out)
 
 
-def _with_residuals(panel, samples, shape: Shape, needs: DataFrame | None) -> DataFrame:
+def _with_residuals(panel: DataFrame, samples: list[Sample], shape: Shape) -> DataFrame:
     """Design rows with lagged residuals of a long autoregression."""
     cols = shape.first
-    plain = design_rows(panel, samples, shape, needs).selectExpr("*", _complete(cols))
+    plain = design_rows(panel, samples, shape).selectExpr("*", _complete(cols))
     sums = grouped_products(plain, ["symbol", "sample"], cols, "usable",
                             F.max("one").alias("one"), F.max("season").alias("season"))
     betas = sums.select(
         "symbol", F.struct("sample", _first_stage("gram", "one", "season").alias("b")).alias("sb")
     ).groupBy("symbol").agg(F.map_from_entries(F.collect_list("sb")).alias("first_beta"))
-    if needs is not None:
-        betas = betas.join(needs, "symbol")
-    else:
-        betas = betas.withColumn("need", F.sequence(F.lit(0), F.lit(len(samples) - 1)))
     fitted = " + ".join(f"get(beta, {i}) * {c}" for i, c in enumerate(cols[1:]))
     over = "over (partition by symbol, sample order by rn)"
     back = [f"lag(e, {i}) {over} as e{i}" for i in range(1, shape.q + 1)]
@@ -267,14 +297,13 @@ def _with_residuals(panel, samples, shape: Shape, needs: DataFrame | None) -> Da
     )
 
 
-def sample_summaries(panel: DataFrame, samples: list[Sample], shape: Shape,
-                     needs: DataFrame | None = None) -> DataFrame:
+def sample_summaries(panel: DataFrame, samples: list[Sample], shape: Shape) -> DataFrame:
     """One row per (symbol, sample): cross products, the last rows of the training
     part and the held-out rows. Both lists are bounded by the lags and the horizon."""
     if shape.moving:
-        rows = _with_residuals(panel, samples, shape, needs)
+        rows = _with_residuals(panel, samples, shape)
     else:
-        rows = design_rows(panel, samples, shape, needs).withColumn("e", F.lit(0.0))
+        rows = design_rows(panel, samples, shape).withColumn("e", F.lit(0.0))
     cols = shape.second
     reach = max(s.d + s.m * s.D + max(shape.p, s.m * shape.P, shape.q, s.m * shape.Q, 1)
                 for s in samples)
@@ -395,7 +424,9 @@ def _forecaster(shape: Shape, exog_mode: str):
                             "coefs": None, "path": None})
         return pd.DataFrame(out, columns=["status", "error", "aic", "n_used", "coefs", "path"])
 
-    return F.pandas_udf(run, _RESULT)
+    # kept in one place of the plan: a deterministic function would be evaluated again
+    # for every filter and column taken from its result
+    return F.pandas_udf(run, _RESULT).asNondeterministic()
 
 
 def hashed_normal(*parts: Column) -> Column:
@@ -410,34 +441,20 @@ def hashed_normal(*parts: Column) -> Column:
 def forecast_all(panel: DataFrame, *, models: list[str], steps: list[int],
                  params: dict[tuple[str, str], tuple], defaults: dict[str, tuple] | None = None,
                  exog: tuple[str, ...] = (), exog_mode: str = "simulated", seed: int = 7,
-                 kinds: tuple[str, ...] = ("backtest", "future")) -> DataFrame:
+                 kinds: tuple[str, ...] = ("backtest", "future"),
+                 season: int | None = None) -> DataFrame:
     """One row per (symbol, model, steps, kind) with status, fit and forecast path.
 
     ``panel`` holds symbol, date, close and the exog columns.
     """
-    spark = panel.sparkSession
-    options = possible_orders(params, models, steps, defaults)
-    orders = [o for _, _, o in options]
-    samples = sorted(
-        {Sample(o.d, o.D, o.m, h)
-         for _, s, o in options
-         for kind, h in (("backtest", S.business_horizon(s)), ("future", 0)) if kind in kinds},
-        key=lambda s: (s.d, s.D, s.m, s.holdout))
-    shape = shape_of(orders, exog)
-
-    symbols = panel.select("symbol").distinct()
-    grid = with_parameters(work_grid(symbols, models, steps), parameter_rows(spark, params), defaults)
-    tasks = grid.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
-    held = F.when(F.col("kind") == "backtest", F.col("h")).otherwise(0)
-    number: Column = F.lit(None).cast("int")
-    for i, s in enumerate(samples):
-        number = F.when((F.col("d") == s.d) & (F.col("sd") == s.D) & (F.col("m") == s.m)
-                        & (held == s.holdout), i).otherwise(number)
-    tasks = tasks.withColumns({"sample": number, "use_exog": F.col("model") == "sarimax"})
-    needs = tasks.groupBy("symbol").agg(F.collect_set("sample").alias("need"))
-
-    found = sample_summaries(panel, samples, shape, needs)
-    ready = tasks.join(found, ["symbol", "sample"])
+    named, rest, samples = configured_tasks(params, models, steps, kinds, defaults, season)
+    every = [t for tasks in [*named.values(), rest] for t in tasks]
+    shape = shape_of([Order(*[t[k] for k in ORDER_COLUMNS]) for t in every], exog)
+
+    found = sample_summaries(with_tasks(panel, named, rest), samples, shape)
+    mine = F.filter("tasks", lambda t: t["sample"] == F.col("sample"))
+    facts = [c for c in found.columns if c not in ("symbol", "sample")]
+    ready = with_tasks(found, named, rest).select("symbol", *facts, F.inline(mine))
     if exog:
         ready = ready.withColumn("shocks", F.array(*[
             F.transform(F.sequence(F.lit(1), F.col("h")),

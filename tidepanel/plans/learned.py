@@ -197,7 +197,8 @@ def learned_fits(panel: DataFrame, steps: list[int], features: list[str] | None
                 out.append({"status": "error", "error": str(problem), "used": None, "path": None})
         return pd.DataFrame(out, columns=["status", "error", "used", "path"])
 
-    roll = F.pandas_udf(run, "status string, error string, used string, path array<double>")
+    roll = F.pandas_udf(run, "status string, error string, used string, path array<double>"
+                        ).asNondeterministic()
     inputs = ["steps", "n_train", "drift", "past", "state", "ret_s", "ret_m", "last_price",
               "one_step", "direct"]
     horizon = F.element_at(

@@ -8,7 +8,8 @@ from tidepanel import settings as S
 from tidepanel.functions import scalars as X
 from tidepanel.functions.dates import market_open, to_zone
 from tidepanel.operators.rolling import (downsample, downsample_step, last_rows, moving_averages,
-                                         numbered, trailing)
+                                         numbered, pct_change, trailing)
+from tidepanel.plans.evaluate import mae_pct
 
 
 def live_snapshot(bars: DataFrame, fundamentals: DataFrame, as_of=None, *, keys=("symbol",)) -> DataFrame:
@@ -140,15 +141,13 @@ def forecast_view(panel: DataFrame, runs: DataFrame, points: DataFrame, symbol:
     """Rows of the forecast page of one key: history, backtest and forecast."""
     one = (F.col("symbol") == symbol) & (F.col("model") == model) & (F.col("steps") == steps)
     history = chart_history(panel.where(F.col("symbol") == symbol), steps).select(
-        "date", F.lit("historical").alias("kind"), F.round("close", 2).alias("price"))
-    shown = chart_points(points.where(one)).select("date", "kind", F.round("price", 2).alias("price"))
-    facts = runs.where(one).select("backtest_mae", "last_price")
-    from tidepanel.plans.evaluate import mae_pct
-
-    facts = facts.select("backtest_mae", "last_price",
-                         mae_pct("backtest_mae", "last_price").alias("backtest_mae_pct"))
-    return history.unionByName(shown).withColumn("_k", F.lit(1)).join(
-        F.broadcast(facts.limit(1).withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
+        "symbol", "date", F.lit("historical").alias("kind"), F.round("close", 2).alias("price"))
+    shown = chart_points(points.where(one)).select(
+        "symbol", "date", "kind", F.round("price", 2).alias("price"))
+    facts = runs.where(one).select(
+        "symbol", "backtest_mae", "last_price",
+        mae_pct("backtest_mae", "last_price").alias("backtest_mae_pct"))
+    return history.unionByName(shown).join(facts, "symbol", "left")
 
 
 def market_snapshot(panel: DataFrame) -> DataFrame:
@@ -158,8 +157,6 @@ def market_snapshot(panel: DataFrame) -> DataFrame:
     is a trailing window over the same partitioning.
     """
     rows = numbered(panel)
-    from tidepanel.operators.rolling import pct_change
-
     rows = rows.withColumn("ret", pct_change("close")).withColumns({
         "ma50": trailing(F.avg, "close", 50),
         "ma200": trailing(F.avg, "close", 200),

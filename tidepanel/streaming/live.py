@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.functions.dates import market_open, utc_instant
+from tidepanel.operators.calendar import in_cents
 from tidepanel.plans import news as news_plans
 from tidepanel.plans.views import snapshot_rows
 from tidepanel.sources import schemas
@@ -77,7 +78,7 @@ def price_job(raw: DataFrame, table: VersionedTable, checkpoint: str, *, key: st
 
     Cents and counts are kept, so later files of the same day add up exactly.
     """
-    cents = F.round(F.col(value) * 100).cast("long")
+    cents = in_cents(value)
     daily = raw.groupBy(F.col(key).cast("string").alias("symbol"),
                         F.col(ts).cast("date").alias("date")).agg(
         F.sum(cents).alias("cents"), F.count(cents).alias("n"))

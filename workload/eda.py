@@ -150,7 +150,7 @@ def _(spark, folder):
     from tidepanel.operators.calendar import align_to_union
 
     joint = align_to_union(I.supplier_prices(spark, folder))
-    return correlation.correlation_matrix(joint, "close", buckets=2, zero_if_flat=True).select(
+    return correlation.correlation_matrix(joint, "close", buckets=4, zero_if_flat=True).select(
         "left_key", "right_key", r("corr", 6))
 
 

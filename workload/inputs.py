@@ -141,7 +141,7 @@ SEGMENT_SYMBOL = {"AUTOMOBILE": "click", "BUILDING": "error", "FURNITURE": "purc
 
 
 def fundamentals(spark, folder) -> DataFrame:
-    cents = F.sum(F.round(F.col("c_acctbal") * 100).cast("long"))
+    cents = F.sum(cal.in_cents("c_acctbal"))
     n = F.count("c_acctbal")
     seg = F.col("c_mktsegment")
     pairs = F.create_map(*[F.lit(x) for kv in SEGMENT_SYMBOL.items() for x in kv])
@@ -179,8 +179,8 @@ def financials(spark, folder) -> DataFrame:
     """Yearly revenue and net income per order priority, long."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     items = table(spark, folder, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
-    price = F.round(F.col("l_extendedprice") * 100).cast("long")
-    keep = 100 - F.round(F.col("l_discount") * 100).cast("long")
+    price = cal.in_cents("l_extendedprice")
+    keep = 100 - cal.in_cents("l_discount")
     sums = (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("o_orderpriority").alias("symbol"),
