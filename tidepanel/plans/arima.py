@@ -465,8 +465,8 @@ def forecast_all(panel: DataFrame, *, models: list[str], steps: list[int],
     return ready.withColumn("fit", run(F.struct(*inputs))).select(
         "symbol", "model", "steps", "kind", "h", *ORDER_COLUMNS,
         "fit.status", "fit.error", "fit.aic", "fit.n_used", "fit.coefs", "fit.path",
-        "n_train", F.element_at("tail", -1)["close"].alias("last_price"),
-        F.element_at("tail", -1)["date"].alias("last_date"),
+        "n_train", F.try_element_at("tail", F.lit(-1))["close"].alias("last_price"),
+        F.try_element_at("tail", F.lit(-1))["date"].alias("last_date"),
         F.transform("test", lambda t: F.struct(t["date"].alias("date"), t["close"].alias("actual"))
                     ).alias("test"),
     )

@@ -186,6 +186,8 @@ def learned_fits(panel: DataFrame, steps: list[int], features: list[str] | None
             fit = by_steps[int(row["steps"])]
             n = int(row["n_train"])
             try:
+                if n < 1:
+                    raise ValueError("series too short for the backtest window")
                 one = row["one_step"] if n >= lookback + 10 else None
                 direct = row["direct"] if (
                     fit["mode"] == "direct" and one is not None
