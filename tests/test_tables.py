@@ -187,6 +187,14 @@ def test_replayed_batch_changes_nothing(spark):
     assert table.version() == 1 and table.read().first()["backtest_mae"] == 1.0
 
 
+def test_old_versions_are_dropped(spark, tmp_path):
+    table = merge.VersionedTable(spark, str(tmp_path / "t"), schemas.FORECAST_RUNS, keep=2)
+    for day in range(1, 6):
+        table.upsert(_runs(spark, ("A", "arima", float(day), day)), ["symbol", "model", "steps"])
+    assert table.read().first()["backtest_mae"] == 5.0
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v4", "v5"]
+
+
 def test_half_written_version_is_ignored(spark, tmp_path):
     table = merge.VersionedTable(spark, str(tmp_path / "t"), schemas.FORECAST_RUNS)
     table.write(_runs(spark, ("A", "arima", 1.0, 1)))
@@ -304,21 +312,23 @@ def test_news_stream_drops_repeats(spark, tmp_path):
     arts = [(dt.datetime(2024, 1, 2, 3), "AEP one", "x", "u1"), (dt.datetime(2024, 1, 2, 4), "AEP one", "x", "u1"),
             (dt.datetime(2024, 1, 2, 5), "DUK two", "x", "u2")]
     spark.createDataFrame(arts, schemas.ARTICLES).coalesce(1).write.parquet(source)
-    table = merge.VersionedTable(spark, str(tmp_path / "news"), schemas.NEWS)
-    live.news_job(live.file_stream(spark, source, schemas.ARTICLES), S.COMPANY_NAMES, table,
+    log = merge.BatchLog(spark, str(tmp_path / "news"), schemas.NEWS)
+    assert log.read().count() == 0
+    live.news_job(live.file_stream(spark, source, schemas.ARTICLES), S.COMPANY_NAMES, log,
                   str(tmp_path / "ckpt"), "2024-02-01 00:00:00").awaitTermination()
-    assert sorted((r["symbol"], r["url"]) for r in table.read().collect()) == [("AEP", "u1"), ("DUK", "u2")]
+    assert sorted((r["symbol"], r["url"]) for r in live.stored_news(log).collect()) == [("AEP", "u1"), ("DUK", "u2")]
 
 
 def test_price_stream_adds_up_over_files(spark, tmp_path):
     source = str(tmp_path / "raw")
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.TimestampNTZType()),
                            T.StructField("v", T.DoubleType())])
-    table = merge.VersionedTable(spark, str(tmp_path / "daily"), live.DAILY_SUMS)
+    log = merge.BatchLog(spark, str(tmp_path / "daily"), live.DAILY_SUMS)
     for v in (1.0, 2.5):
         spark.createDataFrame([("A", dt.datetime(2024, 1, 2, 9), v)], schema).coalesce(1).write.mode(
             "append").parquet(source)
-        live.price_job(live.file_stream(spark, source, schema), table, str(tmp_path / "ckpt"),
+        live.price_job(live.file_stream(spark, source, schema), log, str(tmp_path / "ckpt"),
                        key="k", ts="t", value="v").awaitTermination()
-    got = live.daily_prices(table.read()).collect()
+    log.write(spark.createDataFrame([("A", dt.date(2024, 1, 2), 250, 1)], live.DAILY_SUMS), 1)  # again
+    got = live.daily_prices(log).collect()
     assert [tuple(r) for r in got] == [("A", dt.date(2024, 1, 2), 1.75)]

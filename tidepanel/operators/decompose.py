@@ -11,19 +11,21 @@ from tidepanel.operators.rolling import numbered
 def _finish(df: DataFrame, phase_level, value: str, key: str) -> DataFrame:
     """Centre the phase levels of each series on zero and subtract.
 
-    The phase table has ``period`` rows per series, and joins back on the key.
+    Levels and their mean over the phases are window aggregates below the same
+    partitioning by key, so nothing is joined back and no row moves again.
     """
-    phases = (
-        df.groupBy(key, "_phase").agg(phase_level.alias("_level"))
-        .withColumn("seasonal", F.col("_level")
-                    - F.avg("_level").over(W.partitionBy(key)))
-        .drop("_level")
-    )
-    return (
-        df.join(phases, [key, "_phase"])
-        .withColumn("resid", F.col(value) - F.col("trend") - F.col("seasonal"))
-        .select(key, "date", value, "trend", "seasonal", "resid")
-    )
+    phase = W.partitionBy(key, "_phase")
+    rows = df.withColumns({
+        "_level": phase_level.over(phase), "_k": F.count(F.lit(1)).over(phase)})
+    share = F.when(F.col("_level").isNotNull(), 1 / F.col("_k"))
+    whole = W.partitionBy(key)
+    rows = rows.withColumns({
+        "_sum": F.sum(F.col("_level") / F.col("_k")).over(whole),
+        "_phases": F.round(F.sum(share).over(whole)),
+    }).withColumn("seasonal", F.col("_level") - F.col("_sum") / F.col("_phases"))
+    return rows.withColumn(
+        "resid", F.col(value) - F.col("trend") - F.col("seasonal")
+    ).select(key, "date", value, "trend", "seasonal", "resid")
 
 
 def decompose_additive(df: DataFrame, period: int = 252, value: str = "close",

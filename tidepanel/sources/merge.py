@@ -8,7 +8,7 @@ written table and a failed or repeated run changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidepanel.session import shared_folder
 
@@ -40,8 +40,8 @@ def replaced(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
 class VersionedTable:
     """Parquet table kept as numbered versions; the highest complete one is current."""
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema, keep: int = 3):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -71,6 +71,17 @@ class VersionedTable:
     def write(self, rows: DataFrame, version: int | None = None) -> None:
         target = self.version() + 1 if version is None else version
         rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{target}")
+        self._drop_old(target - self.keep)
+
+    def _drop_old(self, last: int) -> None:
+        """Remove versions up to ``last``; the newest ones stay for running readers."""
+        if last < 1:
+            return
+        jvm, fs = self._fs()
+        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)):
+            name = status.getPath().getName()
+            if name.startswith("v") and name[1:].isdigit() and int(name[1:]) <= last:
+                fs.delete(status.getPath(), True)
 
     def upsert(self, new: DataFrame, keys: list[str], order: str = "updated_at",
                version: int | None = None) -> None:
@@ -85,5 +96,28 @@ class VersionedTable:
         self.write(replaced(self.read(), new, key), version)
 
 
+class BatchLog:
+    """Append-only table with one folder per micro-batch.
+
+    A batch costs what it holds and never touches older rows. A batch that runs
+    again overwrites its own folder, so replays change nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def write(self, rows: DataFrame, batch: int) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def read(self) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0))
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
 def table_in_shared_folder(spark: SparkSession, name: str, schema) -> VersionedTable:
     return VersionedTable(spark, f"{shared_folder(spark)}/{name}", schema)

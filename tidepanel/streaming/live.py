@@ -1,20 +1,19 @@
 """Structured Streaming jobs: bars to snapshots, articles to news, prices to refresh.
 
 Every job runs over a folder of files with ``availableNow`` or a processing-time
-trigger. Micro-batches are merged under their batch id, so a batch that is run
+trigger. Micro-batches are stored under their batch id, so a batch that is run
 again after a lost executor or driver leaves the table as it was.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidepanel.functions.dates import market_open, utc_instant
 from tidepanel.operators.calendar import in_cents
 from tidepanel.plans import news as news_plans
 from tidepanel.plans.views import snapshot_rows
-from tidepanel.sources import schemas
-from tidepanel.sources.merge import VersionedTable
+from tidepanel.sources.merge import BatchLog, VersionedTable, latest_per_key
 
 WATERMARK = "2 days"
 
@@ -58,42 +57,44 @@ def live_job(bars: DataFrame, fundamentals: DataFrame, table: VersionedTable, ch
                   trigger or {"availableNow": True})
 
 
-def news_job(articles: DataFrame, aliases: dict[str, str], table: VersionedTable, checkpoint: str,
+def news_job(articles: DataFrame, aliases: dict[str, str], log: BatchLog, checkpoint: str,
              as_of: str, *, trigger: dict | None = None, watermark: str = "7 days"):
-    """Articles -> relevant news, once per address, added to ``table`` (NEWS)."""
+    """Articles -> relevant news, once per address, appended to ``log`` (NEWS)."""
     timed = articles.withColumn("_at", utc_instant("published")).withWatermark("_at", watermark)
     once = timed.dropDuplicatesWithinWatermark(["url"])
-    matched = news_plans.relevant(once, aliases)
+    matched = news_plans.relevant(once, aliases).withColumn(
+        "updated_at", F.lit(as_of).cast("timestamp_ntz"))
+    return _start(matched, log.write, checkpoint, "append", trigger or {"availableNow": True})
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("updated_at", F.lit(as_of).cast("timestamp_ntz"))
-        table.upsert(rows, ["symbol", "url"], "updated_at", batch_id + 1)
 
-    return _start(matched, write, checkpoint, "append", trigger or {"availableNow": True})
+def stored_news(log: BatchLog) -> DataFrame:
+    """One row per symbol and address, the newest delivery."""
+    return latest_per_key(log.read(), ["symbol", "url"], "batch").drop("batch")
 
 
-def price_job(raw: DataFrame, table: VersionedTable, checkpoint: str, *, key: str, ts: str,
+def price_job(raw: DataFrame, log: BatchLog, checkpoint: str, *, key: str, ts: str,
               value: str, trigger: dict | None = None):
-    """Raw prices -> daily sums per (symbol, day), the input of the nightly refresh.
+    """Raw prices -> cents and counts per (symbol, day) and batch, the input of the
+    nightly refresh.
 
-    Cents and counts are kept, so later files of the same day add up exactly.
+    The query keeps no state: each batch is folded on its own (map-side first), and
+    the exact sums of a day add up when the log is read.
     """
-    cents = in_cents(value)
-    daily = raw.groupBy(F.col(key).cast("string").alias("symbol"),
-                        F.col(ts).cast("date").alias("date")).agg(
-        F.sum(cents).alias("cents"), F.count(cents).alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
-        table.upsert(rows, ["symbol", "date"], "batch", batch_id + 1)
+        cents = in_cents(value)
+        log.write(batch.where(F.col(value).isNotNull()).groupBy(
+            F.col(key).cast("string").alias("symbol"), F.col(ts).cast("date").alias("date")).agg(
+            F.sum(cents).alias("cents"), F.count(cents).alias("n")), batch_id)
 
-    return _start(daily, write, checkpoint, "update", trigger or {"availableNow": True})
+    return _start(raw, write, checkpoint, "append", trigger or {"availableNow": True})
 
 
-def daily_prices(table: DataFrame) -> DataFrame:
-    return table.select("symbol", "date", (F.col("cents") / F.col("n") / 100).alias("close"))
+def daily_prices(log: BatchLog) -> DataFrame:
+    return log.read().groupBy("symbol", "date").agg(
+        (F.sum("cents") / F.sum("n") / 100).alias("close"))
 
 
-DAILY_SUMS = schemas._schema(
-    ("symbol", schemas._S), ("date", schemas._D), ("cents", schemas.T.LongType()),
-    ("n", schemas.T.LongType()), ("batch", schemas.T.LongType()))
+DAILY_SUMS = T.StructType([
+    T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()),
+    T.StructField("cents", T.LongType()), T.StructField("n", T.LongType())])

@@ -145,13 +145,12 @@ def _(spark, folder):
 
 @query("chart_pairs", sql("""
   SELECT symbol, '[' || string_agg('{"date":"' || strftime(date, '%Y-%m-%d') || '","price":' ||
-      CAST(CAST(FLOOR(close) AS BIGINT) AS VARCHAR) || '.0}', ',' ORDER BY date) || ']' AS pairs
-  FROM (SELECT symbol, date, close FROM panel QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY date DESC) <= 3) GROUP BY 1""",
+      CAST(ROUND(close + 1e-7, 2) AS VARCHAR) || '}', ',' ORDER BY date) || ']' AS pairs
+  FROM (SELECT symbol, date, close FROM panel QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY date DESC) <= 300) GROUP BY 1""",
     "panel"))
 def _(spark, folder):
-    rows = roll.last_rows(I.panel(spark, folder), 3).withColumn(
-        "close", F.floor("close").cast("double"))
-    return views.pairs_json(rows, ["symbol"])
+    rows = roll.last_rows(I.panel(spark, folder), 300)
+    return views.pairs_json(rows.withColumn("close", F.col("close") + 1e-7), ["symbol"])
 
 
 @query("dividend_history", sql("""
@@ -275,10 +274,10 @@ def _(spark, folder):
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"), F.lit(0))).alias("published"),
         F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(1)).alias("description"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("url"))
-    table = merge.VersionedTable(spark, fresh_path(spark, "news"), schemas.NEWS)
-    job = live.news_job(articles, I.ALIASES, table, fresh_path(spark, "ckpt"), "2024-02-01 00:00:00")
+    log = merge.BatchLog(spark, fresh_path(spark, "news"), schemas.NEWS)
+    job = live.news_job(articles, I.ALIASES, log, fresh_path(spark, "ckpt"), "2024-02-01 00:00:00")
     job.awaitTermination()
-    return table.read()
+    return live.stored_news(log)
 
 
 # ---- stored runs and refresh ------------------------------------------------
@@ -309,6 +308,21 @@ part("current_runs", """SELECT symbol, model, steps, backtest_mae, last_price, u
   QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol, model, steps ORDER BY updated_at DESC, event_id DESC) = 1""", "runs")
 
 
+@query("news_replaced", sql("""SELECT symbol, COUNT(*) AS n, MIN(published) AS first_at FROM news
+  WHERE published >= CASE WHEN symbol = 'Is' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-01 06:00:00' END
+  AND (symbol <> 'Is' OR published < TIMESTAMP '2024-01-01 06:00:00') GROUP BY 1""", "news"))
+def _(spark, folder):
+    """Two deliveries; the second replaces the lists of the symbols it holds."""
+    found = news_plans.relevant(I.articles(spark, folder), I.ALIASES).withColumn(
+        "updated_at", F.lit("2024-02-01").cast("timestamp_ntz"))
+    six = F.lit("2024-01-01 06:00:00").cast("timestamp_ntz")
+    table = merge.VersionedTable(spark, fresh_path(spark, "news"), schemas.NEWS)
+    table.replace(found.where(F.col("published") < six), "symbol")
+    table.replace(found.where((F.col("published") >= six) & (F.col("symbol") != "Is")), "symbol")
+    return table.read().groupBy("symbol").agg(
+        F.count("*").alias("n"), F.min("published").alias("first_at"))
+
+
 @query("forecast_upsert", sql("""SELECT symbol, model, steps, ROUND(backtest_mae, 4) AS backtest_mae,
   ROUND(last_price, 4) AS last_price, updated_at FROM current_runs""", "current_runs"))
 def _(spark, folder):
@@ -412,7 +426,7 @@ def _(spark, folder):
     """Drain the orders as a stream into daily prices."""
     schema = I.table(spark, folder, "orders").schema
     raw = live.file_stream(spark, folder, schema, pattern="orders.parquet")
-    table = merge.VersionedTable(spark, fresh_path(spark, "daily"), live.DAILY_SUMS)
-    live.price_job(raw, table, fresh_path(spark, "ckpt"), key="o_orderpriority", ts="o_orderdate",
+    log = merge.BatchLog(spark, fresh_path(spark, "daily"), live.DAILY_SUMS)
+    live.price_job(raw, log, fresh_path(spark, "ckpt"), key="o_orderpriority", ts="o_orderdate",
                    value="o_totalprice").awaitTermination()
-    return live.daily_prices(table.read()).select("symbol", "date", r("close"))
+    return live.daily_prices(log).select("symbol", "date", r("close"))

@@ -371,15 +371,16 @@ def _(spark, folder):
         F.round(F.sum(X.number_or("ret")), 6).alias("filled_sum"))
 
 
-@query("wide_close", sql("""
-  SELECT date, ROUND(MAX(close) FILTER (symbol = '1-URGENT'), 6) AS urgent,
-    ROUND(MAX(close) FILTER (symbol = '2-HIGH'), 6) AS high FROM prices
-  WHERE symbol IN ('1-URGENT', '2-HIGH') GROUP BY 1""", "prices"))
-def _(spark, folder):
-    names = ["1-URGENT", "2-HIGH"]
-    base = I.prices(spark, folder).where(F.col("symbol").isin(names))
-    return readers.wide_close(base, names).toDF("date", "urgent", "high").select(
-        "date", r("urgent"), r("high"))
+SYMBOLS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_SHORT = ["urgent", "high", "medium", "open", "low"]
+
+
+@query("wide_close", sql("SELECT date, " + ", ".join(
+    f"ROUND(MAX(close) FILTER (symbol = '{s}'), 6) AS {n}" for s, n in zip(SYMBOLS, _SHORT))
+    + " FROM prices GROUP BY 1", "prices"))
+def _(spark, folder):
+    wide = readers.wide_close(I.prices(spark, folder), SYMBOLS).toDF("date", *_SHORT)
+    return wide.select("date", *[r(n) for n in _SHORT])
 
 
 @query("stored_market", sql("""SELECT symbol, COUNT(*) AS n, MIN(date) AS lo, MAX(date) AS hi,
