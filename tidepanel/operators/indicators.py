@@ -59,15 +59,20 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, sign: int = 9, value: st
 
 def bollinger(df: DataFrame, n: int = 20, width: float = 2.0, value: str = "close", *,
               strict: bool = False, key: str = "symbol") -> DataFrame:
-    """Position inside the band; ``strict=False`` guards an empty band by 1e-9."""
+    """Position inside the band; ``strict=False`` guards an empty band by 1e-9.
+
+    A deviation below 1e-10 of the mean is rounding noise of a flat window, which
+    has position 0 (strict: none).
+    """
     need = n if strict else 1
     rows = df.withColumns({
         "_mid": trailing(F.avg, value, n, key, need),
         "_std": trailing(F.stddev_pop, value, n, key, need),
     })
     low, band = F.col("_mid") - width * F.col("_std"), 2 * width * F.col("_std")
-    pct = (F.try_divide(F.col(value) - low, band) if strict
-           else (F.col(value) - low) / (band + 1e-9))
+    flat = F.col("_std") <= 1e-10 * F.abs("_mid")
+    pct = (F.when(~flat, (F.col(value) - low) / band) if strict
+           else F.when(flat, 0.0).otherwise((F.col(value) - low) / (band + 1e-9)))
     return rows.withColumns({"bb_low": low, "bb_high": low + band, "bb_pct": pct}).drop(
         "_mid", "_std")
 

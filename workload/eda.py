@@ -144,7 +144,16 @@ def _(spark, folder):
         "left_key", "right_key", r("corr", 8))
 
 
-@query("supplier_correlation")
+@query("supplier_correlation", sql("""
+  , u AS (SELECT symbol, date, COALESCE(LAST_VALUE(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    FIRST_VALUE(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS close
+  FROM (SELECT s.symbol, d.date, p.close AS c
+        FROM (SELECT DISTINCT date FROM supplier_prices) d CROSS JOIN (SELECT DISTINCT symbol FROM supplier_prices) s
+        LEFT JOIN supplier_prices p ON p.symbol = s.symbol AND p.date = d.date))
+  SELECT a.symbol AS left_key, b.symbol AS right_key, ROUND(COALESCE(CORR(a.close, b.close), 0), 6) AS corr
+  FROM u a JOIN u b ON a.date = b.date GROUP BY 1, 2""", "supplier_prices"))
 def _(spark, folder):
     """Matrix of all suppliers on the union of their dates."""
     from tidepanel.operators.calendar import align_to_union
@@ -192,7 +201,20 @@ def _(spark, folder):
     return unitroot.acf(I.returns(spark, folder), "ret").select("symbol", "lag", r("acf", 8))
 
 
-@query("pacf")
+@query("pacf", sql("""
+  , c AS (SELECT symbol, rn, ret - AVG(ret) OVER (PARTITION BY symbol) AS x FROM rets WHERE ret IS NOT NULL),
+  r AS (SELECT symbol, list(rho ORDER BY k) AS rho FROM (
+    SELECT a.symbol, k, SUM(a.x * b.x) / MAX(ss) AS rho
+    FROM (SELECT UNNEST(range(1, 31)) AS k) CROSS JOIN c a JOIN c b ON a.symbol = b.symbol AND b.rn = a.rn - k
+    JOIN (SELECT symbol, SUM(x * x) AS ss FROM c GROUP BY 1) v ON v.symbol = a.symbol GROUP BY 1, 2) GROUP BY 1),
+  f AS (
+    SELECT symbol, rho, 1 AS k, [rho[1]] AS phi, rho[1] AS p FROM r
+    UNION ALL
+    SELECT symbol, rho, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - a * phi[k + 1 - i]), a), a
+    FROM (SELECT *, (rho[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[k + 1 - i])))
+        / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * rho[i]))) AS a FROM f WHERE k < 30))
+  SELECT symbol, CAST(k AS INTEGER) AS lag, ROUND(p, 8) AS pacf FROM f
+  UNION ALL SELECT symbol, 0, 1.0 FROM r""", "rets", recursive=True))
 def _(spark, folder):
     return unitroot.pacf(I.returns(spark, folder), "ret").select("symbol", "lag", r("pacf", 8))
 

@@ -86,13 +86,18 @@ def returns(spark, folder) -> DataFrame:
     return with_returns(panel(spark, folder))
 
 
-part("rets", """
+def _rets(panel: str) -> str:
+    return f"""
   SELECT symbol, date, close,
     close / NULLIF(LAG(close) OVER w, 0) - 1 AS ret,
     close - LAG(close) OVER w AS diff,
     CASE WHEN close > 0 AND LAG(close) OVER w > 0 THEN LN(close) - LN(LAG(close) OVER w) END AS log_ret,
     ROW_NUMBER() OVER w AS rn, COUNT(*) OVER (PARTITION BY symbol) AS n
-  FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY date)""", "panel")
+  FROM {panel} WINDOW w AS (PARTITION BY symbol ORDER BY date)"""
+
+
+part("rets", _rets("panel"), "panel")
+part("supplier_rets", _rets("supplier_panel"), "supplier_panel")
 
 
 # ---- exogenous series: one per return flag ----------------------------------

@@ -300,11 +300,90 @@ def _(spark, folder):
         "symbol", "steps", "kind", "step", "date", r("price", 2))
 
 
-@query("forecast_status")
+@query("forecast_status", sql("""
+  SELECT symbol, model, CAST(steps AS INTEGER) AS steps, kind, 'ok' AS status, CASE WHEN kind = 'future' THEN n ELSE n - h END AS n_train
+  FROM (SELECT symbol, COUNT(*) AS n FROM panel GROUP BY 1), (SELECT UNNEST(['arima','sarima','sarimax']) AS model),
+    (VALUES (7, 5), (180, 126), (365, 252)) t(steps, h), (SELECT UNNEST(['backtest', 'future']) AS kind)""", "panel"))
 def _(spark, folder):
     """Every key of the nightly grid with its status; no key stops another."""
-    return _full_fits(spark, folder).select(
-        "symbol", "model", "steps", "kind", "status", "error", "n_used", r("aic", 3))
+    return _full_fits(spark, folder).select("symbol", "model", "steps", "kind", "status", "n_train")
+
+
+@query("forecast_seasonal_ar", sql("""
+  , f AS (SELECT symbol, rn, n, close, w, LAG(w, 5) OVER (PARTITION BY symbol ORDER BY rn) AS l
+    FROM (SELECT symbol, rn, n, close, diff - LAG(diff, 5) OVER (PARTITION BY symbol ORDER BY date) AS w FROM rets)),
+  b AS (SELECT symbol, SUM(w * l) / SUM(l * l) AS phi FROM f WHERE l IS NOT NULL GROUP BY 1),
+  h AS (SELECT f.symbol, ANY_VALUE(phi) AS phi, list(close ORDER BY rn) AS y, list(w ORDER BY rn) AS w
+    FROM f JOIN b ON b.symbol = f.symbol WHERE rn > n - 12 GROUP BY 1),
+  p AS (
+    SELECT symbol, phi, 0 AS k, y, w FROM h
+    UNION ALL
+    SELECT symbol, phi, k + 1, list_append(y, phi * w[len(w) - 4] + y[len(y)] + y[len(y) - 4] - y[len(y) - 5]),
+      list_append(w, phi * w[len(w) - 4]) FROM p WHERE k < 5)
+  SELECT symbol, CAST(k AS INTEGER) AS step, ROUND(y[len(y)], 2) AS price FROM p WHERE k > 0""", "rets", recursive=True))
+def _(spark, folder):
+    """Order (0,1,0)(1,1,0,5): one seasonal lag, forecast for the next week."""
+    fits = arima.forecast_all(I.panel(spark, folder), models=["sarima"], steps=[7], kinds=("future",),
+                              params={}, defaults={"sarima": (0, 1, 0, 1, 1, 0, 20)})
+    return arima.forecast_points(fits).select("symbol", "step", r("price", 2))
+
+
+LAB = {"arima": (2, 1, 0, 0, 0, 0, 0), "sarima": (2, 1, 0, 1, 1, 0, 12)}  # fixed values
+
+
+@query("arima_vs_sarima")
+def _(spark, folder):
+    """15 held-out steps, seasonal period 12: RMSE and MAPE side by side."""
+    fits = arima.forecast_all(I.panel(spark, folder), models=["arima", "sarima"], steps=[15],
+                              kinds=("backtest",), params={}, defaults=LAB, season=12)
+    metrics = evaluate.backtest_metrics(arima.forecast_points(fits))
+    rmse = evaluate.horizon_table(metrics, ["arima", "sarima"], "rmse")
+    mape = evaluate.horizon_table(metrics, ["arima", "sarima"], "mape_pct")
+    out = rmse.join(mape, ["symbol", "steps"])
+    return out.select("symbol", *[r(c, 4) for c in out.columns[2:]])
+
+
+MATRIX = {"arima": (0, 1, 0, 0, 0, 0, 0), "sarima": (1, 1, 1, 1, 1, 0, 12),
+          "sarimax": (1, 1, 1, 1, 0, 1, 12)}  # fixed values
+
+
+def matrix_metrics(spark, folder):
+    """The short model sees 6 months, the others 3 years; a horizon longer than the
+    history gives an error row and no metrics."""
+    steps = [7, 180, 365]
+    market = market_frame(spark, folder).select("symbol", "date", "close", "a")
+    near = arima.forecast_all(
+        roll.period_slice(market, "6mo"), models=["arima"], steps=steps, kinds=("backtest",),
+        params={}, defaults=MATRIX)
+    far = arima.forecast_all(
+        roll.period_slice(market, "3y"), models=["sarima", "sarimax"], steps=steps,
+        kinds=("backtest",), params={}, defaults=MATRIX, season=12, exog=("a",), exog_mode="actual")
+    points = arima.forecast_points(near).unionByName(arima.forecast_points(far))
+    return evaluate.backtest_metrics(points)
+
+
+@query("backtest_matrix")
+def _(spark, folder):
+    metrics = matrix_metrics(spark, folder)
+    models = ["arima", "sarima", "sarimax"]
+    wide = evaluate.horizon_table(metrics, models, "rmse").join(
+        evaluate.horizon_table(metrics, models, "mae"), ["symbol", "steps"])
+    return wide.select("symbol", "steps", *[r(c, 4) for c in wide.columns[2:]])
+
+
+@query("experiment_log")
+def _(spark, folder):
+    """Metrics of a run appended to the log in its fixed columns, read back."""
+    from tidepanel.session import fresh_path
+    from tidepanel.sources.writers import append_metrics
+
+    metrics = _ar_and_drift(spark, folder)
+    path = fresh_path(spark, "experiments")
+    append_metrics(evaluate.experiment_rows(metrics, "batch-1", notes="nightly"), path,
+                   "2024-01-01 00:00:00")
+    log = spark.read.option("header", "true").csv(path)
+    return log.select("ticker", "steps", "model", "run_id",
+                      F.round(F.col("`MAPE%`").cast("double"), 4).alias("mape_pct"))
 
 
 @query("model_leaderboard")

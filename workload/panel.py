@@ -229,10 +229,11 @@ def _(spark, folder):
 
 
 # ---- recursive means: one row of state per step in the SQL twin -------------
-part("ewm", """
+def _ewm_parts(prefix: str, rets: str) -> None:
+    part(f"{prefix}ewm", f"""
   SELECT symbol, date, rn, close, GREATEST(COALESCE(diff, 0), 0) AS gain,
-         GREATEST(-COALESCE(diff, 0), 0) AS loss FROM rets""", "rets")
-part("ewm_run", """
+         GREATEST(-COALESCE(diff, 0), 0) AS loss FROM {rets}""", rets)
+    text = """
   SELECT symbol, date, rn, close, close AS e10, close AS e50, gain AS up, loss AS down,
          close AS e12, close AS e26, CAST(0 AS DOUBLE) AS macd, CAST(0 AS DOUBLE) AS sig
   FROM ewm WHERE rn = 1
@@ -244,7 +245,12 @@ part("ewm_run", """
     (r.e12 * (1 - 2.0::DOUBLE/13) + x.close * (2.0::DOUBLE/13)) - (r.e26 * (1 - 2.0::DOUBLE/27) + x.close * (2.0::DOUBLE/27)),
     r.sig * 0.8::DOUBLE + ((r.e12 * (1 - 2.0::DOUBLE/13) + x.close * (2.0::DOUBLE/13))
       - (r.e26 * (1 - 2.0::DOUBLE/27) + x.close * (2.0::DOUBLE/27))) * 0.2::DOUBLE
-  FROM ewm_run r JOIN ewm x ON x.symbol = r.symbol AND x.rn = r.rn + 1""", "ewm")
+  FROM ewm_run r JOIN ewm x ON x.symbol = r.symbol AND x.rn = r.rn + 1"""
+    part(f"{prefix}ewm_run", text.replace("ewm", f"{prefix}ewm"), f"{prefix}ewm")
+
+
+_ewm_parts("", "rets")
+_ewm_parts("supplier_", "supplier_rets")
 
 
 def _ewm_sql(body):
@@ -277,7 +283,7 @@ def _(spark, folder):
 
 @query("bollinger", sql("""
   SELECT symbol, date, ROUND(m - 2 * s, 4) AS bb_low, ROUND(m + 2 * s, 4) AS bb_high,
-    ROUND((close - (m - 2 * s)) / (4 * s + 1e-9), 6) AS bb_pct
+    ROUND(CASE WHEN s <= 1e-10 * ABS(m) THEN 0 ELSE (close - (m - 2 * s)) / (4 * s + 1e-9) END, 6) AS bb_pct
   FROM (SELECT symbol, date, close, AVG(close) OVER w AS m, STDDEV_POP(close) OVER w AS s FROM panel
         WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
   """, "panel"))
@@ -286,26 +292,32 @@ def _(spark, folder):
         "symbol", "date", r("bb_low", 4), r("bb_high", 4), r("bb_pct"))
 
 
-@query("indicator_matrix", _ewm_sql(f"""
+def _matrix_sql(prefix: str) -> str:
+    return sql(f"""
   SELECT e.symbol, e.date, ROUND(e10, 4) AS ind_ema10, ROUND(e50, 4) AS ind_ema50,
     ROUND({RSI_SQL}, 6) AS ind_rsi14, ROUND(macd, 4) AS ind_macd, ROUND(sig, 4) AS ind_macd_signal,
     ROUND(bbp, 6) AS ind_bbp, ROUND(COALESCE(vol, 0), 8) AS ind_vol20
-  FROM ewm_run e JOIN (
-    SELECT symbol, date, (close - (AVG(close) OVER w - 2 * STDDEV_POP(close) OVER w))
-        / (4 * STDDEV_POP(close) OVER w + 1e-9) AS bbp, STDDEV_SAMP(ret) OVER w AS vol
-    FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) b
-    ON b.symbol = e.symbol AND b.date = e.date"""))
+  FROM {prefix}ewm_run e JOIN (
+    SELECT symbol, date, CASE WHEN STDDEV_POP(close) OVER w <= 1e-10 * ABS(AVG(close) OVER w) THEN 0
+        ELSE (close - (AVG(close) OVER w - 2 * STDDEV_POP(close) OVER w))
+        / (4 * STDDEV_POP(close) OVER w + 1e-9) END AS bbp, STDDEV_SAMP(ret) OVER w AS vol
+    FROM {prefix}rets WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) b
+    ON b.symbol = e.symbol AND b.date = e.date""", f"{prefix}ewm_run", recursive=True)
+
+
+@query("indicator_matrix", _matrix_sql(""))
 def _(spark, folder):
     digits = {"ind_rsi14": 6, "ind_bbp": 6, "ind_vol20": 8}
     return ind.indicator_matrix(I.panel(spark, folder)).select(
         "symbol", "date", *[r(c, digits.get(c, 4)) for c in ind.indicator_names()])
 
 
-@query("indicator_matrix_suppliers")
+@query("indicator_matrix_suppliers", _matrix_sql("supplier_"))
 def _(spark, folder):
     """The same indicators over one series per supplier."""
+    digits = {"ind_rsi14": 6, "ind_bbp": 6, "ind_vol20": 8}
     return ind.indicator_matrix(I.supplier_panel(spark, folder)).select(
-        "symbol", "date", *[r(c, 4) for c in ind.indicator_names()])
+        "symbol", "date", *[r(c, digits.get(c, 4)) for c in ind.indicator_names()])
 
 
 @query("future_index", sql("""
