@@ -52,6 +52,13 @@ def daily_mean(df: DataFrame, key: str, ts: str, value: str, *, name: str, out:
     )
 
 
+def one_per_day(df: DataFrame, key: str = "symbol", value: str = "close",
+                order: str | None = None) -> DataFrame:
+    """One row per (key, date): the value with the greatest ``order`` (default: the
+    value itself). Restores the size bound for sources that repeat days."""
+    return df.groupBy(key, "date").agg(F.max_by(value, order or value).alias(value))
+
+
 def expand(df: DataFrame, key: str, value: str, lo: Column | None = None,
            hi: Column | None = None) -> DataFrame:
     """Every calendar day of each key with the latest weekday value before it.

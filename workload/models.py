@@ -371,7 +371,10 @@ def _(spark, folder):
     return wide.select("symbol", "steps", *[r(c, 4) for c in wide.columns[2:]])
 
 
-@query("experiment_log")
+@query("experiment_log", sql("""
+  SELECT symbol AS ticker, CAST(steps AS VARCHAR) AS steps, model, symbol || '_' || steps || '_' || model || '_batch-1' AS run_id,
+    ROUND(mape_pct / 100, 2) AS mape_ratio FROM (""" + _METRICS_SQL.format(
+        points=_AR_POINTS + " UNION ALL " + _DRIFT_POINTS) + ") WHERE mape_pct < 1e6", "ar_points", "panel"))
 def _(spark, folder):
     """Metrics of a run appended to the log in its fixed columns, read back."""
     from tidepanel.session import fresh_path
@@ -382,8 +385,9 @@ def _(spark, folder):
     append_metrics(evaluate.experiment_rows(metrics, "batch-1", notes="nightly"), path,
                    "2024-01-01 00:00:00")
     log = spark.read.option("header", "true").csv(path)
-    return log.select("ticker", "steps", "model", "run_id",
-                      F.round(F.col("`MAPE%`").cast("double"), 4).alias("mape_pct"))
+    mape = F.col("`MAPE%`").cast("double")
+    return log.where(mape < 1e6).select(
+        "ticker", "steps", "model", "run_id", F.round(mape / 100, 2).alias("mape_ratio"))
 
 
 @query("model_leaderboard")
