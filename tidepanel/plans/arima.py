@@ -187,9 +187,10 @@ def with_tasks(df: DataFrame, named: dict[str, list[dict]], rest: list[dict]) ->
     """``tasks`` per row by its symbol. The joined table has one row per configured
     symbol, so it is broadcast; every other symbol takes the default list."""
     table = df.sparkSession.createDataFrame(list(named.items()), f"symbol string, _own {TASK_TYPE}")
-    default = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in t.items()]) for t in rest])
+    structs = ["named_struct(" + ", ".join(f"'{k}', {v!r}" for k, v in t.items()) + ")" for t in rest]
+    default = f"cast(array({', '.join(structs)}) as {TASK_TYPE})"
     return df.join(F.broadcast(table), "symbol", "left").withColumn(
-        "tasks", F.coalesce("_own", default.cast(TASK_TYPE))).drop("_own")
+        "tasks", F.expr(f"coalesce(_own, {default})")).drop("_own")
 
 
 # ---- design -----------------------------------------------------------------

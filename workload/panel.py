@@ -14,7 +14,11 @@ from workload.registry import part, query, sql
 
 
 def r(name, digits=6):
-    return F.round(F.col(name), digits).alias(name)
+    """Half away from zero on doubles, as the comparison engine rounds; stays in
+    generated code, which decimal rounding would leave."""
+    x, scale = F.col(name), float(10**digits)
+    # adding 0 turns a negative zero into zero
+    return (F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale + F.lit(0.0)).alias(name)
 
 
 def mean_r(name):
@@ -275,7 +279,7 @@ def _(spark, folder):
 
 
 @query("macd", _ewm_sql(
-    "SELECT symbol, date, ROUND(macd, 4) AS macd, ROUND(sig, 4) AS macd_signal FROM ewm_run"))
+    "SELECT symbol, date, ROUND(macd, 4) + 0::DOUBLE AS macd, ROUND(sig, 4) + 0::DOUBLE AS macd_signal FROM ewm_run"))
 def _(spark, folder):
     return ind.macd(I.panel(spark, folder)).select(
         "symbol", "date", r("macd", 4), r("macd_signal", 4))
@@ -283,7 +287,7 @@ def _(spark, folder):
 
 @query("bollinger", sql("""
   SELECT symbol, date, ROUND(m - 2 * s, 4) AS bb_low, ROUND(m + 2 * s, 4) AS bb_high,
-    ROUND(CASE WHEN s <= 1e-10 * ABS(m) THEN 0 ELSE (close - (m - 2 * s)) / (4 * s + 1e-9) END, 6) AS bb_pct
+    ROUND(CASE WHEN s <= 1e-10 * ABS(m) THEN 0 ELSE (close - (m - 2 * s)) / (4 * s + 1e-9) END, 6) + 0::DOUBLE AS bb_pct
   FROM (SELECT symbol, date, close, AVG(close) OVER w AS m, STDDEV_POP(close) OVER w AS s FROM panel
         WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
   """, "panel"))
@@ -295,8 +299,8 @@ def _(spark, folder):
 def _matrix_sql(prefix: str) -> str:
     return sql(f"""
   SELECT e.symbol, e.date, ROUND(e10, 4) AS ind_ema10, ROUND(e50, 4) AS ind_ema50,
-    ROUND({RSI_SQL}, 6) AS ind_rsi14, ROUND(macd, 4) AS ind_macd, ROUND(sig, 4) AS ind_macd_signal,
-    ROUND(bbp, 6) AS ind_bbp, ROUND(COALESCE(vol, 0), 8) AS ind_vol20
+    ROUND({RSI_SQL}, 6) AS ind_rsi14, ROUND(macd, 4) + 0::DOUBLE AS ind_macd, ROUND(sig, 4) + 0::DOUBLE AS ind_macd_signal,
+    ROUND(bbp, 6) + 0::DOUBLE AS ind_bbp, ROUND(COALESCE(vol, 0), 8) AS ind_vol20
   FROM {prefix}ewm_run e JOIN (
     SELECT symbol, date, CASE WHEN STDDEV_POP(close) OVER w <= 1e-10 * ABS(AVG(close) OVER w) THEN 0
         ELSE (close - (AVG(close) OVER w - 2 * STDDEV_POP(close) OVER w))
