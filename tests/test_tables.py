@@ -250,6 +250,12 @@ def test_snapshot_bases(spark):
     assert order == ["A", "B", "C"]
 
 
+def test_preview(make_prices):
+    df = make_prices({"A": [("2024-01-02", 1), ("2024-01-03", 2), ("2024-01-04", 3)]})
+    assert [r["close"] for r in views.preview(df, 2).collect()] == [3.0, 2.0]
+    assert [r["close"] for r in views.preview(df, 1, newest=False).collect()] == [1.0]
+
+
 def test_last_update_is_local(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 9, 20, 0, 0, 700000),)], "last_updated timestamp_ntz")
     assert views.last_update(df).first()[0] == "03:00:00 2024-01-10"

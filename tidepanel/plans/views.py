@@ -38,6 +38,18 @@ def snapshot_rows(ends: DataFrame, fundamentals: DataFrame, as_of=None) -> DataF
     )
 
 
+def bars_of_day(bars: DataFrame, as_of) -> DataFrame:
+    """Bars of the New York day of ``as_of``."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    return bars.where(to_zone("ts", S.MARKET_TZ).cast("date") == to_zone(now, S.MARKET_TZ).cast("date"))
+
+
+def preview(df: DataFrame, rows: int = 10, newest: bool = True) -> DataFrame:
+    """A few rows from the end (or start) by date; a top-k, not a sort of the table."""
+    day = F.col("date").desc() if newest else F.col("date")
+    return df.orderBy(day, "symbol").limit(rows)
+
+
 def in_market_hours(bars: DataFrame, force: bool = False) -> DataFrame:
     return bars.where(market_open("ts", force))
 

@@ -186,6 +186,13 @@ def _(spark, folder):
         F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
 
 
+@query("bars_of_day", sql("""SELECT symbol, COUNT(*) AS n, MIN(ts) AS lo, MAX(ts) AS hi FROM bars
+  WHERE CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS DATE) = DATE '2024-01-10' GROUP BY 1""", "bars"))
+def _(spark, folder):
+    return views.bars_of_day(I.bars(spark, folder), "2024-01-11 03:00:00").groupBy("symbol").agg(
+        F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+
+
 @query("live_snapshot", sql(_snapshot_sql("bars", "TIMESTAMP '2024-01-31 00:00:00'"), "bars", "fundamentals"))
 def _(spark, folder):
     return views.live_snapshot(I.bars(spark, folder), I.fundamentals(spark, folder),
@@ -309,16 +316,16 @@ part("current_runs", """SELECT symbol, model, steps, backtest_mae, last_price, u
 
 
 @query("news_replaced", sql("""SELECT symbol, COUNT(*) AS n, MIN(published) AS first_at FROM news
-  WHERE published >= CASE WHEN symbol = 'Is' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-01 06:00:00' END
-  AND (symbol <> 'Is' OR published < TIMESTAMP '2024-01-01 06:00:00') GROUP BY 1""", "news"))
+  WHERE published >= CASE WHEN symbol = 'Is' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-01 02:00:00' END
+  AND (symbol <> 'Is' OR published < TIMESTAMP '2024-01-01 02:00:00') GROUP BY 1""", "news"))
 def _(spark, folder):
     """Two deliveries; the second replaces the lists of the symbols it holds."""
     found = news_plans.relevant(I.articles(spark, folder), I.ALIASES).withColumn(
         "updated_at", F.lit("2024-02-01").cast("timestamp_ntz"))
-    six = F.lit("2024-01-01 06:00:00").cast("timestamp_ntz")
+    two = F.lit("2024-01-01 02:00:00").cast("timestamp_ntz")
     table = merge.VersionedTable(spark, fresh_path(spark, "news"), schemas.NEWS)
-    table.replace(found.where(F.col("published") < six), "symbol")
-    table.replace(found.where((F.col("published") >= six) & (F.col("symbol") != "Is")), "symbol")
+    table.replace(found.where(F.col("published") < two), "symbol")
+    table.replace(found.where((F.col("published") >= two) & (F.col("symbol") != "Is")), "symbol")
     return table.read().groupBy("symbol").agg(
         F.count("*").alias("n"), F.min("published").alias("first_at"))
 
