@@ -81,8 +81,8 @@ def test_exogenous_with_known_future(weekdays):
     x = 10 + RNG.normal(size=150).cumsum()
     y = 3 * x + _ar_series(150)
     df = weekdays({"S": list(y)}).join(
-        weekdays({"S": list(x)}).select("date", F.col("close").alias("oil")), "date")
-    row = arima.forecast_all(df, models=["sarimax"], steps=[7], kinds=("backtest",), exog=("oil",),
+        weekdays({"S": list(x)}).select("date", F.col("close").alias("oil price")), "date")
+    row = arima.forecast_all(df, models=["sarimax"], steps=[7], kinds=("backtest",), exog=("oil price",),
                              exog_mode="actual", params={},
                              defaults={"sarimax": (1, 1, 0, 0, 0, 0, 0)}).first()
     dy, dx = np.diff(y[:-5]), np.diff(x)

@@ -30,13 +30,6 @@ def utc_instant(ts) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, col_of(ts).cast("timestamp_ntz")))
 
 
-def roll_forward(day) -> Column:
-    """First weekday on or after ``day``."""
-    day = col_of(day)
-    wd = F.weekday(day)
-    return F.date_add(day, F.when(wd >= 5, 7 - wd).otherwise(0))
-
-
 def next_business_days(day, count) -> Column:
     """Array of the ``count`` weekdays strictly after ``day``."""
     day = col_of(day)

@@ -210,7 +210,7 @@ def _class_columns(panel: DataFrame, samples: list[Sample], shape: Shape) -> Dat
     kinds = sorted({(s.d, s.D, s.m) for s in samples})
 
     def differenced(name: str, kind) -> str:
-        terms = [f"({c}d * " + (f"lag({name}, {i}) {_OVER})" if i else f"{name})")
+        terms = [f"({c}d * " + (f"lag(`{name}`, {i}) {_OVER})" if i else f"`{name}`)")
                  for i, c in enumerate(difference_weights(*kind)) if c]
         return " + ".join(terms)
 
@@ -248,7 +248,8 @@ def design_rows(panel: DataFrame, samples: list[Sample], shape: Shape,
     if betas is not None:
         rows = rows.join(betas, "symbol")
         keep = ["first_beta"]
-    levels = f"cast(array({', '.join(shape.exog)}) as array<double>) as xs"
+    exog = ", ".join(f"`{c}`" for c in shape.exog)
+    levels = f"cast(array({exog}) as array<double>) as xs"
     return rows.selectExpr("symbol", "date", "rn", "n", "close", levels, *keep,
                            f"inline({structs})").selectExpr(
         "*", "rn <= n - holdout as train")

@@ -140,7 +140,8 @@ def ar_fits(spark, folder):
 
 
 # closed form: dy[T+k] = phi^k dy[T], so y[T+k] = y[T] + dy[T] (phi + ... + phi^k)
-part("ar_fit", """
+def _ar_parts(prefix: str) -> None:
+    part(f"{prefix}ar_fit", """
   SELECT symbol, h, kind, phi, last_price, last_diff, last_date FROM (
     SELECT f.symbol, h, kind, SUM(x * l) FILTER (rn <= n - held) / SUM(l * l) FILTER (rn <= n - held) AS phi,
       arg_max(close, rn) FILTER (rn <= n - held) AS last_price, arg_max(x, rn) FILTER (rn <= n - held) AS last_diff,
@@ -148,8 +149,8 @@ part("ar_fit", """
     FROM (SELECT symbol, date, close, rn, n, diff AS x, LAG(diff) OVER (PARTITION BY symbol ORDER BY date) AS l FROM rets) f,
       (SELECT h, kind, CASE WHEN kind = 'future' THEN 0 ELSE h END AS held
        FROM (SELECT UNNEST([5, 126, 252]) AS h), (SELECT UNNEST(['backtest', 'future']) AS kind)) t
-    GROUP BY 1, 2, 3)""", "rets")
-part("ar_points", """
+    GROUP BY 1, 2, 3)""".replace("rets", f"{prefix}rets"), f"{prefix}rets")
+    part(f"{prefix}ar_points", """
   SELECT symbol, CASE h WHEN 5 THEN 7 WHEN 126 THEN 180 ELSE 365 END AS steps, h, kind, k AS step, last_price,
     last_price + last_diff * phi * (1 - POWER(phi, k)) / (1 - phi) AS price, date
   FROM (SELECT a.*, k, date FROM ar_fit a JOIN (
@@ -161,7 +162,12 @@ part("ar_points", """
           SELECT symbol, CAST(UNNEST(generate_series(CAST(MAX(date) AS TIMESTAMP) + INTERVAL 1 DAY,
             CAST(MAX(date) AS TIMESTAMP) + INTERVAL 520 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM rets GROUP BY 1)
         WHERE isodow(d) < 6), (SELECT UNNEST([5, 126, 252]) AS h) WHERE k <= h) g
-    ON g.symbol = a.symbol AND g.kind = a.kind AND g.h = a.h)""", "ar_fit", "rets")
+    ON g.symbol = a.symbol AND g.kind = a.kind AND g.h = a.h)""".replace("rets", f"{prefix}rets").replace("ar_fit", f"{prefix}ar_fit"),
+         f"{prefix}ar_fit", f"{prefix}rets")
+
+
+_ar_parts("")
+_ar_parts("supplier_")
 
 
 @query("forecast_ar", sql("""SELECT symbol, CAST(steps AS INTEGER) AS steps, kind, CAST(step AS INTEGER) AS step,
@@ -171,6 +177,16 @@ def _(spark, folder):
         "symbol", "steps", "kind", "step", "date", r("price", 3))
 
 
+@query("forecast_ar_suppliers", sql("""SELECT symbol, CAST(steps AS INTEGER) AS steps, kind, CAST(step AS INTEGER) AS step,
+  date, ROUND(price, 2) AS price FROM supplier_ar_points""", "supplier_ar_points"))
+def _(spark, folder):
+    """The same model for one series per supplier."""
+    fits = arima.forecast_all(I.supplier_panel(spark, folder), models=["arima"],
+                              steps=[7, 180, 365], params={}, defaults=AR1)
+    return arima.forecast_points(fits).select(
+        "symbol", "steps", "kind", "step", "date", r("price", 2))
+
+
 @query("backtest_points", sql("""SELECT a.symbol, CAST(steps AS INTEGER) AS steps, CAST(step AS INTEGER) AS step, a.date,
   ROUND(price, 3) AS price, ROUND(close, 6) AS actual
   FROM ar_points a JOIN panel p ON p.symbol = a.symbol AND p.date = a.date WHERE kind = 'backtest'""", "ar_points", "panel"))

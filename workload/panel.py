@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.functions.dates import (is_weekday, next_business_days, period_start, roll_forward,
-                                       to_zone)
+from tidepanel.functions.dates import next_business_days, to_zone
 from tidepanel.functions import scalars as X
 from tidepanel.operators import calendar as cal, indicators as ind, market, rolling as roll
 from tidepanel.sources import readers
