@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import quality
+from tidepanel.llm import bpe, minhash, quality
 from tidepanel.llm.common import id_bucket, table
 
 QUERIES: dict = {}
@@ -17,6 +17,19 @@ def query(fn):
     return fn
 
 
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.tokenize(table(spark, sf_dir, "documents"), path, tokens=False)
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
