@@ -42,8 +42,8 @@ def _ranges(letters: set[str]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
-def _classes(pattern: str):
-    """(search for letters on which Unicode versions differ, word finder for texts that hold such letters).
+def unicode_classes(path: str) -> tuple[str, str]:
+    """(class of letters on which Unicode versions differ, word pattern for texts that hold such letters).
 
     The pattern module, Python and the tokenizers library follow different Unicode versions;
     the library's classes are the ones that count.
@@ -51,6 +51,8 @@ def _classes(pattern: str):
     import regex
     from tokenizers import Regex, normalizers, pre_tokenizers
 
+    with open(path, encoding="utf-8") as file:
+        pattern = _word_pattern(json.load(file))
     every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     text = "".join(every)
     lowered = normalizers.Lowercase().normalize_str("\n".join(every[11:])).split("\n")
@@ -63,16 +65,11 @@ def _classes(pattern: str):
         less, more = (f"[{_ranges(x)}]" if x else "[^\\U00000000-\\U0010ffff]" for x in (here - there, there - here))
         pattern = pattern.replace(rf"\p{{{name}}}", rf"[[\p{{{name}}}--{less}]||{more}]")
     newer |= {a for a in every if unicodedata.category(a) == "Cn"}
-    search = regex.compile(f"[{_ranges(newer)}]").search
+    return f"[{_ranges(newer)}]", pattern
 
-    def found(part: str) -> bool:
-        try:
-            part.encode("latin-1")
-        except UnicodeEncodeError:
-            return search(part) is not None
-        return False
 
-    return found, regex.compile(pattern, regex.V1).findall
+def _word_pattern(spec: dict) -> str:
+    return spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
 
 
 class WordBpe:
@@ -82,9 +79,10 @@ class WordBpe:
     order of the merges, behind NFC and lower-casing and a pattern that picks the words.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: tuple[str, str] | None = None):
         import ahocorasick
         import regex
+        from tokenizers import normalizers
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -140,11 +138,10 @@ class WordBpe:
                     self.shorter[number] = found
                     break
         self._fits: dict[tuple[int, int], bool] = {}
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._words = regex.compile(split).findall
-        self._newer, self._words_exact = _classes(split)
-        from tokenizers import normalizers
-
+        newer, exact = classes or unicode_classes(path)
+        self._words = regex.compile(_word_pattern(spec)).findall
+        self._words_exact = regex.compile(exact, regex.V1).findall
+        self._newer = regex.compile(newer).search
         self._normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._known: dict[str, bytes] = {}
@@ -225,7 +222,7 @@ class WordBpe:
             words = self._words
             if part.isascii():
                 part = part.lower()
-            elif self._newer(part):
+            elif not _latin(part) and self._newer(part):
                 part, words = self._normal(part), self._words_exact
             else:  # each letter is lowered by itself: no final form of sigma
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
@@ -238,13 +235,21 @@ class WordBpe:
         return b" ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _LOADED: dict[str, WordBpe] = {}
 
 
-def loaded(path: str) -> WordBpe:
+def loaded(path: str, classes: tuple[str, str] | None = None) -> WordBpe:
     """Tokenizer of this worker."""
     if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
+        _LOADED[path] = WordBpe(path, classes)
     return _LOADED[path]
 
 
@@ -261,8 +266,10 @@ def tokenize(docs: DataFrame, path: str, *, tokens: bool = True) -> DataFrame:
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (
         ", ids binary, decoded string" if tokens else "")
 
+    classes = unicode_classes(path)
+
     def run(batches):
-        bpe = loaded(path)
+        bpe = loaded(path, classes)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
