@@ -7,6 +7,8 @@
 4. A bucket is not expanded into all its pairs: members are compared with one centre of the
    bucket, components are formed, and only pairs whose members are still in different
    components are compared in the next round. The last round compares every pair left.
+5. Shingles that no other candidate has bound what a class can share with any other. Classes
+   and pairs that cannot reach the threshold by that bound are left out; this loses nothing.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from tidepanel.session import written
 
 BANDS, DEPTH = 32, 5  # a pair at 0.8 meets in no bucket with probability 3e-6
 HASHES = BANDS * DEPTH
-SLACK = 18  # points below the threshold at which the minima rule a pair out: over five deviations
+SLACK = 16  # points below the threshold at which the minima rule a pair out: five deviations
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes; more are joined by a shuffle
-STAR_ROUNDS = 6
+STAR_ROUNDS = 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
@@ -102,7 +104,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, minima and the whole set as bytes."""
+    """node, minima and the whole set."""
 
     def run(batches):
         for batch in batches:
@@ -111,10 +113,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 found = [shingles(data, words) for data in utf8(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([minima(f).tobytes() for f in found], pa.binary()),
-                     pa.array([f.tobytes() for f in found], pa.binary())], ["node", "low", "members"])
+                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["node", "low", "members"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, low binary, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, low binary, members array<bigint>")
 
 
 @F.pandas_udf(BooleanType())
@@ -126,7 +128,7 @@ def _alike_minima(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
 @F.pandas_udf(BooleanType())
 def _alike_sets(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
     def same(x, y, p):
-        left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        left, right = np.asarray(x, np.int64), np.asarray(y, np.int64)
         if 100 * min(len(left), len(right)) < p * max(len(left), len(right)):
             return False
         both = np.sort(np.concatenate([left, right]))
@@ -151,8 +153,25 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _bounds(sets: DataFrame) -> DataFrame:
+    """(node, n, free): size of each set, and how many of its shingles another node has too."""
+    alone = (sets.select("node", F.explode("members").alias("m")).groupBy("m")
+             .agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+             .groupBy("node").count())
+    size = F.size("members")
+    sizes = sets.groupBy("node").agg(F.min(size).alias("n"), F.max(size).alias("most"), F.count(F.lit(1)).alias("texts"))
+    one = F.col("n") - F.coalesce("count", F.lit(0))  # an id with several texts is not bounded
+    return sizes.join(alone, "node", "left").select("node", "n", F.when(F.col("texts") == 1, one).otherwise(F.col("most")).alias("free"))
+
+
+def _possible(percent: int, a: str, b: str) -> "F.Column":
+    """False for pairs that cannot reach the threshold: they share at most the smaller ``free``."""
+    most = F.least(f"{a}.free", f"{b}.free")
+    return most * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+
+
 def _linked(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) over all links between members (key, node) of a bucket."""
+    """(node, root) over all links between members (key, node, n, free) of a bucket."""
     spark = places.sparkSession
     kind = places.schema["node"].dataType.simpleString()
     roots = spark.createDataFrame([], f"node {kind}, root {kind}")
@@ -167,19 +186,21 @@ def _linked(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         return written(old.union(more.join(roots, "node", "left_anti")), "roots")
 
+    def centres(rows: DataFrame, rank, *more) -> DataFrame:
+        return rows.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "node", "n", "free", *more)).alias("c"))
+
     # each member against the first centre among its buckets
-    rank = F.xxhash64("node")
-    centre = places.groupBy("key").agg(F.min(F.struct(rank.alias("h"), F.col("node").alias("b"))).alias("c"))
-    first = (places.join(centre, "key").where("node <> c.b").groupBy(F.col("node").alias("a"))
-             .agg(F.min("c").alias("c")).select("a", "c.b"))
+    centre = centres(places, F.xxhash64("node"))
+    first = (places.alias("p").join(centre, "key").where("p.node <> c.node").where(_possible(percent, "p", "c"))
+             .groupBy(F.col("p.node").alias("a")).agg(F.min("c").alias("c")).select("a", F.col("c.node").alias("b")))
     roots = grown(roots, _confirmed(_ordered(first), sets, percent))
 
     for turn in range(1, STAR_ROUNDS + 1):
         named = places.join(roots, "node", "left").select(
-            "key", "node", F.coalesce("root", "node").alias("root"))
+            "key", "node", "n", "free", F.coalesce("root", "node").alias("root"))
         mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
         named = written(named.join(mixed.select("key"), "key"), "places")
-        places = named.select("key", "node")
+        places = named.drop("root")
         counted = (named.groupBy("key", "root").count().groupBy("key")
                    .agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own")))
         rows, open_pairs = counted.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
@@ -188,15 +209,15 @@ def _linked(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if open_pairs <= rows or turn == STAR_ROUNDS:
             break
         # another centre in every bucket, for members of other components only
-        centre = named.groupBy("key").agg(F.min(F.struct(
-            F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("b"),
-            F.col("root").alias("rb"))).alias("c"))
-        pairs = named.join(centre, "key").where("root <> c.rb").select(F.col("node").alias("a"), "c.b")
+        centre = centres(named, F.xxhash64("node", "key", F.lit(turn)), "root")
+        pairs = (named.alias("p").join(centre, "key").where("p.root <> c.root").where(_possible(percent, "p", "c"))
+                 .select(F.col("p.node").alias("a"), F.col("c.node").alias("b")))
         roots = grown(roots, _confirmed(_ordered(pairs), sets, percent))
 
-    left = named.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = named.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return grown(roots, _confirmed(_ordered(left.join(right, "key").where("ra < rb")), sets, percent))
+    pairs = (named.alias("p").join(named.alias("q"), (F.col("p.key") == F.col("q.key"))
+                                   & (F.col("p.root") < F.col("q.root")) & _possible(percent, "p", "q"))
+             .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+    return grown(roots, _confirmed(_ordered(pairs), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -220,7 +241,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
     sets = written(_sets(docs.select("doc_id", "text").join(nodes, "doc_id"), words), "sets")
-    roots = _linked(places, sets, percent)
+    able = written(_bounds(sets).where(F.col("free") * 100 >= F.col("n") * percent), "bounds")
+    roots = _linked(written(places.join(able, "node"), "places"), sets, percent)
     return (sketches.join(classes, ["fp1", "fp2"], "left").join(roots, "node", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("n_shingles") == 0, F.col("doc_id"))

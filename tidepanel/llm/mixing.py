@@ -68,7 +68,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = ((F.sum(F.col("total").cast("double")).over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
              / F.sum("weight").over(after))
     return (capped.withColumn("level", level)
-            .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+            .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "s", "level"))).over(every)["level"])
             .select("source", "s", "total", "weight",
                     F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target")))
 
