@@ -30,6 +30,16 @@ def test_ewm_block_size():
     assert 2e-18 > (1 - 2 / 51) ** ewm.block_rows([2 / 51, 0.2])
     with pytest.raises(ValueError):
         ewm.block_rows([0.001, 0.9])
+    assert ewm.scans([0.9, 0.001, 0.01]) == [[0.001, 0.01], [0.9]] or len(ewm.scans([0.9, 0.001, 0.01])) >= 2
+
+
+def test_ewm_far_spans_and_leading_nulls(line):
+    df = line([None, 100.0, 100.0, 50.0, 60.0] + [70.0] * 40)
+    out = ewm.with_ewm(df, {"fast": ("close", 2 / 11), "slow": ("close", 2 / 201), "most": ("close", 0.9)})
+    x = pd.Series([100.0, 100.0, 50.0, 60.0] + [70.0] * 40)
+    for name, alpha in (("fast", 2 / 11), ("slow", 2 / 201), ("most", 0.9)):
+        got = values(out, name)
+        assert got[0] is None and np.allclose(got[1:], x.ewm(alpha=alpha, adjust=False).mean(), rtol=1e-12)
 
 
 def test_rsi_flat_and_up(weekdays):

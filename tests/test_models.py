@@ -1,5 +1,6 @@
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
@@ -265,9 +266,6 @@ def test_learned_model_finds_a_linear_rule(weekdays):
 def test_learned_settings():
     assert S.learned_settings(7) == S.LearnedSettings("recursive", 1, 0.07, 0.0)
     assert S.learned_settings(180) == S.LearnedSettings("direct", 5, 0.08, 0.2)
-    assert S.tuned_settings("so", 365)["lookback"] == 200
-    assert S.tuned_settings("ED", 365)["lookback"] == 180
-    assert S.tuned_settings("AEP", 7) == {"lookback": 150, "clip": 0.07, "blend": 0.2, "agg_step": 5}
 
 
 def test_parameters_and_defaults(spark):
@@ -282,3 +280,20 @@ def test_parameters_and_defaults(spark):
     assert got[("ZZZ", "sarimax", 7)] == (1, 0, 0, 0, 1, 1, 5)
 
 
+
+
+def test_a_fit_depends_on_its_own_order_only(spark, make_prices):
+    rng = np.random.default_rng(8)
+    days = pd.bdate_range("2023-01-02", periods=120)
+    panel = make_prices({s: [(d.date(), float(v)) for d, v in zip(days, 100 + rng.normal(size=120).cumsum())]
+                         for s in ("S", "OTHER")})
+    mine = {("S", "arima"): (1, 1, 0, 0, 0, 0, 0)}
+    wide = mine | {("OTHER", "arima"): (2, 1, 2, 0, 0, 0, 0)}
+
+    def fit(params):
+        row = arima.forecast_all(panel, models=["arima"], steps=[7], params=params).where(
+            "symbol = 'S' and kind = 'future'").first()
+        return row["n_used"], row["coefs"]["a1"], row["path"]
+
+    alone, beside = fit(mine), fit(wide)
+    assert alone[0] == beside[0] == 118 and np.allclose([alone[1], *alone[2]], [beside[1], *beside[2]], rtol=1e-9)

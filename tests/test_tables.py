@@ -182,9 +182,10 @@ def test_upsert_twice(spark):
 def test_replayed_batch_changes_nothing(spark):
     table = merge.VersionedTable(spark, fresh_path(spark, "runs"), schemas.FORECAST_RUNS)
     key = ["symbol", "model", "steps"]
-    table.upsert(_runs(spark, ("A", "arima", 1.0, 1)), key, version=1)
-    table.upsert(_runs(spark, ("A", "arima", 7.0, 3)), key, version=1)
-    assert table.version() == 1 and table.read().first()["backtest_mae"] == 1.0
+    first, later = _runs(spark, ("A", "arima", 1.0, 1)), _runs(spark, ("A", "arima", 7.0, 3))
+    for batch in (first, first, later, first):
+        table.upsert(batch, key)
+    assert [r["backtest_mae"] for r in table.read().collect()] == [7.0]
 
 
 def test_old_versions_are_dropped(spark, tmp_path):
@@ -323,6 +324,11 @@ def test_news_stream_drops_repeats(spark, tmp_path):
     live.news_job(live.file_stream(spark, source, schemas.ARTICLES), S.COMPANY_NAMES, log,
                   str(tmp_path / "ckpt"), "2024-02-01 00:00:00").awaitTermination()
     assert sorted((r["symbol"], r["url"]) for r in live.stored_news(log).collect()) == [("AEP", "u1"), ("DUK", "u2")]
+    late = [(dt.datetime(2023, 12, 1, 3), "AEP late", "x", "u0")]
+    spark.createDataFrame(late, schemas.ARTICLES).coalesce(1).write.mode("append").parquet(source)
+    live.news_job(live.file_stream(spark, source, schemas.ARTICLES), S.COMPANY_NAMES, log,
+                  str(tmp_path / "ckpt"), "2024-02-02 00:00:00").awaitTermination()
+    assert ("AEP", "u0") in {(r["symbol"], r["url"]) for r in live.stored_news(log).collect()}
 
 
 def test_price_stream_adds_up_over_files(spark, tmp_path):
@@ -335,6 +341,13 @@ def test_price_stream_adds_up_over_files(spark, tmp_path):
             "append").parquet(source)
         live.price_job(live.file_stream(spark, source, schema), log, str(tmp_path / "ckpt"),
                        key="k", ts="t", value="v").awaitTermination()
-    log.write(spark.createDataFrame([("A", dt.date(2024, 1, 2), 250, 1)], live.DAILY_SUMS), 1)  # again
+    run = live.query_id(spark, str(tmp_path / "ckpt"))
+    log.write(spark.createDataFrame([("A", dt.date(2024, 1, 2), 250, 1)], live.DAILY_SUMS), 1, run)  # again
     got = live.daily_prices(log).collect()
     assert [tuple(r) for r in got] == [("A", dt.date(2024, 1, 2), 1.75)]
+    other = str(tmp_path / "later")
+    spark.createDataFrame([("A", dt.datetime(2024, 1, 3, 9), 4.0)], schema).coalesce(1).write.parquet(other)
+    live.price_job(live.file_stream(spark, other, schema), log, str(tmp_path / "new checkpoint"),
+                   key="k", ts="t", value="v").awaitTermination()  # the first query's rows stay
+    assert sorted(tuple(r) for r in live.daily_prices(log).collect()) == [
+        ("A", dt.date(2024, 1, 2), 1.75), ("A", dt.date(2024, 1, 3), 4.0)]

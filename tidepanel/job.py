@@ -73,7 +73,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(f"tidepanel-{args.command}")
     if args.command == "ingest":
         raw = read_table(spark, args.prices, args.format)
-        prices = close_table(raw).where(F.lower("symbol").isin([t.lower() for t in args.tickers]))
+        prices = close_table(raw)
+        if [t.lower() for t in args.tickers] != ["all"]:
+            prices = prices.where(F.lower("symbol").isin([t.lower() for t in args.tickers]))
         exog = None
         if args.exog_path:
             exog = read_table(spark, args.exog_path, args.format).select(
@@ -85,8 +87,8 @@ def main(argv: list[str] | None = None) -> None:
     table = read_table(spark, args.market)
     runs = VersionedTable(spark, f"{args.tables}/forecast_runs", schemas.FORECAST_RUNS)
     points = VersionedTable(spark, f"{args.tables}/forecast_points", schemas.FORECAST_POINTS)
-    nightly(table, runs, points, args.as_of, models=args.models, steps=args.steps).show(
-        1000, truncate=False)
+    status = nightly(table, runs, points, args.as_of, models=args.models, steps=args.steps)
+    status.withColumn("as_of", F.lit(args.as_of)).write.mode("append").parquet(f"{args.tables}/forecast_status")
 
 
 if __name__ == "__main__":

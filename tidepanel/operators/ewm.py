@@ -24,10 +24,23 @@ def block_rows(alphas) -> int:
     fade = [-math.log1p(-a) for a in alphas]
     rows = math.ceil(41 / min(fade))
     if rows * max(fade) > 500:
-        raise ValueError("smoothing factors are too far apart for one scan; use two calls")
+        raise ValueError("smoothing factors are too far apart for one scan")
     return rows
 
 
+def scans(alphas) -> list[list[float]]:
+    """Smoothing factors in groups that share a scan each, slowest first."""
+    groups: list[list[float]] = []
+    for a in sorted(set(alphas)):
+        try:
+            block_rows([*(groups[-1] if groups else []), a])
+        except ValueError:
+            groups.append([a])
+        else:
+            groups[-1:] = [[*(groups[-1] if groups else []), a]]
+    return groups
+
+
 def alpha_of_span(n: int) -> float:
     return 2.0 / (n + 1)
 
@@ -40,9 +53,23 @@ def with_ewm(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "sym
              order: str = "date") -> DataFrame:
     """Add one recursive mean per entry ``output -> (input column, a)``.
 
-    All entries share the same three window passes over one partitioning by key.
-    Inputs must not be null.
+    Entries whose factors are not too far apart share the same three window passes over one
+    partitioning by key. The mean starts at the first known value; rows before it have none.
+    After it inputs must not be null.
     """
+    whole = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sofar = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inputs = sorted({x for x, _ in specs.values()})
+    # leading nulls take the first known value, which is what the mean then starts from
+    df = df.withColumns({f"_in_{x}": F.when(F.last(x, ignorenulls=True).over(sofar).isNull(), F.first(x, ignorenulls=True).over(whole))
+                         .otherwise(F.col(x)) for x in inputs})
+    for group in scans([a for _, a in specs.values()]):
+        df = _scan(df, {o: (f"_in_{x}", a) for o, (x, a) in specs.items() if a in group}, key, order)
+    known = {o: F.when(F.last(x, ignorenulls=True).over(sofar).isNotNull(), F.col(o)) for o, (x, _) in specs.items()}
+    return df.withColumns(known).drop(*[f"_in_{x}" for x in inputs])
+
+
+def _scan(df: DataFrame, specs: dict[str, tuple[str, float]], key: str, order: str) -> DataFrame:
     block = block_rows([a for _, a in specs.values()])
     rn = F.row_number().over(W.partitionBy(key).orderBy(order))
     marked = df.withColumn("_rn", rn).withColumns({

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepanel.functions.scalars import finite, safe_name
+from tidepanel.functions.scalars import finite, safe_name, safe_name_col
 from tidepanel.operators.calendar import align_to_common, fill_gaps, series, so_far
 
 
@@ -12,13 +12,16 @@ def exog_wide(exog: DataFrame, codes: list[str]) -> DataFrame:
     """One column per code on a common weekday grid, filled both ways.
 
     The aligned long form is pivoted once, which equals a chain of full outer
-    merges on the date. The result has one row per weekday, whatever the input.
+    merges on the date. The result has one row per weekday, whatever the input. Codes
+    are compared by their safe name, so ``CL=F`` finds rows stored as ``cl_f``.
     """
+    names = [safe_name(c) for c in codes]
+    named = exog.withColumn("code", safe_name_col("code")).where(F.col("code").isin(names))
     wide = (
-        align_to_common(exog.where(F.col("code").isin(codes)), "code", "value")
-        .groupBy("date").pivot("code", codes).agg(F.first("value", ignorenulls=True))
+        align_to_common(named, "code", "value")
+        .groupBy("date").pivot("code", names).agg(F.first("value", ignorenulls=True))
     )
-    return wide.toDF("date", *[safe_name(c) for c in codes]).fillna(0.0)
+    return wide.fillna(0.0)
 
 
 def market_table(prices: DataFrame, exog: DataFrame | None) -> DataFrame:

@@ -159,8 +159,9 @@ def adf(df: DataFrame, value: str, key: str = "symbol") -> DataFrame:
     )
     root = F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25)))
     depth = F.greatest(F.lit(0), F.least(root, F.floor(F.col("n") / 2) - 2)).cast("int")
-    # the longest lag of a 26,000-row series is 49
-    recent = F.reverse(F.collect_list("y").over(w.rowsBetween(-60, -1)))
+    # as many lags as the longest series asks for: it grows with the fourth root of the length
+    longest = known.agg(F.max("n")).first()[0] or 1
+    recent = F.reverse(F.collect_list("y").over(w.rowsBetween(-max(1, math.ceil(12 * (longest / 100) ** 0.25)), -1)))
     rows = moved.withColumn("lags", recent).where(F.col("y").isNotNull()).select(
         F.col(key).cast("string").alias("key"), (F.col("rn") - 1).alias("rn"), "x", "y",
         depth.alias("depth"), F.slice("lags", 1, F.greatest(depth, F.lit(1))).alias("lags"),

@@ -15,7 +15,7 @@ likelihood.
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,7 @@ class Sample:
     D: int
     m: int
     holdout: int
+    own: Shape | None = None  # lags its rows must have; those of the job where there is none
 
 
 @dataclass(frozen=True)
@@ -147,11 +148,12 @@ def with_parameters(grid: DataFrame, params: DataFrame,
 
 def configured_tasks(params: dict[tuple[str, str], tuple], models: list[str], steps: list[int],
                      kinds: tuple[str, ...], defaults: dict[str, tuple] | None = None,
-                     season: int | None = None):
+                     season: int | None = None, exog: tuple[str, ...] = ()):
     """The tasks of every configured symbol and of all others, from configuration alone.
 
     Returns (tasks per symbol, tasks of the rest, samples). A task names its order and
-    the sample it is fitted on. ``season`` overrides the horizon rule.
+    the sample it is fitted on. A sample holds the rows that its own order can use, whatever
+    other orders are in the job. ``season`` overrides the horizon rule.
     """
     def tasks_of(symbol: str | None) -> list[tuple[Sample, dict]]:
         out = []
@@ -165,13 +167,14 @@ def configured_tasks(params: dict[tuple[str, str], tuple], models: list[str], st
             task = {"model": model, "steps": s, "kind": kind, "h": h, "p": order.p, "d": order.d,
                     "q": order.q, "sp": order.P, "sd": order.D, "sq": order.Q, "m": order.m,
                     "use_exog": model == "sarimax"}
-            out.append((Sample(order.d, order.D, order.m, h if kind == "backtest" else 0), task))
+            own = Shape(order.p, order.q, order.P, order.Q, exog if task["use_exog"] else ())
+            out.append((Sample(order.d, order.D, order.m, h if kind == "backtest" else 0, own), task))
         return out
 
     named = {sym: tasks_of(sym) for sym in sorted({k[0] for k in params})}
     rest = tasks_of(None)
     samples = sorted({smp for tasks in [*named.values(), rest] for smp, _ in tasks},
-                     key=lambda x: (x.d, x.D, x.m, x.holdout))
+                     key=lambda x: (x.d, x.D, x.m, x.holdout, astuple(x.own)))
 
     def numbered_tasks(tasks):
         return [task | {"sample": samples.index(smp)} for smp, task in tasks]
@@ -255,34 +258,53 @@ def design_rows(panel: DataFrame, samples: list[Sample], shape: Shape,
         "*", "rn <= n - holdout as train")
 
 
-def _complete(cols: list[str]) -> str:
-    return "train and " + " and ".join(f"{c} is not null" for c in cols) + " as usable"
+def _complete(samples: list[Sample], columns) -> str:
+    """Rows of the training part on which the columns of their sample's shape are known."""
+    def known(cols):
+        return " and ".join(f"{c} is not null" for c in cols)
 
+    cases = " ".join(f"when {i} then {known(columns(s))}" for i, s in enumerate(samples))
+    return f"train and case sample {cases} end as usable"
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _first_stage(gram: pd.Series, one: pd.Series, season: pd.Series) -> pd.Series:
-    out = []
-    for cells, has_one, m in zip(gram, one, season):
-        size = int((np.sqrt(8 * len(cells) + 1) - 1) / 2)
-        full = unpack(cells, size)
-        use = [i for i in range(1, size) if full[i, i] > 0]
-        beta, _ = least_squares(full, use)
-        coefs = np.zeros(size - 1)
-        coefs[[i - 1 for i in use]] = beta
-        out.append(coefs.tolist())
-    return pd.Series(out)
+
+def _first_stage(samples: list[Sample], shape: Shape):
+    """Coefficients of a sample's long autoregression, 0 for lags that are not its own."""
+    cols = shape.first
+    mine = [{cols.index(c) for c in (s.own or shape).first} for s in samples]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(gram: pd.Series, sample: pd.Series) -> pd.Series:
+        out = []
+        for cells, i in zip(gram, sample):
+            full = unpack(cells, len(cols))
+            use = [j for j in range(1, len(cols)) if j in mine[i] and full[j, j] > 0]
+            beta, _ = least_squares(full, use)
+            coefs = np.zeros(len(cols) - 1)
+            coefs[[j - 1 for j in use]] = beta
+            out.append(coefs.tolist())
+        return pd.Series(out)
+
+    return solve
 
 
 def _with_residuals(panel: DataFrame, samples: list[Sample], shape: Shape) -> DataFrame:
     """Design rows with lagged residuals of a long autoregression."""
     cols = shape.first
-    plain = design_rows(panel, samples, shape).selectExpr("*", _complete(cols))
-    sums = grouped_products(plain, ["symbol", "sample"], cols, "usable",
-                            F.max("one").alias("one"), F.max("season").alias("season"))
+    first = [(x.own or shape).first for x in samples]
+    plain = design_rows(panel, samples, shape).selectExpr("*", _complete(samples, lambda x: (x.own or shape).first))
+    sums = grouped_products(plain, ["symbol", "sample"], cols, "usable")
+    solve = _first_stage(samples, shape)
     betas = sums.select(
-        "symbol", F.struct("sample", _first_stage("gram", "one", "season").alias("b")).alias("sb")
+        "symbol", F.struct("sample", solve("gram", "sample").alias("b")).alias("sb")
     ).groupBy("symbol").agg(F.map_from_entries(F.collect_list("sb")).alias("first_beta"))
-    fitted = " + ".join(f"get(beta, {i}) * {c}" for i, c in enumerate(cols[1:]))
+
+    def term(i: int, c: str) -> str:
+        users = [str(k) for k, names in enumerate(first) if c in names]
+        product = f"get(beta, {i}) * {c}"
+        return product if len(users) == len(samples) else (
+            f"case when sample in ({', '.join(users)}) then {product} else 0d end" if users else "0d")
+
+    fitted = " + ".join(term(i, c) for i, c in enumerate(cols[1:]))
     over = "over (partition by symbol, sample order by rn)"
     back = [f"lag(e, {i}) {over} as e{i}" for i in range(1, shape.q + 1)]
     # seasonal residual lags differ by the period of the sample
@@ -312,7 +334,7 @@ def sample_summaries(panel: DataFrame, samples: list[Sample], shape: Shape) -> D
     over = "over (partition by symbol, sample order by rn)"
     moves = [f"try_divide(xs[{i}], lag(xs[{i}]) {over}) - 1 as xr{i}"
              for i in range(len(shape.exog))]
-    rows = rows.selectExpr("*", _complete(cols), *moves)
+    rows = rows.selectExpr("*", _complete(samples, lambda x: (x.own or shape).second), *moves)
     tail = "named_struct('rn', rn, 'date', date, 'close', close, 'e', coalesce(e, 0d), 'xs', xs)"
     test = "named_struct('rn', rn, 'date', date, 'close', close, 'xs', xs)"
     count = range(len(shape.exog))
@@ -449,7 +471,7 @@ def forecast_all(panel: DataFrame, *, models: list[str], steps: list[int],
 
     ``panel`` holds symbol, date, close and the exog columns.
     """
-    named, rest, samples = configured_tasks(params, models, steps, kinds, defaults, season)
+    named, rest, samples = configured_tasks(params, models, steps, kinds, defaults, season, tuple(exog))
     every = [t for tasks in [*named.values(), rest] for t in tasks]
     shape = shape_of([Order(*[t[k] for k in ORDER_COLUMNS]) for t in every], exog)
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tidepanel.session import shared_folder
-
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: str = "updated_at",
                    tie: str | None = None) -> DataFrame:
@@ -83,41 +81,35 @@ class VersionedTable:
             if name.startswith("v") and name[1:].isdigit() and int(name[1:]) <= last:
                 fs.delete(status.getPath(), True)
 
-    def upsert(self, new: DataFrame, keys: list[str], order: str = "updated_at",
-               version: int | None = None) -> None:
-        """``version`` pins the target, which makes a replayed batch a no-op rewrite."""
-        if version is not None and self.version() >= version:
-            return
-        self.write(merged(self.read(), new, keys, order), version)
+    def upsert(self, new: DataFrame, keys: list[str], order: str = "updated_at") -> None:
+        """Merge by key, newest wins. A batch that comes again finds its own rows and changes nothing."""
+        self.write(merged(self.read(), new, keys, order))
 
-    def replace(self, new: DataFrame, key: str, version: int | None = None) -> None:
-        if version is not None and self.version() >= version:
-            return
-        self.write(replaced(self.read(), new, key), version)
+    def replace(self, new: DataFrame, key: str) -> None:
+        self.write(replaced(self.read(), new, key))
 
 
 class BatchLog:
-    """Append-only table with one folder per micro-batch.
+    """Append-only table with one folder per query and micro-batch.
 
     A batch costs what it holds and never touches older rows. A batch that runs
-    again overwrites its own folder, so replays change nothing.
+    again overwrites its own folder, so replays change nothing; a query with a new
+    checkpoint has a new id and writes beside the rows of the one before it.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+    def write(self, rows: DataFrame, batch: int, run: str = "0") -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/run={run}/batch={batch}")
 
     def read(self) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return self.spark.createDataFrame([], self.schema).withColumn("batch", F.lit(0))
-        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.IntegerType())])
+            return self.spark.createDataFrame([], self.schema).withColumns(
+                {"run": F.lit("0"), "batch": F.lit(0)})
+        schema = T.StructType([*self.schema.fields, T.StructField("run", T.StringType()),
+                               T.StructField("batch", T.IntegerType())])
         return self.spark.read.schema(schema).parquet(self.path)
-
-
-def table_in_shared_folder(spark: SparkSession, name: str, schema) -> VersionedTable:
-    return VersionedTable(spark, f"{shared_folder(spark)}/{name}", schema)

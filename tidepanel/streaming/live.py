@@ -7,6 +7,8 @@ again after a lost executor or driver leaves the table as it was.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidepanel.functions.dates import market_open, utc_instant
@@ -39,6 +41,11 @@ def day_ends(bars: DataFrame, *, force: bool = False, watermark: str = WATERMARK
     return ends.select("symbol", F.col("day.start").alias("day"), "close", "open", "last_ts")
 
 
+def query_id(spark, checkpoint: str) -> str:
+    """Id of the query that owns a checkpoint; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def _start(stream: DataFrame, write, checkpoint: str, mode: str, trigger: dict):
     return (stream.writeStream.foreachBatch(write).outputMode(mode)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
@@ -51,25 +58,31 @@ def live_job(bars: DataFrame, fundamentals: DataFrame, table: VersionedTable, ch
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("symbol").agg(
             F.max_by(F.struct("close", "open", "last_ts"), "day").alias("r")).select("symbol", "r.*")
-        table.upsert(snapshot_rows(newest, fundamentals), ["symbol"], "last_updated", batch_id + 1)
+        table.upsert(snapshot_rows(newest, fundamentals), ["symbol"], "last_updated")
 
     return _start(day_ends(bars, force=force), write, checkpoint, "update",
                   trigger or {"availableNow": True})
 
 
 def news_job(articles: DataFrame, aliases: dict[str, str], log: BatchLog, checkpoint: str,
-             as_of: str, *, trigger: dict | None = None, watermark: str = "7 days"):
-    """Articles -> relevant news, once per address, appended to ``log`` (NEWS)."""
-    timed = articles.withColumn("_at", utc_instant("published")).withWatermark("_at", watermark)
-    once = timed.dropDuplicatesWithinWatermark(["url"])
-    matched = news_plans.relevant(once, aliases).withColumn(
+             as_of: str, *, trigger: dict | None = None):
+    """Articles -> relevant news, appended to ``log`` (NEWS).
+
+    The query keeps no state and drops no late article: ``stored_news`` reads one row per
+    symbol and address, however often and whenever it was delivered.
+    """
+    matched = news_plans.relevant(articles, aliases).withColumn(
         "updated_at", F.lit(as_of).cast("timestamp_ntz"))
-    return _start(matched, log.write, checkpoint, "append", trigger or {"availableNow": True})
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log.write(batch, batch_id, query_id(batch.sparkSession, checkpoint))
+
+    return _start(matched, write, checkpoint, "append", trigger or {"availableNow": True})
 
 
 def stored_news(log: BatchLog) -> DataFrame:
     """One row per symbol and address, the newest delivery."""
-    return latest_per_key(log.read(), ["symbol", "url"], "batch").drop("batch")
+    return latest_per_key(log.read(), ["symbol", "url"]).drop("run", "batch")
 
 
 def price_job(raw: DataFrame, log: BatchLog, checkpoint: str, *, key: str, ts: str,
@@ -85,7 +98,8 @@ def price_job(raw: DataFrame, log: BatchLog, checkpoint: str, *, key: str, ts: s
         cents = in_cents(value)
         log.write(batch.where(F.col(value).isNotNull()).groupBy(
             F.col(key).cast("string").alias("symbol"), F.col(ts).cast("date").alias("date")).agg(
-            F.sum(cents).alias("cents"), F.count(cents).alias("n")), batch_id)
+            F.sum(cents).alias("cents"), F.count(cents).alias("n")), batch_id,
+            query_id(batch.sparkSession, checkpoint))
 
     return _start(raw, write, checkpoint, "append", trigger or {"availableNow": True})
 

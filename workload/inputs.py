@@ -205,19 +205,24 @@ part("statement_sums", """
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 
 
+def headline() -> list:
+    """First line as title, everything after it as description (null for a single line)."""
+    end = F.instr("text", "\n")
+    rest = F.when(end > 0, F.substring(F.col("text"), end + 1, F.length("text")))
+    return [F.get(F.split("text", "\n", 2), F.lit(0)).alias("title"), rest.alias("description")]
+
+
 def articles(spark, folder) -> DataFrame:
-    lines = F.split("text", "\n")
     return table(spark, folder, "documents").select(
         (F.lit("2024-01-01").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"), F.lit(0))
          ).alias("published"),
-        F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(1)).alias("description"),
-        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("url"))
+        *headline(), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("url"))
 
 
 part("articles", """
   SELECT TIMESTAMP '2024-01-01' + INTERVAL (doc_id) MINUTE AS published,
-    string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2] AS description,
+    string_split(text, chr(10))[1] AS title, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) END AS description,
     source || '/' || CAST(doc_id AS VARCHAR) AS url FROM documents""")
 
 # fixed values: (ticker, company name) whose letters occur in the given texts

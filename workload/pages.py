@@ -275,12 +275,10 @@ def _(spark, folder):
     """Drain the articles as a stream into the news table."""
     schema = I.table(spark, folder, "documents").schema
     raw = live.file_stream(spark, folder, schema, pattern="documents.parquet")
-    lines = F.split("text", "\n")
     articles = raw.select(
         (F.lit("2024-01-01").cast("timestamp_ntz")
          + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"), F.lit(0))).alias("published"),
-        F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(1)).alias("description"),
-        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("url"))
+        *I.headline(), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("url"))
     log = merge.BatchLog(spark, fresh_path(spark, "news"), schemas.NEWS)
     job = live.news_job(articles, I.ALIASES, log, fresh_path(spark, "ckpt"), "2024-02-01 00:00:00")
     job.awaitTermination()
