@@ -32,9 +32,9 @@ from tidepanel.session import written
 LENGTH = 200
 GRAM = 48
 CHUNK = 1 << 19  # window starts of a text looked at together; their numbers take 20 bits
-BATCH_BYTES = 128_000
-SHARD_BYTES = 1_000_000
-HOT_BYTES = 1_000_000
+BATCH_BYTES = 64_000
+SHARD_BYTES = 400_000  # a level holds its strings twice while it is merged: 200 bytes for each window
+HOT_BYTES = 200_000
 BROADCAST_BYTES = 48_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -298,7 +298,8 @@ def spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(k, n, spans) of every document that loses bytes, for documents with the keys of ``_keys``."""
     every = written(_runs_of(docs, length), "runs")
     seen = every.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    seen = seen.where("times > 1").select("g", (F.col("lo") == F.col("hi")).alias("alike"))
+    # a table of its own, so that the join below can split a hash with very many runs
+    seen = written(seen.where("times > 1").select("g", (F.col("lo") == F.col("hi")).alias("alike")), "seen")
     shared = written(every.join(seen, "g"), "shared")
     mixed = shared.where("not alike")
     one = mixed.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n", "p", "w")).alias("x"))
