@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, chat, embeddings, hnsw, license, minhash, mixing, quality, suffix, warc
+from tidepanel.llm import bpe, chat, embeddings, hnsw, license, minhash, mixing, oracles, quality, suffix, warc
 from tidepanel.llm.common import id_bucket, table
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
+ORACLES["op5_license"] = oracles.license_sql(license.PHRASES, license.TEMPLATES, license.SHARE, license.WINDOW, license.STEP)
 
 
 def query(fn):
