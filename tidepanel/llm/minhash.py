@@ -6,7 +6,8 @@
 3. Pairs within a bucket are first compared by their minima, then by their full sets.
 4. A bucket is not expanded into all its pairs: members are compared with one centre of the
    bucket, components are formed, and only pairs whose members are still in different
-   components are compared in the next round. The last round compares every pair left.
+   components are compared in the next round. The last round compares every pair left, block by
+   block inside tasks, and returns no pairs but one link for two components.
 5. Shingles that no other candidate has bound what a class can share with any other. Classes
    and pairs that cannot reach the threshold by that bound are left out; this loses nothing.
 """
@@ -28,7 +29,8 @@ BANDS, DEPTH = 32, 5  # a pair at 0.8 meets in no bucket with probability 3e-6
 HASHES = BANDS * DEPTH
 SLACK = 16  # points below the threshold at which the minima rule a pair out: five deviations
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes; more are joined by a shuffle
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+BLOCK = 128  # members of a bucket compared with as many others at a time
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
@@ -195,29 +197,90 @@ def _linked(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
              .groupBy(F.col("p.node").alias("a")).agg(F.min("c").alias("c")).select("a", F.col("c.node").alias("b")))
     roots = grown(roots, _confirmed(_ordered(first), sets, percent))
 
-    for turn in range(1, STAR_ROUNDS + 1):
+    def still_mixed(places: DataFrame) -> DataFrame:
         named = places.join(roots, "node", "left").select(
             "key", "node", "n", "free", F.coalesce("root", "node").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        named = written(named.join(mixed.select("key"), "key"), "places")
-        places = named.drop("root")
-        counted = (named.groupBy("key", "root").count().groupBy("key")
-                   .agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own")))
-        rows, open_pairs = counted.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-        if not rows:
-            return roots
-        if open_pairs <= rows or turn == STAR_ROUNDS:
-            break
-        # another centre in every bucket, for members of other components only
+        mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                         F.count(F.lit(1)).alias("held")).where("lo < hi")
+        return written(named.join(mixed.select("key", "held"), "key"), "places")
+
+    # every member against a centre of each of its buckets, if that is in another component
+    for turn in range(1, STAR_ROUNDS + 1):
+        named = still_mixed(places)
         centre = centres(named, F.xxhash64("node", "key", F.lit(turn)), "root")
         pairs = (named.alias("p").join(centre, "key").where("p.root <> c.root").where(_possible(percent, "p", "c"))
                  .select(F.col("p.node").alias("a"), F.col("c.node").alias("b")))
         roots = grown(roots, _confirmed(_ordered(pairs), sets, percent))
+        # of two members the one pair is decided now
+        places = named.where("held > 2").select("key", "node", "n", "free")
+    return grown(roots, _tiled(still_mixed(places), sets, percent))
+
 
-    pairs = (named.alias("p").join(named.alias("q"), (F.col("p.key") == F.col("q.key"))
-                                   & (F.col("p.root") < F.col("q.root")) & _possible(percent, "p", "q"))
-             .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
-    return grown(roots, _confirmed(_ordered(pairs), sets, percent))
+def _tiled(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within the buckets of ``named``: every pair, compared inside tasks.
+
+    The members of a bucket are dealt to blocks of about BLOCK; a task compares two blocks at a
+    time and returns one link for each pair of components it finds linked.
+    """
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
+    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                        lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    tiles = (named.withColumn("blocks", blocks).withColumn("own", own)
+             .select("key", "node", "root", "own", F.inline(sides)).join(sets, "node")
+             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+             .select("key", "i", "j", "own", "root", "low", "members"))
+    kind = named.schema["root"].dataType.simpleString()
+
+    def compare(batches):
+        tile, rows = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in range(7))):
+                here = tuple(x.as_py() for x in row[:3])
+                if here != tile:
+                    yield from found(tile, rows)
+                    tile, rows = here, []
+                rows.append((row[3].as_py(), row[4].as_py(), np.frombuffer(row[5].as_buffer(), np.uint32),
+                             row[6].values.to_numpy()))
+        yield from found(tile, rows)
+
+    def found(tile, rows):
+        if tile is None or len({r[1] for r in rows}) < 2:
+            return
+        left = [r for r in rows if r[0] == tile[1]]
+        right = left if tile[1] == tile[2] else [r for r in rows if r[0] == tile[2]]
+        pairs = _linked_roots(left, right, percent)
+        if pairs:
+            a, b = zip(*sorted(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(a, out), pa.array(b, out)], ["a", "b"])
+
+    out = pa.int32() if kind == "int" else pa.int64()
+    return written(tiles.mapInArrow(compare, f"a {kind}, b {kind}").distinct(), "links")
+
+
+def _linked_roots(left: list, right: list, percent: int) -> set[tuple]:
+    """Pairs of roots with a link between members (block, root, minima, set) of ``left`` and ``right``."""
+    if not left or not right:
+        return set()
+    low_a, low_b = np.stack([r[2] for r in left]), np.stack([r[2] for r in right])
+    near = np.stack([(low_b == row).sum(axis=1) for row in low_a]) * 100 >= (percent - SLACK) * HASHES
+    near &= np.array([[x[1] != y[1] for y in right] for x in left])
+    use_a, use_b = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
+    if not len(use_a):
+        return set()
+    members = [left[i] for i in use_a] + [right[j] for j in use_b]
+    sizes = np.array([len(r[3]) for r in members])
+    names, token = np.unique(np.concatenate([r[3] for r in members]), return_inverse=True)
+    owner = np.repeat(np.arange(len(members)), sizes)
+    shared = np.zeros((len(use_a), len(use_b)), np.float32)
+    for start in range(0, len(names), 4096):  # counts are below 2**24, where such sums are exact
+        part = (token >= start) & (token < start + 4096)
+        held = np.zeros((len(members), 4096), np.float32)
+        held[owner[part], token[part] - start] = 1
+        shared += held[:len(use_a)] @ held[len(use_a):].T
+    total = sizes[:len(use_a), None] + sizes[None, len(use_a):]
+    linked = (100 * shared >= percent * (total - shared)) & near[np.ix_(use_a, use_b)]
+    return {tuple(sorted((left[use_a[i]][1], right[use_b[j]][1]))) for i, j in zip(*np.nonzero(linked))}
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
