@@ -11,6 +11,7 @@ Decoding looks up token texts in one byte string by an offset table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import unicodedata
@@ -31,17 +32,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _ranges(letters: set[str]) -> str:
-    """Body of a character class."""
-    out, codes = [], sorted(map(ord, letters))
-    for code in codes:
-        if out and out[-1][1] == code - 1:
-            out[-1][1] = code
-        else:
-            out.append([code, code])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+def _ranges(marked: np.ndarray) -> str:
+    """Body of a character class from one flag per code point."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+@functools.lru_cache
 def unicode_classes(path: str) -> tuple[str, str]:
     """(class of letters on which Unicode versions differ, word pattern for texts that hold such letters).
 
@@ -53,18 +50,30 @@ def unicode_classes(path: str) -> tuple[str, str]:
 
     with open(path, encoding="utf-8") as file:
         pattern = _word_pattern(json.load(file))
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-    lowered = normalizers.Lowercase().normalize_str("\n".join(every[11:])).split("\n")
-    newer = {a for a, b in zip(every[11:], lowered) if a.lower() != b}
-    for name in ("L", "N"):
-        here = set(regex.findall(rf"\p{{{name}}}", text))
-        split = pre_tokenizers.Split(Regex(rf"[\p{{{name}}}]"), "removed", invert=True)
-        there = {a for a, _ in split.pre_tokenize_str(text)}
-        newer |= here ^ there
-        less, more = (f"[{_ranges(x)}]" if x else "[^\\U00000000-\\U0010ffff]" for x in (here - there, there - here))
-        pattern = pattern.replace(rf"\p{{{name}}}", rf"[[\p{{{name}}}--{less}]||{more}]")
-    newer |= {a for a in every if unicodedata.category(a) == "Cn"}
+    lower = normalizers.Lowercase().normalize_str
+    splits = {name: (regex.compile(rf"\p{{{name}}}").findall,
+                     pre_tokenizers.Split(Regex(rf"[\p{{{name}}}]"), "removed", invert=True).pre_tokenize_str)
+              for name in ("L", "N")}
+    newer = np.zeros(0x110000, bool)
+    less = {name: newer.copy() for name in splits}
+    more = {name: newer.copy() for name in splits}
+
+    def mark(flags, letters):
+        flags[[ord(a) for a in letters]] = True
+
+    for base in range(0x80, 0x110000, 0x1000):  # in parts: this runs in the driver
+        part = [chr(c) for c in range(base, min(base + 0x1000, 0x110000)) if not 0xD800 <= c < 0xE000]
+        text = "".join(part)
+        mark(newer, [a for a, b in zip(part, lower("\n".join(part)).split("\n")) if a.lower() != b])
+        mark(newer, [a for a in part if unicodedata.category(a) == "Cn"])
+        for name, (here, there) in splits.items():
+            ours, theirs = set(here(text)), {a for a, _ in there(text)}
+            mark(less[name], ours - theirs)
+            mark(more[name], theirs - ours)
+    for name in splits:
+        newer |= less[name] | more[name]
+        without, also = (f"[{_ranges(x)}]" if x.any() else "[^\\U00000000-\\U0010ffff]" for x in (less[name], more[name]))
+        pattern = pattern.replace(rf"\p{{{name}}}", rf"[[\p{{{name}}}--{without}]||{also}]")
     return f"[{_ranges(newer)}]", pattern
 
 
