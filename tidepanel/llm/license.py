@@ -21,6 +21,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.session import written
+
 # fixed values: what counts as a word, and the phrases of the base labels
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {
@@ -75,15 +77,14 @@ def _strings(values) -> Column:
 
 def _order(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Rank of every template word, rarest in the corpus first. At most len(vocabulary) rows are collected."""
-    counted = (rows.select(F.explode(F.array_intersect("words", _strings(vocabulary))).alias("word"))
-               .groupBy("word").count().collect())
+    counted = rows.select(F.explode("known").alias("word")).groupBy("word").count().collect()
     often = {r["word"]: r["count"] for r in counted}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
 
 
 def matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, share: int = SHARE) -> DataFrame:
-    """(doc_id, h, start, label, shared, needed, size) of every block of ``rows`` (doc_id, h, words)
-    that contains enough of a template."""
+    """(doc_id, h, start, label, shared, needed, size) of every block of ``rows`` that contains enough of a
+    template. ``rows``: doc_id, h, n_words, the template words ``known`` of the text, and ``hits``, their places."""
     spark = rows.sparkSession
     sets = {label: set(text.split()) for label, text in templates.items()}
     rank = _order(rows, sorted(set().union(*sets.values())))
@@ -97,12 +98,13 @@ def matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, share: int =
         prefixes, "word string, label string, place int, size int, needed int, template array<string>")
     keys = _strings(sorted({p[0] for p in prefixes}))
     least = min(p[4] for p in prefixes)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STEP))
-    blocks = (rows.where(F.arrays_overlap("words", keys))
-              .select("doc_id", "h", "words", F.explode(starts).alias("start"))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 1, F.lit(0)), F.lit(STEP))
+    inside = F.filter("hits", lambda x: (x["i"] >= F.col("start")) & (x["i"] < F.col("start") + WINDOW))
+    blocks = (rows.where((F.size("known") >= least) & F.arrays_overlap("known", keys))
+              .select("doc_id", "h", "hits", F.explode(starts).alias("start"))
               # template words of the block in the global order
               .select("doc_id", "h", "start", F.array_intersect(
-                  _strings(ordered), F.slice("words", F.col("start") + 1, F.lit(WINDOW))).alias("block"))
+                  _strings(ordered), F.transform(inside, lambda x: x["w"])).alias("block"))
               .where(F.size("block") >= least))
     joined = blocks.select("doc_id", "h", "start", "block", F.posexplode("block").alias("at", "word")).join(
         F.broadcast(table), "word")  # as many rows as the templates have prefix words
@@ -126,15 +128,19 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, share: int =
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("h"), words_of(F.col("text")).alias("words"))
+    vocabulary = sorted({w for t in templates.values() for w in t.split()})
+    spots = {label: places(F.col("words"), phrase) for label, phrase in PHRASES.items()}
+    known = F.array_intersect("words", _strings(vocabulary))
+    placed = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("i"), w.alias("w")))))
+    # the one pass over the texts; the rest works on places of template words
+    rows = written(rows.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), known.alias("known"),
+                               placed.alias("hits"), *[x.alias(f"at_{i}") for i, x in enumerate(spots.values())]), "words")
     hits = (matches(rows, templates, share).groupBy("doc_id", "h")
             .agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share"))
             .select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), "found", "share"))
-    spots = {label: places(F.col("words"), phrase) for label, phrase in PHRASES.items()}
-    based = rows.select("doc_id", "h", F.size("words").cast("long").alias("n_words"),
-                        *[s.alias(f"at_{i}") for i, s in enumerate(spots.values())])
     every = F.concat(*[f"at_{i}" for i in range(len(spots))])
     named = F.array_compact(F.array(*[F.when(F.size(f"at_{i}") > 0, F.lit(label)) for i, label in enumerate(spots)]))
-    based = based.select("doc_id", "h", "n_words", every.alias("at"), named.alias("base"))
+    based = rows.select("doc_id", "h", "n_words", every.alias("at"), named.alias("base"))
     joined = based.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left")
     both = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
     return joined.select(
