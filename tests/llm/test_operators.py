@@ -106,6 +106,27 @@ def test_one_of_each_keeps_columns(docs, awkward):
     assert sorted({r.doc_id for r in kept.collect()}) == sorted(set(expected))
 
 
+def test_one_row_of_each_group_survives_with_its_text(spark):
+    rnd = random.Random(8)
+    a, b, c, d, e = (prose(rnd, 120) for _ in range(5))
+    near_c, near_d = c.rsplit(" ", 1)[0] + " changed", d.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (1, a), (1, a),              # a repeated row
+            (None, b), (4, b), (None, b),        # null ids beside an id
+            (None, c), (None, near_c),           # near copies under null ids only
+            (None, d), (9, near_d),              # a null id whose near copy has one
+            (7, e), (7, a), (7, d),              # an id of three texts, two of them held elsewhere
+            (None, None), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    once = minhash.one_of_each(docs)
+    found = [(r.doc_id, r.text) for r in once.collect()]
+    assert sum(x == (None, c) or x == (None, near_c) for x in found) == 1
+    # of d the smallest id stays: 7 before 9 before null
+    assert collections.Counter(x for x in found if x[1] not in (c, near_c)) == collections.Counter(
+        [(1, a), (4, b), (7, d), (7, e), (None, None), (None, None), (5, ""), (5, "")])
+    # the strings of 200 bytes are left alone, as each now stands in one row
+    assert collections.Counter(map(tuple, suffix.without_repeats(once).collect())) == collections.Counter(found)
+
+
 def test_components_of_a_path_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (205, 201), (201, 205)]
     found = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))

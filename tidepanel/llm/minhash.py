@@ -314,11 +314,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
 
 
 def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that are not kept; columns as they came."""
-    gone = near_duplicates(docs, words=words, percent=percent).where("not kept").select("doc_id").distinct()
-    gone = written(gone.where("doc_id is not null"), "gone")
+    """``docs`` with one row of every group of near copies; columns as they came.
+
+    Each row is a document of its own, so repeated rows, rows with a null doc_id and the texts of a
+    shared doc_id are compared like any others. Of a group the row with the smallest doc_id stays
+    (a null one last), then the smallest text hash, then any of equal rows. Rows without words all stay.
+    """
+    row = spare(docs, "row_number")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(docs.select(F.col(row).alias("doc_id"), "text"), words=words, percent=percent)
+    near = written(near.where("not kept").select("doc_id", "component_id"), "gone")
+    # the rows of every group of several: those above and the one that names the group
+    members = near.union(near.select("component_id", "component_id").distinct()).toDF("row", "group")
+    rows = docs.select(F.col(row).alias("row"), "doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"))
+    stays = (members.join(rows, "row").groupBy("group")
+             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row")).alias("least")).select("least.row"))
+    gone = written(members.select("row").join(stays, "row", "left_anti"), "gone").withColumnRenamed("row", row)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    name = spare(docs, "gone_id")
-    gone = gone.withColumnRenamed("doc_id", name)
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    return docs.join(gone, row, "left_anti").drop(row)
