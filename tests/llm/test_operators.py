@@ -250,6 +250,30 @@ def test_license_blocks_equal_brute_force(spark, nothing):
     assert license.scan(nothing).collect() == []
 
 
+def test_license_tells_creative_commons_notices_apart(spark):
+    rnd = random.Random(3)
+
+    def notice(name, version="4.0 International"):
+        return f"This work is licensed under a Creative Commons Attribution{name} {version} License."
+
+    by, nc = notice(""), notice("-NonCommercial")
+    expected = {
+        by: "cc-by", nc: "cc-by-nc", notice(" - Non-Commercial"): "cc-by-nc", by + " " + nc: "cc-by,cc-by-nc",
+        nc + " Attribution is required.": "cc-by-nc", by + " Not for noncommercial use only.": "cc-by",
+        notice("-ShareAlike"): "", notice("-ShareAlike", "3.0 Unported"): "", notice("-Share Alike", "3.0 Unported"): "",
+        notice("-NonCommercial-ShareAlike"): "", notice("-NoDerivatives"): "", notice("-NonCommercial-NoDerivs"): "",
+        " ".join(reversed(license.TEMPLATES["cc-by"].split())): "cc-by",
+        " ".join(reversed(license.TEMPLATES["cc-by-nc"].split())): "cc-by-nc"}
+    expected |= {prose(rnd, n) + " " + text + " " + prose(rnd, 70): labels
+                 for n in (20, 55, 63, 100) for text, labels in list(expected.items())[:2]}
+    rows = spark.createDataFrame(list(enumerate(expected)), "doc_id bigint, text string")
+    found = {r.doc_id: (r.labels, r.score) for r in license.scan(rows).collect()}
+    for i, (text, labels) in enumerate(expected.items()):
+        # "non commercial" in two words lacks one of the template's 14
+        score = 0.0 if not labels else 13 / 14 if "Non-Commercial" in text and " - " in text else 1.0
+        assert found[i] == (labels, score), text
+
+
 def test_archives_round_trip(spark):
     pages = [(1, "http://a/\n1", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "ü", "é" * 5000),
              (0, "z", "only"), (5, "ü", "é" * 5000), (None, "n", "<p>x</p>")]

@@ -11,7 +11,9 @@ least SHARE of a template are found exactly:
 * length filter: a block needs c template words at all;
 * positional filter: from the joined word on, both sides must still hold enough words.
 
-What passes is decided on the sets. Everything is DataFrame expressions.
+What passes is decided on the sets. Notices of Creative Commons licences hold nearly the same words;
+which one a block names is read off the words after "creative commons attribution" (``variants``).
+Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ TEMPLATES = {
     "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
+# fixed values: licences whose notices differ in the words after "creative commons attribution" only
+VARIANTS = ("cc-by", "cc-by-nc")
+SIGNS = ("noncommercial", "sharealike", "noderivatives", "noderivs")
 SHARE = 80  # percent of a template that a block must contain
 WINDOW, STEP = 64, 32
 
@@ -71,6 +76,44 @@ def places(words: Column, phrase: str) -> Column:
             .otherwise(F.array().cast("array<int>")))
 
 
+def variants(words: Column, placed: Column) -> Column:
+    """(i, kind) of every place that tells Creative Commons licences apart.
+
+    The kind of "creative commons attribution" is cc-by, cc-by-nc, or other with further conditions;
+    that of a word of SIGNS, wherever it stands, is the word.
+    """
+    def named(i):
+        def at(k):
+            return F.get(words, i + k)
+
+        def other(k):
+            return (at(k).isin(*SIGNS[1:]) | ((at(k) == "share") & (at(k + 1) == "alike"))
+                    | ((at(k) == "no") & at(k + 1).startswith("deriv")))
+
+        def noncommercial(k):
+            return F.when(other(k), "other").otherwise("cc-by-nc")
+
+        return (F.when(at(1) == "noncommercial", noncommercial(2))
+                .when((at(1) == "non") & (at(2) == "commercial"), noncommercial(3))
+                .when(other(1), "other").otherwise("cc-by"))
+
+    def kind(x):
+        full = (F.get(words, x["i"] - 2) == "creative") & (F.get(words, x["i"] - 1) == "commons")
+        return F.when(x["w"] != "attribution", x["w"]).when(full, named(x["i"]))
+
+    telling = F.filter(placed, lambda x: x["w"].isin("attribution", *SIGNS))
+    return F.filter(F.transform(telling, lambda x: F.struct(x["i"].alias("i"), kind(x).alias("kind"))),
+                    lambda x: x["kind"].isNotNull())
+
+
+def _told_apart(label: Column, kinds: Column) -> Column:
+    """Whether a block with ``kinds`` can bear ``label``; without a full name, its signs decide."""
+    full = F.arrays_overlap(kinds, _strings([*VARIANTS, "other"]))
+    plain = ~F.arrays_overlap(kinds, _strings(SIGNS[1:]))
+    return (F.when(~label.isin(*VARIANTS), True).when(full, F.array_contains(kinds, label))
+            .otherwise(plain & (F.array_contains(kinds, SIGNS[0]) == (label == "cc-by-nc"))))
+
+
 def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -84,7 +127,8 @@ def _order(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 def matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, share: int = SHARE) -> DataFrame:
     """(doc_id, h, start, label, shared, needed, size) of every block of ``rows`` that contains enough of a
-    template. ``rows``: doc_id, h, n_words, the template words ``known`` of the text, and ``hits``, their places."""
+    template. ``rows``: doc_id, h, n_words, the template words ``known`` of the text, ``hits``, their places,
+    and ``variants``."""
     spark = rows.sparkSession
     sets = {label: set(text.split()) for label, text in templates.items()}
     rank = _order(rows, sorted(set().union(*sets.values())))
@@ -100,20 +144,23 @@ def matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, share: int =
     least = min(p[4] for p in prefixes)
     starts = F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 1, F.lit(0)), F.lit(STEP))
     inside = F.filter("hits", lambda x: (x["i"] >= F.col("start")) & (x["i"] < F.col("start") + WINDOW))
+    # a name that starts in the block counts, though its third word stands behind the end
+    kinds = F.transform(F.filter("variants", lambda x: (x["i"] >= F.col("start")) & (x["i"] < F.col("start") + WINDOW + 2)),
+                        lambda x: x["kind"])
     blocks = (rows.where((F.size("known") >= least) & F.arrays_overlap("known", keys))
-              .select("doc_id", "h", "hits", F.explode(starts).alias("start"))
+              .select("doc_id", "h", "hits", "variants", F.explode(starts).alias("start"))
               # template words of the block in the global order
               .select("doc_id", "h", "start", F.array_intersect(
-                  _strings(ordered), F.transform(inside, lambda x: x["w"])).alias("block"))
+                  _strings(ordered), F.transform(inside, lambda x: x["w"])).alias("block"), kinds.alias("kinds"))
               .where(F.size("block") >= least))
-    joined = blocks.select("doc_id", "h", "start", "block", F.posexplode("block").alias("at", "word")).join(
+    joined = blocks.select("doc_id", "h", "start", "block", "kinds", F.posexplode("block").alias("at", "word")).join(
         F.broadcast(table), "word")  # as many rows as the templates have prefix words
     left = F.least(F.size("block") - F.col("at"), F.col("size") - F.col("place"))
     # words before the joined one can be shared too; they are the smaller of both counts
     earlier = F.least("at", "place")
     passed = (joined.where((F.size("block") >= F.col("needed")) & (earlier + left >= F.col("needed")))
               .withColumn("shared", F.size(F.array_intersect("block", "template")))
-              .where("shared >= needed"))
+              .where("shared >= needed").where(_told_apart(F.col("label"), F.col("kinds"))))
     return passed.select("doc_id", "h", "start", "label", "shared", "needed", "size").distinct()
 
 
@@ -121,7 +168,8 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, share: int =
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``.
 
     ``n_base`` counts the places of the phrases, ``first_word`` and ``last_word`` are the smallest
-    and largest start (null without any); ``labels`` adds those of templates found. Labels are
+    and largest start (null without any); ``labels`` adds those of templates found, of VARIANTS only
+    the licences that are named. Labels are
     distinct, sorted and joined by commas; none is the empty text. ``score`` is 1 where a phrase
     stands, else the largest share of a template in a block that passed, else 0. Null and empty
     texts have no words. Equal rows get equal results. Other columns are ignored.
@@ -131,10 +179,13 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, share: int =
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
     spots = {label: places(F.col("words"), phrase) for label, phrase in PHRASES.items()}
     known = F.array_intersect("words", _strings(vocabulary))
-    placed = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("i"), w.alias("w")))))
+    telling = sorted({*vocabulary, "attribution", *SIGNS})
+    placed = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(telling), F.struct(i.alias("i"), w.alias("w")))))
     # the one pass over the texts; the rest works on places of template words
+    rows = rows.withColumn("hits", placed)
     rows = written(rows.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), known.alias("known"),
-                               placed.alias("hits"), *[x.alias(f"at_{i}") for i, x in enumerate(spots.values())]), "words")
+                               "hits", variants(F.col("words"), F.col("hits")).alias("variants"),
+                               *[x.alias(f"at_{i}") for i, x in enumerate(spots.values())]), "words")
     hits = (matches(rows, templates, share).groupBy("doc_id", "h")
             .agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share"))
             .select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), "found", "share"))
