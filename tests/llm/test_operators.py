@@ -376,6 +376,17 @@ def test_nearest_neighbours_recall_and_scores(spark):
     assert hnsw.nearest(table.limit(0), F.lit(True)).collect() == []
 
 
+def test_quality_samples_labelled_documents_and_more_blocks(spark):
+    rnd = random.Random(7)
+    rows = spark.createDataFrame([(i, prose(rnd, 1500) if i % 2 else "BUY $$$ " * 900) for i in range(60)], "doc_id bigint, text string")
+    kinds = "doc_id bigint, quality int, toxic int"
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], kinds)
+    strays = spark.createDataFrame([(i, i % 2, 0) for i in range(1000, 5000)], kinds)
+    alone = quality.fit(rows, labels, sample_rows=40, curve_rows=40)
+    assert quality.fit(rows, labels.union(strays), sample_rows=40, curve_rows=40) == alone  # strays use up no sample
+    assert alone.good != quality.fit(rows, labels, sample_rows=40, curve_rows=40, sample_blocks=1).good
+
+
 def test_chat_links_orders_and_checks(spark):
     calls = spark.createDataFrame([
         ("c", "a", "lookup", '{"words": 2, "query": "x"}', []), ("c", "b", "lookup", '{"query": 3, "z": {"b": 1, "a": [2]}}', ["a"]),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidepanel.llm.common import id_bucket, spare
+from tidepanel.session import written
 
 BLOCK = 1024  # bytes compressed together
 LEVEL = 3
@@ -115,24 +116,27 @@ def _sampled(labels: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, curve_rows: int = CURVE_ROWS,
-        dictionary: int = DICTIONARY) -> Model:
+        sample_blocks: int = SAMPLE_BLOCKS, dictionary: int = DICTIONARY) -> Model:
     """Model from labelled rows outside the held-out fold (crc32 of the id modulo 5 is 0).
 
     Folds 1 to 3 train the dictionaries, fold 4 the curve. Both samples are bounded by
-    ``sample_rows`` and ``curve_rows``. A document with labels of both kinds, or a null
+    ``sample_rows`` (per class) and ``curve_rows``, counted over labels that have a document; of each
+    text the dictionaries see ``sample_blocks`` blocks of BLOCK bytes, spread evenly over it, the curve
+    all of it. A document with labels of both kinds, or a null
     one, is not used. Without labels of both classes the score is one constant.
     """
     clear = (labels.where("doc_id is not null").groupBy("doc_id")
              .agg(F.min("quality").alias("quality"), F.max("quality").alias("_high"))
              .where("quality = _high and quality in (0, 1)").drop("_high")
              .withColumn("_fold", id_bucket(F.col("doc_id"), FOLDS)))
+    clear = written(clear.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
 
     @F.pandas_udf("array<binary>")
     def spread(texts: pd.Series) -> pd.Series:
         def some(text):
             data = blocks_of((text or "").encode())
-            if len(data) > SAMPLE_BLOCKS:
-                data = [data[i * len(data) // SAMPLE_BLOCKS] for i in range(SAMPLE_BLOCKS)]
+            if len(data) > sample_blocks:
+                data = [data[i * len(data) // sample_blocks] for i in range(sample_blocks)]
             return data
         return texts.map(some)
 
