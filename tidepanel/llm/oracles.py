@@ -93,3 +93,29 @@ SELECT rows.conv_id, CAST(rows.turn AS VARCHAR) AS call_id, name, CAST(CASE WHEN
   CASE WHEN name IS NOT NULL THEN name <> 'note' END AS valid,
   CASE WHEN name = 'note' THEN 'missing:turn' WHEN name IS NOT NULL THEN '' END AS errors, arguments, content
 FROM rows LEFT JOIN deep ON deep.conv_id = rows.conv_id AND deep.turn = rows.turn"""
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10, dimensions: int = 64, scale: int = 1024) -> str:
+    """Every vector against every centroid in each round, in whole numbers."""
+    far = "list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT v.vec_id, v.v, c.k, {far} AS d,
+    ROW_NUMBER() OVER (PARTITION BY v.vec_id ORDER BY {far}, c.k) AS r FROM v, c{r} c) WHERE r = 1)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT k, i, SUM(x) AS s, COUNT(*) AS n FROM (SELECT k, UNNEST(v) AS x, UNNEST(range({dimensions})) AS i FROM a{r}) GROUP BY 1, 2),
+m{r} AS (SELECT k, LIST(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{r} GROUP BY 1),
+c{r + 1} AS MATERIALIZED (SELECT c.k, COALESCE(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m USING (k))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(FLOOR({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: isfinite(CAST(x AS DOUBLE)))) = {dimensions}),
+c0 AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY h) - 1 AS k, v AS c FROM (
+    SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {k})),{",".join(steps)}
+SELECT a.vec_id, a.k::INT AS cluster, a.d AS distance, SUM(a.d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+    SUM(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (k)"""
+
+
+ORACLES["op12_zonemaps"] = _cluster_sql()

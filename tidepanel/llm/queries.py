@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, chat, embeddings, hnsw, license, minhash, mixing, oracles, quality, suffix, warc
+from tidepanel.llm import bpe, chat, embeddings, hnsw, license, minhash, mixing, oracles, periodic, pii, quality, suffix, warc, zonemaps
 from tidepanel.llm.common import id_bucket, table
 
 QUERIES: dict = {}
@@ -76,3 +76,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (docs.select("doc_id", (id_bucket(F.col("doc_id"), quality.FOLDS) == 0).alias("held_out"),
                         quality.score(F.col("text"), model).alias("score"))
             .withColumn("predicted", F.when(F.col("score") >= quality.REJECT_BELOW, 1).otherwise(0).cast("int")))
+
+
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.summary(pii.find(docs, pii.fit(docs)))
+
+
+@query
+def op12_zonemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemaps.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic.summary(periodic.scan(periodic.looped(docs), texts=False))
