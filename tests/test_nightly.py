@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidepanel import job
 from tidepanel.operators import calendar as cal
 from tidepanel.plans import nightly
-from tidepanel.sources import schemas
-from tidepanel.sources.merge import VersionedTable
+from tidepanel.sources import readers, schemas
+from tidepanel.sources.merge import BucketTable
 
 
 def _walk(seed, n=330):
@@ -16,8 +16,9 @@ def _walk(seed, n=330):
 
 
 def _tables(spark, root):
-    return (VersionedTable(spark, f"{root}/runs", schemas.FORECAST_RUNS),
-            VersionedTable(spark, f"{root}/points", schemas.FORECAST_POINTS))
+    key = nightly.POINT_KEY
+    return (BucketTable(spark, f"{root}/runs", schemas.FORECAST_RUNS, key),
+            BucketTable(spark, f"{root}/points", schemas.FORECAST_POINTS, key, order=None))
 
 
 def test_unknown_model(weekdays):
@@ -79,10 +80,10 @@ def test_command_line(spark, weekdays, tmp_path):
         str(tmp_path / "exog"), header=True)
     job.main(["ingest", "--prices", str(tmp_path / "prices"), "--exog-path", str(tmp_path / "exog"),
               "--out", str(tmp_path / "out"), "--tickers", "aep", "--exog", "CL=F", "--format", "csv"])
-    stored = spark.read.parquet(str(tmp_path / "out" / "market.parquet"))
+    stored = readers.read_market(spark, str(tmp_path / "out" / "market.parquet"))
     assert set(stored.columns) == {"date", "symbol", "close", "cl_f"} and stored.count() == 200
     assert stored.where("cl_f = 0").count() == 0
     job.main(["forecast", "--market", str(tmp_path / "out" / "market.parquet"), "--tables",
               str(tmp_path / "t"), "--as-of", "2024-12-01 13:00:00", "--models", "arima sarimax", "--steps", "7"])
-    runs, _ = (VersionedTable(spark, str(tmp_path / "t" / "forecast_runs"), schemas.FORECAST_RUNS), None)
+    runs = BucketTable(spark, str(tmp_path / "t" / "forecast_runs"), schemas.FORECAST_RUNS, nightly.POINT_KEY)
     assert runs.read().count() == 2

@@ -101,16 +101,40 @@ def test_pairs_json(make_prices):
 
 
 # ---- files ------------------------------------------------------------------
-def test_market_round_trip_prunes_partitions(spark, make_prices):
-    df = make_prices({"AEP": [("2024-01-02", 1)], "DUK": [("2024-01-02", 2)]}).withColumn("oil", F.lit(3.0))
+def _stored_market(spark):
+    """Three symbols over four years, one of which ends a year before the others."""
+    days = spark.sql("select explode(sequence(date'2020-01-01', date'2023-12-31', interval 1 day)) as date")
+    rows = days.select(F.explode(F.array(*map(F.lit, ("AEP", "DUK", "old")))).alias("symbol"), "date",
+                       F.dayofyear("date").cast("double").alias("close")).where("symbol <> 'old' or date < '2023-01-01'")
     path = fresh_path(spark, "m")
-    writers.write_market(df, path)
-    back = readers.market_symbol(spark.read.parquet(path), "duk")
-    assert back.count() == 1 and back.first()["close"] == 2.0
-    plan = back._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(symbol" in plan
-    writers.write_exog(df.select("date", "oil"), path + "x")
-    assert spark.read.parquet(path + "x").count() == 2
+    writers.write_market(rows.withColumn("oil", F.lit(3.0)), path)
+    return path
+
+
+def test_market_round_trip(spark, tmp_path):
+    path = _stored_market(spark)
+    back = readers.read_symbol(spark, path, "duk")
+    assert back.columns == ["date", "symbol", "close", "oil"] and back.count() == 1461
+    assert "In(symbol, [DUK])" in back._jdf.queryExecution().executedPlan().toString() or "EqualTo(symbol,DUK)" in (
+        back._jdf.queryExecution().executedPlan().toString())
+    assert readers.read_symbol(spark, path, "none").collect() == []
+    assert readers.market_symbol(readers.read_market(spark, path), "aep").count() == 1461
+    ends = {r["symbol"]: (r["first_date"], r["last_date"], r["n"]) for r in spark.read.parquet(writers.ends_path(path)).collect()}
+    assert ends["old"] == (dt.date(2020, 1, 1), dt.date(2022, 12, 31), 1096)
+    exog = spark.createDataFrame([("2024-01-02", 1.0)], "date string, oil double")
+    writers.write_exog(exog, str(tmp_path / "x"))
+    assert spark.read.parquet(str(tmp_path / "x")).count() == 1
+
+
+def test_a_period_reads_its_months(spark):
+    path = _stored_market(spark)
+    got = readers.read_period(spark, path, "2mo")
+    counts = {r["symbol"]: (r["lo"], r["hi"], r["n"]) for r in got.groupBy("symbol").agg(
+        F.min("date").alias("lo"), F.max("date").alias("hi"), F.count("*").alias("n")).collect()}
+    assert counts == {s: (dt.date(y, 11, 1), dt.date(y, 12, 31), 61) for s, y in (("AEP", 2023), ("DUK", 2023), ("old", 2022))}
+    whole = scanned(spark.read.parquet(path))
+    part = scanned(got)  # with the scan of the ends, which has no partitions
+    assert whole["numPartitions"] == 48 and part["numPartitions"] == 6 and part["filesSize"] < whole["filesSize"] / 3
 
 
 def test_reports_and_appended_metrics(spark):
@@ -165,50 +189,133 @@ def _runs(spark, *rows):
         [(s, m, 7, e, 1.0, dt.datetime(2024, 1, d)) for s, m, e, d in rows], RUN)
 
 
+KEY = ["symbol", "model", "steps"]
+
+
+def _run_table(spark, path=None, **options):
+    return merge.BucketTable(spark, path or fresh_path(spark, "runs"), schemas.FORECAST_RUNS, options.pop("key", KEY), **options)
+
+
 def test_upsert_twice(spark):
-    table = merge.VersionedTable(spark, fresh_path(spark, "runs"), schemas.FORECAST_RUNS)
-    key = ["symbol", "model", "steps"]
-    assert table.version() == 0 and table.read().count() == 0
-    table.upsert(_runs(spark, ("A", "arima", 1.0, 1), ("B", "arima", 2.0, 1)), key)
+    table = _run_table(spark)
+    assert table.batches() == [] and table.read().count() == 0
+    table.write(_runs(spark, ("A", "arima", 1.0, 1), ("B", "arima", 2.0, 1)))
     new = _runs(spark, ("A", "arima", 5.0, 2), ("C", "arima", 3.0, 2))
-    table.upsert(new, key)
-    table.upsert(new, key)
+    table.write(new)
+    table.write(new)
     got = {r["symbol"]: r["backtest_mae"] for r in table.read().collect()}
     assert got == {"A": 5.0, "B": 2.0, "C": 3.0}
-    table.upsert(_runs(spark, ("A", "arima", 9.0, 1)), key)  # older than what is stored
+    table.write(_runs(spark, ("A", "arima", 9.0, 1)))  # older than what is stored
     assert {r["symbol"]: r["backtest_mae"] for r in table.read().collect()}["A"] == 5.0
+    table.write(_runs(spark, ("A", "arima", 6.0, 2)))  # equal time: the later batch
+    assert table.lookup(symbol="A", model="arima", steps=7).first()["backtest_mae"] == 6.0
 
 
 def test_replayed_batch_changes_nothing(spark):
-    table = merge.VersionedTable(spark, fresh_path(spark, "runs"), schemas.FORECAST_RUNS)
-    key = ["symbol", "model", "steps"]
+    table = _run_table(spark)
     first, later = _runs(spark, ("A", "arima", 1.0, 1)), _runs(spark, ("A", "arima", 7.0, 3))
     for batch in (first, first, later, first):
-        table.upsert(batch, key)
+        table.write(batch)
     assert [r["backtest_mae"] for r in table.read().collect()] == [7.0]
-
-
-def test_old_versions_are_dropped(spark, tmp_path):
-    table = merge.VersionedTable(spark, str(tmp_path / "t"), schemas.FORECAST_RUNS, keep=2)
-    for day in range(1, 6):
-        table.upsert(_runs(spark, ("A", "arima", float(day), day)), ["symbol", "model", "steps"])
-    assert table.read().first()["backtest_mae"] == 5.0
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v4", "v5"]
-
-
-def test_half_written_version_is_ignored(spark, tmp_path):
-    table = merge.VersionedTable(spark, str(tmp_path / "t"), schemas.FORECAST_RUNS)
+    table.write(_runs(spark, ("A", "arima", 8.0, 4)), 4, "q")
+    table.write(_runs(spark, ("A", "arima", 8.0, 4)), 4, "q")
+    assert len(table.batches()) == 5 and table.read().count() == 1
+
+
+def test_a_batch_writes_and_a_lookup_reads_one_bucket(spark, tmp_path):
+    table = _run_table(spark, str(tmp_path / "t"), buckets=8)
+    table.write(_runs(spark, *[(f"S{i}", "arima", float(i), 1) for i in range(200)]))
+    table.write(_runs(spark, ("S7", "arima", 70.0, 2)))
+    folders = [sorted(p.name for p in (tmp_path / "t" / f"batch={n}").glob("bucket=*")) for n in table.batches()]
+    assert len(folders[0]) == 8 and len(folders[1]) == 1
+    found = table.lookup(symbol="S7", model="arima", steps=7)
+    assert [r["backtest_mae"] for r in found.collect()] == [70.0]
+    assert scanned(found)["numPartitions"] == 2  # its bucket in either batch
+    assert table.lookup(symbol="none", model="arima", steps=7).collect() == []
+
+
+def scanned(df):
+    """Metrics of the only file scan of an executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and "Adaptive" in plan.nodeName() else plan
+    todo, found = [plan], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node)
+        if node.nodeName() in ("AdaptiveSparkPlan",):
+            todo.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    totals = {}
+    for node in found:
+        metrics = node.metrics()
+        for name in ("numFiles", "numPartitions", "filesSize", "numOutputRows"):
+            if metrics.contains(name):
+                totals[name] = totals.get(name, 0) + metrics.apply(name).value()
+    return totals
+
+
+def test_writers_do_not_meet(spark):
+    path = fresh_path(spark, "runs")
+    one, two = _run_table(spark, path), _run_table(spark, path)
+    name = one._next()
+    two.write(_runs(spark, ("B", "arima", 2.0, 1)))  # between the choice of a name and the write
+    one._store(_runs(spark, ("A", "arima", 1.0, 1)), name)
+    assert {r["symbol"] for r in one.read().collect()} == {"A", "B"}
+
+
+def test_folds_keep_rows_and_late_batches(spark, tmp_path):
+    table = _run_table(spark, str(tmp_path / "t"), buckets=4)
+    for day in range(1, 5):
+        table.write(_runs(spark, ("A", "arima", float(day), day), (f"S{day}", "arima", 0.5, day)))
+    late = table._next()
+    before = sorted(map(tuple, table.read().collect()))
+    table.fold()
+    assert len(table.batches()) == 1 and sorted(map(tuple, table.read().collect())) == before
+    assert len(list((tmp_path / "t").glob("batch=*"))) == 5  # running readers still find theirs
+    table._store(_runs(spark, ("A", "arima", 9.0, 9)), late)  # began before the fold
+    assert table.lookup(symbol="A", model="arima", steps=7).first()["backtest_mae"] == 9.0
+    table.fold()
+    assert len(list((tmp_path / "t").glob("batch=*"))) == 3 and table.read().count() == 5
+    table.fold()
+    assert len(table.batches()) == 1
+
+
+def test_half_written_batches_and_folds_are_ignored(spark, tmp_path):
+    table = _run_table(spark, str(tmp_path / "t"))
     table.write(_runs(spark, ("A", "arima", 1.0, 1)))
-    (tmp_path / "t" / "v2").mkdir()  # a crashed write has no success marker
-    assert table.version() == 1 and table.read().count() == 1
+    table.write(_runs(spark, ("B", "arima", 1.0, 1)))
+    (tmp_path / "t" / "batch=0000000007-x").mkdir()  # a crashed write has no success marker
+    spark.createDataFrame([(n,) for n in table.batches()], "name string").write.parquet(
+        str(tmp_path / "t" / "_folded" / (table.batches()[-1] + "+")))  # a fold that ended before its rows
+    assert len(table.batches()) == 2 and table.read().count() == 2
+    assert table._next().startswith("0000000008-")
 
 
 def test_replace_group(spark):
-    table = merge.VersionedTable(spark, fresh_path(spark, "news"), schemas.FORECAST_RUNS)
-    table.replace(_runs(spark, ("A", "arima", 1.0, 1), ("A", "lstm", 1.0, 1), ("B", "arima", 1.0, 1)), "symbol")
-    table.replace(_runs(spark, ("A", "sarima", 2.0, 2)), "symbol")
+    table = _run_table(spark, key=["symbol"], order=None)
+    table.write(_runs(spark, ("A", "arima", 1.0, 1), ("A", "lstm", 1.0, 1), ("B", "arima", 1.0, 1)))
+    table.write(_runs(spark, ("A", "sarima", 2.0, 2)))
+    table.write(_runs(spark))  # nothing is replaced by nothing
     got = sorted((r["symbol"], r["model"]) for r in table.read().collect())
     assert got == [("A", "sarima"), ("B", "arima")]
+    table.fold()
+    assert sorted((r["symbol"], r["model"]) for r in table.read().collect()) == got
+
+
+def test_a_failed_backtest_is_not_stored(spark):
+    part = "struct<date:date,actual:double>"
+    rows = [("A", "arima", 7, "backtest", "error", "short", None, None, 1.0), ("A", "arima", 7, "future", "ok", None, [1.0], [], 1.0),
+            ("B", "arima", 7, "backtest", "ok", None, [1.0], [(None, 3.0)], 1.0), ("B", "arima", 7, "future", "ok", None, [1.0], [], 1.0)]
+    fits = spark.createDataFrame(rows, "symbol string, model string, steps int, kind string, status string, error string, "
+                                 f"path array<double>, test array<{part}>, last_price double")
+    got = refresh.run_rows(fits, "2024-01-01 00:00:00").collect()
+    assert [(r["symbol"], r["backtest_mae"]) for r in got] == [("B", 2.0)]
+    assert {r["symbol"]: r["status"] for r in refresh.status_rows(fits).collect()} == {"A": "error", "B": "ok"}
 
 
 # ---- refresh ----------------------------------------------------------------
@@ -301,7 +408,7 @@ def test_live_stream_equals_batch_over_several_files(spark, tmp_path):
              [("B", "2024-01-11 15:01:00", 6, 7)]]
     facts = spark.createDataFrame([("A", 10.0, 1.0), ("B", 5.0, 2.0)], FACTS)
     source = str(tmp_path / "bars")
-    table = merge.VersionedTable(spark, str(tmp_path / "stocks"), schemas.STOCKS)
+    table = merge.BucketTable(spark, str(tmp_path / "stocks"), schemas.STOCKS, ["symbol"], order="last_updated")
     for p in parts:  # each run picks up the new file and goes on from the checkpoint
         _bars(spark, *p).coalesce(1).write.mode("append").parquet(source)
         stream = live.file_stream(spark, source, schemas.BARS)

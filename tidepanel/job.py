@@ -1,6 +1,6 @@
 """Command line for spark-submit.
 
-    job.py ingest   --prices IN --exog-path IN --out OUT [--tickers A,B] [--exog CL=F,XLU]
+    job.py ingest   --prices IN --exog-path IN --out OUT [--tickers A,B] (default all) [--exog CL=F,XLU]
                     [--period 5y] [--format parquet]
     job.py forecast --market IN --tables OUT --as-of '2024-01-31 12:30:00'
                     [--models arima,sarima] [--steps 7,180]
@@ -17,10 +17,10 @@ from tidepanel import settings as S
 from tidepanel.functions.scalars import safe_name_col
 from tidepanel.operators import calendar as cal, market
 from tidepanel.operators.rolling import period_slice
-from tidepanel.plans.nightly import nightly
+from tidepanel.plans.nightly import POINT_KEY, nightly
 from tidepanel.session import build_session
 from tidepanel.sources import schemas
-from tidepanel.sources.merge import VersionedTable
+from tidepanel.sources.merge import BucketTable
 from tidepanel.sources.readers import close_table, read_table, require_rows
 from tidepanel.sources.writers import write_exog, write_market
 
@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--prices", required=True)
     one.add_argument("--exog-path")
     one.add_argument("--out", required=True)
-    one.add_argument("--tickers", type=names, default=S.SYMBOLS)
+    one.add_argument("--tickers", type=names, default=["all"])
     one.add_argument("--exog", type=names, default=list(S.EXOG_CODES.values()))
     one.add_argument("--period", default="5y")
     one.add_argument("--format", default="parquet")
@@ -84,11 +84,12 @@ def main(argv: list[str] | None = None) -> None:
                 F.lower(safe_name_col("code")).isin([market.safe_name(c) for c in args.exog]))
         ingest(prices, exog, args.out, args.exog, args.period)
         return
-    table = read_table(spark, args.market)
-    runs = VersionedTable(spark, f"{args.tables}/forecast_runs", schemas.FORECAST_RUNS)
-    points = VersionedTable(spark, f"{args.tables}/forecast_points", schemas.FORECAST_POINTS)
+    table = read_table(spark, args.market).drop("month")
+    runs = BucketTable(spark, f"{args.tables}/forecast_runs", schemas.FORECAST_RUNS, POINT_KEY)
+    points = BucketTable(spark, f"{args.tables}/forecast_points", schemas.FORECAST_POINTS, POINT_KEY, order=None)
     status = nightly(table, runs, points, args.as_of, models=args.models, steps=args.steps)
-    status.withColumn("as_of", F.lit(args.as_of)).write.mode("append").parquet(f"{args.tables}/forecast_status")
+    stamp = re.sub("[^0-9]", "", args.as_of)  # a run that is repeated takes its own place
+    status.withColumn("as_of", F.lit(args.as_of)).write.mode("overwrite").parquet(f"{args.tables}/forecast_status/run={stamp}")
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from tidepanel.operators.indicators import indicator_matrix, indicator_names
 from tidepanel.operators.rolling import period_slice
 from tidepanel.plans import arima, drift, learned, refresh
 from tidepanel.session import written
-from tidepanel.sources.merge import VersionedTable
+from tidepanel.sources.merge import BucketTable
 from tidepanel.sources.readers import exog_columns
 
 POINT_KEY = ["symbol", "model", "steps"]
@@ -84,13 +84,13 @@ def forecast_by_period(market: DataFrame, models: list[str], steps: list[int], *
     return out
 
 
-def nightly(market: DataFrame, runs: VersionedTable, points: VersionedTable, as_of: str, *,
+def nightly(market: DataFrame, runs: BucketTable, points: BucketTable, as_of: str, *,
             models: list[str] | None = None, steps: list[int] | None = None,
             threshold: float = 1.0, **options) -> DataFrame:
     """Refresh what is missing or stale and return the status of every computed key.
 
-    Only series with open work are read; only open keys are stored. Both tables
-    are merged by key, so a repeated run changes nothing.
+    Only series with open work are read. A key is stored when all its parts are in order, so one with a failed backtest
+    stays open. Both tables take the new keys beside what is stored; a repeated run changes nothing.
     """
     models, steps = models or S.MODELS, steps or list(S.HORIZON_BDAYS)
     now = F.lit(as_of).cast("timestamp_ntz")
@@ -102,7 +102,6 @@ def nightly(market: DataFrame, runs: VersionedTable, points: VersionedTable, as_
     done = refresh.run_rows(fits, as_of)
     rows = arima.forecast_points(fits).select(
         *POINT_KEY, "kind", F.col("step").cast("int").alias("step"), "date", "price")
-    points.write(points.read().join(done.select(*POINT_KEY), POINT_KEY, "left_anti")
-                 .unionByName(rows))
-    runs.upsert(done, POINT_KEY)
+    points.write(rows.join(done.select(*POINT_KEY), POINT_KEY, "left_semi"))
+    runs.write(done)
     return refresh.status_rows(fits)

@@ -54,7 +54,7 @@ def refresh_plan(grid: DataFrame, runs: DataFrame, as_of, cutoff=S.FORECAST_CUTO
 
 
 def run_rows(fits: DataFrame, as_of) -> DataFrame:
-    """Stored form of fits: one row per key with its backtest error.
+    """Stored form of fits: one row per key with its backtest error; none for a key with a failed part.
 
     The error is computed from the held-out rows each fit carries, so no join is
     needed.
@@ -62,10 +62,11 @@ def run_rows(fits: DataFrame, as_of) -> DataFrame:
     err = F.aggregate(
         F.zip_with("path", "test", lambda p, t: F.abs(p - t["actual"])), F.lit(0.0),
         lambda s, x: s + x) / F.size("path")
-    return fits.where(F.col("status") == "ok").groupBy(*KEY).agg(
+    return fits.groupBy(*KEY).agg(
         F.max(F.when(F.col("kind") == "backtest", err)).alias("backtest_mae"),
         F.max(F.when(F.col("kind") == "future", F.col("last_price"))).alias("last_price"),
-    ).withColumn("updated_at", F.lit(as_of).cast("timestamp_ntz"))
+        F.max(F.col("status") != "ok").alias("_failed"),
+    ).where("not _failed").drop("_failed").withColumn("updated_at", F.lit(as_of).cast("timestamp_ntz"))
 
 
 def status_rows(fits: DataFrame) -> DataFrame:

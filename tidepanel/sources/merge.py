@@ -1,14 +1,16 @@
-"""Latest-per-key merge of a stored table with new rows.
+"""Stored tables that take new rows by key.
 
-The newest row of a key is found with ``max_by``, which combines map-side: many
-versions of one key do not meet in one task. The result goes to a new version
-folder; the highest folder with a success marker is current, so a reader never sees a half
-written table and a failed or repeated run changes nothing.
+A batch is written to a folder of its own, split by a hash bucket of its keys, and becomes visible with its
+success marker. Nothing that is stored is read or rewritten, so writers never meet, a batch that fails leaves
+no trace, and one that is repeated under its own name overwrites itself. Readers take the newest row of a key
+with ``max_by``, which combines map-side; a key is looked up in one bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: str = "updated_at",
@@ -23,70 +25,120 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: str = "updated_at",
     return best.select(*keys, "_row.*").select(*rows.columns)
 
 
-def merged(current: DataFrame, new: DataFrame, keys: list[str],
-           order: str = "updated_at") -> DataFrame:
-    """Insert or replace by key; the new row wins on equal times."""
-    both = current.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return latest_per_key(both, keys, order, "_new").drop("_new")
-
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def replaced(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Whole groups are replaced: every key in ``new`` drops its stored rows."""
-    return current.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` that hold a success marker."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+    return sorted(n for n in names if fs.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[0]))
 
-class VersionedTable:
-    """Parquet table kept as numbered versions; the highest complete one is current."""
 
-    def __init__(self, spark: SparkSession, path: str, schema, keep: int = 3):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+class BucketTable:
+    """Table of rows by ``key``, kept as batches split into hash buckets.
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    With ``order`` a key has one row, the one with the greatest ``order`` (on equal ones that of the later batch).
+    Without it a batch replaces all rows of the keys it holds. ``buckets`` is fixed for the life of a table.
+    """
 
-    def version(self) -> int:
-        """Highest committed version; 0 when nothing is stored."""
-        jvm, fs = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(root):
-            return 0
-        done = [0]
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit():
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                    done.append(int(name[1:]))
-        return max(done)
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: list[str], *,
+                 order: str | None = "updated_at", buckets: int = 64):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key, self.order, self.buckets = key, order, buckets
+
+    # ---- batches ----
+    def _folds(self) -> dict[str, list[str]]:
+        """{folded batch: the batches it stands for}; a handful of names."""
+        done = set(self._complete())
+        return {n: [r[0] for r in self.spark.read.parquet(f"{self.path}/_folded/{n}").collect()]
+                for n in _children(self.spark, f"{self.path}/_folded") if n in done}
+
+    def _complete(self) -> list[str]:
+        return [n.removeprefix("batch=") for n in _children(self.spark, self.path) if n.startswith("batch=")]
+
+    def batches(self) -> list[str]:
+        """Names of the batches that make up the table, in the order they were written."""
+        gone = {name for names in self._folds().values() for name in names}
+        return [n for n in self._complete() if n not in gone]
+
+    def _next(self) -> str:
+        """A name after all others; no two writers choose the same."""
+        at, fs = _folder(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        last = max((int(n[6:16]) for n in names if n.startswith("batch=")), default=0)
+        return f"{last + 1:010d}-{uuid.uuid4().hex[:12]}"
+
+    def _bucket(self, columns: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
+
+    # ---- writing ----
+    def write(self, new: DataFrame, batch: int | None = None, run: str = "") -> None:
+        """Add a batch. Only the buckets of its keys get files; rows of one bucket are split or joined by their size.
+
+        ``batch`` and ``run`` name the batch of a stream: written again, it takes its own place.
+        """
+        name = self._next() if batch is None else f"{batch + 1:010d}-{run}"
+        self._store(new, name)
+
+    def _store(self, rows: DataFrame, name: str) -> None:
+        (rows.select(*self.schema.names, self._bucket([F.col(k) for k in self.key]).alias("bucket"))
+         .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={name}"))
+
+    def fold(self) -> None:
+        """Join all batches into one, without repeats.
+
+        What an earlier fold has joined is removed now, so that its readers had the time in between.
+        Batches that come meanwhile stay as they are; a fold that fails changes nothing.
+        """
+        names = self.batches()
+        if len(names) < 2:
+            return
+        for folded, old in self._folds().items():
+            for name in old:
+                self._drop(f"batch={name}")
+            self._drop(f"_folded/{folded}")
+        into = names[-1] + "+"
+        self.spark.createDataFrame([(n,) for n in names], "name string").write.mode("overwrite").parquet(
+            f"{self.path}/_folded/{into}")
+        self._store(self._current(self._rows(names)), into)
+
+    def _drop(self, name: str) -> None:
+        at, fs = _folder(self.spark, f"{self.path}/{name}")
+        fs.delete(at, True)
+
+    # ---- reading ----
+    def _rows(self, names: list[str]) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.StringType()),
+                               T.StructField("bucket", T.IntegerType())])
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(
+            *[f"{self.path}/batch={n}" for n in names])
+
+    def _current(self, rows: DataFrame) -> DataFrame:
+        if self.order:
+            return latest_per_key(rows.drop("bucket"), self.key, self.order, "batch").select(*self.schema.names)
+        last = rows.groupBy(*self.key).agg(F.max("batch").alias("_last"))
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.key]
+        found = rows.alias("o").join(last.alias("n"), [*same, F.col("o.batch") == F.col("n._last")], "left_semi")
+        return found.select(*[F.col(f"o.{c}") for c in self.schema.names])
 
     def read(self) -> DataFrame:
-        v = self.version()
-        if v == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
-
-    def write(self, rows: DataFrame, version: int | None = None) -> None:
-        target = self.version() + 1 if version is None else version
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v{target}")
-        self._drop_old(target - self.keep)
-
-    def _drop_old(self, last: int) -> None:
-        """Remove versions up to ``last``; the newest ones stay for running readers."""
-        if last < 1:
-            return
-        jvm, fs = self._fs()
-        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)):
-            name = status.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and int(name[1:]) <= last:
-                fs.delete(status.getPath(), True)
-
-    def upsert(self, new: DataFrame, keys: list[str], order: str = "updated_at") -> None:
-        """Merge by key, newest wins. A batch that comes again finds its own rows and changes nothing."""
-        self.write(merged(self.read(), new, keys, order))
-
-    def replace(self, new: DataFrame, key: str) -> None:
-        self.write(replaced(self.read(), new, key))
+        return self._current(self._rows(self.batches()))
+
+    def lookup(self, **values) -> DataFrame:
+        """Rows of one key (all its columns); reads its bucket alone."""
+        literals = [F.lit(values[k]).cast(self.schema[k].dataType) for k in self.key]
+        rows = self._rows(self.batches()).where(F.col("bucket") == self._bucket(literals))
+        for k, v in zip(self.key, literals):
+            rows = rows.where(F.col(k).eqNullSafe(v))
+        return self._current(rows)
 
 
 class BatchLog:

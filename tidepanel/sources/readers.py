@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidepanel.functions.dates import period_start
 from tidepanel.functions.scalars import day_or_null, number_or, safe_name
 from tidepanel.sources import schemas
+from tidepanel.sources.writers import ends_path
 
 # fixed values: spellings of column names that are unified
 RENAMED = {"adj close": "Adj Close", "adj_close": "Adj Close", "close": "Close"}
@@ -99,12 +100,39 @@ def exog_table(df: DataFrame, code: str) -> DataFrame:
     return close_table(df, symbol=safe_name(code), out="value").withColumnRenamed("symbol", "code")
 
 
-def market_symbol(market: DataFrame, symbol: str) -> DataFrame:
-    """Rows of one symbol, any case.
+def read_market(spark: SparkSession, path: str) -> DataFrame:
+    """The stored market table without its partition column."""
+    return spark.read.parquet(path).drop("month")
+
+
+def read_symbol(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+    """Rows of one symbol, any case, from the stored market table.
+
+    The spellings of the name come from the table of ends (a row per symbol), so that the scan gets equal values to
+    compare its row groups with.
+    """
+    ends = spark.read.parquet(ends_path(path))
+    names = [r[0] for r in ends.where(F.lower("symbol") == symbol.lower()).select("symbol").collect()]
+    return read_market(spark, path).where(F.col("symbol").isin(names))
+
 
-    The table is partitioned by symbol, so the comparison runs on the partition
-    values and only the matching folders are read.
+def read_period(spark: SparkSession, path: str, period: str) -> DataFrame:
+    """Rows after ``last date - period`` of each series, from the stored market table.
+
+    Only months that some series needs are scanned: they are found in the table of ends and reach the scan as a value
+    of the running query, whatever the number of series.
     """
+    starts = spark.read.parquet(ends_path(path)).select(
+        "symbol", "last_date", period_start(F.col("last_date"), F.lit(period)).alias("_start"))
+    months = starts.select(F.explode(F.sequence(
+        F.trunc("_start", "month"), F.trunc("last_date", "month"), F.expr("interval 1 month"))).alias("m"))
+    wanted = months.agg(F.collect_set("m")).scalar()
+    rows = spark.read.parquet(path).where(F.array_contains(wanted, F.col("month")))
+    return rows.join(starts.drop("last_date"), "symbol").where(F.col("date") > F.col("_start")).drop("_start", "month")
+
+
+def market_symbol(market: DataFrame, symbol: str) -> DataFrame:
+    """Rows of one symbol, any case and any spelling of the columns."""
     named = market.toDF(*[c.lower() for c in market.columns])
     return named.where(F.lower("symbol") == symbol.lower())
 
@@ -115,11 +143,6 @@ def between_dates(df: DataFrame, start: str, end: str) -> DataFrame:
                     & (F.col("date") < F.lit(end).cast("date")))
 
 
-def since_period(df: DataFrame, period: str, as_of: str) -> DataFrame:
-    """Look-back read with a literal bound, which reaches the file scan."""
-    return df.where(F.col("date") > period_start(F.lit(as_of).cast("date"), F.lit(period)))
-
-
 def wide_close(df: DataFrame, symbols: list[str], key: str = "symbol",
                value: str = "close") -> DataFrame:
     """One column per listed symbol, one row per date."""

@@ -12,11 +12,23 @@ def ordered_columns(df: DataFrame, base=("date", "symbol", "close")) -> DataFram
 
 
 def write_market(df: DataFrame, path: str) -> None:
-    """Market table by symbol folder, days sorted inside each file."""
-    (ordered_columns(df)
-     .repartition("symbol")
-     .sortWithinPartitions("symbol", "date")
-     .write.mode("overwrite").partitionBy("symbol").parquet(path))
+    """Market table by month, inside a month ranged and sorted by symbol.
+
+    The number of folders is that of the months, not of the series; files are as large as adaptive execution makes
+    them, and the row groups of a sorted file rule out other symbols. Beside it (``ends_path``) lies a row per symbol with its
+    first and last date, from which readers find the months of a look-back without scanning.
+    """
+    rows = ordered_columns(df).withColumn("month", F.trunc("date", "month"))
+    (rows.repartitionByRange("month", "symbol").sortWithinPartitions("month", "symbol", "date")
+     .write.mode("overwrite").partitionBy("month").parquet(path))
+    stored = df.sparkSession.read.parquet(path)
+    (stored.groupBy("symbol").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+                                  F.count("*").alias("n"))
+     .write.mode("overwrite").parquet(ends_path(path)))
+
+
+def ends_path(path: str) -> str:
+    return path.rstrip("/").removesuffix(".parquet") + "_ends.parquet"
 
 
 def write_exog(df: DataFrame, path: str) -> None:

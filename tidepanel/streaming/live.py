@@ -15,7 +15,7 @@ from tidepanel.functions.dates import market_open, utc_instant
 from tidepanel.operators.calendar import in_cents
 from tidepanel.plans import news as news_plans
 from tidepanel.plans.views import snapshot_rows
-from tidepanel.sources.merge import BatchLog, VersionedTable, latest_per_key
+from tidepanel.sources.merge import BatchLog, BucketTable, latest_per_key
 
 WATERMARK = "2 days"
 
@@ -51,14 +51,14 @@ def _start(stream: DataFrame, write, checkpoint: str, mode: str, trigger: dict):
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def live_job(bars: DataFrame, fundamentals: DataFrame, table: VersionedTable, checkpoint: str,
+def live_job(bars: DataFrame, fundamentals: DataFrame, table: BucketTable, checkpoint: str,
              *, force: bool = False, trigger: dict | None = None):
-    """Bars -> newest snapshot per symbol, merged into ``table`` (STOCKS)."""
+    """Bars -> newest snapshot per symbol in ``table`` (STOCKS by symbol, the latest ``last_updated`` counts)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("symbol").agg(
             F.max_by(F.struct("close", "open", "last_ts"), "day").alias("r")).select("symbol", "r.*")
-        table.upsert(snapshot_rows(newest, fundamentals), ["symbol"], "last_updated")
+        table.write(snapshot_rows(newest, fundamentals), batch_id, query_id(batch.sparkSession, checkpoint))
 
     return _start(day_ends(bars, force=force), write, checkpoint, "update",
                   trigger or {"availableNow": True})

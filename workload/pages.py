@@ -223,7 +223,7 @@ def _(spark, folder):
     raw = live.file_stream(spark, folder, schema, pattern="events.parquet")
     bars = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"),
                       F.col("value").alias("open"), F.col("value").alias("close"))
-    table = merge.VersionedTable(spark, fresh_path(spark, "stocks"), schemas.STOCKS)
+    table = merge.BucketTable(spark, fresh_path(spark, "stocks"), schemas.STOCKS, ["symbol"], order="last_updated")
     job = live.live_job(bars, I.fundamentals(spark, folder), table, fresh_path(spark, "ckpt"))
     job.awaitTermination()
     return table.read()
@@ -321,9 +321,9 @@ def _(spark, folder):
     found = news_plans.relevant(I.articles(spark, folder), I.ALIASES).withColumn(
         "updated_at", F.lit("2024-02-01").cast("timestamp_ntz"))
     two = F.lit("2024-01-01 02:00:00").cast("timestamp_ntz")
-    table = merge.VersionedTable(spark, fresh_path(spark, "news"), schemas.NEWS)
-    table.replace(found.where(F.col("published") < two), "symbol")
-    table.replace(found.where((F.col("published") >= two) & (F.col("symbol") != "Is")), "symbol")
+    table = merge.BucketTable(spark, fresh_path(spark, "news"), schemas.NEWS, ["symbol"], order=None)
+    table.write(found.where(F.col("published") < two))
+    table.write(found.where((F.col("published") >= two) & (F.col("symbol") != "Is")))
     return table.read().groupBy("symbol").agg(
         F.count("*").alias("n"), F.min("published").alias("first_at"))
 
@@ -333,13 +333,13 @@ def _(spark, folder):
 def _(spark, folder):
     """Two batches merged into a stored table, the second one twice."""
     rows = stored_runs(spark, folder).drop("event_id")
-    table = merge.VersionedTable(spark, fresh_path(spark, "runs"), schemas.FORECAST_RUNS)
-    half = F.lit("2024-01-15").cast("timestamp_ntz")
     key = ["symbol", "model", "steps"]
-    table.upsert(merge.latest_per_key(rows.where(F.col("updated_at") < half), key), key)
+    table = merge.BucketTable(spark, fresh_path(spark, "runs"), schemas.FORECAST_RUNS, key)
+    half = F.lit("2024-01-15").cast("timestamp_ntz")
+    table.write(merge.latest_per_key(rows.where(F.col("updated_at") < half), key))
     late = merge.latest_per_key(rows.where(F.col("updated_at") >= half), key)
-    table.upsert(late, key)
-    table.upsert(late, key)
+    table.write(late)
+    table.write(late)
     return table.read().select("symbol", "model", "steps", r("backtest_mae", 4),
                                r("last_price", 4), "updated_at")
 

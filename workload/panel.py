@@ -407,7 +407,35 @@ def _(spark, folder):
 
     path = fresh_path(spark, "market")
     write_market(market_frame(spark, folder), path)
-    back = readers.market_symbol(spark.read.parquet(path), "5-low")
+    back = readers.read_symbol(spark, path, "5-low")
     return back.groupBy("symbol").agg(
         F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"),
         F.round(F.sum("close"), 2).alias("total"))
+
+
+@query("stored_period", sql("""
+  SELECT p.symbol, COUNT(*) AS n, MIN(p.date) AS lo, MAX(p.date) AS hi, ROUND(SUM(p.close), 2) AS total
+  FROM supplier_panel p JOIN (SELECT symbol, MAX(date) AS hi FROM supplier_panel GROUP BY 1) b USING (symbol)
+  WHERE p.date > CAST(b.hi - INTERVAL 6 MONTH AS DATE) GROUP BY 1""", "supplier_panel"))
+def _(spark, folder):
+    """Write the market table of all suppliers, read the last six months of each series back."""
+    from tidepanel.session import fresh_path
+    from tidepanel.sources.writers import write_market
+
+    path = fresh_path(spark, "market")
+    write_market(I.supplier_panel(spark, folder), path)
+    return readers.read_period(spark, path, "6mo").groupBy("symbol").agg(
+        F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"),
+        F.round(F.sum("close"), 2).alias("total"))
+
+
+@query("stored_symbols", sql("""SELECT symbol, MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS n FROM supplier_panel GROUP BY 1""",
+       "supplier_panel"))
+def _(spark, folder):
+    """The table of ends beside a stored market table."""
+    from tidepanel.session import fresh_path
+    from tidepanel.sources.writers import ends_path, write_market
+
+    path = fresh_path(spark, "market")
+    write_market(I.supplier_panel(spark, folder), path)
+    return spark.read.parquet(ends_path(path))
