@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel import settings as S
 from tidepanel.plans import arima, drift, evaluate, learned, refresh
-from tidepanel.plans.regression import least_squares, unpack
+from tidepanel.plans.regression import least_squares, product_squares, unpack
 
 RNG = np.random.default_rng(21)
 
@@ -62,20 +62,135 @@ def test_levels_with_constant_and_two_lags(weekdays):
     assert row["path"] == pytest.approx(hist[-3:], rel=1e-8)
 
 
-def test_seasonal_order_against_direct_regression(weekdays):
-    y = 100 + RNG.normal(size=200).cumsum() + np.tile([0, 3, 1, -2, 5], 40)
-    row = arima.forecast_all(weekdays({"S": list(y)}), models=["sarima"], steps=[7], kinds=("future",),
-                             params={("S", "sarima"): (1, 1, 0, 1, 1, 0, 20)}).first()
-    m = 5  # by the horizon rule
-    w = np.diff(y)[m:] - np.diff(y)[:-m]
-    z = np.column_stack([w[m - 1:-1], w[:-m]])
-    beta, *_ = np.linalg.lstsq(z, w[m:], rcond=None)
-    hist, ws = list(y), list(w)
-    for _ in range(5):
-        ws.append(beta @ [ws[-1], ws[-m]])
-        hist.append(ws[-1] + hist[-1] + hist[-m] - hist[-m - 1])
-    assert row["m"] == 5
-    assert row["path"] == pytest.approx(hist[-5:], rel=1e-8)
+def _multiplicative(w, m, own, seasonal, start):
+    """Coefficients of lags 1..own and m..seasonal*m with their products, by Newton steps on the rows themselves."""
+    def residuals(beta):
+        one = np.zeros(own + 1)
+        one[0], one[1:] = 1, -beta[:own]
+        two = np.zeros(seasonal * m + 1)
+        two[0], two[m::m] = 1, -beta[own:]
+        poly = np.convolve(one, two)
+        return np.array([poly @ w[t - len(poly) + 1:t + 1][::-1] for t in range(len(poly) - 1, len(w))])
+
+    beta = np.zeros(own + seasonal)
+    for _ in range(60):
+        base = residuals(beta)
+        jac = np.column_stack([(residuals(beta + 1e-6 * np.eye(len(beta))[i]) - base) / 1e-6 for i in range(len(beta))])
+        beta = beta - np.linalg.lstsq(jac, base, rcond=None)[0]
+    return beta, residuals(beta)
+
+
+def test_seasonal_orders_are_multiplicative(weekdays):
+    """Ten series against Gauss-Newton on their rows: coefficients, criterion and forecast."""
+    m, table = 5, {}
+    for k in range(10):
+        w = np.zeros(160)
+        for t in range(6, 160):
+            w[t] = 0.5 * w[t - 1] + 0.4 * w[t - 5] - 0.2 * w[t - 6] + RNG.normal()
+        y = np.concatenate([100 + RNG.normal(size=6), np.zeros(160)])
+        for t in range(160):
+            y[t + 6] = w[t] + y[t + 5] + y[t + 1] - y[t]
+        table[f"S{k}"] = list(y)
+    fits = arima.forecast_all(weekdays(table), models=["sarima"], steps=[7], kinds=("future",), params={},
+                              defaults={"sarima": (1, 1, 0, 1, 1, 0, 20)}).collect()
+    assert len(fits) == 10
+    for row in fits:
+        y = np.array(table[row["symbol"]])
+        w = np.diff(y)[m:] - np.diff(y)[:-m]
+        beta, res = _multiplicative(w, m, 1, 1, 6)
+        assert row["m"] == 5 and row["n_used"] == len(res)
+        assert [row["coefs"]["a1"], row["coefs"]["s1"]] == pytest.approx(list(beta), rel=1e-5)
+        assert row["aic"] == pytest.approx(len(res) * np.log(res @ res / len(res)) + 4, rel=1e-8)
+        hist, ws = list(y), list(w)
+        for _ in range(5):
+            ws.append(beta[0] * ws[-1] + beta[1] * ws[-m] - beta[0] * beta[1] * ws[-m - 1])
+            hist.append(ws[-1] + hist[-1] + hist[-m] - hist[-m - 1])
+        assert row["path"] == pytest.approx(hist[-5:], rel=1e-5)
+
+
+def test_products_by_gauss_newton_leave_no_slope():
+    z = RNG.normal(size=(200, 5))
+    y = z[:, 0] * 0.5 + z[:, 1] * 0.3 - 0.15 * z[:, 2] + 0.2 * z[:, 3] + RNG.normal(size=200)
+    data = np.column_stack([y, z[:, 0], z[:, 1], z[:, 3], z[:, 2]])
+    beta, rss = product_squares(data.T @ data, 3, [(0, 1, -1.0)])
+
+    def loss(b):
+        r = y - z[:, 0] * b[0] - z[:, 1] * b[1] - z[:, 3] * b[2] + z[:, 2] * b[0] * b[1]
+        return float(r @ r)
+
+    assert loss(beta) == pytest.approx(rss)
+    for i in range(3):
+        step = 1e-5 * np.eye(3)[i]
+        assert abs(loss(beta + step) - loss(beta - step)) / 2e-5 < 1e-3
+
+
+def test_two_stages_equal_regressions_on_the_rows(weekdays):
+    """An order with moving-average terms, for the whole series and for a holdout."""
+    e = RNG.normal(size=400)
+    y = 100 + (e[1:] + 0.6 * e[:-1]).cumsum()
+    fits = arima.forecast_all(weekdays({"S": list(y)}), models=["arima"], steps=[7],
+                              params={("S", "arima"): (1, 1, 2, 0, 0, 0, 0)}).collect()
+    for row in fits:
+        w = np.diff(y[:-5] if row["kind"] == "backtest" else y)
+        z = np.column_stack([w[8 - b:len(w) - b] for b in range(1, 9)])
+        long, *_ = np.linalg.lstsq(z, w[8:], rcond=None)
+        res = np.concatenate([np.full(8, np.nan), w[8:] - z @ long])
+        x = np.column_stack([w[9:-1], res[9:-1], res[8:-2]])
+        beta, *_ = np.linalg.lstsq(x, w[10:], rcond=None)
+        assert row["n_used"] == len(w) - 10
+        assert [row["coefs"][c] for c in ("a1", "e1", "e2")] == pytest.approx(list(beta), rel=1e-6)
+        ws, es, level, path = list(w), list(res), row["last_price"], []
+        for _ in range(5):
+            ws.append(beta @ [ws[-1], es[-1], es[-2]])
+            es.append(0.0)
+            level += ws[-1]
+            path.append(level)
+        assert row["path"] == pytest.approx(path, rel=1e-7)
+
+
+def test_rows_do_not_grow_with_holdouts_and_orders(weekdays):
+    panel = weekdays({"A": list(_ar_series(300)), "B": list(_ar_series(300))})
+
+    def summed(orders, holdouts):
+        design = arima.design_of([(o, False) for o in orders], holdouts, ())
+        return arima.segment_sums(panel, design).agg(F.sum("n_rows")).first()[0]
+
+    few, many = [arima.Order(1, 1, 0)], [arima.Order(p, 1, 0) for p in range(4)]
+    assert summed(few, []) == summed(many, [5, 126, 252]) == 600
+    assert summed([*many, arima.Order(1, 0, 1)], [5]) == 1200  # one more differencing
+
+
+def test_a_table_of_orders_chooses_the_columns(spark, weekdays):
+    panel = weekdays({"A": list(_ar_series(300)), "B": list(_ar_series(300, 0.8)), "C": list(_ar_series(300))})
+    grid = [arima.Order(p, d, q) for p in range(3) for d in range(2) for q in range(2)]
+    table = arima.tuned(panel.where("symbol <> 'C'"), grid, ["arima"])
+    chosen = {r["symbol"]: tuple(r[c] for c in arima.ORDER_COLUMNS) for r in table.collect()}
+    options = dict(models=["arima"], steps=[7], defaults={"arima": (1, 1, 0, 0, 0, 0, 0)})
+    by_table = arima.forecast_all(panel, params=table, grid=grid, **options)
+    by_config = arima.forecast_all(panel, params={(s, "arima"): o for s, o in chosen.items()}, **options)
+    got, want = ({(r["symbol"], r["kind"]): r for r in f.collect()} for f in (by_table, by_config))
+    assert len(got) == 6
+    for key, row in got.items():
+        assert row["status"] == "ok" and tuple(row[c] for c in arima.ORDER_COLUMNS) == chosen.get(key[0], (1, 1, 0, 0, 0, 0, 0))
+        assert row["n_used"] == want[key]["n_used"] and row["path"] == pytest.approx(want[key]["path"], rel=1e-6)
+    odd = spark.createDataFrame([("A", "arima", 12, 1, 0, 0, 0, 0)], "symbol string, model string, p int, d int, q int, sp int, sd int, sq int")
+    rows = {r["symbol"]: r for r in arima.forecast_all(panel, params=odd, grid=grid, kinds=("future",), **options).collect()}
+    assert rows["A"]["status"] == "error" and "not in the grid" in rows["A"]["error"] and rows["B"]["status"] == "ok"
+    with pytest.raises(ValueError, match="grid"):
+        arima.forecast_all(panel, params=odd, **options)
+    only = spark.createDataFrame([("A", "arima", 7)], "symbol string, model string, steps int")
+    assert {r["symbol"] for r in arima.forecast_all(panel, params={}, only=only, **options).collect()} == {"A"}
+
+
+def test_a_null_price_leaves_out_the_rows_that_need_it(weekdays):
+    y = list(_ar_series(200))
+    df = weekdays({"S": y[:100] + [None] + y[101:]})
+    row = arima.forecast_all(df, models=["arima"], steps=[7], kinds=("future",), params={},
+                             defaults={"arima": (1, 1, 0, 0, 0, 0, 0)}).first()
+    w = np.diff(np.array(y[:100] + [np.nan] + y[101:]))
+    a, b = w[1:], w[:-1]
+    ok = ~np.isnan(a) & ~np.isnan(b)
+    assert row["n_used"] == ok.sum() and row["coefs"]["a1"] == pytest.approx((a[ok] @ b[ok]) / (b[ok] @ b[ok]))
 
 
 def test_exogenous_with_known_future(weekdays):

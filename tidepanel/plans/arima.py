@@ -1,21 +1,24 @@
 """ARIMA, seasonal and exogenous models for many series in one job.
 
-The estimates are least squares on lagged values (two-stage regression in the
-manner of Hannan and Rissanen when there are moving-average terms), not maximum
-likelihood.
-
-* ``Sample`` = one differencing (d, D, m) on all rows but the last ``holdout``.
-  Every order on the same sample shares one matrix of cross products.
-* Each row gives one design vector per sample its series needs; the vectors are
-  summed per (series, sample). The panel is shuffled once, by series.
-* Per (series, model, horizon, kind) a small numpy step solves the k x k system
-  and rolls the forecast forward. A failing key reports its error as a row.
+The estimates are conditional least squares (two-stage regression in the manner of Hannan and Rissanen when there are
+moving-average terms), not maximum likelihood. Seasonal models are multiplicative: lag i + j m has the product of
+the coefficients of lag i and lag j m.
+
+* A ``Kind`` is one differencing (d, D, m). A row of a series gives one vector per kind that its orders use: all lags
+  that some order of the job needs, a one and the differenced exog columns.
+* The products of these columns are summed per (series, kind, segment), where segments lie between the borders of the
+  held-out parts and keep apart the rows whose lags are not all known. Such sums add up: every holdout and every order is
+  a sum of segments, so neither multiplies the rows. Residuals of a first stage are linear in the same columns, so their
+  products follow from the same sums and no second pass is needed.
+* An order is a row of a table. It chooses its columns in the sums of its kind, so tuned orders are joined and not
+  written into the plan. Per (series, model, horizon, part) a small numpy step solves for the coefficients and rolls the
+  forecast forward. A failing key reports its error as a row.
 """
 
 from __future__ import annotations
 
 import itertools
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidepanel import settings as S
 from tidepanel.functions.dates import business_horizon, next_business_days, seasonal_period
 from tidepanel.operators.rolling import numbered
-from tidepanel.plans.regression import aic, grouped_products, least_squares, unpack
+from tidepanel.plans.regression import aic, cross_products, least_squares, product_squares, unpack
 
 LONG_AR = 8  # order of the first-stage autoregression
 
@@ -42,59 +45,89 @@ class Order:
     Q: int = 0
     m: int = 0
 
+    @property
+    def kind(self) -> tuple[int, int, int]:
+        return self.d, self.D, self.m
 
-@dataclass(frozen=True)
-class Sample:
-    d: int
-    D: int
-    m: int
-    holdout: int
-    own: Shape | None = None  # lags its rows must have; those of the job where there is none
+    @property
+    def moving(self) -> bool:
+        return self.q + self.Q > 0
+
+    def own_lags(self) -> list[int]:
+        """Lags of the series, products included."""
+        return _products(self.p, self.P, self.m)
+
+    def error_lags(self) -> list[int]:
+        return _products(self.q, self.Q, self.m)
+
+    def first_lags(self) -> list[int]:
+        """Lags of the long autoregression behind the residuals."""
+        season = [j * self.m for j in range(1, max(self.P, 1) + 1)] if self.m else []
+        return sorted({*range(1, max(self.p, LONG_AR) + 1), *season})
+
+
+def _products(plain: int, seasonal: int, m: int) -> list[int]:
+    return sorted({i + j * m for i in range(plain + 1) for j in range(seasonal + 1 if m else 1)} - {0})
 
 
 @dataclass(frozen=True)
-class Shape:
-    """Widest lags among the orders of a job; fixes the columns of the design."""
+class Needs:
+    """Columns that must be known on a row: lags of the series (0 is the value itself), and exog."""
 
-    p: int
-    q: int
-    P: int
-    Q: int
-    exog: tuple[str, ...]
+    lags: frozenset[int]
+    exog: bool = False
 
-    @property
-    def moving(self) -> bool:
-        return self.q + self.Q > 0
 
-    @property
-    def depth(self) -> int:
-        """Lags on each design row; the first stage needs its long autoregression."""
-        return max(self.p, LONG_AR if self.moving else 0)
+def first_needs(order: Order) -> Needs:
+    return Needs(frozenset([0, *order.first_lags()]))
 
-    @property
-    def multiples(self) -> int:
-        return max(self.P, 1 if self.moving else 0)
 
-    @property
-    def first(self) -> list[str]:
-        """Columns of the first-stage regression."""
-        return (["y", "one"] + [f"a{i}" for i in range(1, self.depth + 1)]
-                + [f"s{i}" for i in range(1, self.multiples + 1)])
+def second_needs(order: Order, exog: bool) -> Needs:
+    back = [0, *order.first_lags()] if order.moving else []
+    return Needs(frozenset([0, *order.own_lags(), *(s + b for s in order.error_lags() for b in back)]), exog)
 
-    @property
-    def second(self) -> list[str]:
-        return (["y", "one"] + [f"a{i}" for i in range(1, self.p + 1)]
-                + [f"s{i}" for i in range(1, self.P + 1)]
-                + [f"e{i}" for i in range(1, self.q + 1)]
-                + [f"f{i}" for i in range(1, self.Q + 1)]
-                + [f"x{i}" for i in range(1, len(self.exog) + 1)])
 
+@dataclass(frozen=True)
+class Design:
+    """What a job sums: lags and needs of each kind, the holdouts, the exog columns."""
+
+    lags: dict[tuple[int, int, int], list[int]]
+    needs: dict[tuple[int, int, int], list[Needs]]
+    holdouts: list[int]
+    exog: tuple[str, ...]
+
+    @property
+    def kinds(self) -> list[tuple[int, int, int]]:
+        return sorted(self.lags)
 
-def shape_of(orders: list[Order], exog: tuple[str, ...] = ()) -> Shape:
-    def top(k):
-        return max((getattr(o, k) for o in orders), default=0)
+    @property
+    def width(self) -> int:
+        """Columns: one, exog, lags; kinds with fewer lags leave the last ones empty."""
+        return 1 + len(self.exog) + max(map(len, self.lags.values()))
 
-    return Shape(top("p"), top("q"), top("P"), top("Q"), tuple(exog))
+    @property
+    def tail(self) -> int:
+        """Last rows of a series from which every forecast of the job can start, and the held-out ones."""
+        reach = max(d + m * D + max(self.lags[(d, D, m)]) for d, D, m in self.kinds)
+        return reach + max(self.holdouts) + 2
+
+
+def design_of(orders: list[tuple[Order, bool]], holdouts: list[int], exog: tuple[str, ...], *,
+              shared: bool = False) -> Design:
+    """``orders`` come with their use of exog. With ``shared`` all orders of a kind use the same rows, those on which all can
+    be fitted, so that their criteria can be compared."""
+    lags: dict = {}
+    needs: dict = {}
+    for order, uses in orders:
+        uses = uses and bool(exog)
+        mine = {second_needs(order, uses), *([first_needs(order)] if order.moving else [])}
+        needs.setdefault(order.kind, set()).update(mine)
+        lags.setdefault(order.kind, set()).update(*(n.lags for n in mine))
+    if shared:
+        needs = {k: {Needs(frozenset(lags[k]), any(n.exog for n in v))} for k, v in needs.items()}
+    return Design({k: sorted(v) for k, v in lags.items()},
+                  {k: sorted(v, key=lambda n: (sorted(n.lags), n.exog)) for k, v in needs.items()},
+                  sorted({0, *holdouts}), tuple(exog))
 
 
 def difference_weights(d: int, D: int, m: int) -> np.ndarray:
@@ -119,17 +152,21 @@ def parameter_rows(spark, orders: dict[tuple[str, str], tuple]) -> DataFrame:
 
 
 def work_grid(symbols: DataFrame, models: list[str], steps: list[int]) -> DataFrame:
-    """symbols x models x horizons, by expanding two literal arrays."""
+    """symbols x models x horizons, by expanding two literal arrays; other columns stay."""
+    rest = [c for c in symbols.columns if c != "symbol"]
     return symbols.select(
-        "symbol", F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
-    ).select("symbol", "model", F.explode(F.array(*[F.lit(int(s)) for s in steps])).alias("steps"))
+        "symbol", *rest, F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+    ).select("symbol", "model", *rest, F.explode(F.array(*[F.lit(int(s)) for s in steps])).alias("steps"))
 
 
-def with_parameters(grid: DataFrame, params: DataFrame,
-                    defaults: dict[str, tuple] | None = None) -> DataFrame:
+def with_parameters(grid: DataFrame, params: DataFrame, defaults: dict[str, tuple] | None = None,
+                    season: int | None = None) -> DataFrame:
     """Order per (symbol, model), the default where none is configured, seasonal
-    period by the horizon rule. Non-seasonal models have no seasonal part."""
-    joined = grid.join(F.broadcast(params), ["symbol", "model"], "left")
+    period by the horizon rule or ``season``. Non-seasonal models have no seasonal part.
+
+    ``params`` may have a row per series; how it is joined is left to its measured size.
+    """
+    joined = grid.join(params.select("symbol", "model", *ORDER_COLUMNS[:-1]), ["symbol", "model"], "left")
     out = joined
     for i, name in enumerate(ORDER_COLUMNS[:-1]):
         plain = (S.DEFAULT_ORDER + S.DEFAULT_SEASONAL)[i]
@@ -141,253 +178,219 @@ def with_parameters(grid: DataFrame, params: DataFrame,
     for name in ("sp", "sd", "sq"):
         out = out.withColumn(name, F.when(seasonal, F.col(name)).otherwise(0))
     bdays = business_horizon(F.col("steps"))
-    return out.withColumns({
-        "h": bdays, "m": F.when(seasonal, seasonal_period(bdays)).otherwise(0),
-    })
+    period = seasonal_period(bdays) if season is None else F.lit(season)
+    return out.withColumns({"h": bdays, "m": F.when(seasonal, period).otherwise(0).cast("int")})
 
 
-def configured_tasks(params: dict[tuple[str, str], tuple], models: list[str], steps: list[int],
-                     kinds: tuple[str, ...], defaults: dict[str, tuple] | None = None,
-                     season: int | None = None, exog: tuple[str, ...] = ()):
-    """The tasks of every configured symbol and of all others, from configuration alone.
-
-    Returns (tasks per symbol, tasks of the rest, samples). A task names its order and
-    the sample it is fitted on. A sample holds the rows that its own order can use, whatever
-    other orders are in the job. ``season`` overrides the horizon rule.
-    """
-    def tasks_of(symbol: str | None) -> list[tuple[Sample, dict]]:
-        out = []
-        for model, s, kind in itertools.product(models, steps, kinds):
-            h = S.business_horizon(s)
-            fallback = (defaults or {}).get(model, S.DEFAULT_ORDER + S.DEFAULT_SEASONAL)
-            o = params.get((symbol, model), fallback)
-            m = season or (5 if h <= 30 else 20 if h <= 365 else 252)
-            seasonal = (o[3], o[4], o[5], m) if model != "arima" else (0, 0, 0, 0)
-            order = Order(o[0], o[1], o[2], *seasonal)
-            task = {"model": model, "steps": s, "kind": kind, "h": h, "p": order.p, "d": order.d,
-                    "q": order.q, "sp": order.P, "sd": order.D, "sq": order.Q, "m": order.m,
-                    "use_exog": model == "sarimax"}
-            own = Shape(order.p, order.q, order.P, order.Q, exog if task["use_exog"] else ())
-            out.append((Sample(order.d, order.D, order.m, h if kind == "backtest" else 0, own), task))
-        return out
-
-    named = {sym: tasks_of(sym) for sym in sorted({k[0] for k in params})}
-    rest = tasks_of(None)
-    samples = sorted({smp for tasks in [*named.values(), rest] for smp, _ in tasks},
-                     key=lambda x: (x.d, x.D, x.m, x.holdout, astuple(x.own)))
-
-    def numbered_tasks(tasks):
-        return [task | {"sample": samples.index(smp)} for smp, task in tasks]
-
-    return {k: numbered_tasks(v) for k, v in named.items()}, numbered_tasks(rest), samples
-
-
-TASK_TYPE = ("array<struct<model:string,steps:int,kind:string,h:int,p:int,d:int,q:int,sp:int,"
-             "sd:int,sq:int,m:int,use_exog:boolean,sample:int>>")
-
-
-def with_tasks(df: DataFrame, named: dict[str, list[dict]], rest: list[dict]) -> DataFrame:
-    """``tasks`` per row by its symbol. The joined table has one row per configured
-    symbol, so it is broadcast; every other symbol takes the default list."""
-    table = df.sparkSession.createDataFrame(list(named.items()), f"symbol string, _own {TASK_TYPE}")
-    structs = ["named_struct(" + ", ".join(f"'{k}', {v!r}" for k, v in t.items()) + ")" for t in rest]
-    default = f"cast(array({', '.join(structs)}) as {TASK_TYPE})"
-    return df.join(F.broadcast(table), "symbol", "left").withColumn(
-        "tasks", F.expr(f"coalesce(_own, {default})")).drop("_own")
-
-
-# ---- design -----------------------------------------------------------------
+# ---- sums -------------------------------------------------------------------
 _OVER = "over (partition by symbol order by date)"
 
 
-def _class_name(d: int, D: int, m: int) -> str:
-    return f"w_{d}_{D}_{m}"
+def _name(kind) -> str:
+    return "w_{}_{}_{}".format(*kind)
 
 
-def _class_columns(panel: DataFrame, samples: list[Sample], shape: Shape) -> DataFrame:
-    """Differenced value, its lags and differenced exog for each (d, D, m).
+def _lagged(panel: DataFrame, design: Design) -> DataFrame:
+    """Differenced value and exog of each kind, and the lags of the former.
 
-    Two projections over one sorted pass of each series; the expressions are texts
-    because there are many of them.
+    Two projections over one sorted pass of each series; the expressions are texts because there are many of them.
     """
-    kinds = sorted({(s.d, s.D, s.m) for s in samples})
-
     def differenced(name: str, kind) -> str:
         terms = [f"({c}d * " + (f"lag(`{name}`, {i}) {_OVER})" if i else f"`{name}`)")
                  for i, c in enumerate(difference_weights(*kind)) if c]
         return " + ".join(terms)
 
     level, lagged = ["*"], ["*"]
-    for kind in kinds:
-        name = _class_name(*kind)
+    for i, c in enumerate(design.exog, 1):
+        level.append(f"try_divide(`{c}`, lag(`{c}`) {_OVER}) - 1 as _r{i}")
+    for kind in design.kinds:
+        name = _name(kind)
         level.append(f"{differenced('close', kind)} as {name}")
-        level += [f"{differenced(c, kind)} as {name}_x{i}" for i, c in enumerate(shape.exog, 1)]
-        lagged += [f"lag({name}, {i}) {_OVER} as {name}_a{i}" for i in range(1, shape.depth + 1)]
-        for i in range(1, shape.multiples + 1):
-            back = f"lag({name}, {i * kind[2]}) {_OVER}" if kind[2] else "0d"
-            lagged.append(f"{back} as {name}_s{i}")
+        level += [f"{differenced(c, kind)} as {name}_x{i}" for i, c in enumerate(design.exog, 1)]
+        lagged += [f"lag({name}, {i}) {_OVER} as {name}_{i}" for i in design.lags[kind] if i]
     return panel.selectExpr(*level).selectExpr(*lagged)
 
 
-def _sample_struct(i: int, s: Sample, shape: Shape) -> str:
-    name = _class_name(s.d, s.D, s.m)
-    fields = {"sample": str(i), "holdout": str(s.holdout), "season": str(s.m), "y": name,
-              "one": "1d" if s.d + s.D == 0 else "0d"}
-    fields |= {f"a{j}": f"{name}_a{j}" for j in range(1, shape.depth + 1)}
-    fields |= {f"s{j}": f"{name}_s{j}" for j in range(1, shape.multiples + 1)}
-    fields |= {f"x{j}": f"{name}_x{j}" for j in range(1, len(shape.exog) + 1)}
+def _kind_struct(i: int, kind, design: Design) -> str:
+    """One design row: the kind, which needs are met (as bits) and the columns."""
+    name = _name(kind)
+    lag = {k: f"{name}_{k}" if k else name for k in design.lags[kind]}
+    moves = [f"{name}_x{j}" for j in range(1, len(design.exog) + 1)]
+
+    def met(bit: int, need: Needs) -> str:
+        cols = [lag[k] for k in sorted(need.lags)] + (moves if need.exog else [])
+        return f"case when {' and '.join(f'{c} is not null' for c in cols)} then {1 << bit}L else 0L end"
+
+    known = " + ".join(met(b, n) for b, n in enumerate(design.needs[kind]))
+    columns = ["1d"] + [f"coalesce({c}, 0d)" for c in moves + [lag[k] for k in design.lags[kind]]]
+    columns += ["0d"] * (design.width - len(columns))
+    fields = {"kind": str(i), "known": known} | {f"z{j}": c for j, c in enumerate(columns)}
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def design_rows(panel: DataFrame, samples: list[Sample], shape: Shape,
-                betas: DataFrame | None = None) -> DataFrame:
-    """One row per (series row, sample its tasks name). ``betas`` holds one row per
-    series and is joined on the key the panel is partitioned by."""
-    rows = _class_columns(numbered(panel), samples, shape)
-    structs = "array(" + ", ".join(_sample_struct(i, s, shape) for i, s in enumerate(samples)) + ")"
-    keep = []
-    if "tasks" in panel.columns:
-        structs = f"filter({structs}, s -> exists(tasks, t -> t.sample = s.sample))"
-    if betas is not None:
-        rows = rows.join(betas, "symbol")
-        keep = ["first_beta"]
-    exog = ", ".join(f"`{c}`" for c in shape.exog)
-    levels = f"cast(array({exog}) as array<double>) as xs"
-    return rows.selectExpr("symbol", "date", "rn", "n", "close", levels, *keep,
-                           f"inline({structs})").selectExpr(
-        "*", "rn <= n - holdout as train")
-
-
-def _complete(samples: list[Sample], columns) -> str:
-    """Rows of the training part on which the columns of their sample's shape are known."""
-    def known(cols):
-        return " and ".join(f"{c} is not null" for c in cols)
-
-    cases = " ".join(f"when {i} then {known(columns(s))}" for i, s in enumerate(samples))
-    return f"train and case sample {cases} end as usable"
-
-
-def _first_stage(samples: list[Sample], shape: Shape):
-    """Coefficients of a sample's long autoregression, 0 for lags that are not its own."""
-    cols = shape.first
-    mine = [{cols.index(c) for c in (s.own or shape).first} for s in samples]
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(gram: pd.Series, sample: pd.Series) -> pd.Series:
-        out = []
-        for cells, i in zip(gram, sample):
-            full = unpack(cells, len(cols))
-            use = [j for j in range(1, len(cols)) if j in mine[i] and full[j, j] > 0]
-            beta, _ = least_squares(full, use)
-            coefs = np.zeros(len(cols) - 1)
-            coefs[[j - 1 for j in use]] = beta
-            out.append(coefs.tolist())
-        return pd.Series(out)
+def segment_sums(panel: DataFrame, design: Design) -> DataFrame:
+    """(symbol, kind, seg, known, n_rows, gram, moves): the sums of each segment, one pass over the panel.
 
-    return solve
-
-
-def _with_residuals(panel: DataFrame, samples: list[Sample], shape: Shape) -> DataFrame:
-    """Design rows with lagged residuals of a long autoregression."""
-    cols = shape.first
-    first = [(x.own or shape).first for x in samples]
-    plain = design_rows(panel, samples, shape).selectExpr("*", _complete(samples, lambda x: (x.own or shape).first))
-    sums = grouped_products(plain, ["symbol", "sample"], cols, "usable")
-    solve = _first_stage(samples, shape)
-    betas = sums.select(
-        "symbol", F.struct("sample", solve("gram", "sample").alias("b")).alias("sb")
-    ).groupBy("symbol").agg(F.map_from_entries(F.collect_list("sb")).alias("first_beta"))
-
-    def term(i: int, c: str) -> str:
-        users = [str(k) for k, names in enumerate(first) if c in names]
-        product = f"get(beta, {i}) * {c}"
-        return product if len(users) == len(samples) else (
-            f"case when sample in ({', '.join(users)}) then {product} else 0d end" if users else "0d")
-
-    fitted = " + ".join(term(i, c) for i, c in enumerate(cols[1:]))
-    over = "over (partition by symbol, sample order by rn)"
-    back = [f"lag(e, {i}) {over} as e{i}" for i in range(1, shape.q + 1)]
-    # seasonal residual lags differ by the period of the sample
-    seasons = sorted({s.m for s in samples if s.m})
-    for j in range(1, shape.Q + 1):
-        cases = " ".join(f"when season = {m} then lag(e, {j * m}) {over}" for m in seasons)
-        back.append(f"case {cases} else 0d end as f{j}" if seasons else f"0d as f{j}")
-    return (
-        design_rows(panel, samples, shape, betas)
-        .selectExpr("*", "try_element_at(first_beta, sample) as beta")
-        .selectExpr("*", f"y - ({fitted}) as e")
-        .drop("beta", "first_beta")
-        .selectExpr("*", *back)
-    )
-
-
-def sample_summaries(panel: DataFrame, samples: list[Sample], shape: Shape) -> DataFrame:
-    """One row per (symbol, sample): cross products, the last rows of the training
-    part and the held-out rows. Both lists are bounded by the lags and the horizon."""
-    if shape.moving:
-        rows = _with_residuals(panel, samples, shape)
-    else:
-        rows = design_rows(panel, samples, shape).withColumn("e", F.lit(0.0))
-    cols = shape.second
-    reach = max(s.d + s.m * s.D + max(shape.p, s.m * shape.P, shape.q, s.m * shape.Q, 1)
-                for s in samples)
-    over = "over (partition by symbol, sample order by rn)"
-    moves = [f"try_divide(xs[{i}], lag(xs[{i}]) {over}) - 1 as xr{i}"
-             for i in range(len(shape.exog))]
-    rows = rows.selectExpr("*", _complete(samples, lambda x: (x.own or shape).second), *moves)
-    tail = "named_struct('rn', rn, 'date', date, 'close', close, 'e', coalesce(e, 0d), 'xs', xs)"
-    test = "named_struct('rn', rn, 'date', date, 'close', close, 'xs', xs)"
-    count = range(len(shape.exog))
-    mean = ", ".join(f"avg(case when train then xr{i} end)" for i in count)
-    std = ", ".join(f"coalesce(stddev_samp(case when train then xr{i} end), 0d)" for i in count)
-    return grouped_products(
-        rows, ["symbol", "sample"], cols, "usable",
-        F.expr("sum(cast(train as long))").alias("n_train"),
-        F.expr(f"array_sort(collect_list(case when train and rn > n - holdout - {reach} "
-               f"then {tail} end))").alias("tail"),
-        F.expr(f"array_sort(collect_list(case when not train then {test} end))").alias("test"),
-        F.expr(f"cast(array({mean}) as array<double>)").alias("x_mean"),
-        F.expr(f"cast(array({std}) as array<double>)").alias("x_std"),
-    )
+    ``seg`` counts the holdouts a row falls into, ``known`` has a bit for each need that it meets. ``moves`` are
+    number, sum and sum of squares of the relative changes of the exog columns. A panel may carry ``kinds``, the
+    numbers of the kinds each series needs.
+    """
+    structs = "array(" + ", ".join(_kind_struct(i, k, design) for i, k in enumerate(design.kinds)) + ")"
+    if "kinds" in panel.columns:
+        structs = f"filter({structs}, s -> array_contains(kinds, s.kind))"
+    seg = " + ".join(f"cast(n - rn < {h} as int)" for h in design.holdouts if h) or "0"
+    moves = [f"_r{i}" for i in range(1, len(design.exog) + 1)]
+    rows = _lagged(numbered(panel), design).selectExpr("symbol", f"{seg} as seg", *moves, f"inline({structs})")
+    sums = ", ".join(f"array(cast(count({r}) as double), coalesce(sum({r}), 0d), coalesce(sum({r} * {r}), 0d))" for r in moves)
+    return rows.groupBy("symbol", "kind", "seg", "known").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        cross_products([f"z{j}" for j in range(design.width)], None).alias("gram"),
+        F.expr(f"cast(array({sums}) as array<array<double>>)").alias("moves"))
+
+
+def _summaries(panel: DataFrame, design: Design) -> DataFrame:
+    """One row per series: the sums of its kinds, its length and its last rows. All are bounded by the job's orders and
+    horizons, whatever the length of the series."""
+    parts = segment_sums(panel, design).groupBy("symbol").agg(
+        F.collect_list(F.struct("kind", "seg", "known", "n_rows", "gram", "moves")).alias("parts"))
+    levels = ", ".join(f"`{c}`" for c in design.exog)
+    last = numbered(panel).where(f"n - rn < {design.tail}").selectExpr(
+        "symbol", "n", f"named_struct('date', date, 'close', close, 'xs', cast(array({levels}) as array<double>)) as r")
+    tails = last.groupBy("symbol").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("r")).alias("tail"))
+    return parts.join(tails, "symbol")
 
 
 # ---- solve and roll forward -------------------------------------------------
-def _positions(shape: Shape, order: Order, use_exog: bool) -> list[int]:
-    cols = shape.second
-    names = (["one"] if order.d + order.D == 0 else []) + [f"a{i}" for i in range(1, order.p + 1)]
-    names += [f"s{i}" for i in range(1, order.P + 1)] + [f"e{i}" for i in range(1, order.q + 1)]
-    names += [f"f{i}" for i in range(1, order.Q + 1)]
-    if use_exog:
-        names += [f"x{i}" for i in range(1, len(shape.exog) + 1)]
-    return [cols.index(c) for c in names]
-
-
-def roll_forward(order: Order, coefs: dict[str, float], levels: np.ndarray, resid: np.ndarray,
-                 horizon: int, xs: np.ndarray | None = None, x_coefs=()) -> np.ndarray:
+class Sums:
+    """The sums of one kind of one series, added up on demand."""
+
+    def __init__(self, design: Design, kind: tuple[int, int, int], parts):
+        self.design, self.kind = design, kind
+        number = design.kinds.index(kind)
+        self.parts = [p for p in parts if p["kind"] == number]
+        at = 1 + len(design.exog)
+        self.place = {lag: at + i for i, lag in enumerate(design.lags[kind])}
+
+    def of(self, need: Needs, holdout: int) -> tuple[np.ndarray, int]:
+        """Products over the rows outside the holdout that meet ``need``, and the number of these rows."""
+        bit = 1 << self.design.needs[self.kind].index(need)
+        most = sum(h > holdout for h in self.design.holdouts)
+        mine = [p for p in self.parts if p["known"] & bit and p["seg"] <= most]
+        width = self.design.width
+        gram = sum((unpack(p["gram"], width) for p in mine), np.zeros((width, width)))
+        return gram, int(sum(p["n_rows"] for p in mine))
+
+    def moves(self, holdout: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and sample deviation of the relative changes of the exog columns."""
+        most = sum(h > holdout for h in self.design.holdouts)
+        n, total, square = np.sum([np.array([list(m) for m in p["moves"]]) for p in self.parts if p["seg"] <= most], axis=0).T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = total / n
+            spread = np.sqrt(np.maximum(square - n * mean * mean, 0) / (n - 1))
+        return mean, np.where(n > 1, spread, 0.0)
+
+
+@dataclass(frozen=True)
+class Fit:
+    order: Order
+    coefs: dict[str, float]
+    own: dict[int, float]  # by lag, products included
+    error: dict[int, float]
+    first: dict[int, float]  # of the long autoregression; lag 0 is its constant
+    rss: float
+    used: int
+    size: int
+
+
+def fit_order(order: Order, sums: Sums, holdout: int, exog: bool, *, needs: tuple[Needs, Needs] | None = None,
+              first: list[int] | None = None) -> Fit:
+    """Coefficients of one order from the sums of its kind.
+
+    ``needs`` of both stages and the lags of the ``first`` are those of the order itself, or shared by a search.
+    """
+    level = order.d + order.D == 0
+    stage_one, stage_two = needs or (first_needs(order), second_needs(order, exog))
+    place, width = sums.place, sums.design.width
+    long: dict[int, float] = {}
+    if order.moving:
+        gram, _ = sums.of(stage_one, holdout)
+        lags = first or order.first_lags()
+        use = ([0] if level else []) + [place[b] for b in lags]
+        use = [c for c in use if gram[c, c] > 0]
+        picked = [place[0], *use]
+        beta, _ = least_squares(gram[np.ix_(picked, picked)], list(range(1, len(picked))))
+        found = dict(zip(use, beta))
+        long = {b: float(found.get(place[b], 0.0)) for b in lags} | {0: float(found.get(0, 0.0))}
+    gram, used = sums.of(stage_two, holdout)
+
+    def column(shift: int, own: bool) -> np.ndarray:
+        """Weights of a regressor on the summed columns."""
+        w = np.zeros(width)
+        w[place[shift]] = 1.0
+        if not own:  # the residual at that lag
+            w[0] -= long[0]
+            for b, c in long.items():
+                if b:
+                    w[place[shift + b]] -= c
+        return w
+
+    names, columns = ["one"] if level else [], [np.eye(width)[0]] if level else []
+    if exog:
+        names += [f"x{i}" for i in range(1, len(sums.design.exog) + 1)]
+        columns += [np.eye(width)[i] for i in range(1, len(sums.design.exog) + 1)]
+    k = len(names)
+    groups = []
+    for letters, plain, seasonal, own in (("as", order.p, order.P, True), ("ef", order.q, order.Q, False)):
+        seasonal = seasonal if order.m else 0
+        at = k
+        names += [f"{letters[0]}{i}" for i in range(1, plain + 1)] + [f"{letters[1]}{j}" for j in range(1, seasonal + 1)]
+        columns += [column(i, own) for i in range(1, plain + 1)] + [column(j * order.m, own) for j in range(1, seasonal + 1)]
+        k += plain + seasonal
+        groups.append((at, plain, seasonal, own))
+    size = len(names)
+    if used <= size:
+        raise ValueError(f"{used} usable rows for {size} coefficients")
+    products = []  # (first factor, second factor, sign)
+    for at, plain, seasonal, own in groups:
+        for i in range(plain):
+            for j in range(seasonal):
+                products.append((at + i, at + plain + j, -1.0 if own else 1.0))
+                columns.append(column(i + 1 + (j + 1) * order.m, own))
+    weights = np.stack([column(0, True), *columns]) if columns else column(0, True)[None]
+    beta, rss = product_squares(weights @ gram @ weights.T, size, products)
+    coefs = dict(zip(names, map(float, beta)))
+    own, error = ({}, {})
+    for target, letters, plain, seasonal, sign in ((own, "as", order.p, order.P, -1.0), (error, "ef", order.q, order.Q, 1.0)):
+        one = {i: coefs[f"{letters[0]}{i}"] for i in range(1, plain + 1)}
+        two = {j * order.m: coefs[f"{letters[1]}{j}"] for j in range(1, (seasonal if order.m else 0) + 1)}
+        for lag, c in [*one.items(), *two.items(), *((i + j, sign * x * y) for i, x in one.items() for j, y in two.items())]:
+            target[lag] = target.get(lag, 0.0) + c
+    return Fit(order, coefs, own, error, long, rss, used, size)
+
+
+def roll_forward(fit: Fit, levels: np.ndarray, horizon: int, xs: np.ndarray | None = None, x_coefs=()) -> np.ndarray:
     """``horizon`` levels after the training rows. Future residuals are zero.
 
     ``xs`` holds past and future exog levels; its last ``horizon`` rows are the future.
     """
-    weights = difference_weights(order.d, order.D, order.m)
+    weights = difference_weights(*fit.order.kind)
     reach = len(weights) - 1
     path = list(levels)
     past = len(path)
     diffs = [float(weights @ path[t - reach:t + 1][::-1]) for t in range(reach, past)]
-    noise = list(resid)
+    noise = []
+    if fit.error:
+        far = max(b for b in fit.first)
+        for t in range(len(diffs)):  # unknown before the first lags are
+            noise.append(diffs[t] - fit.first[0] - sum(c * diffs[t - b] for b, c in fit.first.items() if b) if t >= far else 0.0)
     drive = np.zeros(horizon)
     if xs is not None and len(x_coefs):
         moved = sum(c * xs[reach - i:len(xs) - i] for i, c in enumerate(weights))
         drive = moved[-horizon:] @ np.asarray(x_coefs)
     for t in range(horizon):
-        w = coefs.get("one", 0.0) + drive[t]
-        for i in range(1, order.p + 1):
-            w += coefs[f"a{i}"] * diffs[-i]
-        for i in range(1, order.P + 1):
-            w += coefs[f"s{i}"] * diffs[-i * order.m]
-        for i in range(1, order.q + 1):
-            w += coefs[f"e{i}"] * noise[-i]
-        for i in range(1, order.Q + 1):
-            w += coefs[f"f{i}"] * noise[-i * order.m]
+        w = fit.coefs.get("one", 0.0) + drive[t]
+        w += sum(c * diffs[-lag] for lag, c in fit.own.items())
+        w += sum(c * noise[-lag] for lag, c in fit.error.items())
         undone = -sum(c * path[-i] for i, c in enumerate(weights) if i)
         diffs.append(w)
         noise.append(0.0)
@@ -399,44 +402,42 @@ _RESULT = ("status string, error string, aic double, n_used long, coefs map<stri
            "path array<double>")
 
 
-def _forecaster(shape: Shape, exog_mode: str):
-    """Pandas UDF over summary rows. The recursion needs one row per key and no
+def _forecaster(design: Design, exog_mode: str):
+    """Pandas UDF over (series, task) rows. The recursion needs one row per key and no
     neighbours, so batches of any size do."""
 
     def one(row) -> dict:
         order = Order(*[int(row[k]) for k in ORDER_COLUMNS])
         use_exog = bool(row["use_exog"])
-        h, n = int(row["h"]), int(row["n_train"])
-        if use_exog and not shape.exog:
+        h, held = int(row["h"]), int(row["held"])
+        if use_exog and not design.exog:
             raise ValueError("exogenous columns are required")
-        if n <= h and row["kind"] == "backtest":
+        if int(row["n"]) - held <= h and row["kind"] == "backtest":
             raise ValueError("series too short for the backtest window")
-        use = _positions(shape, order, use_exog)
-        used = int(row["n_used"])
-        if used <= len(use):
-            raise ValueError(f"{used} usable rows for {len(use)} coefficients")
-        beta, rss = least_squares(unpack(row["gram"], len(shape.second)), use)
-        names = [shape.second[i] for i in use]
-        coefs = dict(zip(names, map(float, beta)))
+        needed = {second_needs(order, use_exog), *([first_needs(order)] if order.moving else [])}
+        if not needed <= set(design.needs.get(order.kind, [])):
+            raise ValueError(f"order {order} is not in the grid of the job")
+        sums = Sums(design, order.kind, row["parts"])
+        fit = fit_order(order, sums, held, use_exog)
         tail = row["tail"]
+        train, ahead = (tail[:len(tail) - held], tail[len(tail) - held:]) if held else (tail, [])
         xs, x_coefs = None, ()
         if use_exog:
-            x_coefs = [coefs[f"x{i}"] for i in range(1, len(shape.exog) + 1)]
-            past = np.array([list(t["xs"]) for t in tail], dtype=float)
-            if exog_mode == "actual" and row["kind"] == "backtest":
-                ahead = np.array([list(t["xs"]) for t in row["test"]], dtype=float)
+            x_coefs = [fit.coefs[f"x{i}"] for i in range(1, len(design.exog) + 1)]
+            past = np.array([list(t["xs"]) for t in train], dtype=float)
+            if exog_mode == "actual" and held:
+                future = np.array([list(t["xs"]) for t in ahead], dtype=float)
             else:
                 shocks = np.array([list(s) for s in row["shocks"]], dtype=float)[:, :h]
-                rets = np.asarray(row["x_mean"])[:, None] + np.asarray(row["x_std"])[:, None] * shocks
-                ahead = (past[-1][:, None] * np.cumprod(1 + rets, axis=1)).T
-            xs = np.vstack([past, ahead])
-        path = roll_forward(
-            order, coefs, np.array([t["close"] for t in tail]), np.array([t["e"] for t in tail]),
-            h, xs, x_coefs)
+                mean, spread = sums.moves(held)
+                rets = mean[:, None] + spread[:, None] * shocks
+                future = (past[-1][:, None] * np.cumprod(1 + rets, axis=1)).T
+            xs = np.vstack([past, future])
+        path = roll_forward(fit, np.array([t["close"] for t in train], dtype=float), h, xs, x_coefs)
         if not np.all(np.isfinite(path)):
             raise ValueError("the forecast diverged")
-        return {"status": "ok", "error": None, "aic": aic(rss, used, len(use)), "n_used": used,
-                "coefs": coefs, "path": path.tolist()}
+        return {"status": "ok", "error": None, "aic": aic(fit.rss, fit.used, fit.size), "n_used": fit.used,
+                "coefs": fit.coefs, "path": path.tolist()}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -462,38 +463,82 @@ def hashed_normal(*parts: Column) -> Column:
     return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * np.pi * uniform(2))
 
 
+def _orders_of(models: list[str], steps: list[int], season: int | None, plain: list[tuple]) -> list[tuple[Order, bool]]:
+    """Every order that a job may fit: those of ``plain`` as each model and horizon reads them."""
+    out = set()
+    for (p, d, q, P, D, Q), model, s in itertools.product(plain, models, steps):
+        h = S.business_horizon(s)
+        m = season or (5 if h <= 30 else 20 if h <= 365 else 252)
+        out.add((Order(p, d, q, *((P, D, Q, m) if model != "arima" else (0, 0, 0, 0))), model == "sarimax"))
+    return sorted(out, key=lambda x: (x[0].kind, str(x)))
+
+
+def _kind_number(design: Design) -> Column:
+    cases = " ".join(f"when d = {d} and sd = {D} and m = {m} then {i}" for i, (d, D, m) in enumerate(design.kinds))
+    return F.expr(f"case {cases} end")
+
+
+def _needed_kinds(params: DataFrame, models: list[str], steps: list[int], defaults, season, design: Design):
+    """Column: numbers of the kinds of a series, from the map ``_own`` of its configured models; and the table of these maps."""
+    rows = with_parameters(params.select("symbol", "model", F.explode(F.array(*[F.lit(int(s)) for s in steps])).alias("steps")),
+                           params, defaults, season)
+    maps = (rows.where(F.col("model").isin(models)).groupBy("symbol", "model").agg(F.collect_set(_kind_number(design)).alias("k"))
+            .groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("model", "k"))).alias("_own")))
+    parts = []
+    for model in models:
+        order = tuple((defaults or {}).get(model, S.DEFAULT_ORDER + S.DEFAULT_SEASONAL))[:6]
+        mine = sorted({design.kinds.index(o.kind) for o, _ in _orders_of([model], steps, season, [order])})
+        parts.append(F.coalesce(F.try_element_at("_own", F.lit(model)), F.array(*[F.lit(i) for i in mine])))
+    return maps, F.array_distinct(F.flatten(F.array(*parts)))
+
+
 def forecast_all(panel: DataFrame, *, models: list[str], steps: list[int],
-                 params: dict[tuple[str, str], tuple], defaults: dict[str, tuple] | None = None,
+                 params: dict[tuple[str, str], tuple] | DataFrame, defaults: dict[str, tuple] | None = None,
                  exog: tuple[str, ...] = (), exog_mode: str = "simulated", seed: int = 7,
-                 kinds: tuple[str, ...] = ("backtest", "future"),
-                 season: int | None = None) -> DataFrame:
+                 kinds: tuple[str, ...] = ("backtest", "future"), season: int | None = None,
+                 grid: list[Order] | None = None, only: DataFrame | None = None) -> DataFrame:
     """One row per (symbol, model, steps, kind) with status, fit and forecast path.
 
-    ``panel`` holds symbol, date, close and the exog columns.
+    ``panel`` holds symbol, date, close and the exog columns. ``params`` gives orders by symbol and model, as configuration
+    or as a table (symbol, model, p, d, q, sp, sd, sq) such as ``tuned`` returns; a table needs ``grid``, the orders
+    that its rows may name. ``only`` (symbol, model, steps) restricts the work to some keys.
     """
-    named, rest, samples = configured_tasks(params, models, steps, kinds, defaults, season, tuple(exog))
-    every = [t for tasks in [*named.values(), rest] for t in tasks]
-    shape = shape_of([Order(*[t[k] for k in ORDER_COLUMNS]) for t in every], exog)
-
-    found = sample_summaries(with_tasks(panel, named, rest), samples, shape)
-    mine = F.filter("tasks", lambda t: t["sample"] == F.col("sample"))
-    facts = [c for c in found.columns if c not in ("symbol", "sample")]
-    ready = with_tasks(found, named, rest).select("symbol", *facts, F.inline(mine))
+    spark = panel.sparkSession
+    plain = [tuple((defaults or {}).get(m, S.DEFAULT_ORDER + S.DEFAULT_SEASONAL))[:6] for m in models]
+    if isinstance(params, dict):
+        plain += [tuple(o)[:6] for (_, model), o in params.items() if model in models]
+        params = parameter_rows(spark, params)
+    elif grid is None:
+        raise ValueError("a table of orders needs the grid its rows are from")
+    plain += [(o.p, o.d, o.q, o.P, o.D, o.Q) for o in grid or []]
+    held = [S.business_horizon(s) for s in steps] if "backtest" in kinds else []
+    design = design_of(_orders_of(models, steps, season, plain), held, exog)
+
+    maps, wanted = _needed_kinds(params, models, steps, defaults, season, design)
+    found = _summaries(panel.join(maps, "symbol", "left").withColumn("kinds", wanted).drop("_own"), design)
+    tasks = with_parameters(work_grid(found.select("symbol", "n", "tail", "parts"), models, steps), params, defaults, season)
+    if only is not None:
+        tasks = tasks.join(only.select("symbol", "model", "steps"), ["symbol", "model", "steps"], "left_semi")
+    ready = tasks.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))).withColumns({
+        "held": F.when(F.col("kind") == "backtest", F.col("h")).otherwise(0), "use_exog": F.col("model") == "sarimax"})
+    number = _kind_number(design)
+    ready = ready.withColumn("_kind", number).withColumn(
+        "parts", F.filter("parts", lambda x: x["kind"] == F.col("_kind"))).drop("_kind")
     if exog:
         ready = ready.withColumn("shocks", F.array(*[
             F.transform(F.sequence(F.lit(1), F.col("h")),
                         lambda k, c=c: hashed_normal(F.lit(seed), F.lit(c), k)) for c in exog]))
-    inputs = [*ORDER_COLUMNS, "h", "kind", "use_exog", "gram", "n_used",
-              "n_train", "tail", "test", "x_mean", "x_std"] + (["shocks"] if exog else [])
-    run = _forecaster(shape, exog_mode)
+    inputs = [*ORDER_COLUMNS, "h", "held", "kind", "use_exog", "n", "parts", "tail"] + (["shocks"] if exog else [])
+    run = _forecaster(design, exog_mode)
+    start = F.try_element_at("tail", -(F.col("held") + 1).cast("int"))
+    test = F.when((F.col("held") > 0) & (F.size("tail") >= F.col("held")), F.slice(
+        "tail", -F.greatest(F.col("held"), F.lit(1)), F.greatest(F.col("held"), F.lit(1)))).otherwise(F.slice("tail", 1, 0))
     return ready.withColumn("fit", run(F.struct(*inputs))).select(
         "symbol", "model", "steps", "kind", "h", *ORDER_COLUMNS,
         "fit.status", "fit.error", "fit.aic", "fit.n_used", "fit.coefs", "fit.path",
-        "n_train", F.try_element_at("tail", F.lit(-1))["close"].alias("last_price"),
-        F.try_element_at("tail", F.lit(-1))["date"].alias("last_date"),
-        F.transform("test", lambda t: F.struct(t["date"].alias("date"), t["close"].alias("actual"))
-                    ).alias("test"),
-    )
+        F.greatest(F.col("n") - F.col("held"), F.lit(0)).alias("n_train"),
+        start["close"].alias("last_price"), start["date"].alias("last_date"),
+        F.transform(test, lambda t: F.struct(t["date"].alias("date"), t["close"].alias("actual"))).alias("test"))
 
 
 def forecast_points(fits: DataFrame) -> DataFrame:
@@ -528,33 +573,40 @@ SEASONAL_GRID = order_grid((0, 1), (0, 1), (0, 1), (0, 1), (0, 1), (0, 1), 12)
 def order_search(panel: DataFrame, orders: list[Order], exog: tuple[str, ...] = ()) -> DataFrame:
     """AIC of every order for every series: (symbol, rank, order, n_used, aic).
 
-    All orders of one differencing read the same cross products, so the data is
-    passed once per differencing and not once per order.
+    All orders of one differencing read the same sums over the same rows, so the data is
+    passed once and not once per order.
     """
-    shape = shape_of(orders, exog)
-    samples = sorted({Sample(o.d, o.D, o.m, 0) for o in orders}, key=lambda s: (s.d, s.D, s.m))
-    found = sample_summaries(panel, samples, shape)
-    size = len(shape.second)
-    plan = [[(rank, o, _positions(shape, o, bool(exog))) for rank, o in enumerate(orders)
-             if Sample(o.d, o.D, o.m, 0) == s] for s in samples]
+    design = design_of([(o, bool(exog)) for o in orders], [], exog, shared=True)
+    ranks = {k: [(rank, o) for rank, o in enumerate(orders) if o.kind == k] for k in design.kinds}
+    long = {k: sorted({b for _, o in ranks[k] if o.moving for b in o.first_lags()}) for k in design.kinds}
     result = ("array<struct<rank:int,p:int,d:int,q:int,sp:int,sd:int,sq:int,m:int,"
               "n_used:long,aic:double>>")
 
     @F.pandas_udf(result)
-    def scores(sample: pd.Series, gram: pd.Series, n_used: pd.Series) -> pd.Series:
+    def scores(kind: pd.Series, parts: pd.Series) -> pd.Series:
         out = []
-        for i, cells, n in zip(sample, gram, n_used):
-            full, rows = unpack(cells, size), []
-            for rank, o, use in plan[i]:
-                if n <= len(use):
+        for i, mine in zip(kind, parts):
+            k, rows = design.kinds[i], []
+            sums, need = Sums(design, k, mine), design.needs[k][0]
+            for rank, o in ranks[k]:
+                try:
+                    fit = fit_order(o, sums, 0, bool(exog), needs=(need, need), first=long[k])
+                except (ValueError, np.linalg.LinAlgError):
                     continue  # a fit that is not possible is skipped
-                _, rss = least_squares(full, use)
-                rows.append({"rank": rank, "p": o.p, "d": o.d, "q": o.q, "sp": o.P, "sd": o.D,
-                             "sq": o.Q, "m": o.m, "n_used": int(n), "aic": aic(rss, int(n), len(use))})
+                rows.append({"rank": rank, "p": o.p, "d": o.d, "q": o.q, "sp": o.P, "sd": o.D, "sq": o.Q, "m": o.m,
+                             "n_used": fit.used, "aic": aic(fit.rss, fit.used, fit.size)})
             out.append(rows)
         return pd.Series(out)
 
-    return found.select("symbol", F.inline(scores("sample", "gram", "n_used")))
+    parts = segment_sums(panel, design).groupBy("symbol", "kind").agg(
+        F.collect_list(F.struct("kind", "seg", "known", "n_rows", "gram", "moves")).alias("parts"))
+    return parts.select("symbol", F.inline(scores("kind", "parts")))
+
+
+def tuned(panel: DataFrame, orders: list[Order], models: list[str], exog: tuple[str, ...] = ()) -> DataFrame:
+    """Best order of each series for ``models``, as a table that ``forecast_all`` takes."""
+    best = best_orders(order_search(panel, orders, exog))
+    return best.select("symbol", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), *ORDER_COLUMNS)
 
 
 def best_orders(scores: DataFrame) -> DataFrame:
@@ -571,6 +623,7 @@ def global_order(best: DataFrame) -> DataFrame:
     sums = best.groupBy(*keys).agg(
         F.sum("aic").alias("aic_sum"), F.count("*").alias("series"), F.min("rank").alias("rank"),
         F.min("symbol").alias("first_symbol"))
-    low = sums.agg(F.min_by("rank", F.struct("aic_sum", "first_symbol"))).scalar()
-    mode = sums.agg(F.min_by("rank", F.struct(-F.col("series"), "first_symbol"))).scalar()
-    return sums.withColumns({"by_sum": F.col("rank") == low, "by_mode": F.col("rank") == mode})
+    both = sums.agg(F.struct(
+        F.min_by("rank", F.struct("aic_sum", "first_symbol")).alias("low"),
+        F.min_by("rank", F.struct(-F.col("series"), "first_symbol")).alias("most"))).scalar()
+    return sums.withColumns({"by_sum": F.col("rank") == both["low"], "by_mode": F.col("rank") == both["most"]})

@@ -414,7 +414,7 @@ def _(spark, folder):
 
 
 @query("stored_period", sql("""
-  SELECT p.symbol, COUNT(*) AS n, MIN(p.date) AS lo, MAX(p.date) AS hi, ROUND(SUM(p.close), 2) AS total
+  SELECT p.symbol, COUNT(*) AS n, MIN(p.date) AS lo, MAX(p.date) AS hi, ROUND(MIN(p.close), 4) AS least, ROUND(MAX(p.close), 4) AS most
   FROM supplier_panel p JOIN (SELECT symbol, MAX(date) AS hi FROM supplier_panel GROUP BY 1) b USING (symbol)
   WHERE p.date > CAST(b.hi - INTERVAL 6 MONTH AS DATE) GROUP BY 1""", "supplier_panel"))
 def _(spark, folder):
@@ -426,7 +426,7 @@ def _(spark, folder):
     write_market(I.supplier_panel(spark, folder), path)
     return readers.read_period(spark, path, "6mo").groupBy("symbol").agg(
         F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"),
-        F.round(F.sum("close"), 2).alias("total"))
+        F.round(F.min("close"), 4).alias("least"), F.round(F.max("close"), 4).alias("most"))
 
 
 @query("stored_symbols", sql("""SELECT symbol, MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS n FROM supplier_panel GROUP BY 1""",
