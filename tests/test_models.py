@@ -148,6 +148,28 @@ def test_two_stages_equal_regressions_on_the_rows(weekdays):
         assert row["path"] == pytest.approx(path, rel=1e-7)
 
 
+def test_ten_thousand_paths_in_one_batch_equal_single_ones():
+    order = arima.Order(2, 1, 1, 1, 1, 0, 5)
+    levels = 100 + RNG.normal(size=(10_000, 40)).cumsum(axis=1)
+    coefs = RNG.uniform(-0.4, 0.4, size=(10_000, 8))
+    fits = []
+    for a1, a2, s1, e1, *first in coefs:
+        own = {1: a1, 2: a2, 5: s1, 6: -a1 * s1, 7: -a2 * s1}
+        long = dict.fromkeys(order.first_lags(), 0.1) | {0: first[0]}
+        fits.append(arima.Fit(order, {"a1": a1}, own, {1: e1}, long, 1.0, 30, 4))
+    batch = arima.roll_forward(order, fits, levels, 20)
+    for i in range(0, 10_000, 997):
+        assert np.array_equal(batch[i], arima.roll_forward(order, [fits[i]], levels[i:i + 1], 20)[0])
+    f, y = fits[3], list(levels[3])
+    w = [0.0] * 6 + [y[t] - y[t - 1] - y[t - 5] + y[t - 6] for t in range(6, 40)]
+    e = [0.0] * 14 + [w[t] - f.first[0] - sum(0.1 * w[t - b] for b in order.first_lags()) for t in range(14, 40)]
+    for _ in range(20):
+        w.append(sum(c * w[-k] for k, c in f.own.items()) + sum(c * e[-k] for k, c in f.error.items()))
+        e.append(0.0)
+        y.append(w[-1] + y[-1] + y[-5] - y[-6])
+    assert batch[3] == pytest.approx(y[-20:], rel=1e-9)
+
+
 def test_rows_do_not_grow_with_holdouts_and_orders(weekdays):
     panel = weekdays({"A": list(_ar_series(300)), "B": list(_ar_series(300))})
 

@@ -87,3 +87,14 @@ def test_command_line(spark, weekdays, tmp_path):
               str(tmp_path / "t"), "--as-of", "2024-12-01 13:00:00", "--models", "arima sarimax", "--steps", "7"])
     runs = BucketTable(spark, str(tmp_path / "t" / "forecast_runs"), schemas.FORECAST_RUNS, nightly.POINT_KEY)
     assert runs.read().count() == 2
+
+
+def test_short_series_are_reported_and_stay_open(spark, weekdays, tmp_path):
+    market = weekdays({"AEP": _walk(1), "new": _walk(2, 60)})
+    runs, points = _tables(spark, tmp_path)
+    status = nightly.nightly(market, runs, points, "2024-01-10 13:00:00", models=["arima"], steps=[7])
+    assert {r["symbol"]: (r["status"], r["error"]) for r in status.collect()} == {
+        "AEP": ("ok", None), "new": ("error", "not enough data")}
+    assert {r["symbol"] for r in runs.read().collect()} == {"AEP"} == {r["symbol"] for r in points.read().collect()}
+    again = nightly.nightly(market, runs, points, "2024-01-10 14:00:00", models=["arima"], steps=[7])
+    assert [(r["symbol"], r["status"]) for r in again.collect()] == [("new", "error")]

@@ -458,3 +458,20 @@ def test_price_stream_adds_up_over_files(spark, tmp_path):
                    key="k", ts="t", value="v").awaitTermination()  # the first query's rows stay
     assert sorted(tuple(r) for r in live.daily_prices(log).collect()) == [
         ("A", dt.date(2024, 1, 2), 1.75), ("A", dt.date(2024, 1, 3), 4.0)]
+
+
+def test_news_to_fetch_and_rejected_keys(spark):
+    news = spark.createDataFrame([("A", dt.datetime(2024, 1, 19, 12, 0)), ("B", dt.datetime(2024, 1, 19, 11, 59))],
+                                 "symbol string, updated_at timestamp_ntz")
+    symbols = spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string")
+    now = F.lit("2024-01-20 11:00:00").cast("timestamp_ntz")  # 18:00 in Bangkok; the cutoff is 12:00 UTC of the day before
+    assert {r["symbol"] for r in refresh.news_to_fetch(symbols, news, now).collect()} == {"B", "C"}
+
+
+def test_codes_without_rows_are_an_error(spark):
+    from tidepanel.operators import market
+
+    exog = spark.createDataFrame([("cl_f", 1.0)], "code string, value double")
+    assert market.require_codes(exog, ["CL=F"]) is exog
+    with pytest.raises(readers.EmptySource, match="xlu"):
+        market.require_codes(exog, ["CL=F", "XLU"])

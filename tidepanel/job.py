@@ -59,7 +59,7 @@ def ingest(prices: DataFrame, exog: DataFrame | None, out: str, codes: list[str]
     require_rows(prices, "prices")
     wide = None
     if exog is not None and codes:
-        require_rows(exog, "exog")
+        market.require_codes(require_rows(exog, "exog"), codes)
         wide = market.exog_wide(
             period_slice(cal.one_per_day(exog, "code", "value"), period, "code"), codes)
         write_exog(wide, f"{out}/exog.parquet")

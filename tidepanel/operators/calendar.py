@@ -155,16 +155,20 @@ def ingest_prices(df: DataFrame, key: str = "symbol", value: str = "close") -> D
     return align_business_days(df, key, value).withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
+def _ends(df: DataFrame) -> Column:
+    """First and last date as one value of the running query."""
+    return df.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
+
+
 def align_to_common(df: DataFrame, key: str, value: str) -> DataFrame:
     """All keys on the weekday grid between the overall first and last date.
 
     Equals a full outer merge of the keys on the date followed by forward and
     back fill, in one shuffle by key.
     """
-    lo = df.agg(F.min("date")).scalar()
-    hi = df.agg(F.max("date")).scalar()
+    ends = _ends(df)
     return (
-        expand(df, key, value, lo, hi)
+        expand(df, key, value, ends["lo"], ends["hi"])
         .where(is_weekday("date"))
         .select(key, "date", F.coalesce(value, "_first", F.lit(0.0)).alias(value))
     )
@@ -173,8 +177,8 @@ def align_to_common(df: DataFrame, key: str, value: str) -> DataFrame:
 def align_to_union(df: DataFrame, key: str = "symbol", value: str = "close") -> DataFrame:
     """Every key on every date that any key has; last value carried, lead = first value."""
     dates = df.select("date").distinct()
-    lo = dates.agg(F.min("date")).scalar()
-    hi = dates.agg(F.max("date")).scalar()
+    ends = _ends(dates)
+    lo, hi = ends["lo"], ends["hi"]
     w = series(key)
     first = F.lag("date").over(w).isNull()
     spans = df.select(

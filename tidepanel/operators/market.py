@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.functions.scalars import finite, safe_name, safe_name_col
 from tidepanel.operators.calendar import align_to_common, fill_gaps, series, so_far
+from tidepanel.sources.readers import EmptySource
 
 
 def exog_wide(exog: DataFrame, codes: list[str]) -> DataFrame:
@@ -24,6 +25,16 @@ def exog_wide(exog: DataFrame, codes: list[str]) -> DataFrame:
     return wide.fillna(0.0)
 
 
+def require_codes(exog: DataFrame, codes: list[str]) -> DataFrame:
+    """``exog`` as it is; an error names the codes that have no row. At most the requested names reach the driver."""
+    names = [safe_name(c) for c in codes]
+    found = exog.select(safe_name_col("code").alias("c")).where(F.col("c").isin(names)).distinct()
+    missing = sorted(set(names) - {r[0] for r in found.collect()})
+    if missing:
+        raise EmptySource(f"no rows for {', '.join(missing)}")
+    return exog
+
+
 def market_table(prices: DataFrame, exog: DataFrame | None) -> DataFrame:
     """prices left join exog on date; a date without exog holds 0.
 

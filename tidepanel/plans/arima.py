@@ -368,85 +368,125 @@ def fit_order(order: Order, sums: Sums, holdout: int, exog: bool, *, needs: tupl
     return Fit(order, coefs, own, error, long, rss, used, size)
 
 
-def roll_forward(fit: Fit, levels: np.ndarray, horizon: int, xs: np.ndarray | None = None, x_coefs=()) -> np.ndarray:
-    """``horizon`` levels after the training rows. Future residuals are zero.
+def roll_forward(order: Order, fits: list[Fit], levels: np.ndarray, horizon: int,
+                 drive: np.ndarray | None = None) -> np.ndarray:
+    """``horizon`` levels after the training rows of many series that share an order: one row each.
 
-    ``xs`` holds past and future exog levels; its last ``horizon`` rows are the future.
+    A step advances all series at once, and a series gets the same numbers whatever others are beside it. Future
+    residuals are zero. ``drive`` (series x horizon) is what known future exog adds.
     """
-    weights = difference_weights(*fit.order.kind)
-    reach = len(weights) - 1
-    path = list(levels)
-    past = len(path)
-    diffs = [float(weights @ path[t - reach:t + 1][::-1]) for t in range(reach, past)]
-    noise = []
-    if fit.error:
-        far = max(b for b in fit.first)
-        for t in range(len(diffs)):  # unknown before the first lags are
-            noise.append(diffs[t] - fit.first[0] - sum(c * diffs[t - b] for b, c in fit.first.items() if b) if t >= far else 0.0)
-    drive = np.zeros(horizon)
-    if xs is not None and len(x_coefs):
-        moved = sum(c * xs[reach - i:len(xs) - i] for i, c in enumerate(weights))
-        drive = moved[-horizon:] @ np.asarray(x_coefs)
-    for t in range(horizon):
-        w = fit.coefs.get("one", 0.0) + drive[t]
-        w += sum(c * diffs[-lag] for lag, c in fit.own.items())
-        w += sum(c * noise[-lag] for lag, c in fit.error.items())
-        undone = -sum(c * path[-i] for i, c in enumerate(weights) if i)
-        diffs.append(w)
-        noise.append(0.0)
-        path.append(w + float(undone))
-    return np.asarray(path[past:])
+    weights = difference_weights(*order.kind)
+    reach, past = len(weights) - 1, levels.shape[1]
+    path = np.concatenate([levels, np.zeros((len(fits), horizon))], axis=1)
+    diffs, noise = np.zeros_like(path), np.zeros_like(path)
+    steps = [(i, c) for i, c in enumerate(weights) if c]
+    for i, c in steps:
+        diffs[:, reach:past] += c * path[:, reach - i:past - i]
+
+    def column(pick) -> np.ndarray:
+        return np.array([pick(f) for f in fits], dtype=float)
+
+    own = [(lag, column(lambda f: f.own[lag])) for lag in order.own_lags()]
+    errors = [(lag, column(lambda f: f.error[lag])) for lag in order.error_lags()]
+    if errors:
+        lags = order.first_lags()
+        start = min(reach + max(lags), past)  # unknown before the first lags are
+        noise[:, start:past] = diffs[:, start:past] - column(lambda f: f.first[0])[:, None]
+        for b in lags:
+            noise[:, start:past] -= column(lambda f: f.first[b])[:, None] * diffs[:, start - b:past - b]
+    constant = column(lambda f: f.coefs.get("one", 0.0))
+    for t in range(past, past + horizon):
+        w = constant.copy() if drive is None else constant + drive[:, t - past]
+        for lag, c in own:
+            w += c * diffs[:, t - lag]
+        for lag, c in errors:
+            w += c * noise[:, t - lag]
+        diffs[:, t] = w
+        for i, c in steps[1:]:
+            w = w - c * path[:, t - i]
+        path[:, t] = w
+    return path[:, past:]
 
 
 _RESULT = ("status string, error string, aic double, n_used long, coefs map<string,double>, "
            "path array<double>")
 
 
+@dataclass
+class Task:
+    """A fitted key and what its forecast starts from."""
+
+    fit: Fit
+    levels: np.ndarray
+    drive: np.ndarray | None
+
+
+def _fitted(row, design: Design, exog_mode: str) -> Task:
+    order = Order(*[int(row[k]) for k in ORDER_COLUMNS])
+    use_exog = bool(row["use_exog"])
+    h, held = int(row["h"]), int(row["held"])
+    if use_exog and not design.exog:
+        raise ValueError("exogenous columns are required")
+    if int(row["n"]) - held <= h and row["kind"] == "backtest":
+        raise ValueError("series too short for the backtest window")
+    needed = {second_needs(order, use_exog), *([first_needs(order)] if order.moving else [])}
+    if not needed <= set(design.needs.get(order.kind, [])):
+        raise ValueError(f"order {order} is not in the grid of the job")
+    sums = Sums(design, order.kind, row["parts"])
+    fit = fit_order(order, sums, held, use_exog)
+    tail = row["tail"]
+    train, ahead = (tail[:len(tail) - held], tail[len(tail) - held:]) if held else (tail, [])
+    drive = None
+    if use_exog:
+        past = np.array([list(t["xs"]) for t in train], dtype=float)
+        if exog_mode == "actual" and held:
+            future = np.array([list(t["xs"]) for t in ahead], dtype=float)
+        else:
+            shocks = np.array([list(s) for s in row["shocks"]], dtype=float)[:, :h]
+            mean, spread = sums.moves(held)
+            rets = mean[:, None] + spread[:, None] * shocks
+            future = (past[-1][:, None] * np.cumprod(1 + rets, axis=1)).T
+        xs, weights = np.vstack([past, future]), difference_weights(*order.kind)
+        moved = sum(c * xs[len(weights) - 1 - i:len(xs) - i] for i, c in enumerate(weights))
+        drive = moved[-h:] @ np.array([fit.coefs[f"x{i}"] for i in range(1, len(design.exog) + 1)])
+    return Task(fit, np.array([t["close"] for t in train], dtype=float), drive)
+
+
+def forecast_paths(tasks: list[tuple[int, Task]]) -> dict[int, np.ndarray]:
+    """{number: path} for tasks given with their horizons; those of one order, horizon and length go together."""
+    groups: dict[tuple, list[int]] = {}
+    for i, (h, task) in enumerate(tasks):
+        groups.setdefault((task.fit.order, h, len(task.levels), task.drive is None), []).append(i)
+    out = {}
+    for (order, h, _, plain), rows in groups.items():
+        mine = [tasks[i][1] for i in rows]
+        paths = roll_forward(order, [t.fit for t in mine], np.stack([t.levels for t in mine]), h,
+                             None if plain else np.stack([t.drive for t in mine]))
+        out.update(zip(rows, paths))
+    return out
+
+
 def _forecaster(design: Design, exog_mode: str):
     """Pandas UDF over (series, task) rows. The recursion needs one row per key and no
     neighbours, so batches of any size do."""
 
-    def one(row) -> dict:
-        order = Order(*[int(row[k]) for k in ORDER_COLUMNS])
-        use_exog = bool(row["use_exog"])
-        h, held = int(row["h"]), int(row["held"])
-        if use_exog and not design.exog:
-            raise ValueError("exogenous columns are required")
-        if int(row["n"]) - held <= h and row["kind"] == "backtest":
-            raise ValueError("series too short for the backtest window")
-        needed = {second_needs(order, use_exog), *([first_needs(order)] if order.moving else [])}
-        if not needed <= set(design.needs.get(order.kind, [])):
-            raise ValueError(f"order {order} is not in the grid of the job")
-        sums = Sums(design, order.kind, row["parts"])
-        fit = fit_order(order, sums, held, use_exog)
-        tail = row["tail"]
-        train, ahead = (tail[:len(tail) - held], tail[len(tail) - held:]) if held else (tail, [])
-        xs, x_coefs = None, ()
-        if use_exog:
-            x_coefs = [fit.coefs[f"x{i}"] for i in range(1, len(design.exog) + 1)]
-            past = np.array([list(t["xs"]) for t in train], dtype=float)
-            if exog_mode == "actual" and held:
-                future = np.array([list(t["xs"]) for t in ahead], dtype=float)
-            else:
-                shocks = np.array([list(s) for s in row["shocks"]], dtype=float)[:, :h]
-                mean, spread = sums.moves(held)
-                rets = mean[:, None] + spread[:, None] * shocks
-                future = (past[-1][:, None] * np.cumprod(1 + rets, axis=1)).T
-            xs = np.vstack([past, future])
-        path = roll_forward(fit, np.array([t["close"] for t in train], dtype=float), h, xs, x_coefs)
-        if not np.all(np.isfinite(path)):
-            raise ValueError("the forecast diverged")
-        return {"status": "ok", "error": None, "aic": aic(fit.rss, fit.used, fit.size), "n_used": fit.used,
-                "coefs": fit.coefs, "path": path.tolist()}
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in rows.to_dict("records"):
+        ready, errors = [], {}
+        for i, row in enumerate(rows.to_dict("records")):
             try:
-                out.append(one(row))
+                ready.append((i, int(row["h"]), _fitted(row, design, exog_mode)))
             except Exception as problem:  # one failing key must not stop the others
-                out.append({"status": "error", "error": str(problem), "aic": None, "n_used": None,
-                            "coefs": None, "path": None})
+                errors[i] = str(problem)
+        paths = forecast_paths([(h, task) for _, h, task in ready])
+        out = [{"status": "error", "error": errors.get(i), "aic": None, "n_used": None, "coefs": None, "path": None}
+               for i in range(len(rows))]
+        for j, (i, _, task) in enumerate(ready):
+            fit = task.fit
+            if not np.all(np.isfinite(paths[j])):
+                out[i]["error"] = "the forecast diverged"
+                continue
+            out[i] = {"status": "ok", "error": None, "aic": aic(fit.rss, fit.used, fit.size), "n_used": fit.used,
+                      "coefs": fit.coefs, "path": paths[j].tolist()}
         return pd.DataFrame(out, columns=["status", "error", "aic", "n_used", "coefs", "path"])
 
     # kept in one place of the plan: a deterministic function would be evaluated again

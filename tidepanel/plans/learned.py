@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepanel import settings as S
+from tidepanel.functions.dates import business_horizon
 from tidepanel.operators.rolling import numbered, pct_change
 
 RIDGE = 1e-3  # per sample, on standardised inputs
@@ -39,6 +40,23 @@ def _fits(steps: list[int], lookback: int) -> list[dict]:
     return out
 
 
+def with_tuned_settings(tasks: DataFrame, windows: list[tuple] = S.TUNED_WINDOWS) -> DataFrame:
+    """Look-back rows, clip, drift blend and block length of each (symbol, steps).
+
+    ``windows`` is a short table of (symbol or None, least steps, least business days, look-back); the row of the
+    symbol itself counts before the general ones, and of those the one with the longer horizon.
+    """
+    h = business_horizon("steps")
+    rows = F.array(*[F.struct(
+        F.lit(symbol is not None).alias("own"), F.lit(steps).alias("steps"), F.lit(days).alias("days"), F.lit(back).alias("lookback"),
+        F.lit(symbol).cast("string").alias("symbol")) for symbol, steps, days, back in windows])
+    fits = F.filter(rows, lambda x: (x["symbol"].isNull() | (x["symbol"] == F.upper("symbol")))
+                    & (F.col("steps") >= x["steps"]) & (h >= x["days"]))
+    return tasks.withColumns({
+        "lookback": F.array_max(fits)["lookback"], "clip": F.when(h <= 63, S.CLIP_NEAR).otherwise(S.CLIP_FAR),
+        "blend": F.lit(S.TUNED_BLEND), "agg_step": F.lit(S.TUNED_AGG_STEP)})
+
+
 def feature_rows(panel: DataFrame, features: list[str]) -> DataFrame:
     """Return and feature values per row, rows with a missing part left out."""
     rows = panel.withColumn("ret", pct_change("close")).dropna(

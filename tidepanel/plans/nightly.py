@@ -23,7 +23,7 @@ def _regression(market: DataFrame, steps: list[int], models: list[str], **option
     exog = tuple(exog_columns(market)) if "sarimax" in models else ()
     return arima.forecast_all(market, models=models, steps=steps, exog=exog,
                               params=options.get("params", S.TUNED_ORDERS),
-                              defaults=options.get("defaults"),
+                              defaults=options.get("defaults"), grid=options.get("grid"), only=options.get("only"),
                               exog_mode=options.get("exog_mode", "simulated"))
 
 
@@ -89,19 +89,30 @@ def nightly(market: DataFrame, runs: BucketTable, points: BucketTable, as_of: st
             threshold: float = 1.0, **options) -> DataFrame:
     """Refresh what is missing or stale and return the status of every computed key.
 
-    Only series with open work are read. A key is stored when all its parts are in order, so one with a failed backtest
+    Only series with open work are read and only open keys are fitted; those of too short series are reported and
+    left out. A key is stored when all its parts are in order, so one with a failed backtest
     stays open. Both tables take the new keys beside what is stored; a repeated run changes nothing.
     """
     models, steps = models or S.MODELS, steps or list(S.HORIZON_BDAYS)
     now = F.lit(as_of).cast("timestamp_ntz")
     grid = refresh.eligible_tasks(market, threshold, models, steps)
-    todo = refresh.refresh_plan(grid, runs.read(), now)
+    open_keys = refresh.refresh_plan(grid, runs.read(), now)
+    checked = refresh.history_check(market, steps)
+    # two small tables (a row per key) that several steps read
+    todo = written(open_keys.join(checked.where("accepted").select("symbol", "steps"), ["symbol", "steps"]).select(*POINT_KEY), "todo")
+    rejected = written(refresh.rejected_rows(checked, open_keys), "rejected")
+    # at most one row per model and horizon
+    wanted = {(r[0], r[1]) for r in todo.select("model", "steps").distinct().collect()}
+    if not wanted:
+        return rejected
     work = market.join(todo.select("symbol").distinct(), "symbol", "left_semi")
+    models = [m for m in models if any(m == x for x, _ in wanted)]
+    steps = [s for s in steps if any(s == x for _, x in wanted)]
     # the fits feed two tables and the status, and are computed once
-    fits = written(forecast(work, models, steps, **options).join(todo, POINT_KEY, "left_semi"), "fits")
+    fits = written(forecast(work, models, steps, only=todo, **options).join(todo, POINT_KEY, "left_semi"), "fits")
     done = refresh.run_rows(fits, as_of)
     rows = arima.forecast_points(fits).select(
         *POINT_KEY, "kind", F.col("step").cast("int").alias("step"), "date", "price")
     points.write(rows.join(done.select(*POINT_KEY), POINT_KEY, "left_semi"))
     runs.write(done)
-    return refresh.status_rows(fits)
+    return refresh.status_rows(fits).unionByName(rejected)

@@ -47,6 +47,13 @@ def stale_snapshots(stocks: DataFrame, as_of) -> DataFrame:
     return stocks.where(snapshot_stale("last_updated", as_of))
 
 
+def news_to_fetch(symbols: DataFrame, news: DataFrame, as_of, cutoff=S.NEWS_CUTOFF) -> DataFrame:
+    """Symbols whose news list is missing or was stored before the last daily news cutoff."""
+    fresh = news.groupBy("symbol").agg(F.max("updated_at").alias("updated_at")).where(
+        ~is_stale("updated_at", as_of, *cutoff))
+    return symbols.select("symbol").distinct().join(fresh, "symbol", "left_anti")
+
+
 def refresh_plan(grid: DataFrame, runs: DataFrame, as_of, cutoff=S.FORECAST_CUTOFF) -> DataFrame:
     """Keys to compute: not stored, or stored before the last cutoff."""
     fresh = runs.where(~is_stale("updated_at", as_of, *cutoff)).select(*KEY)
@@ -69,6 +76,12 @@ def run_rows(fits: DataFrame, as_of) -> DataFrame:
     ).where("not _failed").drop("_failed").withColumn("updated_at", F.lit(as_of).cast("timestamp_ntz"))
 
 
+def rejected_rows(checked: DataFrame, todo: DataFrame) -> DataFrame:
+    """Status of open keys whose series is too short, with the reason."""
+    short = checked.where(~F.col("accepted")).select("symbol", "steps", F.col("reason").alias("error"))
+    return todo.join(short, ["symbol", "steps"]).select(*KEY, F.lit("error").alias("status"), "error")
+
+
 def status_rows(fits: DataFrame) -> DataFrame:
     """ok / error per key: one failed part marks the key."""
     return fits.groupBy(*KEY).agg(

@@ -366,6 +366,17 @@ def _(spark, folder):
         F.date_format(last_cutoff(as_of, *S.FORECAST_CUTOFF), "yyyy-MM-dd HH:mm").alias("cutoff"))
 
 
+@query("news_to_fetch", sql(f"""SELECT DISTINCT symbol FROM runs WHERE symbol NOT IN (SELECT symbol FROM early_runs GROUP BY 1
+  HAVING MAX(updated_at) FILTER (updated_at < TIMESTAMP '2024-01-20 11:59:00') AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Bangkok'
+    >= TIMESTAMP '2024-01-19 19:00:00')""", "runs", "early_runs"))
+def _(spark, folder):
+    """The run log stands for the news table: lists older than the news cutoff before ``AS_OF`` and missing ones."""
+    stored = early_runs(spark, folder).where(
+        F.col("updated_at") < F.lit("2024-01-20 11:59:00").cast("timestamp_ntz"))
+    as_of = F.lit("2024-01-20 11:59:00").cast("timestamp_ntz")  # 18:59 in Bangkok
+    return refresh.news_to_fetch(stored_runs(spark, folder), stored, as_of)
+
+
 @query("stale_snapshots", sql(f"""SELECT symbol, MAX(ts) AS last_updated FROM bars WHERE ts < TIMESTAMP '{AS_OF}' - INTERVAL 19 HOUR - to_seconds(LENGTH(symbol) * 900)
   GROUP BY 1 HAVING CAST(MAX(ts) AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Bangkok' AS DATE) < CAST(TIMESTAMP '{AS_OF}' AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Bangkok' AS DATE)""", "bars"))
 def _(spark, folder):
