@@ -165,3 +165,17 @@ def test_relative_performance(weekdays):
 def test_seasonal_difference(line):
     assert values(roll.seasonal_difference(line([1, 2, 4, 8]), 2), "seasonal_diff") == [
         None, None, 3.0, 6.0]
+
+
+def test_trailing_means_equal_their_frames(line):
+    rng = np.random.default_rng(4)
+    x = [None if i % 17 == 3 else float(v) for i, v in enumerate(1e6 * rng.normal(size=400))]
+    df = roll.trailing_means(line(x), "close", {"a": 5, "b": 37})
+    got = values(df, "a", "b")
+    for i, (a, b) in enumerate(got):
+        for mean, rows in ((a, 5), (b, 37)):
+            part = x[max(i - rows + 1, 0):i + 1]
+            if len(part) < rows or None in part:
+                assert mean is None
+            else:
+                assert mean == pytest.approx(sum(part) / rows, abs=1e-6)

@@ -172,3 +172,20 @@ def test_normalized_exog(make_prices):
     std = math.sqrt(2)
     assert values(stats.normalized_exog(df), "normalized") == pytest.approx(
         [-1 / (std + 1e-6), 1 / (std + 1e-6)])
+
+
+def test_pair_correlation_against_numpy(spark, weekdays):
+    rng = np.random.default_rng(17)
+    table = {f"s{i}": list(rng.normal(size=90).cumsum()) for i in range(12)} | {"flat": [2.0] * 90}
+    df = weekdays(table)
+    names = [("s0", "s1"), ("s1", "s0"), ("s3", "s3"), ("s0", "s1"), ("s4", "s11"), ("s2", "none"), (None, "s1"), ("s5", "flat")]
+    pairs = spark.createDataFrame(names, "left_key string, right_key string")
+    for size, chunk in ((256, 4096), (3, 40)):
+        got = {(r[0], r[1]): r[2] for r in correlation.pair_correlation(df, pairs, "close", size=size, chunk=chunk).collect()}
+        assert set(got) == {("s0", "s1"), ("s1", "s0"), ("s3", "s3"), ("s4", "s11"), ("s5", "flat")}
+        assert got.pop(("s5", "flat")) is None
+        for (a, b), value in got.items():
+            assert value == pytest.approx(np.corrcoef(table[a], table[b])[0, 1])
+    zero = correlation.pair_correlation(df, pairs, "close", zero_if_flat=True).where("right_key = 'flat'").first()
+    assert zero["corr"] == 0.0
+    assert correlation.pair_correlation(df, pairs.limit(0), "close").collect() == []

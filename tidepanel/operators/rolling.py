@@ -47,11 +47,28 @@ def with_returns(df: DataFrame, value: str = "close", key: str = "symbol") -> Da
     })
 
 
+def trailing_means(df: DataFrame, value: str, means: dict[str, int], key: str = "symbol") -> DataFrame:
+    """Means of the last ``rows`` rows, by column name; null until that many values are there.
+
+    Constant work per row for any length: a running sum and count, each minus its own value ``rows`` rows before.
+    The sums are decimals of 12 places, so the difference is exact however long the series is.
+    """
+    w = series(key)
+    total = F.sum(F.col(value).cast("decimal(38,12)")).over(so_far(key))
+    out = df.withColumns({"_total": F.coalesce(total, F.lit(0).cast("decimal(38,12)")),
+                          "_count": F.count(value).over(so_far(key))})
+    parts = {}
+    for rows in set(means.values()):
+        parts[f"_total{rows}"] = F.col("_total") - F.coalesce(F.lag("_total", rows).over(w), F.lit(0).cast("decimal(38,12)"))
+        parts[f"_count{rows}"] = F.col("_count") - F.coalesce(F.lag("_count", rows).over(w), F.lit(0))
+    out = out.withColumns(parts).withColumns({
+        name: F.when(F.col(f"_count{rows}") >= rows, F.col(f"_total{rows}").cast("double") / rows)
+        for name, rows in means.items()})
+    return out.drop("_total", "_count", *parts)
+
+
 def moving_averages(df: DataFrame, value: str = "close") -> DataFrame:
-    return df.withColumns({
-        "ma50": trailing(F.avg, value, 50),
-        "ma200": trailing(F.avg, value, 200),
-    })
+    return trailing_means(df, value, {"ma50": 50, "ma200": 200})
 
 
 def rolling_volatility(df: DataFrame, value: str = "close", rows: int = 20) -> DataFrame:

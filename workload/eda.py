@@ -163,6 +163,30 @@ def _(spark, folder):
         "left_key", "right_key", r("corr", 6))
 
 
+@query("supplier_pair_correlation", sql("""
+  , u AS (SELECT symbol, date, COALESCE(LAST_VALUE(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    FIRST_VALUE(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS close
+  FROM (SELECT s.symbol, d.date, p.close AS c
+        FROM (SELECT DISTINCT date FROM supplier_prices) d CROSS JOIN (SELECT DISTINCT symbol FROM supplier_prices) s
+        LEFT JOIN supplier_prices p ON p.symbol = s.symbol AND p.date = d.date)),
+  pairs AS (SELECT CAST(s_suppkey AS VARCHAR) AS l, CAST(LEAD(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS VARCHAR) AS r FROM supplier)
+  SELECT l AS left_key, r AS right_key, ROUND(COALESCE(CORR(a.close, b.close), 0), 6) AS corr
+  FROM pairs JOIN u a ON a.symbol = l JOIN u b ON b.symbol = r AND a.date = b.date GROUP BY 1, 2""", "supplier_prices"))
+def _(spark, folder):
+    """Each supplier with the next one of its nation, from a table of pairs."""
+    from pyspark.sql import Window as W
+
+    from tidepanel.operators.calendar import align_to_union
+
+    peers = F.lead("s_suppkey").over(W.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    pairs = I.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("left_key"), peers.alias("right_key"))
+    joint = align_to_union(I.supplier_prices(spark, folder))
+    return correlation.pair_correlation(joint, pairs, "close", size=32, zero_if_flat=True).select(
+        "left_key", "right_key", r("corr", 6))
+
+
 @query("decompose_additive", sql("""
   , t AS (SELECT symbol, date, close, rn, n, CASE WHEN rn > 126 AND rn <= n - 126 THEN
       (SUM(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 125 PRECEDING AND 125 FOLLOWING)
