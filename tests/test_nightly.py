@@ -96,5 +96,8 @@ def test_short_series_are_reported_and_stay_open(spark, weekdays, tmp_path):
     assert {r["symbol"]: (r["status"], r["error"]) for r in status.collect()} == {
         "AEP": ("ok", None), "new": ("error", "not enough data")}
     assert {r["symbol"] for r in runs.read().collect()} == {"AEP"} == {r["symbol"] for r in points.read().collect()}
+    planned = spark.createDataFrame([("AEP", "arima", 7), ("AEP", "arima", 180)], "symbol string, model string, steps int")
+    redone = nightly.nightly(market, runs, points, "2024-01-10 13:30:00", models=["arima"], steps=[7], keys=planned)
+    assert [(r["symbol"], r["steps"]) for r in redone.collect()] == [("AEP", 7)]
     again = nightly.nightly(market, runs, points, "2024-01-10 14:00:00", models=["arima"], steps=[7])
     assert [(r["symbol"], r["status"]) for r in again.collect()] == [("new", "error")]

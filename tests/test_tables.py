@@ -475,3 +475,33 @@ def test_codes_without_rows_are_an_error(spark):
     assert market.require_codes(exog, ["CL=F"]) is exog
     with pytest.raises(readers.EmptySource, match="xlu"):
         market.require_codes(exog, ["CL=F", "XLU"])
+
+
+def test_refresh_stream_plans_each_cutoff_once(spark, tmp_path):
+    """Prices over several runs of one query: the keys of a closed cutoff are those of the batch plan."""
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("t", T.TimestampNTZType()),
+                           T.StructField("v", T.DoubleType())])
+    at = dt.datetime
+    files = [[("A", at(2024, 1, 2, 12, 29), 5.0), ("B", at(2024, 1, 2, 9), 7.0), ("low", at(2024, 1, 2, 9), 0.5)],
+             [("A", at(2024, 1, 2, 12, 31), 6.0), ("B", at(2024, 1, 3, 10), 8.0)],
+             [("C", at(2024, 1, 5, 13), 3.0)],  # closes the cutoffs of 2 and 3 January
+             [("A", at(2024, 1, 2, 10), 99.0), ("C", at(2024, 1, 5, 13), 3.0)]]  # late, and nothing new
+    runs = _run_table(spark)
+    runs.write(_runs(spark, ("A", "arima", 1.0, 2)).withColumn("updated_at", F.lit(at(2024, 1, 3, 12, 30)).cast("timestamp_ntz")))
+    prices = merge.BucketTable(spark, str(tmp_path / "last"), live.LAST_PRICES, ["symbol"], order="last_ts")
+    todo = merge.BucketTable(spark, str(tmp_path / "todo"), live.TODO, KEY, order="cutoff")
+    source, written_ = str(tmp_path / "raw"), []
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        live.refresh_job(live.file_stream(spark, source, schema), prices, runs, todo, str(tmp_path / "ckpt"), key="k", ts="t",
+                         value="v", models=["arima", "sarima"], steps=[7]).awaitTermination()
+        written_.append(len(todo.batches()))
+    assert written_[1] == 0 and written_[3] == written_[2]
+    cut = dt.datetime(2024, 1, 3, 12, 30)
+    assert {(r["symbol"], r["close"]) for r in prices.read().collect()} == {("A", 6.0), ("B", 8.0), ("low", 0.5)}
+    closes = spark.createDataFrame([("A", 6.0, 1), ("B", 8.0, 1), ("low", 0.5, 1)], "symbol string, close double, date int")
+    plan = refresh.refresh_plan(refresh.eligible_tasks(closes, 1.0, ["arima", "sarima"], [7]), runs.read(), F.lit(cut).cast("timestamp_ntz"))
+    got = {(r["symbol"], r["model"], r["steps"], r["cutoff"]) for r in todo.read().collect()}
+    assert got == {(*r, cut) for r in plan.collect()} == {("A", "sarima", 7, cut), ("B", "arima", 7, cut), ("B", "sarima", 7, cut)}
+    runs.write(_runs(spark, ("B", "arima", 1.0, 4)))
+    assert {tuple(r) for r in live.due(todo, runs).collect()} == {("A", "sarima", 7), ("B", "sarima", 7)}

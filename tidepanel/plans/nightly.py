@@ -86,17 +86,18 @@ def forecast_by_period(market: DataFrame, models: list[str], steps: list[int], *
 
 def nightly(market: DataFrame, runs: BucketTable, points: BucketTable, as_of: str, *,
             models: list[str] | None = None, steps: list[int] | None = None,
-            threshold: float = 1.0, **options) -> DataFrame:
-    """Refresh what is missing or stale and return the status of every computed key.
+            threshold: float = 1.0, keys: DataFrame | None = None, **options) -> DataFrame:
+    """Refresh what is missing or stale (or ``keys``, such as a stream has planned) and return the status of every computed key.
 
     Only series with open work are read and only open keys are fitted; those of too short series are reported and
     left out. A key is stored when all its parts are in order, so one with a failed backtest
     stays open. Both tables take the new keys beside what is stored; a repeated run changes nothing.
     """
     models, steps = models or S.MODELS, steps or list(S.HORIZON_BDAYS)
-    now = F.lit(as_of).cast("timestamp_ntz")
-    grid = refresh.eligible_tasks(market, threshold, models, steps)
-    open_keys = refresh.refresh_plan(grid, runs.read(), now)
+    if keys is None:
+        grid = refresh.eligible_tasks(market, threshold, models, steps)
+        keys = refresh.refresh_plan(grid, runs.read(), F.lit(as_of).cast("timestamp_ntz"))
+    open_keys = keys.select(*POINT_KEY).where(F.col("model").isin(models) & F.col("steps").isin(steps))
     checked = refresh.history_check(market, steps)
     # two small tables (a row per key) that several steps read
     todo = written(open_keys.join(checked.where("accepted").select("symbol", "steps"), ["symbol", "steps"]).select(*POINT_KEY), "todo")

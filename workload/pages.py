@@ -446,3 +446,28 @@ def _(spark, folder):
     live.price_job(raw, log, fresh_path(spark, "ckpt"), key="o_orderpriority", ts="o_orderdate",
                    value="o_totalprice").awaitTermination()
     return live.daily_prices(log).select("symbol", "date", r("close"))
+
+
+# the last cutoff (19:30 in Bangkok) that the watermark of two days has passed once all events are read
+part("closed", """SELECT CASE WHEN m >= date_trunc('day', m) + INTERVAL '12 hours 30 minutes' THEN date_trunc('day', m) + INTERVAL '12 hours 30 minutes'
+  ELSE date_trunc('day', m) - INTERVAL '11 hours 30 minutes' END AS c FROM (SELECT MAX(ts) - INTERVAL 2 DAY AS m FROM events)""")
+
+
+@query("refresh_stream", sql("""
+  SELECT s.symbol, m.model, CAST(t.steps AS INTEGER) AS steps, c AS cutoff
+  FROM (SELECT CAST(user_id AS VARCHAR) AS symbol, arg_max(value, ts) AS last FROM events, closed WHERE ts < c GROUP BY 1) s,
+    (SELECT UNNEST(['arima','sarima','sarimax','lstm']) AS model) m, (SELECT UNNEST([7, 180, 365]) AS steps) t, closed
+  WHERE last > 40 AND NOT EXISTS (SELECT 1 FROM current_runs r WHERE r.symbol = s.symbol AND r.model = m.model AND r.steps = t.steps
+    AND r.updated_at >= c)""", "closed", "current_runs"))
+def _(spark, folder):
+    """Drain the events as prices of users; the plan of the last closed cutoff against the stored runs."""
+    schema = I.table(spark, folder, "events").schema
+    raw = live.file_stream(spark, folder, schema, pattern="events.parquet")
+    key = ["symbol", "model", "steps"]
+    runs = merge.BucketTable(spark, fresh_path(spark, "runs"), schemas.FORECAST_RUNS, key)
+    runs.write(merge.latest_per_key(stored_runs(spark, folder), key))
+    prices = merge.BucketTable(spark, fresh_path(spark, "last"), live.LAST_PRICES, ["symbol"], order="last_ts")
+    todo = merge.BucketTable(spark, fresh_path(spark, "todo"), live.TODO, key, order="cutoff")
+    live.refresh_job(raw, prices, runs, todo, fresh_path(spark, "ckpt"), key="user_id", ts="ts", value="value",
+                     threshold=40.0).awaitTermination()
+    return todo.read()
