@@ -434,3 +434,47 @@ def test_a_fit_depends_on_its_own_order_only(spark, make_prices):
 
     alone, beside = fit(mine), fit(wide)
     assert alone[0] == beside[0] == 118 and np.allclose([alone[1], *alone[2]], [beside[1], *beside[2]], rtol=1e-9)
+
+
+def test_window_products_equal_the_explicit_matrix():
+    products = learned.Products(4, 3, 2, 2)
+    xs, ys = [], []
+    for n, stop in ((30, 27), (9, 9), (5, 5), (4, 4), (3, 3), (50, 20)):
+        z, state, y = RNG.normal(size=(n, 3)), RNG.normal(size=(n, 2)), RNG.normal(size=(max(stop - 4, 0), 2))
+        products.add(z, state, y, stop)
+        for k, t in enumerate(range(4, stop)):
+            xs.append(np.concatenate([[1.0], *(z[t - i] for i in range(1, 5)), state[t - 1]]))
+            ys.append(y[k])
+    x, y = np.array(xs), np.array(ys)
+    assert np.allclose(products.matrix(), x.T @ x) and np.allclose(products.targets, x.T @ y)
+
+
+def test_learned_model_equals_a_ridge_on_the_explicit_windows(weekdays):
+    """Two series with a windowed feature and a state; one-step paths from the solved coefficients."""
+    table = {"A": 100 * np.cumprod(1 + 0.01 * RNG.normal(size=90)), "B": 50 * np.cumprod(1 + 0.02 * RNG.normal(size=70))}
+    df = weekdays({k: list(v) for k, v in table.items()})
+    df = df.withColumn("x", F.sin(F.unix_date("date") * 1.0)).withColumn("s", F.cos(F.unix_date("date") * 0.7))
+    got = {(r["symbol"], r["kind"]): r for r in learned.learned_fits(df, [7], ["s"], 6, ["x"]).collect()}
+    data = {k: df.where(F.col("symbol") == k).orderBy("date").toPandas().iloc[1:] for k in table}
+    for held, kind in ((0, "future"), (5, "backtest")):
+        xs, ys, ends = [], [], {}
+        for k, part in data.items():
+            v = np.column_stack([table[k][1:] / table[k][:-1] - 1, part["x"], part["s"]])[:len(part) - held]
+            z = (v - v.mean(axis=0)) / v.std(axis=0)
+            xs += [np.concatenate([[1], z[t - 6:t][::-1, :2].ravel(), z[t - 1, 2:]]) for t in range(6, len(z))]
+            ys += list(z[6:, 0])
+            ends[k] = (z, v)
+        x, y = np.array(xs), np.array(ys)
+        penalty = np.eye(x.shape[1]) * learned.RIDGE * len(x)
+        penalty[0, 0] = 0
+        beta = np.linalg.solve(x.T @ x + penalty, x.T @ y)
+        for k, (z, v) in ends.items():
+            window, path, price = z[:, :2].copy(), [], table[k][len(v)]
+            for _ in range(5):
+                nxt = beta @ np.concatenate([[1], window[-6:][::-1].ravel(), z[-1, 2:]])
+                window = np.vstack([window, [nxt, window[-1, 1]]])
+                price *= 1 + np.clip(nxt * v[:, 0].std() + v[:, 0].mean(), -0.07, 0.07)
+                path.append(price)
+            row = got[(k, kind)]
+            assert row["used"] == "recursive" and row["path"] == pytest.approx(path, rel=1e-9)
+            assert row["drift"] == pytest.approx(v[:, 0].mean()) and len(row["test"]) == held

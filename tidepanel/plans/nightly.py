@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidepanel import settings as S
 from tidepanel.operators.indicators import indicator_matrix, indicator_names
+from tidepanel.operators.market import exog_returns
 from tidepanel.operators.rolling import period_slice
 from tidepanel.plans import arima, drift, learned, refresh
 from tidepanel.session import written
@@ -28,12 +29,13 @@ def _regression(market: DataFrame, steps: list[int], models: list[str], **option
 
 
 def _learned(market: DataFrame, steps: list[int], models: list[str], **options) -> DataFrame:
-    """Indicators and the levels of the exog columns as features."""
+    """Returns of the exog columns over the whole look-back, indicators with their latest value."""
     exog = exog_columns(market)
-    features = indicator_matrix(market.select("symbol", "date", "close"))
-    wide = features.join(market.select("symbol", "date", *exog), ["symbol", "date"]) if exog else features
-    return learned.learned_fits(wide, steps, indicator_names() + exog,
-                                options.get("lookback", 120))
+    wide = indicator_matrix(market.select("symbol", "date", "close"))
+    if exog:
+        moved = exog_returns(market.select("symbol", "date", *exog), exog).select("symbol", "date", *[f"ex_{c}" for c in exog])
+        wide = wide.join(moved, ["symbol", "date"], "left").fillna(0.0, [f"ex_{c}" for c in exog])
+    return learned.learned_fits(wide, steps, indicator_names(), options.get("lookback", 120), [f"ex_{c}" for c in exog])
 
 
 def _drift(market: DataFrame, steps: list[int], models: list[str], **options) -> DataFrame:

@@ -534,3 +534,12 @@ def _(spark, folder):
     """One global windowed model: recursive for 7 days, blocks for 180 and 365."""
     return arima.forecast_points(learned(spark, folder, [7, 180, 365])).select(
         "symbol", "steps", "kind", "step", "date", r("price", 2))
+
+
+@query("forecast_learned_exogenous")
+def _(spark, folder):
+    """The same model with the returns of three exogenous series over the whole look-back."""
+    from tidepanel.plans import nightly
+
+    fits = nightly.forecast(market_frame(spark, folder), ["lstm"], [7, 180])
+    return arima.forecast_points(fits).select("symbol", "steps", "kind", "step", "date", r("price", 2))
