@@ -448,3 +448,32 @@ def test_quality_separates_and_survives_missing_classes(spark, nothing):
     none = quality.fit(rows, labels.limit(0))
     assert quality.accepted(rows, none).count() == 302
     assert quality.accepted(nothing, quality.fit(nothing, labels)).collect() == []
+
+
+def test_license_scan_is_linear_in_a_dense_text(spark):
+    """A text of 200,000 words, all from notices, and repeated rows."""
+    words = " ".join(license.TEMPLATES.values()).split()
+    rnd = random.Random(3)
+    long = " ".join(rnd.choice(words) for _ in range(200_000)) + " " + license.TEMPLATES["bsd"]
+    rows = spark.createDataFrame([(1, long), (1, long), (2, license.TEMPLATES["cc-by"])], "doc_id int, text string")
+    found = [tuple(r) for r in license.scan(rows).select("doc_id", "n_words", "labels").collect()]
+    one = next(f for f in found if f[0] == 1)
+    assert found.count(one) == 2 and "bsd" in one[2] and one[1] == len(long.split())
+    assert (2, 13, "cc-by") in found
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    rows = [(50, [1.0, 0.0, 0.0, 0.0])] + [(i, [float(2 ** (i % 7)), 0.0, 0.0, 0.0]) for i in range(20)]
+    rows += [(100 + i, [1.0 + i, 0.0, 0.0, 0.0]) for i in range(30)] + [(200, [0.0, 1.0, 0.0, 0.0]), (3, [0.0, 0.0, 5.0, 0.0])]
+    table = clashing(spark.createDataFrame(rows + rows[:4], "vec_id bigint, embedding array<double>"))
+    for shard in (4_096, 8):
+        found = hnsw.nearest(table, F.col("vec_id") == 50, shard=shard).orderBy("rank").collect()
+        assert [(r["vec_id"], r["score"]) for r in found] == [(i, 1.0) for i in range(5)]
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"u{i}", "x" * 4_000 + str(i)) for i in range(3_000)]
+    packages = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path))
+    read = warc.read_archives(packages, payloads=False)
+    tasks = read.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 1 and read.count() == 3_000

@@ -76,8 +76,8 @@ def places(words: Column, phrase: str) -> Column:
             .otherwise(F.array().cast("array<int>")))
 
 
-def variants(words: Column, placed: Column) -> Column:
-    """(i, kind) of every place that tells Creative Commons licences apart.
+def variants(words: Column) -> Column:
+    """For every word the kind it tells of Creative Commons licences, null for nearly all words.
 
     The kind of "creative commons attribution" is cc-by, cc-by-nc, or other with further conditions;
     that of a word of SIGNS, wherever it stands, is the word.
@@ -97,13 +97,11 @@ def variants(words: Column, placed: Column) -> Column:
                 .when((at(1) == "non") & (at(2) == "commercial"), noncommercial(3))
                 .when(other(1), "other").otherwise("cc-by"))
 
-    def kind(x):
-        full = (F.get(words, x["i"] - 2) == "creative") & (F.get(words, x["i"] - 1) == "commons")
-        return F.when(x["w"] != "attribution", x["w"]).when(full, named(x["i"]))
+    def kind(w, i):
+        full = (F.get(words, i - 2) == "creative") & (F.get(words, i - 1) == "commons")
+        return F.when(w.isin(*SIGNS), w).when((w == "attribution") & full, named(i))
 
-    telling = F.filter(placed, lambda x: x["w"].isin("attribution", *SIGNS))
-    return F.filter(F.transform(telling, lambda x: F.struct(x["i"].alias("i"), kind(x).alias("kind"))),
-                    lambda x: x["kind"].isNotNull())
+    return F.transform(words, kind)
 
 
 def _told_apart(label: Column, kinds: Column) -> Column:
@@ -125,10 +123,24 @@ def _order(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
 
 
+def _least(templates: dict[str, str], share: int) -> int:
+    """Template words that any block must have."""
+    return min(ceil(len(set(t.split())) * share / 100) for t in templates.values())
+
+
+def blocks_of(words: Column, kinds: Column, vocabulary: list[str]) -> Column:
+    """(start, words, kinds) of every block: its template words and the kinds it tells. Each block looks at its own
+    words alone, so the work is linear in the text."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(STEP))
+    return F.transform(starts, lambda s: F.struct(
+        s.alias("start"), F.array_intersect(F.slice(words, s + 1, F.lit(WINDOW)), _strings(vocabulary)).alias("words"),
+        # a name that starts in the block counts, though its third word stands behind the end
+        F.array_compact(F.slice(kinds, s + 1, F.lit(WINDOW + 2))).alias("kinds")))
+
+
 def matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, share: int = SHARE) -> DataFrame:
     """(doc_id, h, start, label, shared, needed, size) of every block of ``rows`` that contains enough of a
-    template. ``rows``: doc_id, h, n_words, the template words ``known`` of the text, ``hits``, their places,
-    and ``variants``."""
+    template. ``rows``: doc_id, h, the template words ``known`` of the text, and its ``blocks``."""
     spark = rows.sparkSession
     sets = {label: set(text.split()) for label, text in templates.items()}
     rank = _order(rows, sorted(set().union(*sets.values())))
@@ -141,18 +153,9 @@ def matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, share: int =
     table = spark.createDataFrame(
         prefixes, "word string, label string, place int, size int, needed int, template array<string>")
     keys = _strings(sorted({p[0] for p in prefixes}))
-    least = min(p[4] for p in prefixes)
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 1, F.lit(0)), F.lit(STEP))
-    inside = F.filter("hits", lambda x: (x["i"] >= F.col("start")) & (x["i"] < F.col("start") + WINDOW))
-    # a name that starts in the block counts, though its third word stands behind the end
-    kinds = F.transform(F.filter("variants", lambda x: (x["i"] >= F.col("start")) & (x["i"] < F.col("start") + WINDOW + 2)),
-                        lambda x: x["kind"])
-    blocks = (rows.where((F.size("known") >= least) & F.arrays_overlap("known", keys))
-              .select("doc_id", "h", "hits", "variants", F.explode(starts).alias("start"))
+    blocks = (rows.where(F.arrays_overlap("known", keys)).select("doc_id", "h", F.inline("blocks"))
               # template words of the block in the global order
-              .select("doc_id", "h", "start", F.array_intersect(
-                  _strings(ordered), F.transform(inside, lambda x: x["w"])).alias("block"), kinds.alias("kinds"))
-              .where(F.size("block") >= least))
+              .select("doc_id", "h", "start", F.array_intersect(_strings(ordered), F.col("words")).alias("block"), "kinds"))
     joined = blocks.select("doc_id", "h", "start", "block", "kinds", F.posexplode("block").alias("at", "word")).join(
         F.broadcast(table), "word")  # as many rows as the templates have prefix words
     left = F.least(F.size("block") - F.col("at"), F.col("size") - F.col("place"))
@@ -179,12 +182,12 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, share: int =
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
     spots = {label: places(F.col("words"), phrase) for label, phrase in PHRASES.items()}
     known = F.array_intersect("words", _strings(vocabulary))
-    telling = sorted({*vocabulary, "attribution", *SIGNS})
-    placed = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(telling), F.struct(i.alias("i"), w.alias("w")))))
-    # the one pass over the texts; the rest works on places of template words
-    rows = rows.withColumn("hits", placed)
-    rows = written(rows.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), known.alias("known"),
-                               "hits", variants(F.col("words"), F.col("hits")).alias("variants"),
+    least = _least(templates, share)
+    # the one pass over the texts; the rest works on blocks with enough template words
+    rows = rows.select("doc_id", "h", "words", known.alias("known"), F.when(F.size(known) >= least, variants(F.col("words"))).alias("kinds"))
+    rich = F.when(F.size("known") >= least, F.filter(
+        blocks_of(F.col("words"), F.col("kinds"), vocabulary), lambda b: F.size(b["words"]) >= least))
+    rows = written(rows.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), "known", rich.alias("blocks"),
                                *[x.alias(f"at_{i}") for i, x in enumerate(spots.values())]), "words")
     hits = (matches(rows, templates, share).groupBy("doc_id", "h")
             .agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share"))
