@@ -148,41 +148,44 @@ class Graph:
 def build(classes: DataFrame, shards: int) -> DataFrame:
     """One row per shard: class numbers, vectors and, level by level, members and neighbours as flat arrays."""
 
-    def packed(shard, ids, vectors):
+    def packed(shard, ids, least, vectors):
         parts = Graph.built(unit(vectors))
         return pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int64()), pa.array([vectors.shape[1]], pa.int64()),
              pa.array([np.ascontiguousarray(ids).tobytes()], pa.binary()),
+             pa.array([np.ascontiguousarray(least).tobytes()], pa.binary()),
              pa.array([vectors.tobytes()], pa.binary()),
              pa.array([[m.tobytes() for m, _ in parts]], pa.list_(pa.binary())),
              pa.array([[x.tobytes() for _, x in parts]], pa.list_(pa.binary()))],
-            ["shard", "dims", "ids", "vectors", "members", "links"])
+            ["shard", "dims", "ids", "least", "vectors", "members", "links"])
 
     def run(batches):
-        shard, ids, vectors = None, [], []
+        shard, ids, least, vectors = None, [], [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            of, node, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+            of, node, small, data = *(batch.column(i).to_numpy() for i in range(3)), matrix(batch.column(3))
             borders = [0, *(np.nonzero(np.diff(of))[0] + 1), len(of)]
             for a, b in zip(borders[:-1], borders[1:]):
                 if ids and of[a] != shard:
-                    yield packed(shard, np.concatenate(ids), np.concatenate(vectors))
-                    ids, vectors = [], []
+                    yield packed(shard, np.concatenate(ids), np.concatenate(least), np.concatenate(vectors))
+                    ids, least, vectors = [], [], []
                 shard = int(of[a])
                 ids.append(node[a:b])
+                least.append(small[a:b])
                 vectors.append(data[a:b])
         if ids:
-            yield packed(shard, np.concatenate(ids), np.concatenate(vectors))
+            yield packed(shard, np.concatenate(ids), np.concatenate(least), np.concatenate(vectors))
 
-    dealt = (classes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "node", "vector")
+    dealt = (classes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "node", "least", "vector")
              .repartition(max(shards, 1), "shard").sortWithinPartitions("shard", F.xxhash64("node", F.lit(2))))
     return written(dealt.mapInArrow(
-        run, "shard bigint, dims bigint, ids binary, vectors binary, members array<binary>, links array<binary>"), "graphs")
+        run, "shard bigint, dims bigint, ids binary, least binary, vectors binary, members array<binary>, links array<binary>"), "graphs")
 
 
 def search(graphs: DataFrame, queries: DataFrame, *, most: int, width: int = WIDTH) -> DataFrame:
-    """(query_id, node, score): the ``most`` best classes of every shard for each query (vec_id, vector)."""
+    """(query_id, node, score): the ``most`` best classes of every shard for each query (vec_id, vector);
+    of equally near ones those with the smallest vec_id."""
     shards = graphs.select("shard")
     blocks = -(-queries.count() // BLOCK)
     packs = (queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(blocks, 1))).alias("block"))
@@ -199,6 +202,7 @@ def search(graphs: DataFrame, queries: DataFrame, *, most: int, width: int = WID
                 dims = row["dims"].as_py()
                 vectors = np.frombuffer(row["vectors"].as_buffer()).reshape(-1, dims)
                 nodes = np.frombuffer(row["ids"].as_buffer(), np.int64)
+                least = np.frombuffer(row["least"].as_buffer(), np.int64)
                 parts = []
                 for m, x in zip(row["members"].values, row["links"].values):
                     members = np.frombuffer(m.as_buffer(), np.int32)
@@ -212,7 +216,7 @@ def search(graphs: DataFrame, queries: DataFrame, *, most: int, width: int = WID
                     query = unit(np.array([asked_vector], np.float64))[0]
                     found = np.array([n for _, n in graph.search(query, max(width, most))], np.int64)
                     score = np.einsum("ij,j->i", scaled[found], query)
-                    order = np.lexsort((nodes[found], -score))[:most]
+                    order = np.lexsort((least[found], -score))[:most]
                     out[0] += [query_id] * len(order)
                     out[1] += nodes[found[order]].tolist()
                     out[2] += score[order].tolist()
@@ -241,11 +245,10 @@ def nearest(rows: DataFrame, asked: "F.Column", *, neighbours: int = 5, width: i
     ids = (good.select("k1", "k2", "vec_id").distinct().withColumn("r", F.row_number().over(first))
            .where(F.col("r") <= neighbours + 1))
     heads = written(ids.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "heads")
-    heads = heads.withColumn("node", F.col("ids")[0])
     # ids may repeat with other vectors: a class is named by a number of its own
     heads = heads.withColumn("node", F.xxhash64("k1", "k2"))
     classes = written(good.join(heads.select("k1", "k2", "node", F.col("ids")[0].alias("vec_id")), ["k1", "k2", "vec_id"])
-                      .dropDuplicates(["k1", "k2"]).select("node", "vector", F.size("vector").alias("dims")), "classes")
+                      .dropDuplicates(["k1", "k2"]).select("node", F.col("vec_id").alias("least"), "vector", F.size("vector").alias("dims")), "classes")
     queries = written(good.where(asked).dropDuplicates(["vec_id", "k1", "k2"]).select("vec_id", "vector"), "queries")
     found = None
     for dims, count in sorted(tuple(r) for r in classes.groupBy("dims").count().collect()):  # a row per length
