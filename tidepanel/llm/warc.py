@@ -288,7 +288,9 @@ def read_archives(packages: DataFrame, *, payloads: bool = True) -> DataFrame:
         places, "path string, block bigint, offset bigint, length bigint")
     schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + (
         ", payload binary, url string" if payloads else "")
-    return found.repartition("path", "block").sortWithinPartitions("path", "offset").mapInArrow(records, schema)
+    # a row stands for the bytes behind it: with a stated number, few small rows are not put into one task
+    tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(tasks, "path", "block").sortWithinPartitions("path", "offset").mapInArrow(records, schema)
 
 
 def round_trip(pages: DataFrame, *, least: int = 0) -> DataFrame:
