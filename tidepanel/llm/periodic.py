@@ -233,8 +233,10 @@ def _prepared(docs: DataFrame, texts: bool) -> DataFrame:
 
 def _fragments(prepared: DataFrame) -> DataFrame:
     """(row, period, start, end), tiles dealt over all tasks."""
+    # small rows with much work behind them: a stated number of tasks is not lowered by their bytes
+    tasks = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles_ = (prepared.where("octave is not null").select("row", "octave", "first", "cuts", "ids")
-              .repartition(F.xxhash64("row", "octave", "first")))
+              .repartition(tasks, F.xxhash64("row", "octave", "first")))
 
     def run(batches):
         schema = pa.schema([("row", pa.int64()), ("period", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
