@@ -313,6 +313,15 @@ part("current_runs", """SELECT symbol, model, steps, backtest_mae, last_price, u
   QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol, model, steps ORDER BY updated_at DESC, event_id DESC) = 1""", "runs")
 
 
+@query("news_feed", sql("SELECT published, title, description, url FROM articles", "articles"))
+def _(spark, folder):
+    """Nested answers of 100 articles each, taken apart."""
+    numbered = I.articles(spark, folder).withColumn("page", F.floor(F.unix_seconds(F.col("published").cast("timestamp")) / 6000))
+    feed = numbered.groupBy("page").agg(F.lit("ok").alias("status"), F.collect_list(F.struct(
+        F.col("published").cast("string").alias("publishedAt"), "title", "description", "url")).alias("articles"))
+    return readers.articles_from_feed(feed)
+
+
 @query("news_replaced", sql("""SELECT symbol, COUNT(*) AS n, MIN(published) AS first_at FROM news
   WHERE published >= CASE WHEN symbol = 'Is' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-01 02:00:00' END
   AND (symbol <> 'Is' OR published < TIMESTAMP '2024-01-01 02:00:00') GROUP BY 1""", "news"))

@@ -284,6 +284,30 @@ def _(spark, folder):
         "symbol", "date", r("macd", 4), r("macd_signal", 4))
 
 
+@query("macd_strict", _ewm_sql("""SELECT symbol, date, CASE WHEN rn >= 26 THEN ROUND(macd, 4) + 0::DOUBLE END AS macd,
+  CASE WHEN rn >= 34 THEN ROUND(sig, 4) + 0::DOUBLE END AS macd_signal FROM ewm_run"""))
+def _(spark, folder):
+    """Null until the slow mean, and the signal on it, have their rows."""
+    return ind.macd(I.panel(spark, folder), strict=True).select(
+        "symbol", "date", r("macd", 4), r("macd_signal", 4))
+
+
+@query("rsi_strict", _ewm_sql(f"SELECT symbol, date, CASE WHEN rn >= 14 THEN ROUND({RSI_SQL}, 6) END AS rsi14 FROM ewm_run"))
+def _(spark, folder):
+    return ind.rsi(I.panel(spark, folder), strict=True).select("symbol", "date", r("rsi14"))
+
+
+@query("bollinger_strict", sql("""
+  SELECT symbol, date, CASE WHEN k >= 20 THEN ROUND(m - 2 * s, 4) END AS bb_low, CASE WHEN k >= 20 THEN ROUND(m + 2 * s, 4) END AS bb_high,
+    CASE WHEN k >= 20 AND s > 1e-10 * ABS(m) THEN ROUND((close - (m - 2 * s)) / (4 * s), 6) + 0::DOUBLE END AS bb_pct
+  FROM (SELECT symbol, date, close, AVG(close) OVER w AS m, STDDEV_POP(close) OVER w AS s, COUNT(close) OVER w AS k FROM panel
+        WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+  """, "panel"))
+def _(spark, folder):
+    return ind.bollinger(I.panel(spark, folder), strict=True).select(
+        "symbol", "date", r("bb_low", 4), r("bb_high", 4), r("bb_pct"))
+
+
 @query("bollinger", sql("""
   SELECT symbol, date, ROUND(m - 2 * s, 4) AS bb_low, ROUND(m + 2 * s, 4) AS bb_high,
     ROUND(CASE WHEN s <= 1e-10 * ABS(m) THEN 0 ELSE (close - (m - 2 * s)) / (4 * s + 1e-9) END, 6) + 0::DOUBLE AS bb_pct
