@@ -148,11 +148,15 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [None, 0, 3000])
 def test_suffix_arrays_remove_what_brute_force_removes(docs, awkward, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(suffix, "HOT_BYTES", 0)
+    """With no limit, with every group counted in the end, and with groups split by further anchors."""
+    if hot is not None:
+        monkeypatch.setattr(suffix, "HOT_BYTES", hot)
         monkeypatch.setattr(suffix, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(suffix, "STRIP", 7)
+        monkeypatch.setattr(suffix, "OUT_BYTES", 5000)
+        monkeypatch.setattr(suffix, "BATCH_BYTES", 1500)
     expected = brute_repeats([*awkward, awkward[3]], 200)
     rows = suffix.repeats(clashing(docs)).collect()
     assert len(rows) == len(expected)
@@ -172,7 +176,7 @@ def test_suffix_levels_merge_like_a_binary_counter():
         names += len(places)
         assert [x.units for x in family.levels] == [1 << b for b in reversed(range(5)) if (batch + 1) >> b & 1]
         for level in family.levels:
-            strings = [bytes(level.text[p:p + 20]) for p in level.places]
+            strings = [bytes(level.text[p:p + 20]) for p in level.places.tolist()]
             assert strings == sorted(set(strings))
     count = collections.Counter(texts)
     assert set(family.repeated().tolist()) == {i for i, t in enumerate(texts) if count[t] > 1}

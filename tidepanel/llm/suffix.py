@@ -11,8 +11,12 @@ A string of LENGTH bytes that starts at two places is removed at all its places.
    shard they come in batches. The window starts of a batch are sorted by the LENGTH bytes after
    them, a suffix array cut at that depth; equal neighbours are repeats. The batch is then looked
    up in the existing levels, and levels of equal size are merged, as in a binary counter.
-4. A hash with more than HOT_BYTES of distinct runs does not fit one shard. Its windows are
-   counted by a 128-bit hash over all tasks instead.
+4. A hash with more than HOT_BYTES of distinct runs does not fit one shard. Its runs are cut where
+   the second smallest gram of the window changes, and dealt again by both; then by the four, eight, ...
+   smallest. Only windows that agree in all of these and still do not fit are counted by a 128-bit hash.
+
+Python workers hold one text and a few megabytes of rows at a time; a level keeps its text and
+two numbers for each window, and is compared strip by strip.
 
 Spans go back to the documents, are merged there, and the rest of the text is kept.
 """
@@ -26,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import spare, utf8
+from tidepanel.llm.common import each_utf8, small_batches, spare
 from tidepanel.session import written
 
 LENGTH = 200
 GRAM = 48
-CHUNK = 1 << 19  # window starts of a text looked at together; their numbers take 20 bits
-BATCH_BYTES = 64_000
-SHARD_BYTES = 400_000  # a level holds its strings twice while it is merged: 200 bytes for each window
-HOT_BYTES = 200_000
+CHUNK = 1 << 17  # window starts of a text looked at together; their numbers take 20 bits
+BATCH_BYTES = 128_000
+STRIP = 4096  # strings of a level written out at a time
+SHARD_BYTES = 1_000_000
+HOT_BYTES = 2_000_000
+DEPTHS = (2, 4, 8, 16, 32)  # smallest grams of a window that deal a hot hash again
+OUT_BYTES = 2_000_000  # rows of a task given back at a time
 BROADCAST_BYTES = 48_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -85,11 +92,8 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
 class Level:
     """Text and the places in it, sorted by the ``length`` bytes that follow; no two alike."""
 
-    def __init__(self, text: np.ndarray, places: np.ndarray, names: np.ndarray, units: int, length: int):
-        self.text, self.places, self.names, self.units, self.length = text, places, names, units, length
-
-    def strings(self) -> np.ndarray:
-        return _strings(self.text, self.places, self.length)
+    def __init__(self, text: np.ndarray, places: np.ndarray, names: np.ndarray, units: int):
+        self.text, self.places, self.names, self.units = text, places, names, units
 
 
 def _strings(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
@@ -99,6 +103,45 @@ def _strings(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     return rows.view(f"S{length + 1}").ravel()
 
 
+def _upto(level: Level, at: int, last: bytes, length: int) -> int:
+    """First number from ``at`` whose string is above ``last``."""
+    low, high = at, len(level.places)
+    while low < high:
+        mid = (low + high) // 2
+        place = level.places[mid]
+        if level.text[place:place + length].tobytes() <= last:
+            low = mid + 1
+        else:
+            high = mid
+    return low
+
+
+def _lookup(held: Level, asked: Level, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of ``asked`` its number in ``held`` and whether it is there; both are passed once, in strips."""
+    count = len(asked.places)
+    at, found, done = np.full(count, len(held.places)), np.zeros(count, bool), 0
+    for start in range(0, len(held.places), STRIP):
+        strip = _strings(held.text, held.places[start:start + STRIP], length)
+        last = held.places[min(start + STRIP, len(held.places)) - 1]
+        upto = _upto(asked, done, held.text[last:last + length].tobytes(), length)
+        for first in range(done, upto, STRIP):
+            here = slice(first, min(first + STRIP, upto))
+            strings = _strings(asked.text, asked.places[here], length)
+            to = np.searchsorted(strip, strings)
+            at[here], found[here] = start + to, strip[to] == strings
+        done = upto
+        if done == count:
+            break
+    return at, found
+
+
+def _merged(a: Level, b: Level, length: int) -> Level:
+    """One level of both: ``b`` has no string of ``a``."""
+    to, _ = _lookup(a, b, length)
+    return Level(np.concatenate([a.text, b.text]), np.insert(a.places, to, b.places + len(a.text)),
+                 np.insert(a.names, to, b.names), a.units + b.units)
+
+
 class SuffixLevels:
     """Family of suffix arrays: each holds twice the batches of the one before it.
 
@@ -117,34 +160,19 @@ class SuffixLevels:
         if same.any():
             self._hits += [names[1:][same], names[:-1][same]]
         first = np.concatenate([[True], ~same])
-        strings, places, names = strings[first], places[first], names[first]
+        new = Level(text, places[first], names[first], 1)
         for level in self.levels:  # scan against the existing levels
-            at, found = _lookup(level.strings(), strings)
-            self._hits += [level.names[at[found]], names[found]]
-            strings, places, names = strings[~found], places[~found], names[~found]
-        new = Level(text, places, names, 1, self.length)
+            at, found = _lookup(level, new, self.length)
+            self._hits += [level.names[at[found]], new.names[found]]
+            new = Level(text, new.places[~found], new.names[~found], 1)
         while self.levels and self.levels[-1].units == new.units:
-            new = _merged(self.levels.pop(), new)
+            new = _merged(self.levels.pop(), new, self.length)
         self.levels.append(new)
 
     def repeated(self) -> np.ndarray:
         return np.unique(np.concatenate(self._hits)) if self._hits else np.zeros(0, np.int64)
 
 
-def _lookup(held: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(held, asked)
-    found = at < len(held)
-    found[found] = held[at[found]] == asked[found]
-    return at, found
-
-
-def _merged(a: Level, b: Level) -> Level:
-    """One level of both: ``b`` has no string of ``a``."""
-    to = np.searchsorted(a.strings(), b.strings())
-    return Level(np.concatenate([a.text, b.text]), np.insert(a.places, to, b.places + len(a.text)),
-                 np.insert(a.names, to, b.names), a.units + b.units, a.length)
-
-
 # --- jobs ----------------------------------------------------------------------------------
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -156,23 +184,26 @@ def _keys(docs: DataFrame) -> DataFrame:
 def _runs_of(docs: DataFrame, length: int) -> DataFrame:
     """(k, n, g, fp, p, w): every run of every text; g anchor hash, fp hash of its bytes, w window starts."""
 
+    def packed(parts):
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in np.concatenate(parts, axis=1)], ["k", "n", "g", "fp", "p", "w"])
+
     def find(batches):
         import xxhash
 
+        parts, held = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                columns: list[list] = [[] for _ in range(6)]
-                for data, k in zip(utf8(part.column(0)), part.column(1).to_pylist()):
-                    g, p, w = runs(data, length)
-                    if not len(g):
-                        continue
-                    fp = np.fromiter((xxhash.xxh3_64_intdigest(data[a:a + b + length - 1])
-                                      for a, b in zip(p.tolist(), w.tolist())), np.uint64, len(p)).view(np.int64)
-                    for column, value in zip(columns, (np.full(len(g), k), np.full(len(g), len(data)), g, fp, p, w)):
-                        column.append(value)
-                arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in arrays], ["k", "n", "g", "fp", "p", "w"])
+            for data, k in zip(each_utf8(batch.column(0)), batch.column(1).to_pylist()):
+                g, p, w = runs(data, length)
+                view = memoryview(data)
+                fp = np.fromiter((xxhash.xxh3_64_intdigest(view[a:a + b + length - 1])
+                                  for a, b in zip(p.tolist(), w.tolist())), np.uint64, len(p)).view(np.int64)
+                parts.append(np.stack([np.full(len(g), k), np.full(len(g), len(data)), g, fp, p, w]))
+                held += parts[-1].nbytes
+                if held >= OUT_BYTES:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
 
     return docs.where(F.col("n") >= length).select("text", "k").mapInArrow(
         find, "k bigint, n bigint, g bigint, fp bigint, p bigint, w bigint")
@@ -184,17 +215,19 @@ def _fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                rows = part.column(1)
-                ends = np.diff(rows.offsets.to_numpy())
-                flat = rows.flatten()
-                p, w = flat.field("p").to_numpy(), flat.field("w").to_numpy()
-                texts = utf8(part.column(0))
-                owner = np.repeat(np.arange(len(texts)), ends)
-                data = [texts[o][a:a + b + length - 1] for o, a, b in zip(owner.tolist(), p.tolist(), w.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [flat.field("g"), flat.field("fp"), flat.field("c"), pa.array(data, pa.binary())], ["g", "fp", "c", "data"])
+            rows = batch.column(1)
+            ends, each = rows.offsets.to_numpy(), rows.values
+            flat = [each.field(name) for name in ("g", "fp", "c")]
+            p, w = each.field("p").to_numpy().tolist(), each.field("w").to_numpy().tolist()
+            data, held, first = [], 0, int(ends[0])
+            for i, text in enumerate(each_utf8(batch.column(0))):
+                for r in range(ends[i], ends[i + 1]):
+                    data.append(text[p[r]:p[r] + w[r] + length - 1])
+                    held += len(data[-1])
+                    if held >= OUT_BYTES or r + 1 == ends[-1]:
+                        yield pa.RecordBatch.from_arrays([x.slice(first, len(data)) for x in flat] + [pa.array(data, pa.binary())],
+                                                         ["g", "fp", "c", "data"])
+                        data, held, first = [], 0, r + 1
 
     return _bounded(docs.select("k", "n", "text"), lists, 40 * 8).select("text", "runs").mapInArrow(
         cut, "g bigint, fp bigint, c bigint, data binary")
@@ -208,8 +241,63 @@ def _bounded(docs: DataFrame, lists: DataFrame, width: int, how: str = "inner")
     return docs.join(F.broadcast(lists) if small else lists, ["k", "n"], how)
 
 
-def _by_levels(found: DataFrame, shards: int, length: int) -> DataFrame:
-    """(g, fp, starts): repeated window starts of the runs (g, fp, data), found shard by shard."""
+def _split(pieces: DataFrame, depth: int, length: int) -> DataFrame:
+    """Pieces cut where the ``depth`` smallest grams of the window change; ``key`` is made of their hashes."""
+    names = ["g", "fp", "base", "key", "size", "data"]
+    wide = length - GRAM + 1
+
+    def cut(batches):
+        rows, held = [], 0
+        for batch in batches:
+            for g, fp, base, data in zip(*(batch.column(i).to_pylist() for i in range(3)), each_utf8(batch.column(3))):
+                hashed = gram_hashes(np.frombuffer(data, np.uint8))
+                grams = np.lib.stride_tricks.sliding_window_view(hashed, wide)
+                least = np.sort(np.partition(grams, min(depth, wide) - 1, axis=1)[:, :depth], axis=1)
+                key = np.zeros(len(least), np.uint64)
+                for column in least.T:
+                    key = _mixed(key * _M2 + column)
+                first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]]).tolist()
+                for i, j in zip(first[:-1], first[1:]):
+                    part = data[i:j + length - 1]
+                    rows.append((g, fp, base + i, int(key[i].view(np.int64)), len(part), part))
+                    held += len(part)
+                if held >= OUT_BYTES:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.binary() if name == "data" else pa.int64()) for name, c in zip(names, zip(*rows))], names)
+
+    return pieces.select("g", "fp", "base", "data").mapInArrow(
+        cut, "g bigint, fp bigint, base bigint, key bigint, size bigint, data binary")
+
+
+def _repeated_starts(found: DataFrame, length: int) -> DataFrame:
+    """(g, fp, ends): first and last of the stretches of repeated window starts in the runs (g, fp, data)."""
+    pieces = found.select("g", "fp", F.lit(0).cast("long").alias("base"), F.col("g").alias("key"),
+                          F.octet_length("data").cast("long").alias("size"), "data")
+    usual, total = [], 0
+    for depth in [*DEPTHS, None]:
+        weight = pieces.groupBy("key").agg(F.sum("size").alias("bytes"))
+        hot = F.col("bytes") > HOT_BYTES
+        fits, over = weight.agg(F.sum(F.when(~hot, F.col("bytes"))), F.count_if(hot)).first()
+        total += fits or 0
+        if not over:
+            usual.append(pieces)
+            return _by_levels(usual, max(1, -(-total // SHARD_BYTES)), length)
+        hot = written(weight.where(hot).select("key"), "hot")
+        usual.append(pieces.join(hot, "key", "left_anti").select(pieces.columns))
+        pieces = pieces.join(hot, "key")
+        if depth:
+            pieces = written(_split(pieces, depth, length), "pieces")
+    return _by_levels(usual, max(1, -(-total // SHARD_BYTES)), length).union(_by_counts(pieces, length))
+
+
+def _by_levels(pieces: list[DataFrame], shards: int, length: int) -> DataFrame:
+    """Repeated window starts of pieces (g, fp, base, key, data), found shard by shard."""
 
     def scan(batches):
         shard, held, size = None, [], 0
@@ -219,83 +307,93 @@ def _by_levels(found: DataFrame, shards: int, length: int) -> DataFrame:
             nonlocal held, size, total
             if not held:
                 return
-            text = np.frombuffer(b"".join(d for _, _, d in held), np.uint8)
-            counts = np.array([len(d) - length + 1 for _, _, d in held])
-            begins = np.concatenate([[0], np.cumsum([len(d) for _, _, d in held])[:-1]])
+            text = np.frombuffer(b"".join(row[3] for row in held), np.uint8)
+            sizes = np.array([len(row[3]) for row in held])
+            counts = sizes - length + 1
+            begins = np.cumsum(sizes) - sizes
             inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             levels.add(text, np.repeat(begins, counts) + inner, np.arange(counts.sum()) + total)
-            names.extend((g, fp, c) for (g, fp, _), c in zip(held, counts.tolist()))
+            names.extend((*row[:3], c) for row, c in zip(held, counts.tolist()))
             total += int(counts.sum())
             held, size = [], 0
 
         def results():
             flush()
             hits = levels.repeated()
-            ends = np.cumsum([c for _, _, c in names])
+            ends = np.cumsum([row[3] for row in names])
             parts = np.split(hits, np.searchsorted(hits, ends[:-1])) if names else []
-            kept = [(g, fp, (h - (e - c)).tolist()) for (g, fp, c), e, h in zip(names, ends.tolist(), parts) if len(h)]
+            kept = [(g, fp, _stretches(h - (e - c) + base))
+                    for (g, fp, base, c), e, h in zip(names, ends.tolist(), parts) if len(h)]
             for at in range(0, len(kept), 5000):
                 g, fp, starts = zip(*kept[at:at + 5000])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g, pa.int64()), pa.array(fp, pa.int64()), pa.array(starts, pa.list_(pa.int64()))],
-                    ["g", "fp", "starts"])
+                    ["g", "fp", "ends"])
 
         for batch in batches:
-            for s, g, fp, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for s, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), each_utf8(batch.column(4))):
                 if s != shard:
                     if levels:
                         yield from results()
                     shard, levels, names, total = s, SuffixLevels(length), [], 0
-                held.append((g, fp, data))
-                size += len(data)
+                held.append(row)
+                size += len(row[3])
                 if size >= BATCH_BYTES:
                     flush()
         if levels:
             yield from results()
 
-    dealt = found.select(F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard"), "g", "fp", "data")
-    return (dealt.repartition("shard").sortWithinPartitions("shard", "g", "fp")
-            .mapInArrow(scan, "g bigint, fp bigint, starts array<bigint>"))
+    every = pieces[0]
+    for more in pieces[1:]:
+        every = every.union(more)
+    dealt = every.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "g", "fp", "base", "data")
+    return (dealt.repartition("shard").sortWithinPartitions("shard", "g", "fp", "base")
+            .mapInArrow(scan, "g bigint, fp bigint, ends array<bigint>"))
+
+
+def _stretches(starts: np.ndarray) -> list[int]:
+    """First and last of each stretch of consecutive numbers, one after the other."""
+    cut = np.nonzero(np.diff(starts) > 1)[0]
+    return np.column_stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]]).ravel().tolist()
 
 
-def _by_counts(found: DataFrame, length: int) -> DataFrame:
-    """The same for hot hashes: windows are counted by a 128-bit hash."""
+def _by_counts(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for what no depth could split: windows are counted by a 128-bit hash."""
 
     def windows(batches):
         import xxhash
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                g, fp, start, one, two = [], [], [], [], []
-                for row_g, row_fp, data in zip(*(batch.column(i)[at:at + 500].to_pylist() for i in range(3))):
-                    for i in range(len(data) - length + 1):
-                        value = xxhash.xxh3_128_digest(data[i:i + length])
-                        g.append(row_g)
-                        fp.append(row_fp)
-                        start.append(i)
-                        one.append(int.from_bytes(value[:8], "little", signed=True))
-                        two.append(int.from_bytes(value[8:], "little", signed=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (g, fp, start, one, two)],
-                                                 ["g", "fp", "start", "one", "two"])
-
-    rows = written(found.select("g", "fp", "data").mapInArrow(
+            for row_g, row_fp, base, data in zip(*(batch.column(i).to_pylist() for i in range(3)), each_utf8(batch.column(3))):
+                count = len(data) - length + 1
+                digests = b"".join(xxhash.xxh3_128_digest(data[i:i + length]) for i in range(count))
+                one, two = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+                columns = np.full(count, row_g), np.full(count, row_fp), np.arange(count) + base, one, two
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["g", "fp", "start", "one", "two"])
+
+    rows = written(pieces.select("g", "fp", "base", "data").mapInArrow(
         windows, "g bigint, fp bigint, start bigint, one bigint, two bigint"), "windows")
     often = rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    return rows.join(often, ["one", "two"]).groupBy("g", "fp").agg(F.collect_list("start").alias("starts"))
+    return rows.join(often, ["one", "two"]).groupBy("g", "fp").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("ends"))
 
 
-def _merge_spans(lists, length: int) -> bytes:
-    """Spans of a document from (p, starts) of its runs: sorted, disjoint, maximal; pairs of 64-bit integers."""
-    begins = np.concatenate([np.asarray(starts, np.int64) + p for p, starts in lists])
-    begins = np.unique(begins)
-    cut = np.nonzero(np.diff(begins) > length)[0]
-    first = np.concatenate([[begins[0]], begins[cut + 1]])
-    last = np.concatenate([begins[cut], [begins[-1]]]) + length
+def _merged_spans(ends: np.ndarray, length: int) -> bytes:
+    """Spans of a document from first and last starts of its stretches: sorted, disjoint, maximal; pairs of 64-bit integers."""
+    pairs = ends.reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(pairs[:, 1]) + length
+    cut = np.nonzero(pairs[1:, 0] > reach[:-1])[0]
+    first, last = pairs[np.append(0, cut + 1), 0], reach[np.append(cut, len(pairs) - 1)]
     return np.column_stack([first, last]).astype(np.int64).tobytes()
 
 
 def spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(k, n, spans) of every document that loses bytes, for documents with the keys of ``_keys``."""
+    with small_batches(docs.sparkSession):
+        return _spans(docs, length)
+
+
+def _spans(docs: DataFrame, length: int) -> DataFrame:
     every = written(_runs_of(docs, length), "runs")
     seen = every.groupBy("g").agg(F.count(F.lit(1)).alias("times"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     # a table of its own, so that the join below can split a hash with very many runs
@@ -304,30 +402,24 @@ def spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     mixed = shared.where("not alike")
     one = mixed.groupBy("g", "fp").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n", "p", "w")).alias("x"))
     one = written(one.select("g", "fp", "c", "x.*"), "distinct")
-    weight = one.groupBy("g").agg(F.sum(F.col("w") + length - 1).alias("bytes"))
-    total = weight.where(F.col("bytes") <= HOT_BYTES).agg(F.sum("bytes")).first()[0] or 0
-    hot = written(weight.where(F.col("bytes") > HOT_BYTES).select("g"), "hot")
-    data = written(_fetched(docs, one, length), "contents")
-    usual, often = data.join(hot, "g", "left_anti"), data.join(hot, "g")
-    starts = _by_levels(usual, max(1, -(-total // SHARD_BYTES)), length).union(_by_counts(often, length))
-    starts = written(starts, "starts")
+    starts = written(_repeated_starts(written(_fetched(docs, one, length), "contents"), length), "starts")
     # a run with a copy repeats as a whole, as do all runs of a hash that are alike
-    times = one.where("c > 1").select("g", "fp", "w")
+    times = one.where("c > 1").select("g", "fp")
     whole = shared.where("alike").select("k", "n", "p", "w").union(
-        mixed.select("k", "n", "p", "g", "fp").join(times, ["g", "fp"]).select("k", "n", "p", "w"))
-    whole = whole.select("k", "n", "p", F.array(F.lit(0), F.col("w") - 1).alias("ends"), F.lit(True).alias("solid"))
-    single = one.where("c = 1").join(starts, ["g", "fp"]).select("k", "n", "p", F.col("starts").alias("ends"),
-                                                                 F.lit(False).alias("solid"))
+        mixed.select("k", "n", "p", "w", "g", "fp").join(times, ["g", "fp"]).select("k", "n", "p", "w"))
+    whole = whole.select("k", "n", F.array("p", F.col("p") + F.col("w") - 1).alias("ends"))
+    single = one.where("c = 1").join(starts, ["g", "fp"]).select(
+        "k", "n", F.transform("ends", lambda e: e + F.col("p")).alias("ends"))
+    grouped = whole.union(single).groupBy("k", "n").agg(F.flatten(F.collect_list("ends")).alias("ends"))
 
-    @F.pandas_udf("binary")
-    def merged(column):
-        def of(lists):
-            return _merge_spans([(x["p"], np.arange(x["ends"][0], x["ends"][1] + 1) if x["solid"] else x["ends"])
-                                 for x in lists], length)
-        return column.map(of)
+    def merged(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cuts = [_merged_spans(values[a:b], length) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.binary())], ["k", "n", "spans"])
 
-    grouped = whole.union(single).groupBy("k", "n").agg(F.collect_list(F.struct("p", "ends", "solid")).alias("lists"))
-    return written(grouped.select("k", "n", merged("lists").alias("spans")), "spans")
+    return written(grouped.mapInArrow(merged, "k bigint, n bigint, spans binary"), "spans")
 
 
 def _kept(data: bytes, cut: bytes | None) -> tuple[bytes, int, int]:
@@ -362,8 +454,8 @@ def repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for data, cut in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
-                rest, gone, count = _kept(data, cut)
+            for data, cut in zip(each_utf8(batch.column(1)), batch.column(2)):
+                rest, gone, count = _kept(data, cut.as_py())
                 rows.append((len(data), gone, count, hashlib.sha256(rest).hexdigest()))
             columns = list(zip(*rows)) or [[], [], [], []]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
