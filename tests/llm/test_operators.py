@@ -92,6 +92,24 @@ def test_minhash_finds_the_groups_of_brute_force(docs, awkward, words):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_minhash_tiles_link_components_and_leave_out_pairs_within_one(spark, monkeypatch):
+    """A bucket of one large component and a few others: every link between components, few rows."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rnd = random.Random(4)
+    base = prose(rnd, 60).split()
+    far = prose(rnd, 60).split()
+    texts = [base[:i % 50] + ["x"] + base[i % 50 + 1:] for i in range(40)] + [far, far[:-1] + ["y"], far[:-2] + ["z", "w"]]
+    sets = minhash._sets(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string"), 2)
+    roots = [0] * 37 + [37, 37, 39, 40, 41, 42]  # as if 37, 38 and 39 had not been linked with the first ones yet
+    named = spark.createDataFrame([(7, i, r, len(texts)) for i, r in enumerate(roots)], "key bigint, node bigint, root bigint, held bigint")
+    found = {tuple(r) for r in minhash._tiled(named, sets, 80).collect()}
+    assert found == {(a, b) for a, b in [(0, 37), (0, 39), (37, 39), (40, 41), (40, 42), (41, 42)]
+                     if any(100 * len(x & y) >= 80 * len(x | y) for x, y in (
+                         (shingle_set(" ".join(texts[i]), 2), shingle_set(" ".join(texts[j]), 2))
+                         for i in range(43) for j in range(43) if roots[i] == a and roots[j] == b))}
+    assert {(0, 37), (0, 39), (37, 39), (40, 41)} <= found
+
+
 def test_minhash_on_nothing_and_null_ids(spark, nothing):
     assert minhash.near_duplicates(nothing).collect() == []
     rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, "z"), (9, None)], "doc_id bigint, text string")

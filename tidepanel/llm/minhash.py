@@ -15,13 +15,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tidepanel.llm.common import spare, utf8
+from tidepanel.llm.common import each_utf8, small_batches, spare
 from tidepanel.llm.components import components
 from tidepanel.session import written
 
@@ -31,6 +30,7 @@ SLACK = 16  # points below the threshold at which the minima rule a pair out: fi
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes; more are joined by a shuffle
 STAR_ROUNDS = 2
 BLOCK = 128  # members of a bucket compared with as many others at a time
+OUT_BYTES = 2_000_000  # sets of a task given back at a time
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
@@ -85,7 +85,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             sizes, first, second, keys, ends = [], [], [], [], [0]
-            for data in utf8(batch.column(1)):
+            for data in each_utf8(batch.column(1)):
                 found = shingles(data, words)
                 print_ = xxhash.xxh3_128_digest(found.tobytes())
                 sizes.append(len(found))
@@ -110,33 +110,37 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = [shingles(data, words) for data in utf8(part.column(1))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([minima(f).tobytes() for f in found], pa.binary()),
-                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["node", "low", "members"])
+            start, found, held = 0, [], 0
+            for i, data in enumerate(each_utf8(batch.column(1))):
+                found.append(shingles(data, words))
+                held += found[-1].nbytes
+                if held >= OUT_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(start, len(found)), pa.array([minima(f).tobytes() for f in found], pa.binary()),
+                         pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["node", "low", "members"])
+                    start, found, held = i + 1, [], 0
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, low binary, members array<bigint>")
 
 
-@F.pandas_udf(BooleanType())
-def _alike_minima(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) * 100 >= n * HASHES
-                      for x, y, n in zip(a, b, least)], dtype=bool)
+@F.arrow_udf(BooleanType())
+def _alike_minima(a: pa.Array, b: pa.Array, least: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, HASHES) for v in (a, b))
+    return pa.array((x == y).sum(axis=1) * 100 >= least.to_numpy() * HASHES)
 
 
-@F.pandas_udf(BooleanType())
-def _alike_sets(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
-    def same(x, y, p):
-        left, right = np.asarray(x, np.int64), np.asarray(y, np.int64)
+@F.arrow_udf(BooleanType())
+def _alike_sets(a: pa.Array, b: pa.Array, percent: pa.Array) -> pa.Array:
+    def same(left, right, p):
         if 100 * min(len(left), len(right)) < p * max(len(left), len(right)):
             return False
         both = np.sort(np.concatenate([left, right]))
         shared = int((both[1:] == both[:-1]).sum())
         return 100 * shared >= p * (len(both) - shared)
-    return pd.Series([same(*x) for x in zip(a, b, percent)], dtype=bool)
+
+    (x, at), (y, to) = ((v.values.to_numpy(), v.offsets.to_numpy().tolist()) for v in (a, b))
+    return pa.array([same(x[at[i]:at[i + 1]], y[to[i]:to[i + 1]], p) for i, p in enumerate(percent.to_pylist())], pa.bool_())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,14 +223,26 @@ def _linked(places: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _tiled(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components within the buckets of ``named``: every pair, compared inside tasks.
 
-    The members of a bucket are dealt to blocks of about BLOCK; a task compares two blocks at a
-    time and returns one link for each pair of components it finds linked.
+    The members of a bucket stand in the order of their components and are cut into blocks of
+    BLOCK. A task compares two blocks at a time and returns one link for each pair of components
+    it finds linked. Blocks within one component (``first`` to ``last``) are not compared with
+    each other, so that the many members of a large one only meet those of others.
     """
+    before = Window.partitionBy("key").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                        lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    tiles = (named.withColumn("blocks", blocks).withColumn("own", own)
+    to = F.col("before") + F.col("size")
+    of = (named.groupBy("key", "root", "held").agg(F.count(F.lit(1)).alias("size"))
+          .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+          .select("key", "root", "before", "size", blocks.alias("blocks"), F.ceil(F.col("before") / BLOCK).cast("int").alias("first"),
+                  F.when(to == F.col("held"), blocks - 1).otherwise(F.floor(to / BLOCK).cast("int") - 1).alias("last")))
+    own = F.floor((F.col("before") + F.pmod(F.xxhash64("node", "key"), F.col("size"))) / BLOCK).cast("int")
+    none = F.array().cast("array<int>")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = F.concat(F.when(F.col("first") > 0, F.sequence(F.lit(0), F.col("first") - 1)).otherwise(none),
+                      F.when(F.col("last") < F.col("blocks") - 1, F.sequence(F.col("last") + 1, F.col("blocks") - 1)).otherwise(none))
+    partners = F.when(F.col("own").between(F.col("first"), F.col("last")), others).otherwise(every)
+    sides = F.transform(partners, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    tiles = (named.drop("held").join(of, ["key", "root"]).withColumn("own", own)
              .select("key", "node", "root", "own", F.inline(sides)).join(sets, "node")
              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
              .select("key", "i", "j", "own", "root", "low", "members"))
@@ -293,6 +309,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     take part as members of their class: they get its component, and none are kept when it has
     other ids. Other columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sketches = written(_sketches(docs, words), "sketches")
     classes = written(sketches.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"))
                       .where("node is not null"), "classes")

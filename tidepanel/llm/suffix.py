@@ -472,9 +472,11 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
     Where a cut leaves part of a letter's bytes, that part goes too. Null texts stay null.
     """
-    @F.pandas_udf("string")
-    def rest(texts, cuts):
-        return texts.combine(cuts, lambda t, c: t if t is None or c is None else _kept(t.encode(), c)[0].decode(errors="ignore"))
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+        return pa.array((t.as_py() if t.as_buffer() is None or not c.is_valid else
+                         _kept(t.as_buffer().to_pybytes(), c.as_py())[0].decode(errors="ignore")
+                         for t, c in zip(texts, cuts)), pa.string())
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k, n, cut = spare(docs, "text_key"), spare(docs, "text_bytes"), spare(docs, "cut_spans")
