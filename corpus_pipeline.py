@@ -51,7 +51,7 @@ STAGES = [
     ("bpe encoding and decoding", token_stage),
 ]
 
-ORACLE_SQL = None  # SQL cannot express the classifier or the tokenizer; the tests compare run() with its stages, and most operators with brute force
+ORACLE_SQL = None  # SQL cannot express the classifier or the tokenizer; the tests compare run() and its stages with plain Python (the mix: its rows with its takings)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
