@@ -327,6 +327,12 @@ def test_eligibility_and_history(make_prices):
     assert [r["reason"] for r in rows] == ["not enough data", "series too short for the backtest window"]
 
 
+def test_eligible_tasks_are_keys_only(make_prices):
+    tasks = refresh.eligible_tasks(make_prices({"A": [("2024-01-02", 5)], "B": [("2024-01-02", 1)]}), 1.0, ["arima", "lstm"], [7])
+    assert tasks.columns == refresh.KEY
+    assert sorted(map(tuple, tasks.collect())) == [("A", "arima", 7), ("A", "lstm", 7)]
+
+
 def test_refresh_plan(spark):
     now = F.lit("2024-01-03 13:00:00").cast("timestamp_ntz")  # cutoff 12:30 UTC
     rows = [("A", "arima", 7, dt.datetime(2024, 1, 3, 12, 31)), ("A", "lstm", 7, dt.datetime(2024, 1, 3, 12, 29))]

@@ -17,8 +17,8 @@ def last_close(prices: DataFrame) -> DataFrame:
 
 
 def eligible_tasks(prices: DataFrame, threshold: float = 1.0, models=None, steps=None) -> DataFrame:
-    """Every (model, horizon) of the series whose last close is above ``threshold``."""
-    chosen = last_close(prices).where(F.col("last_close") > threshold)
+    """symbol, model, steps: every (model, horizon) of the series whose last close is above ``threshold``."""
+    chosen = last_close(prices).where(F.col("last_close") > threshold).select("symbol")
     return work_grid(chosen, models or S.MODELS, steps or list(S.HORIZON_BDAYS))
 
 
