@@ -317,6 +317,65 @@ def test_windows_agree_over_a_long_text(labelled, model):
     assert not any(s < b and a < e for s, e, _ in found for a, b, _ in pii.rule_spans(text))
 
 
+LOOSE = ["anna.lee [at] river.example.org", "tom (at) garden.example.com", "nora.hill(at)window.example.net", "paul [at] letter.example.com",
+         "marie.stone (at) house.example.org", "lena[at]forest.example.net", "karl (at) bridge.example.org", "rose.moon(at)market.example.com"]
+
+
+def test_texts_without_digits_are_read_too(spark, model):
+    before, after = "you may send the letter to ", " when the house is ready and the river is low"
+    rows = [(i, ("the green field " * (i * 9)) + before + x + after) for i, x in enumerate(LOOSE)]
+    assert not any(re.search("[0-9@]", t) for _, t in rows)
+    got = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"]:s["end"]] for s in r["spans"] if not s["rule"]]
+           for r in pii.find(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()}
+    assert sum(x in got[i] for i, x in enumerate(LOOSE)) >= len(LOOSE) // 2
+
+
+def test_every_window_is_scored_as_in_training(model):
+    codes = np.random.default_rng(5).integers(0, pii.CODES, (70, 9))
+    assert np.abs(model.scores(codes) - model.emissions(codes, {}).transpose(0, 2, 1)).max() < 1e-4
+
+
+def test_windows_that_are_ruled_out_hold_no_span():
+    rng, out = np.random.default_rng(6), 0
+    for _ in range(200):
+        e, a = rng.normal(0, 1.5, (12, pii.TAGS, 20)), rng.normal(-0.3, 0.7, (pii.TAGS, pii.TAGS))
+        e[:, 0] += rng.uniform(0, 12, 20)
+        held = (pii.viterbi(e.transpose(0, 2, 1), np.where(pii.ALLOWED, a, -1e9)) > 0).any(axis=0)
+        may = pii.may_hold(e, a)
+        assert not (held & ~may).any()
+        out += (~may).sum()
+    assert out > 400
+
+
+@pytest.mark.parametrize("length", [1, 95, 96, 97, 384, 768, 769, 1_057, 1_500])
+def test_windows_cover_a_text(length):
+    windows = [(s, min(s + w, length)) for s, w in pii.windows_of(length)]
+    for n in (1, 20, pii.STRIDE - 1):
+        for a in range(max(length - n + 1, 0)):
+            assert any((s < a or s == 0) and (a + n < e or e == length) and s <= a and a + n <= e for s, e in windows)
+
+
+class Letters(pii.Tagger):
+    """Tags all that is not a space as mail."""
+
+    def scores(self, codes):
+        e = np.zeros((len(codes), pii.TAGS, codes.shape[1]))
+        inside = (codes != 32) & (codes != pii.PAD)
+        first = inside & np.vstack([np.ones_like(inside[:1]), ~inside[:-1]])
+        e[:, 0], e[:, 1], e[:, 2] = 20 * ~inside, 20 * first, 20 * (inside & ~first)
+        return e
+
+
+@pytest.mark.parametrize("size", [3, 47, 48, 60, 767, 768, 769, 1_500])
+def test_spans_of_any_length_and_place_are_found(size):
+    blank = Letters({"A": np.zeros((pii.TAGS, pii.TAGS))})
+    span = "a" * (size // 2) + "(at)" + "b" * (size // 2) + ".org"
+    for start in [*range(0, 100, 7), 671, 672, 673, 719, 720, 721, 767, 768, 769, 1_440, 4_000]:
+        text = " " * start + span + " " * (start % 11 * 100) + "x"
+        text = text[:-1] if start % 2 else text[:-1] + " y"
+        assert pii.added(blank, [text], [[]]) == [[(start, start + len(span), 0)]]
+
+
 def test_find_and_summary(spark, model):
     rnd = random.Random(6)
     texts = [None, "", "no data", "mail me: ann.7@web3.example.org now", personal(rnd, 4_000), "€ 12 ü@x.yz +49 (30) 123-456 78"]

@@ -1,12 +1,12 @@
 """Personal data: rules for four plain forms, and a character tagger for the forms rules miss.
 
 The tagger is a bidirectional LSTM over characters with a linear-chain CRF on top, written in numpy and
-trained here by gradient steps on labelled spans. A text is cut into windows that overlap by half; each
-window is decoded alone (Viterbi), and one dynamic programme over the whole text chooses, among all spans of all windows,
-the set without overlaps that has the largest total weight.
+trained here by gradient steps on labelled spans. Every text is cut into windows that cover all of it and overlap
+by STRIDE characters; each window is decoded alone (Viterbi), and one dynamic programme over the whole text chooses, among
+all spans of all windows, the set without overlaps that has the largest total weight. A span that fills the overlap and
+reaches the end of its window is decoded again in windows of twice the width, until one holds all of it.
 
-The decoder is bound to two constraints, which is why windows without a digit or @ need no decoding:
-a span holds a digit or an @, and it passes the test of its kind (``valid``: card numbers Luhn, address parts
+A found span stays if it passes the test of its kind (``valid``: card numbers Luhn, address parts
 up to 255, and so on). Spans of the rules always stay; the tagger adds spans that overlap none of them.
 
 Null and empty texts have no spans. Every row is judged alone, so repeated rows and null ids change
@@ -25,20 +25,21 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
+WIDE = 768  # width of the windows that are decoded; the last of a text is a smaller multiple of WINDOW
 HIDDEN = 20
 BATCH = 256  # windows decoded together
-ROWS = 64  # texts held as Python objects at a time
+TEXT_BYTES = 1 << 22  # texts held as Python objects at a time; one text more than that alone
 SAMPLE_ROWS = 1_500  # texts the labelled windows come from, at most
 SAMPLE_WINDOWS = 4  # labelled windows of one text, at most
 STEPS = 180  # gradient steps
 LEAST = 0.7  # mean probability of the tags of a span
-TRIGGER = "[0-9@]"
 
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -100,7 +101,7 @@ _PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 def valid(kind: int, text: str) -> bool:
     """Whether a found span can be of its kind once its spelling is made plain."""
-    if not re.search(TRIGGER, text) or text != text.strip():
+    if text != text.strip():
         return False
     if kind == 0:
         return bool(_PLAIN_EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", text))))
@@ -170,15 +171,47 @@ class Tagger:
         return Tagger({k: v.astype(dtype) for k, v in w.items()})
 
     # forward: codes (T, B) -> emissions (T, B, TAGS)
-    def emissions(self, codes: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def emissions(self, codes: np.ndarray, keep: dict) -> np.ndarray:
         w = self.weights
         ahead = _lstm(w["Wf"][codes] + w["cf"], w["Uf"], keep, "f")
         back = _lstm((w["Wb"][codes] + w["cb"])[::-1], w["Ub"], keep, "b")[::-1]
-        both = np.concatenate([ahead, back], axis=2)
-        if keep is not None:
-            keep["both"] = both
+        keep["both"] = both = np.concatenate([ahead, back], axis=2)
         return both @ w["O"] + w["o"]
 
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """The emissions, as (T, TAGS, B), without what training keeps: both directions advance together.
+
+        A logistic gate is (1 + tanh(x / 2)) / 2; the halves of the argument are in the tables, states are held doubled.
+        """
+        w, (steps, batch) = self.weights, codes.shape
+        n, half = w["Uf"].shape[0], w["Uf"].dtype.type(0.5)
+        scale = np.repeat(np.array([half, half, half, 1], half.dtype), n)
+        tables = [np.ascontiguousarray(((w["W" + side] + w["c" + side]) * scale).T) for side in "fb"]
+        u = np.stack([np.ascontiguousarray((w["U" + side] * scale * half).T) for side in "fb"])
+        x, y = np.empty((2, 4 * n, batch), half.dtype), np.empty((2, 4 * n, batch), half.dtype)
+        enter, forget, leave, new = (x[:, k * n:(k + 1) * n] for k in range(4))
+        h, c, turned = (np.zeros((2, n, batch), half.dtype) for _ in range(3))
+        weigh = np.stack([np.ascontiguousarray(w["O"][k * n:(k + 1) * n].T) * half for k in range(2)])
+        e, part = np.empty((steps, TAGS, batch), half.dtype), np.empty((2, TAGS, batch), half.dtype)
+        e[:] = w["o"][:, None]
+        for t in range(steps):
+            np.take(tables[0], codes[t], axis=1, out=x[0], mode="clip")
+            np.take(tables[1], codes[steps - 1 - t], axis=1, out=x[1], mode="clip")
+            np.matmul(u, h, out=y)
+            x += y
+            np.tanh(x, out=x)
+            x[:, :3 * n] += 1  # the three gates, doubled
+            c *= forget
+            np.multiply(enter, new, out=turned)
+            c += turned
+            c *= half
+            np.tanh(c, out=turned)
+            np.multiply(turned, leave, out=h)
+            np.matmul(weigh, h, out=part)
+            e[t] += part[0]
+            e[steps - 1 - t] += part[1]
+        return e
+
     def transitions(self) -> np.ndarray:
         return np.where(ALLOWED, np.exp(self.weights["A"]), 0)
 
@@ -210,9 +243,8 @@ class Tagger:
             grad["c" + side] = gates.sum(axis=(0, 1))
         return float((total - path) / batch), grad
 
-    def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (T, B) and the probability of each."""
-        e = self.emissions(codes)
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (T, B) for emissions (T, B, TAGS), and the probability of each."""
         best = viterbi(e, np.where(ALLOWED, self.weights["A"], -1e9))
         marginal, _, _ = _posterior(e, self.transitions())
         return best, np.take_along_axis(marginal, best[:, :, None], axis=2)[:, :, 0]
@@ -287,6 +319,26 @@ def _posterior(e: np.ndarray, trans: np.ndarray, with_pairs: bool = False):
     return marginal, pairs * trans, float(np.log(scale.astype(np.float64)).sum() + top.astype(np.float64).sum())
 
 
+def may_hold(e: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """For each window of ``e`` (T, TAGS, B) whether its best path may hold a span; False is certain.
+
+    A span gains over the outside what its tags and the changes between them gain. The largest such gain
+    of a span that ends at a step follows from that of the step before; changes count as the largest of their sort.
+    """
+    rel = np.where(ALLOWED, a - a[0, 0], -np.inf)
+    enter, stay, leave = max(rel[:, 1::2].max(), 0), rel[:, 2::2].max(), max(rel[1:, 0].max(), 0)
+    enter, stay = e.dtype.type(enter), e.dtype.type(stay)
+    gain = np.maximum(e[0, 1::2] + enter, e[0, 2::2]) - e[0, :1]  # a window may start inside a span
+    most = gain.copy()
+    for step in e[1:]:
+        gain += stay
+        gain += step[2::2]
+        np.maximum(gain, step[1::2] + enter, out=gain)
+        gain -= step[0]
+        np.maximum(most, gain, out=most)
+    return most.max(axis=0) + leave > -0.01  # far above the rounding of these sums
+
+
 def viterbi(e: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Path of largest score for each column of ``e``."""
     steps, batch, k = e.shape
@@ -458,13 +510,25 @@ def fitted(windows: list[tuple[str, list[Span]]], *, steps: int = STEPS) -> Tagg
 
 
 # ---- whole texts ------------------------------------------------------------
-def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or @."""
-    starts = set()
-    for m in re.finditer(TRIGGER, text):
-        t = m.start() // STRIDE
-        starts.update((t * STRIDE, max(t - 1, 0) * STRIDE))
-    return sorted(starts)
+def windows_of(length: int) -> list[tuple[int, int]]:
+    """(start, width) of windows that cover a text and overlap by STRIDE at least."""
+    starts = range(0, max(length - STRIDE, 1), WIDE - STRIDE) if length else ()
+    return [(s, min(WIDE, -(-(length - s) // WINDOW) * WINDOW)) for s in starts]
+
+
+def wider(start: int, end: int, width: int, length: int) -> set[tuple[int, int]]:
+    """The windows of twice the width, each half over the next, that hold a place from ``start`` to ``end``."""
+    if 2 * width >= length:
+        return {(0, length)}
+    return {(max(k, 0) * width, 2 * width) for k in range(start // width - 1, (end - 1) // width + 1)}
+
+
+def _may_grow(kind: int, text: str) -> bool:
+    """Whether a piece may belong to a longer valid span: numbers end at some count of digits or parts."""
+    numbers = _NOT_DIGIT.sub(" ", text).split()
+    if kind < 2:
+        return kind == 0 or len(numbers) <= 4
+    return sum(map(len, numbers)) <= (19 if kind == 2 else 15) and not any(c.isalpha() for c in text)
 
 
 def spans_in(tags: np.ndarray, sure: np.ndarray) -> Iterator[tuple[Span, float]]:
@@ -505,23 +569,48 @@ def reconciled(spans: list[tuple[Span, float]]) -> list[Span]:
 
 def added(model: Tagger, texts: list[str], rules: list[list[Span]], batch: int = BATCH) -> list[list[Span]]:
     """Spans that the tagger finds besides those of the rules, for each text."""
-    todo = [(i, s) for i, text in enumerate(texts) for s in windows_of(text)]
+    codes = [codes_of(text, len(text)).astype(np.uint8) for text in texts]
     found: list[list[tuple[Span, float]]] = [[] for _ in texts]
-    for at in range(0, len(todo), batch):
-        part = todo[at:at + batch]
-        codes = np.stack([codes_of(texts[i][s:s + WINDOW]) for i, s in part], axis=1)
-        tags, sure = model.decode(codes)
-        for j in np.flatnonzero((tags > 0).any(axis=0)).tolist():
-            i, start = part[j]
+    todo = {(i, s, w) for i, text in enumerate(texts) for s, w in windows_of(len(text))}
+    while todo:
+        again = set()
+        for i, start, width, a, b, kind, p in _decoded(model, codes, todo, batch):
             text = texts[i]
-            for (a, b, kind), p in spans_in(tags[:, j], sure[:, j]):
-                a, b = start + a, min(start + b, len(text))
-                cut = a == start > 0 or b == start + WINDOW < len(text)  # the next window sees all of it
-                if not cut and p >= LEAST and valid(kind, text[a:b]):
-                    found[i].append(((a, b, kind), p))
+            end = min(start + width, len(text))
+            a, b = start + a, min(start + b, end)
+            if a == start > 0 or b == end < len(text):  # cut; a span shorter than the overlap is whole in another window
+                if b - a >= (STRIDE if width <= WIDE else width // 2) and _may_grow(kind, text[a:b]):
+                    again.update((i, *w) for w in wider(a, b, max(width, WIDE), len(text)))
+            elif p >= LEAST and valid(kind, text[a:b]):
+                found[i].append(((a, b, kind), p))
+        todo = again
     return [reconciled(_free(spans, own)) for spans, own in zip(found, rules)]
 
 
+def _decoded(model: Tagger, codes: list[np.ndarray], windows: set[tuple[int, int, int]], batch: int) -> Iterator[tuple]:
+    """(text, start, width, a, b, kind, probability) of the spans in windows (text, start, width); a and b count from start."""
+    rows, at, held = sorted(windows, key=lambda x: (x[2], x[0], x[1])), 0, []
+    while at < len(rows):
+        width = rows[at][2]
+        most = max(1, batch * WIDE // width)
+        part = [x for x in rows[at:at + most] if x[2] == width]
+        at += len(part)
+        block = np.full((len(part), width), PAD, np.int64)
+        for j, (i, start, _) in enumerate(part):
+            piece = codes[i][start:start + width]
+            block[j, :len(piece)] = piece
+        e = model.scores(np.ascontiguousarray(block.T))
+        some = np.flatnonzero(may_hold(e, model.weights["A"])).tolist()
+        held += [(part[j], e[:, :, j].copy()) for j in some]
+        # the few that may hold a span are decoded together
+        if held and (len(held) >= most or at == len(rows) or rows[at][2] != width):
+            tags, sure = model.decode(np.stack([x for _, x in held], axis=1))
+            for j in np.flatnonzero((tags > 0).any(axis=0)).tolist():
+                for (a, b, kind), p in spans_in(tags[:, j], sure[:, j]):
+                    yield *held[j][0], a, b, kind, p
+            held = []
+
+
 def _free(spans: list[tuple[Span, float]], rules: list[Span]) -> list[tuple[Span, float]]:
     """Those of ``spans`` that overlap none of ``rules`` (by start)."""
     starts = [r[0] for r in rules]
@@ -529,19 +618,27 @@ def _free(spans: list[tuple[Span, float]], rules: list[Span]) -> list[tuple[Span
     return [x for x in spans if reach[bisect_left(starts, x[0][1])] <= x[0][0]]
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices with about TEXT_BYTES of text."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TEXT_BYTES
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for start, end in zip([0, *ends], ends):
+        yield batch.slice(start, end - start)
+
+
 SPANS = "array<struct<start:int,end:int,kind:string,rule:boolean>>"
 
 
 def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """doc_id and spans (start, end, kind, rule), by start, then kind; places count code points, ends are exclusive."""
-    rows = docs.select("doc_id", F.when(F.col("text").cast("string").rlike(TRIGGER), F.col("text").cast("string")).alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = T.StructType([rows.schema["doc_id"], T.StructField("spans", T._parse_datatype_string(SPANS))])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(out)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in (piece for b in batches for piece in _pieces(b)):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             rules = [rule_spans(t) if t else [] for t in texts]
             more = added(model, texts, rules) if model else [[] for _ in texts]
