@@ -5,6 +5,9 @@ again as the next one's ``docs``. All but the last return the columns of ``docum
 empty texts, repeated rows and empty tables are handled as each operator's docstring says:
 quality scores an empty text as the curve does at 0; near-duplicates and repeats leave it alone;
 the mix leaves it as it is; it has no tokens.
+
+Whole texts go to Python in small Arrow batches. These are a setting of the session while a job runs, so a
+stage that would hand its Python step on unfinished writes its result itself.
 """
 
 from __future__ import annotations
@@ -12,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm import bpe, minhash, mixing, quality, suffix
-from tidepanel.llm.common import table
+from tidepanel.llm.common import small_batches, table
 from tidepanel.session import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is high enough; the model is fitted on labelled rows of ``docs``."""
-    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    with small_batches(spark):
+        return written(quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), "accepted")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of token numbers and decoded text."""
     import public_tokenizers
 
-    return bpe.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=False)
+    with small_batches(spark):
+        return written(bpe.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=False), "tokens")
 
 
 STAGES = [

@@ -34,3 +34,11 @@ def test_clean_documents_stay(spark):
     kept = corpus_pipeline.quality_stage(spark, docs, SMALL)
     good = docs.join(labels.where("quality = 1"), "doc_id").count()
     assert kept.join(labels.where("quality = 1"), "doc_id").count() >= 0.97 * good
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality_stage, corpus_pipeline.repeat_stage, corpus_pipeline.token_stage])
+def test_stages_hand_on_no_python_step(spark, stage):
+    """Such a step would run after the stage, with large Arrow batches of whole texts."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    plan = stage(spark, docs, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Scan parquet" in plan

@@ -485,7 +485,11 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     rows, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("spans"))).first()
     found = found.withColumnsRenamed({"k": k, "n": n, "spans": cut})
     joined = keyed.join(F.broadcast(found) if rows * 64 + (size or 0) <= BROADCAST_BYTES else found, [k, n], "left")
-    out = joined.withColumn("text", F.when(F.col(cut).isNotNull(), rest("text", cut)).otherwise(F.col("text")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    short = joined.where(F.col(cut).isNotNull()).withColumn("text", rest("text", cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(cut).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        short = short.withColumn("n_chars", F.length("text").cast("long"))
+    # only texts that lose something go to Python, in small batches, which hold while a job runs
+    with small_batches(docs.sparkSession):
+        short = written(short.select(*names), "short")
+    return joined.where(F.col(cut).isNull()).select(*names).unionByName(short)
