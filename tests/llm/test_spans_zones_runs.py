@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,57 @@ def test_windows_that_are_ruled_out_hold_no_span():
     assert out > 400
 
 
+@pytest.mark.parametrize("steps", [1, pii.CHUNK - 1, pii.CHUNK, pii.CHUNK + 1, 2 * pii.CHUNK, 2 * pii.CHUNK + 1])
+def test_scores_and_bounds_do_not_depend_on_chunks(model, steps):
+    rng = np.random.default_rng(steps)
+    codes = rng.integers(0, pii.CODES, (steps, 5)).astype(np.uint8)
+    assert np.abs(model.scores(codes) - model.emissions(codes, {}).transpose(0, 2, 1)).max() < 1e-4
+    e, a = rng.normal(0, 1, (steps, pii.TAGS, 200)), np.zeros((pii.TAGS, pii.TAGS))
+    e[:, 0] += rng.uniform(0, 8, 200)
+    relative, gain, most = e - e[:, :1], -np.inf, -np.inf
+    for t, step in enumerate(relative):  # without weights of changes the bound is the best span of one kind
+        gain = np.maximum(np.maximum(step[1::2], step[2::2] if t == 0 else -np.inf), gain + step[2::2])
+        most = np.maximum(most, gain.max(axis=0))
+    assert (pii.may_hold(e, a) == (most > -0.01)).all() and (steps == 1 or 0 < (most > -0.01).sum() < 200)
+
+
+class Quiet(pii.Tagger):
+    """Tags nothing and notes the batches."""
+
+    def scores(self, codes):
+        self.seen.append(codes.shape)
+        e = np.zeros((len(codes), pii.TAGS, codes.shape[1]), np.float32)
+        e[:, 0] = 20
+        return e
+
+
+def test_texts_of_a_task_fill_batches():
+    """8 MB of short texts in one go: before, two pieces of half the size left a rest of each width."""
+    texts = [" " * (40 + 96 * (i % 8)) for i in range(22_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    quiet = Quiet({"A": np.zeros((pii.TAGS, pii.TAGS))})
+    quiet.seen, wanted = [], 0
+    for piece in pii._pieces(batch):
+        part = piece.column(1).to_pylist()
+        assert pii.added(quiet, part, [[]] * len(part)) == [[]] * len(part)
+    for width in range(96, 769, 96):
+        wanted += -(-sum(-(-len(t) // 96) * 96 == width for t in texts) // (pii.BATCH * pii.WIDE // width))
+    assert len(quiet.seen) == wanted and sum(b for _, b in quiet.seen) == len(texts)
+
+
+def test_pieces_are_bounded_and_whole():
+    ids, texts = list(range(128)), ["a" * (1 << 18)] * 128
+    pieces = list(pii._pieces(pa.RecordBatch.from_pydict({"doc_id": ids, "text": texts})))
+    assert len(pieces) > 1 and [x for p in pieces for x in p.column(0).to_pylist()] == ids
+    assert all(sum(map(len, p.column(1).to_pylist())) <= pii.TEXT_BYTES for p in pieces)
+
+
+def test_only_texts_with_marks_are_sampled(spark):
+    texts = ["no marks", "1", "12 34", "+1", "call 123", "a@b", "a@b 1", "@", "+ 1", "١٢٣", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    assert [w for w, _ in pii.sampled(docs, sample_rows=9)] == ["+1", "a@b 1", "call 123"]
+
+
 @pytest.mark.parametrize("length", [1, 95, 96, 97, 384, 768, 769, 1_057, 1_500])
 def test_windows_cover_a_text(length):
     windows = [(s, min(s + w, length)) for s, w in pii.windows_of(length)]

@@ -35,7 +35,8 @@ WINDOW, STRIDE = 96, 48
 WIDE = 768  # width of the windows that are decoded; the last of a text is a smaller multiple of WINDOW
 HIDDEN = 20
 BATCH = 256  # windows decoded together
-TEXT_BYTES = 1 << 22  # texts held as Python objects at a time; one text more than that alone
+CHUNK = 64  # steps whose emissions are added to the rest at once
+TEXT_BYTES = 1 << 24  # texts held as Python objects at a time, so that the windows of each width fill batches; one text more than that alone
 SAMPLE_ROWS = 1_500  # texts the labelled windows come from, at most
 SAMPLE_WINDOWS = 4  # labelled windows of one text, at most
 STEPS = 180  # gradient steps
@@ -50,6 +51,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -84,6 +86,8 @@ def _small(part: str) -> bool:
 def rule_spans(text: str) -> list[Span]:
     """Spans of the plain forms, leftmost and without overlaps for each kind; by start, then kind."""
     found = [(s, e, 0) for s, e in _emails(text)]
+    if not _DIGIT.search(text):  # the other forms begin with a digit or have one after the plus
+        return found
     found += [(*m.span(), 1) for m in _IP.finditer(text) if all(map(_small, m.group().split(".")))]
     for pattern, kind, low, high in ((_CARD, 2, 12, 19), (_PHONE, 3, 9, 15)):
         for m in pattern.finditer(text):
@@ -123,9 +127,12 @@ TAGS = 1 + 2 * len(KINDS)  # outside; first character and further characters of
 
 def codes_of(text: str, width: int = WINDOW) -> np.ndarray:
     """ASCII as it is, Latin letters and all else as one code each, filled up to ``width``."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     out = np.full(width, PAD, np.int64)
-    out[:len(code)] = np.where(code < 128, code, np.where(code < 0x250, 128, 129))
+    if text.isascii():
+        out[:len(text)] = np.frombuffer(text.encode(), np.uint8)
+    else:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[:len(code)] = np.where(code < 128, code, np.where(code < 0x250, 128, 129))
     return out
 
 
@@ -182,34 +189,46 @@ class Tagger:
         """The emissions, as (T, TAGS, B), without what training keeps: both directions advance together.
 
         A logistic gate is (1 + tanh(x / 2)) / 2; the halves of the argument are in the tables, states are held doubled.
+        A gate's units of one window lie side by side, so that a lookup copies them at once; the gates lie in the order output,
+        input, forget, new, and the cell after them, so that one product takes input by new and forget by cell.
         """
         w, (steps, batch) = self.weights, codes.shape
-        n, half = w["Uf"].shape[0], w["Uf"].dtype.type(0.5)
-        scale = np.repeat(np.array([half, half, half, 1], half.dtype), n)
-        tables = [np.ascontiguousarray(((w["W" + side] + w["c" + side]) * scale).T) for side in "fb"]
-        u = np.stack([np.ascontiguousarray((w["U" + side] * scale * half).T) for side in "fb"])
-        x, y = np.empty((2, 4 * n, batch), half.dtype), np.empty((2, 4 * n, batch), half.dtype)
-        enter, forget, leave, new = (x[:, k * n:(k + 1) * n] for k in range(4))
-        h, c, turned = (np.zeros((2, n, batch), half.dtype) for _ in range(3))
-        weigh = np.stack([np.ascontiguousarray(w["O"][k * n:(k + 1) * n].T) * half for k in range(2)])
-        e, part = np.empty((steps, TAGS, batch), half.dtype), np.empty((2, TAGS, batch), half.dtype)
+        n, dtype = w["Uf"].shape[0], w["Uf"].dtype
+        half, one = dtype.type(0.5), dtype.type(1)
+
+        def gates(x):  # (rows, input, forget, output and new side by side) -> (gates, rows, n)
+            return x.reshape(-1, 4, n).transpose(1, 0, 2)[[2, 0, 1, 3]] * np.array([half, half, half, one])[:, None, None]
+
+        table = np.concatenate([gates(w["W" + side] + w["c" + side]) for side in "fb"], axis=1)
+        u = np.stack([gates(w["U" + side]) for side in "fb"], axis=1) * half
+        weigh = w["O"].reshape(2, n, TAGS) * half
+        x, y = _aligned((5, 2, batch, n), dtype), _aligned((4, 2, batch, n), dtype)
+        h, part = _aligned((2, batch, n), dtype), _aligned((CHUNK, 2, batch, TAGS), dtype)
+        every, logistic, kept, held = x[:4], x[:3], x[1:3], x[3:]
+        leave, entered, stayed, _, cell = x
+        looked_up = every.reshape(4, 2 * batch, n)
+        cell[:], h[:] = 0, 0
+        e = np.empty((steps, TAGS, batch), dtype)
         e[:] = w["o"][:, None]
-        for t in range(steps):
-            np.take(tables[0], codes[t], axis=1, out=x[0], mode="clip")
-            np.take(tables[1], codes[steps - 1 - t], axis=1, out=x[1], mode="clip")
-            np.matmul(u, h, out=y)
-            x += y
-            np.tanh(x, out=x)
-            x[:, :3 * n] += 1  # the three gates, doubled
-            c *= forget
-            np.multiply(enter, new, out=turned)
-            c += turned
-            c *= half
-            np.tanh(c, out=turned)
-            np.multiply(turned, leave, out=h)
-            np.matmul(weigh, h, out=part)
-            e[t] += part[0]
-            e[steps - 1 - t] += part[1]
+        for first in range(0, steps, CHUNK):
+            size, end = min(CHUNK, steps - first), steps - first
+            rows = np.empty((size, 2, batch), np.intp)
+            rows[:, 0], rows[:, 1] = codes[first:first + size], codes[end - size:end][::-1]
+            rows[:, 1] += CODES
+            for k, row in enumerate(rows.reshape(size, 2 * batch)):
+                table.take(row, axis=1, out=looked_up, mode="clip")
+                np.matmul(h, u, out=y)
+                np.add(every, y, out=every)
+                np.tanh(every, out=every)
+                np.add(logistic, one, out=logistic)  # doubled
+                np.multiply(kept, held, out=kept)
+                np.add(entered, stayed, out=cell)
+                np.multiply(cell, half, out=cell)
+                np.tanh(cell, out=h)
+                np.multiply(h, leave, out=h)
+                np.matmul(h, weigh, out=part[k])
+            e[first:first + size] += part[:size, 0].transpose(0, 2, 1)
+            e[end - size:end] += part[:size, 1][::-1].transpose(0, 2, 1)
         return e
 
     def transitions(self) -> np.ndarray:
@@ -250,6 +269,14 @@ class Tagger:
         return best, np.take_along_axis(marginal, best[:, :, None], axis=2)[:, :, 0]
 
 
+def _aligned(shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+    """Empty array that starts at a multiple of 64 bytes, where vector instructions are fastest."""
+    size = int(np.prod(shape)) * dtype.itemsize
+    room = np.empty(size + 64, np.uint8)
+    skip = -room.ctypes.data % 64
+    return room[skip:skip + size].view(dtype).reshape(shape)
+
+
 def _lstm(gates: np.ndarray, u: np.ndarray, keep: dict | None, side: str) -> np.ndarray:
     steps, batch, four = gates.shape
     n = four // 4
@@ -329,13 +356,16 @@ def may_hold(e: np.ndarray, a: np.ndarray) -> np.ndarray:
     enter, stay, leave = max(rel[:, 1::2].max(), 0), rel[:, 2::2].max(), max(rel[1:, 0].max(), 0)
     enter, stay = e.dtype.type(enter), e.dtype.type(stay)
     gain = np.maximum(e[0, 1::2] + enter, e[0, 2::2]) - e[0, :1]  # a window may start inside a span
-    most = gain.copy()
-    for step in e[1:]:
-        gain += stay
-        gain += step[2::2]
-        np.maximum(gain, step[1::2] + enter, out=gain)
-        gain -= step[0]
-        np.maximum(most, gain, out=most)
+    most = gain
+    for first in range(1, len(e), CHUNK):
+        part = e[first:first + CHUNK]
+        begun, going = part[:, 1::2] - part[:, :1], part[:, 2::2] - part[:, :1]
+        begun += enter
+        going += stay
+        for own, more in zip(begun, going):
+            np.add(more, gain, out=more)
+            gain = np.maximum(own, more, out=own)
+        most = np.maximum(most, begun.max(axis=0))
     return most.max(axis=0) + leave > -0.01  # far above the rounding of these sums
 
 
@@ -480,9 +510,10 @@ def sampled(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> list[tuple[st
 
     The rules label them. The bounds are ``sample_rows`` and SAMPLE_WINDOWS; only windows reach the driver.
     """
-    own = F.xxhash64("text")
-    rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"@|\+[0-9]|[0-9]{3}"))
-    least = [r[0] for r in rows.select(own.alias("h")).distinct().orderBy("h").limit(sample_rows).collect()]
+    own, texts = F.xxhash64("text"), docs.select(F.col("text").cast("string").alias("text"))
+    # most texts fail the plain class, which is faster than the choice
+    digits = F.col("text").rlike("[0-9@]") & F.col("text").rlike(r"@|\+[0-9]|[0-9]{3}")
+    least = [r[0] for r in texts.where(digits).select(own.alias("h")).distinct().orderBy("h").limit(sample_rows).collect()]
     if not least:
         return []
 
@@ -494,7 +525,7 @@ def sampled(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> list[tuple[st
                 pa.schema([("window", pa.string()), ("spans", pa.list_(pa.struct(
                     [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())])))]))
 
-    windows = rows.where(own <= max(least)).mapInArrow(run, _LABELLED).distinct()
+    windows = texts.where((own <= max(least)) & digits).mapInArrow(run, _LABELLED).distinct()
     return sorted((r[0], [tuple(s) for s in r[1]]) for r in windows.collect())
 
 
@@ -595,7 +626,7 @@ def _decoded(model: Tagger, codes: list[np.ndarray], windows: set[tuple[int, int
         most = max(1, batch * WIDE // width)
         part = [x for x in rows[at:at + most] if x[2] == width]
         at += len(part)
-        block = np.full((len(part), width), PAD, np.int64)
+        block = np.full((len(part), width), PAD, np.uint8)
         for j, (i, start, _) in enumerate(part):
             piece = codes[i][start:start + width]
             block[j, :len(piece)] = piece
