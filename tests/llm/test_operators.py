@@ -379,6 +379,35 @@ def test_embedding_links_equal_brute_force(spark, tile):
     assert embeddings.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_embedding_tiles_are_written_once(spark, monkeypatch):
+    """Tiles reach the comparison as files: nothing is joined or shuffled per pair of tiles but their numbers."""
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(300, 40))
+    rows = np.concatenate([base, base[:40].repeat(6, axis=0) + rnd.normal(size=(240, 40)) * 0.1, base[:9]]).astype(np.float32)
+    rows = np.concatenate([rows, rows[-40:, ::-1], (rows[:30, :1] * 0 + 1) + rnd.normal(size=(30, 40)).astype(np.float32) * 0.02])
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows.tolist())], "vec_id bigint, embedding array<float>")
+    plans, keep = {}, embeddings.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(embeddings, "written", seen)
+    monkeypatch.setattr(embeddings, "EDGES", 50)
+    monkeypatch.setattr(embeddings, "STRIP", 16)
+    found = {r.vec_id: tuple(r)[1:] for r in embeddings.near_duplicates(table, tile=33).collect()}
+    assert "Join" not in plans["links"] and "binary" not in plans["links"]
+    wide = rows.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1)[:, None]
+    linked = wide @ wide.T >= 0.95
+    np.fill_diagonal(linked, False)
+    low = np.arange(len(rows))
+    for _ in range(len(rows)):
+        low = np.minimum(low, np.where(linked, low[None, :], len(rows)).min(axis=1))
+    assert linked.sum() > 300
+    assert found == {i: (linked[i].sum(), low[i], low[i] == i) for i in range(len(rows))}
+
+
 def test_nearest_neighbours_recall_and_scores(spark):
     rows, table = vectors(spark)
     usable, near = cosines(rows)

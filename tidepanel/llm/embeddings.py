@@ -1,9 +1,10 @@
 """Near-duplicate vectors by cosine: tiles of rows compared in the order of principal directions.
 
 Equal vectors are one class. Classes are rotated to principal directions (which changes no
-cosine) and dealt into tiles of about TILE rows, each one binary row of a table. A task takes a
-pair of tiles and adds up products over the leading directions first. What the rest can add is
-at most the product of the two rest norms, so a pair is left as soon as the sum so far and that
+cosine) and packed into tiles of at most TILE rows, each one file of the shared folder, written once.
+A task takes a pair of blocks of tiles and reads their files; no tile is shuffled. It multiplies the
+leading directions first. What the rest can add is at most the product of the two rest norms, which
+is one more column of the same product, so a pair is left as soon as the sum so far and that
 bound stay below the threshold. Pairs that come through are decided on the original vectors.
 
 A task returns, for each class, the number of linked vectors and one edge to the smallest
@@ -18,161 +19,178 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.components import components
-from tidepanel.llm.vectors import keyed, matrix, unit
-from tidepanel.session import written
+from tidepanel.llm.vectors import by_width, keyed, unit
+from tidepanel.session import fresh_path, written
+from tidepanel.sources import blocks
 
 THRESHOLD = 0.95
 TILE = 2048
-STRIP = 256  # rows of a tile compared at a time
-STEPS = (8, 16, 32)  # leading directions after which pairs are left
-MARGIN = 1e-9  # rounding allowed for in the bounds
+BLOCK_ROWS = 16_384  # rows of a block of tiles at most
+BLOCK_BYTES = 32_000_000  # rotated and original vectors of a block at most, where it has more than one tile
+BLOCKS = 24  # blocks to make of a smaller table, so that its pairs are enough tasks
+TASKS = 2_000  # tasks of the comparison at most
+STRIP = 256  # rows compared at a time, with as many columns as a tile has
+STEPS = (24, 48)  # leading directions after which pairs are left
+MARGIN = 1e-5  # rounding of the products of floats allowed for in the bounds
 PAIRS = 20_000  # pairs gathered at a time
+EDGES = 500_000  # pairs kept before they are folded into components
 
 
-def _moments(classes: DataFrame, dims: int) -> np.ndarray:
-    """Principal directions of the unit vectors, from sums of dims x dims products per task."""
+def _directions(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Principal directions of the unit vectors of each length, from sums of dims x dims products per task."""
 
     def sums(batches):
-        total = np.zeros((dims, dims))
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                rows = unit(matrix(batch.column(0)))
-                total += rows.T @ rows
-        yield pa.RecordBatch.from_pydict({"i": np.repeat(np.arange(dims), dims), "j": np.tile(np.arange(dims), dims),
-                                          "x": total.ravel()})
+            for dims, _, found in by_width(batch.column(0)):
+                rows = unit(found)
+                totals[dims] = totals.get(dims, 0) + rows.T @ rows
+        for dims, total in totals.items():
+            yield pa.RecordBatch.from_pydict({"d": np.full(dims * dims, dims), "i": np.repeat(np.arange(dims), dims),
+                                              "j": np.tile(np.arange(dims), dims), "x": total.ravel()})
 
-    added = classes.select("vector").mapInArrow(sums, "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x"))
-    moments = np.zeros((dims, dims))
-    for i, j, x in added.collect():  # dims * dims numbers
-        moments[i, j] = x
-    values, directions = np.linalg.eigh((moments + moments.T) / 2)
-    return directions[:, np.argsort(-values)]
+    added = vectors.mapInArrow(sums, "d bigint, i bigint, j bigint, x double").groupBy("d", "i", "j").agg(F.sum("x"))
+    moments: dict[int, np.ndarray] = {}
+    for d, i, j, x in added.collect():  # dims * dims numbers per length
+        moments.setdefault(d, np.zeros((d, d)))[i, j] = x
+    out = {}
+    for d, m in moments.items():
+        values, directions = np.linalg.eigh((m + m.T) / 2)
+        out[d] = directions[:, np.argsort(-values)]
+    return out
 
 
-def _tiles(classes: DataFrame, directions: np.ndarray, tiles: int) -> DataFrame:
-    """(tile, n, data): ids, class sizes, rotated unit vectors and original vectors of a tile."""
-    dims = len(directions)
+def _tiles(classes: DataFrame, directions: dict[int, np.ndarray], tile: int, folder: str) -> DataFrame:
+    """(dims, n, name): a file per tile with ids, class sizes, rotated unit vectors and original vectors.
+
+    A tile is what a task meets in a row, so classes (node, n, vector) are not dealt again for it."""
 
     def pack(batches):
-        ids, sizes, rows, tile = [], [], [], None
+        held: dict[int, list] = {}
 
-        def done():
-            vectors = np.concatenate(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([tile], pa.int64()), pa.array([len(vectors)], pa.int64())]
-                + [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
-                   for x in (np.concatenate(ids), np.concatenate(sizes), unit(vectors) @ directions, vectors)],
-                ["tile", "n", "ids", "sizes", "rotated", "vectors"])
+        def done(dims, ids, sizes, vectors):
+            name = blocks.save(folder, ids=ids, sizes=sizes, vectors=vectors,
+                               rotated=(unit(vectors.astype(np.float64)) @ directions[dims]).astype(np.float32))
+            return pa.RecordBatch.from_pydict({"dims": [dims], "n": [len(ids)], "name": [name]})
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            of = batch.column(0).to_numpy()
-            data = matrix(batch.column(3))
-            borders = [0, *(np.nonzero(np.diff(of))[0] + 1), len(of)]
-            for a, b in zip(borders[:-1], borders[1:]):
-                if rows and of[a] != tile:
-                    yield done()
-                    ids, sizes, rows = [], [], []
-                tile = of[a]
-                ids.append(batch.column(1).to_numpy()[a:b])
-                sizes.append(batch.column(2).to_numpy()[a:b])
-                rows.append(data[a:b])
-        if rows:
-            yield done()
-
-    dealt = (classes.select(F.pmod(F.xxhash64("node"), F.lit(tiles)).alias("tile"), "node", "n", "vector")
-             .where(F.size("vector") == dims).repartition("tile").sortWithinPartitions("tile", "node"))
-    return dealt.mapInArrow(pack, "tile bigint, n bigint, ids binary, sizes binary, rotated binary, vectors binary")
+            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            floats = batch.column(2).type.value_type == pa.float32()
+            for dims, at, rows in by_width(batch.column(2)):
+                more = [ids[at], sizes[at], rows.astype(np.float32) if floats else rows]
+                if dims in held:
+                    more = [np.concatenate(x) for x in zip(held.pop(dims), more)]
+                full = len(more[0]) // tile * tile
+                for start in range(0, full, tile):
+                    yield done(dims, *(x[start:start + tile] for x in more))
+                if len(more[0]) > full:
+                    held[dims] = [x[full:] for x in more]
+        for dims, rest in held.items():
+            yield done(dims, *rest)
+
+    return classes.select("node", "n", "vector").mapInArrow(pack, "dims bigint, n bigint, name string")
+
+
+def _bounded(rows: np.ndarray, lead: int) -> np.ndarray:
+    """Leading columns and the norm of the rest: products of such rows are bounds of the products of whole rows."""
+    if lead == rows.shape[1]:
+        return rows
+    return np.hstack([rows[:, :lead], np.linalg.norm(rows[:, lead:].astype(np.float64), axis=1, keepdims=True).astype(np.float32)])
 
 
 def _close(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
-    """Index pairs of rows with cosine >= threshold. a, b: rotated unit rows; x, y: original rows."""
+    """Index pairs of rows with cosine >= threshold, some at a time. a, b: rotated unit rows (floats); x, y: original rows."""
     dims = a.shape[1]
-    steps = [s for s in STEPS if s < dims]
-    rest_a, rest_b = ({s: np.sqrt(np.maximum(0, np.einsum("ij,ij->i", m[:, s:], m[:, s:]))) for s in steps} for m in (a, b))
-    scaled_x, scaled_y = unit(x), unit(y)
-    found = []
+    leads = [s for s in STEPS if s < dims] or [dims]
+    short_a, short_b = ({s: _bounded(m, s) for s in leads} for m in (a, b))
+    scaled_x = unit(x.astype(np.float64))
+    scaled_y = scaled_x if y is x else unit(y.astype(np.float64))
+    first_a, first_b = short_a[leads[0]], short_b[leads[0]]
     for start in range(0, len(a), STRIP):
         end = min(start + STRIP, len(a))
-        lead = steps[0] if steps else dims
-        sums = a[start:end, :lead] @ b[:, :lead].T
-        if steps:
-            bound = np.multiply.outer(rest_a[lead][start:end], rest_b[lead])
-            bound += sums
-        else:
-            bound = sums
-        mask = bound >= threshold - MARGIN
-        if same:
-            mask &= np.arange(start, end)[:, None] < np.arange(len(b))[None, :]
-        rows, columns = np.nonzero(mask)
-        sums = sums[rows, columns]
-        rows += start
-        for low, high in zip(steps, steps[1:] + [dims]):
-            keep = []
-            for at in range(0, len(rows), PAIRS):
-                r, c = rows[at:at + PAIRS], columns[at:at + PAIRS]
-                sums[at:at + PAIRS] += np.einsum("ij,ij->i", a[r, low:high], b[c, low:high])
-                rest = rest_a[high][r] * rest_b[high][c] if high < dims else 0.0
-                keep.append(sums[at:at + PAIRS] + rest >= threshold - MARGIN)
-            if keep:
-                kept = np.concatenate(keep)
-                rows, columns, sums = rows[kept], columns[kept], sums[kept]
-        for at in range(0, len(rows), PAIRS):  # the cosine itself
-            r, c = rows[at:at + PAIRS], columns[at:at + PAIRS]
-            exact = np.einsum("ij,ij->i", scaled_x[r], scaled_y[c]) >= threshold
-            found.append((r[exact], c[exact]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def _smallest(nodes: int, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Smallest label in the component of each node."""
-    label = label.copy()
+        for left in range(start if same else 0, len(b), TILE):
+            bound = first_a[start:end] @ first_b[left:left + TILE].T
+            at = np.flatnonzero(bound >= threshold - MARGIN)
+            if not len(at):
+                continue
+            rows, columns = np.divmod(at, bound.shape[1])
+            rows += start
+            columns += left
+            if same:
+                later = rows < columns
+                rows, columns = rows[later], columns[later]
+            for lead in leads[1:]:  # bounds with more directions
+                keep = [np.einsum("ij,ij->i", short_a[lead][rows[k:k + PAIRS]], short_b[lead][columns[k:k + PAIRS]]) >= threshold - MARGIN
+                        for k in range(0, len(rows), PAIRS)]
+                if keep:
+                    kept = np.concatenate(keep)
+                    rows, columns = rows[kept], columns[kept]
+            exact = [np.einsum("ij,ij->i", scaled_x[rows[k:k + PAIRS]], scaled_y[columns[k:k + PAIRS]]) >= threshold
+                     for k in range(0, len(rows), PAIRS)]  # the cosine itself
+            if exact:
+                kept = np.concatenate(exact)
+                if kept.any():
+                    yield rows[kept], columns[kept]
+
+
+def _roots(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Smallest number in the component of each node; chains are halved with every round."""
+    root = np.arange(nodes)
     while True:
-        before = label.copy()
-        low = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        if (label == before).all():
-            return label
-
-
-def _links(tiles: DataFrame, count: int, dims: int, threshold: float) -> DataFrame:
-    """(node, links, low) of every class with links, per pair of tiles."""
+        before = root.copy()
+        low = np.minimum(before[left], before[right])
+        for ends in (left, right):
+            np.minimum.at(root, ends, low)
+            np.minimum.at(root, before[ends], low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _links(spark, names: list[tuple[int, str]], folder: str, rows: int, threshold: float) -> DataFrame:
+    """(node, links, low) of every class with links, per pair of blocks. names: rows and file of each tile of one length."""
+    dealt: list[list[str]] = []
+    size = rows
+    for n, name in names:
+        if size + n > rows:
+            dealt.append([])
+            size = 0
+        dealt[-1].append(name)
+        size += n
+
+    def read(block: int) -> list[np.ndarray]:
+        parts = [blocks.load(folder, name) for name in dealt[block]]
+        return [np.concatenate([p[k] for p in parts]) for k in ("ids", "sizes", "rotated", "vectors")]
 
     def compare(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                one, two, n, m = (batch.column(k)[i].as_py() for k in range(4))
-                ids, sizes, rotated, vectors = ([], [], [], [])
-                for side, rows in ((4, n), (8, m)):
-                    read = [batch.column(side + k)[i].as_buffer() for k in range(4)]
-                    ids.append(np.frombuffer(read[0], np.int64))
-                    sizes.append(np.frombuffer(read[1], np.int64))
-                    rotated.append(np.frombuffer(read[2]).reshape(rows, dims))
-                    vectors.append(np.frombuffer(read[3]).reshape(rows, dims))
-                same = one == two
-                left, right = _close(*rotated, *vectors, threshold, same)
-                if not len(left):
+            for one, two in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                mine = read(one)
+                other = mine if one == two else read(two)
+                shift = 0 if one == two else len(mine[0])
+                node, size = (mine[k] if one == two else np.concatenate([mine[k], other[k]]) for k in range(2))
+                links, edges, kept = np.zeros(len(node)), [], 0
+                for left, right in _close(mine[2], other[2], mine[3], other[3], threshold, one == two):
+                    right = right + shift
+                    links += np.bincount(left, size[right], len(node)) + np.bincount(right, size[left], len(node))
+                    edges.append((left, right))
+                    kept += len(left)
+                    if kept > EDGES:
+                        root = _roots(len(node), *map(np.concatenate, zip(*edges)))
+                        hit = np.nonzero(root != np.arange(len(node)))[0]
+                        edges, kept = [(hit, root[hit])], 0
+                if not edges:
                     continue
-                if not same:
-                    right = right + n
-                node = ids[0] if same else np.concatenate(ids)
-                size = sizes[0] if same else np.concatenate(sizes)
-                links = np.bincount(left, size[right], len(node)) + np.bincount(right, size[left], len(node))
-                low = _smallest(len(node), left, right, node)
-                hit = np.unique(np.concatenate([left, right]))
-                yield pa.RecordBatch.from_pydict({"node": node[hit], "links": links[hit].astype(np.int64), "low": low[hit]})
-
-    names = ("ids", "sizes", "rotated", "vectors")
-    pairs = tiles.select(F.col("tile").alias("i"), F.explode(F.sequence("tile", F.lit(count - 1))).alias("j"))
-    left = tiles.select(F.col("tile").alias("i"), F.col("n").alias("n1"), *(F.col(c).alias(c + "1") for c in names))
-    right = tiles.select(F.col("tile").alias("j"), F.col("n").alias("n2"), *(F.col(c).alias(c + "2") for c in names))
-    both = pairs.join(left, "i").join(right, "j").select(
-        "i", "j", "n1", "n2", *(c + "1" for c in names), *(c + "2" for c in names))
-    return written(both.mapInArrow(compare, "node bigint, links bigint, low bigint"), "links")
+                root = _roots(len(node), *map(np.concatenate, zip(*edges)))
+                low = node.copy()
+                np.minimum.at(low, root, node)
+                hit = np.nonzero(links)[0]
+                yield pa.RecordBatch.from_pydict({"node": node[hit], "links": links[hit].astype(np.int64), "low": low[root[hit]]})
+
+    count = len(dealt)
+    pairs = spark.range(count).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(count - 1).cast("bigint"))).alias("j"))
+    tasks = min(TASKS, count * (count + 1) // 2)
+    return written(pairs.repartition(tasks).mapInArrow(compare, "node bigint, links bigint, low bigint"), "links")
 
 
 def near_duplicates(rows: DataFrame, *, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -189,15 +207,18 @@ def near_duplicates(rows: DataFrame, *, threshold: float = THRESHOLD, tile: int
     good = every.where("ok and vec_id is not null")
     groups = written(good.groupBy("k1", "k2").agg(F.min("vec_id").cast("bigint").alias("node"),
                                                   F.count(F.lit(1)).alias("n")), "groups")
-    classes = written(good.withColumn("node", F.col("vec_id").cast("bigint")).join(groups, ["k1", "k2", "node"])
-                      .dropDuplicates(["k1", "k2"]).select("node", "n", "vector"), "classes")
-    widths = classes.groupBy(F.size("vector").alias("d")).count().collect()  # one row per length of vector
+    directions = _directions(good.select("vector"))
+    classes = good.groupBy("k1", "k2").agg(F.min("vec_id").cast("bigint").alias("node"), F.count(F.lit(1)).alias("n"),
+                                           F.any_value("vector").alias("vector"))
+    spark, folder = rows.sparkSession, fresh_path(rows.sparkSession, "tiles")
+    names: dict[int, list] = {}
+    for dims, n, name in written(_tiles(classes, directions, tile, folder), "tile-names").collect():  # one row per tile
+        names.setdefault(dims, []).append((n, name))
     found = None
-    for dims, count in sorted(tuple(w) for w in widths):
-        tiles = -(-count // tile)
-        same = classes.where(F.size("vector") == dims)
-        packed = written(_tiles(same, _moments(same, dims), tiles), "tiles")
-        links = _links(packed, tiles, dims, threshold)
+    for dims, mine in sorted(names.items()):
+        count = sum(n for n, _ in mine)
+        most = max(tile, min(BLOCK_ROWS, BLOCK_BYTES // (16 * dims), -(-count // BLOCKS)))
+        links = _links(spark, sorted(mine), folder, most, threshold)
         found = links if found is None else found.union(links)
     part = F.col("ok") & F.col("vec_id").isNotNull()
     plain = every.select("vec_id", F.when(part, F.col("k1")).alias("k1"), F.when(part, F.col("k2")).alias("k2"))
