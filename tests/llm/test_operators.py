@@ -427,6 +427,32 @@ def test_nearest_neighbours_recall_and_scores(spark):
     assert hnsw.nearest(table.limit(0), F.lit(True)).collect() == []
 
 
+def test_nearest_returns_the_best_of_all_shards_of_a_task(spark, monkeypatch):
+    """Neither shards nor queries are joined, and a query has no row per shard."""
+    rnd = np.random.default_rng(5)
+    rows = rnd.normal(size=(400, 12)).astype(np.float32)
+    rows[300:330] = rows[:30]
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows.tolist())], "vec_id bigint, embedding array<float>")
+    frames, keep = [], hnsw.search
+
+    def seen(*args, **kind):
+        frames.append(keep(*args, **kind))
+        return frames[-1]
+
+    monkeypatch.setattr(hnsw, "search", seen)
+    monkeypatch.setattr(hnsw, "UNITS", 4, raising=False)
+    found = hnsw.nearest(table, F.col("vec_id") % 4 == 0, shard=20).collect()
+    assert "Join" not in frames[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert frames[0].groupBy("query_id").count().agg(F.max("count")).first()[0] < 7 * 6
+    wide = rows.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1)[:, None]
+    for q in range(0, 400, 4):
+        score = {i: wide[i] @ wide[q] for i in range(400) if i != q}
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        best = sorted(score, key=lambda i: (-round(score[i], 12), i))[:5]
+        assert [g[1] for g in got] == best and np.allclose([g[2] for g in got], [score[i] for i in best], atol=1e-12)
+
+
 def test_quality_samples_labelled_documents_and_more_blocks(spark):
     rnd = random.Random(7)
     rows = spark.createDataFrame([(i, prose(rnd, 1500) if i % 2 else "BUY $$$ " * 900) for i in range(60)], "doc_id bigint, text string")

@@ -149,14 +149,7 @@ def _roots(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _links(spark, names: list[tuple[int, str]], folder: str, rows: int, threshold: float) -> DataFrame:
     """(node, links, low) of every class with links, per pair of blocks. names: rows and file of each tile of one length."""
-    dealt: list[list[str]] = []
-    size = rows
-    for n, name in names:
-        if size + n > rows:
-            dealt.append([])
-            size = 0
-        dealt[-1].append(name)
-        size += n
+    dealt = blocks.dealt(names, rows)
 
     def read(block: int) -> list[np.ndarray]:
         parts = [blocks.load(folder, name) for name in dealt[block]]

@@ -7,8 +7,10 @@ before it, chosen so that none is closer to another chosen one than to the node,
 back; early nodes thereby keep far links. A level is filled in strips with matrix products, as
 a shard is small.
 
-Queries come in blocks. A block goes to every shard, is searched there, and the best classes of
-all shards are ranked by the cosine of the original vectors.
+Shards and blocks of queries are files of the shared folder, written once. A task reads a block of
+queries and one shard of a range after the other, and returns the best classes of the range; neither
+shards nor queries are shuffled or broadcast to meet. The best classes of all ranges are ranked by the
+cosine of the original vectors.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.vectors import keyed, matrix, unit
-from tidepanel.session import written
+from tidepanel.session import fresh_path, written
+from tidepanel.sources import blocks
 
 SHARD = 4096
 DEGREE = 16  # links a node takes; twice as many are kept on the lowest level
 POOL = 64  # candidates a node chooses its links from
 WIDTH = 128  # open nodes of a search
 BLOCK = 256  # queries searched together
+RANGE = 64  # shards a task searches at most for a block of queries
+UNITS = 64  # blocks x ranges to make of a smaller table
+TASKS = 2_000  # tasks of building and of searching at most
 STRIP = 256
 
 
@@ -145,26 +151,22 @@ class Graph:
         return sorted(held, reverse=True)
 
 
-def build(classes: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: class numbers, vectors and, level by level, members and neighbours as flat arrays."""
+def build(classes: DataFrame, shards: int, folder: str) -> DataFrame:
+    """(shard, n, name): a file per shard with class numbers, vectors and, level by level, members and neighbours."""
 
     def packed(shard, ids, least, vectors):
-        parts = Graph.built(unit(vectors))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int64()), pa.array([vectors.shape[1]], pa.int64()),
-             pa.array([np.ascontiguousarray(ids).tobytes()], pa.binary()),
-             pa.array([np.ascontiguousarray(least).tobytes()], pa.binary()),
-             pa.array([vectors.tobytes()], pa.binary()),
-             pa.array([[m.tobytes() for m, _ in parts]], pa.list_(pa.binary())),
-             pa.array([[x.tobytes() for _, x in parts]], pa.list_(pa.binary()))],
-            ["shard", "dims", "ids", "least", "vectors", "members", "links"])
+        levelled = {}
+        for at, (members, links) in enumerate(Graph.built(unit(vectors.astype(np.float64)))):
+            levelled |= {f"members{at}": members, f"links{at}": links}
+        name = blocks.save(folder, ids=ids, least=least, vectors=vectors, **levelled)
+        return pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(ids)], "name": [name]})
 
     def run(batches):
         shard, ids, least, vectors = None, [], [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            of, node, small, data = *(batch.column(i).to_numpy() for i in range(3)), matrix(batch.column(3))
+            of, node, small, data = *(batch.column(i).to_numpy() for i in range(3)), _rows(batch.column(3))
             borders = [0, *(np.nonzero(np.diff(of))[0] + 1), len(of)]
             for a, b in zip(borders[:-1], borders[1:]):
                 if ids and of[a] != shard:
@@ -178,54 +180,75 @@ def build(classes: DataFrame, shards: int) -> DataFrame:
             yield packed(shard, np.concatenate(ids), np.concatenate(least), np.concatenate(vectors))
 
     dealt = (classes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"), "node", "least", "vector")
-             .repartition(max(shards, 1), "shard").sortWithinPartitions("shard", F.xxhash64("node", F.lit(2))))
-    return written(dealt.mapInArrow(
-        run, "shard bigint, dims bigint, ids binary, least binary, vectors binary, members array<binary>, links array<binary>"), "graphs")
-
-
-def search(graphs: DataFrame, queries: DataFrame, *, most: int, width: int = WIDTH) -> DataFrame:
-    """(query_id, node, score): the ``most`` best classes of every shard for each query (vec_id, vector);
-    of equally near ones those with the smallest vec_id."""
-    shards = graphs.select("shard")
-    blocks = -(-queries.count() // BLOCK)
-    packs = (queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(blocks, 1))).alias("block"))
-             .agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("asked")))
-    high = shards.agg(F.max("shard")).first()[0]
-    asked = packs.select(F.explode(F.sequence(F.lit(0), F.lit(-1 if high is None else high),
-                                              F.lit(1))).alias("shard") if high is not None else F.lit(-1).alias("shard"),
-                         "block", F.col("asked.vec_id").alias("ids"), F.col("asked.vector").alias("asked"))
+             .repartition(max(min(shards, TASKS), 1), "shard").sortWithinPartitions("shard", F.xxhash64("node", F.lit(2))))
+    return written(dealt.mapInArrow(run, "shard bigint, n bigint, name string"), "graphs")
+
+
+def _rows(column) -> np.ndarray:
+    """Rows of an Arrow list column in its own kind of numbers."""
+    rows = matrix(column)
+    return rows.astype(np.float32) if column.type.value_type == pa.float32() else rows
+
+
+def _blocks(queries: DataFrame, folder: str) -> DataFrame:
+    """(n, name): files of at most BLOCK queries (vec_id, vector), as a task meets them."""
+
+    def pack(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                name = blocks.save(folder, ids=part.column(0).to_numpy(), vectors=_rows(part.column(1)))
+                yield pa.RecordBatch.from_pydict({"n": [part.num_rows], "name": [name]})
+
+    return queries.select("vec_id", "vector").mapInArrow(pack, "n bigint, name string")
+
+
+def _best(queries: np.ndarray, found: list[list[tuple]], most: int):
+    """Of the classes (node, least, score) found for each query, the ``most`` best that do not begin with the query itself,
+    and all that do: whether these have other ids is not known here."""
+    for query_id, parts in zip(queries, found):
+        node, least, score = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((least, -score))
+        own = least[order] == query_id
+        order = order[own | (np.cumsum(~own) <= most)]
+        yield np.full(len(order), query_id), node[order], score[order]
+
+
+def search(graphs: DataFrame, queries: DataFrame, folder: str, *, most: int, width: int = WIDTH) -> DataFrame:
+    """(query_id, node, score): for each query (vec_id, vector) the best classes of every range of shards, taken from the
+    ``most`` best of each shard; of equally near ones those with the smallest vec_id."""
+    spark = graphs.sparkSession
+    shards = [r[0] for r in graphs.orderBy("shard").select("name").collect()]  # one per SHARD vectors
+    packs = written(_blocks(queries, folder), "query-names").orderBy("n", "name").collect()  # at most one per BLOCK queries and task
+    asked = blocks.dealt([tuple(r) for r in packs], BLOCK)
+    step = max(1, min(RANGE, len(shards) * len(asked) // UNITS))
+    ranges = -(-len(shards) // step)
+    count = len(asked) * ranges
+    units = spark.range(0, count, 1, max(1, min(count, TASKS)))
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                dims = row["dims"].as_py()
-                vectors = np.frombuffer(row["vectors"].as_buffer()).reshape(-1, dims)
-                nodes = np.frombuffer(row["ids"].as_buffer(), np.int64)
-                least = np.frombuffer(row["least"].as_buffer(), np.int64)
-                parts = []
-                for m, x in zip(row["members"].values, row["links"].values):
-                    members = np.frombuffer(m.as_buffer(), np.int32)
-                    parts.append((members, np.frombuffer(x.as_buffer(), np.int32).reshape(len(members), -1)))
-                scaled = unit(vectors)
-                graph = Graph(scaled, parts)
-                out = [[], [], []]
-                for query_id, asked_vector in zip(row["query_ids"].as_py(), row["asked"].values.to_pylist()):
-                    if len(asked_vector) != dims:
-                        continue
-                    query = unit(np.array([asked_vector], np.float64))[0]
-                    found = np.array([n for _, n in graph.search(query, max(width, most))], np.int64)
-                    score = np.einsum("ij,j->i", scaled[found], query)
-                    order = np.lexsort((least[found], -score))[:most]
-                    out[0] += [query_id] * len(order)
-                    out[1] += nodes[found[order]].tolist()
-                    out[2] += score[order].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
-                    ["query_id", "node", "score"])
-
-    asked = asked.withColumnRenamed("ids", "query_ids")
-    return asked.join(graphs, "shard").mapInArrow(run, "query_id bigint, node bigint, score double")
+            for unit_number in batch.column(0).to_pylist():
+                block, first = unit_number // ranges, unit_number % ranges * step
+                parts = [blocks.load(folder, name) for name in asked[block]]
+                ids, wanted = (np.concatenate([p[k] for p in parts]) for k in ("ids", "vectors"))
+                wanted = unit(wanted.astype(np.float64))
+                found: list[list[tuple]] = [[] for _ in ids]
+                for name in shards[first:first + step]:
+                    data = blocks.load(folder, name)
+                    nodes, least, scaled = data["ids"], data["least"], unit(data["vectors"].astype(np.float64))
+                    high = sum(k.startswith("members") for k in data)
+                    graph = Graph(scaled, [(data[f"members{at}"], data[f"links{at}"]) for at in range(high)])
+                    for mine, query in zip(found, wanted):
+                        near = np.array([n for _, n in graph.search(query, max(width, most))], np.int64)
+                        score = np.einsum("ij,j->i", scaled[near], query)
+                        order = np.lexsort((least[near], -score))[:most]
+                        mine.append((nodes[near[order]], least[near[order]], score[order]))
+                columns = [np.concatenate(x) for x in zip(*_best(ids, found, most))]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                                                  pa.array(columns[2], pa.float64())], ["query_id", "node", "score"])
+
+    return units.mapInArrow(run, "query_id bigint, node bigint, score double")
 
 
 def nearest(rows: DataFrame, asked: "F.Column", *, neighbours: int = 5, width: int = WIDTH, shard: int = SHARD) -> DataFrame:
@@ -247,13 +270,15 @@ def nearest(rows: DataFrame, asked: "F.Column", *, neighbours: int = 5, width: i
     heads = written(ids.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "heads")
     # ids may repeat with other vectors: a class is named by a number of its own
     heads = heads.withColumn("node", F.xxhash64("k1", "k2"))
-    classes = written(good.join(heads.select("k1", "k2", "node", F.col("ids")[0].alias("vec_id")), ["k1", "k2", "vec_id"])
-                      .dropDuplicates(["k1", "k2"]).select("node", F.col("vec_id").alias("least"), "vector", F.size("vector").alias("dims")), "classes")
+    classes = written(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.any_value("vector").alias("vector"))
+                      .select(F.xxhash64("k1", "k2").alias("node"), "least", "vector", F.size("vector").alias("dims")), "classes")
     queries = written(good.where(asked).dropDuplicates(["vec_id", "k1", "k2"]).select("vec_id", "vector"), "queries")
+    folder = fresh_path(rows.sparkSession, "shards")
     found = None
     for dims, count in sorted(tuple(r) for r in classes.groupBy("dims").count().collect()):  # a row per length
-        graphs = build(classes.where(F.col("dims") == dims), -(-count // shard))
-        part = search(graphs, queries.where(F.size("vector") == dims), most=neighbours + 1, width=width)
+        graphs = build(classes.where(F.col("dims") == dims), -(-count // shard), folder)
+        # written: the size of what comes from a few numbers of units is not to be guessed, or it is broadcast
+        part = written(search(graphs, queries.where(F.size("vector") == dims), folder, most=neighbours + 1, width=width), "found")
         found = part if found is None else found.union(part)
     if found is None:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

@@ -53,3 +53,16 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
         count = int(np.prod(shape, dtype=np.int64))
         out[key] = np.frombuffer(data, kind, count, first + at).reshape(shape) if count else np.zeros(shape, kind)
     return out
+
+
+def dealt(names: list[tuple[int, str]], most: int) -> list[list[str]]:
+    """Files (rows, name) put together to blocks of at most ``most`` rows; a larger file is a block of its own."""
+    out: list[list[str]] = []
+    size = most
+    for rows, name in names:
+        if size + rows > most:
+            out.append([])
+            size = 0
+        out[-1].append(name)
+        size += rows
+    return out
