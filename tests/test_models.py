@@ -478,3 +478,36 @@ def test_learned_model_equals_a_ridge_on_the_explicit_windows(weekdays):
             row = got[(k, kind)]
             assert row["used"] == "recursive" and row["path"] == pytest.approx(path, rel=1e-9)
             assert row["drift"] == pytest.approx(v[:, 0].mean()) and len(row["test"]) == held
+
+
+def test_a_large_batch_of_fits_is_not_held_as_objects():
+    """8,000 keys with 256 last prices each: their rows are Python objects a slice at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    design = arima.design_of([(arima.Order(1, 1, 0), False)], [5, 126, 252], ())
+    kind = pa.struct([("kind", pa.int32()), ("seg", pa.int32()), ("known", pa.int64()), ("n_rows", pa.int64()),
+                      ("gram", pa.list_(pa.float64())), ("moves", pa.list_(pa.list_(pa.float64())))])
+    # one, value and lag of 400 rows with mean zero
+    parts = [{"kind": 0, "seg": s, "known": 1, "n_rows": 100, "gram": [100.0, 0.0, 0.0, 90.0, 40.0, 80.0], "moves": []} for s in range(4)]
+    rows, steps = 8_000, np.arange(8_000) % 6
+    closes = np.add.outer(np.arange(rows), 100 + np.sin(np.arange(design.tail)))
+    ahead = np.array([5, 126, 252])[steps % 3]
+    columns = {name: pa.array(np.full(rows, v, np.int32)) for name, v in zip(arima.ORDER_COLUMNS, (1, 1, 0, 0, 0, 0, 0))}
+    columns |= {"h": pa.array(ahead), "held": pa.array(np.where(steps < 3, 0, ahead)), "kind": pa.array(np.where(steps < 3, "future", "backtest")),
+                "use_exog": pa.array([False] * rows), "n": pa.array(np.full(rows, 1_801)), "parts": pa.array([parts] * rows, pa.list_(kind)),
+                "closes": pa.ListArray.from_arrays(np.arange(0, closes.size + 1, design.tail), closes.ravel())}
+    batch = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    run = arima.forecast_batch(design, "simulated")
+    few = run(batch.slice(0, 6))
+    tracemalloc.start()
+    found = run(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert found.slice(0, 6).equals(few) and set(found.field(0).to_pylist()) == {"ok"}
+    assert found.field(4)[0].as_py() == [("a1", pytest.approx(0.5))]
+    last = closes[3, design.tail - 6:design.tail - 5].item()
+    move = last - closes[3, design.tail - 7].item()
+    assert found.field(5)[3].as_py() == pytest.approx([last + move * sum(0.5 ** j for j in range(1, i + 1)) for i in range(1, 6)])

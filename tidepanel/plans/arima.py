@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel import settings as S
@@ -30,6 +31,7 @@ from tidepanel.operators.rolling import numbered
 from tidepanel.plans.regression import aic, cross_products, least_squares, product_squares, unpack
 
 LONG_AR = 8  # order of the first-stage autoregression
+SLICE = 500  # rows of a batch that are Python objects at a time
 
 # names of the order in tables; column names do not differ by case alone
 ORDER_COLUMNS = ["p", "d", "q", "sp", "sd", "sq", "m"]
@@ -277,8 +279,8 @@ class Sums:
         most = sum(h > holdout for h in self.design.holdouts)
         mine = [p for p in self.parts if p["known"] & bit and p["seg"] <= most]
         width = self.design.width
-        gram = sum((unpack(p["gram"], width) for p in mine), np.zeros((width, width)))
-        return gram, int(sum(p["n_rows"] for p in mine))
+        cells = sum((np.asarray(p["gram"], float) for p in mine), np.zeros(width * (width + 1) // 2))
+        return unpack(cells, width), int(sum(p["n_rows"] for p in mine))
 
     def moves(self, holdout: int) -> tuple[np.ndarray, np.ndarray]:
         """Mean and sample deviation of the relative changes of the exog columns."""
@@ -434,13 +436,13 @@ def _fitted(row, design: Design, exog_mode: str) -> Task:
         raise ValueError(f"order {order} is not in the grid of the job")
     sums = Sums(design, order.kind, row["parts"])
     fit = fit_order(order, sums, held, use_exog)
-    tail = row["tail"]
-    train, ahead = (tail[:len(tail) - held], tail[len(tail) - held:]) if held else (tail, [])
+    closes = row["closes"]
+    train = len(closes) - held
     drive = None
     if use_exog:
-        past = np.array([list(t["xs"]) for t in train], dtype=float)
+        past = np.array(row["xs"][:train], dtype=float)
         if exog_mode == "actual" and held:
-            future = np.array([list(t["xs"]) for t in ahead], dtype=float)
+            future = np.array(row["xs"][train:], dtype=float)
         else:
             shocks = np.array([list(s) for s in row["shocks"]], dtype=float)[:, :h]
             mean, spread = sums.moves(held)
@@ -449,7 +451,7 @@ def _fitted(row, design: Design, exog_mode: str) -> Task:
         xs, weights = np.vstack([past, future]), difference_weights(*order.kind)
         moved = sum(c * xs[len(weights) - 1 - i:len(xs) - i] for i, c in enumerate(weights))
         drive = moved[-h:] @ np.array([fit.coefs[f"x{i}"] for i in range(1, len(design.exog) + 1)])
-    return Task(fit, np.array([t["close"] for t in train], dtype=float), drive)
+    return Task(fit, closes[:train], drive)
 
 
 def forecast_paths(tasks: list[tuple[int, Task]]) -> dict[int, np.ndarray]:
@@ -466,32 +468,55 @@ def forecast_paths(tasks: list[tuple[int, Task]]) -> dict[int, np.ndarray]:
     return out
 
 
-def _forecaster(design: Design, exog_mode: str):
-    """Pandas UDF over (series, task) rows. The recursion needs one row per key and no
-    neighbours, so batches of any size do."""
+def _rows(batch: pa.StructArray) -> list[dict]:
+    """The rows as dicts, with the closing prices as an array each (a null is not a number)."""
+    names = [field.name for field in batch.type]
+    columns = [batch.field(i) for i in range(len(names))]
+    values = [[np.asarray(x.values.to_numpy(zero_copy_only=False), float) for x in column] if name == "closes" else column.to_pylist()
+              for name, column in zip(names, columns)]
+    return [dict(zip(names, row)) for row in zip(*values)]
+
+
+def forecast_batch(design: Design, exog_mode: str):
+    """Function over a batch of (series, task) rows. The recursion needs one row per key and no
+    neighbours, so batches of any size do; ``SLICE`` rows of one are Python objects at a time."""
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.map_(pa.string(), pa.float64()), pa.list_(pa.float64())]
+    names = ["status", "error", "aic", "n_used", "coefs", "path"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ready, errors = [], {}
-        for i, row in enumerate(rows.to_dict("records")):
+    def some(batch: pa.StructArray) -> pa.StructArray:
+        rows, ready, errors = _rows(batch), [], {}
+        for i, row in enumerate(rows):
             try:
                 ready.append((i, int(row["h"]), _fitted(row, design, exog_mode)))
             except Exception as problem:  # one failing key must not stop the others
                 errors[i] = str(problem)
         paths = forecast_paths([(h, task) for _, h, task in ready])
-        out = [{"status": "error", "error": errors.get(i), "aic": None, "n_used": None, "coefs": None, "path": None}
-               for i in range(len(rows))]
+        out = [("error", errors.get(i), None, None, None, None) for i in range(len(rows))]
         for j, (i, _, task) in enumerate(ready):
             fit = task.fit
             if not np.all(np.isfinite(paths[j])):
-                out[i]["error"] = "the forecast diverged"
+                out[i] = ("error", "the forecast diverged", None, None, None, None)
                 continue
-            out[i] = {"status": "ok", "error": None, "aic": aic(fit.rss, fit.used, fit.size), "n_used": fit.used,
-                      "coefs": fit.coefs, "path": paths[j].tolist()}
-        return pd.DataFrame(out, columns=["status", "error", "aic", "n_used", "coefs", "path"])
+            out[i] = ("ok", None, aic(fit.rss, fit.used, fit.size), fit.used, list(fit.coefs.items()), paths[j])
+        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
+
+    def run(rows: pa.Array) -> pa.Array:
+        if not len(rows):
+            return pa.array([], pa.struct(list(zip(names, kinds))))
+        return pa.concat_arrays([some(rows.slice(at, SLICE)) for at in range(0, len(rows), SLICE)])
+
+    return run
+
+
+def _forecaster(design: Design, exog_mode: str):
+    batch = forecast_batch(design, exog_mode)
+
+    def run(rows: pa.Array) -> pa.Array:
+        return batch(rows)
 
     # kept in one place of the plan: a deterministic function would be evaluated again
     # for every filter and column taken from its result
-    return F.pandas_udf(run, _RESULT).asNondeterministic()
+    return F.arrow_udf(run, _RESULT).asNondeterministic()
 
 
 def hashed_normal(*parts: Column) -> Column:
@@ -568,7 +593,9 @@ def forecast_all(panel: DataFrame, *, models: list[str], steps: list[int],
         ready = ready.withColumn("shocks", F.array(*[
             F.transform(F.sequence(F.lit(1), F.col("h")),
                         lambda k, c=c: hashed_normal(F.lit(seed), F.lit(c), k)) for c in exog]))
-    inputs = [*ORDER_COLUMNS, "h", "held", "kind", "use_exog", "n", "parts", "tail"] + (["shocks"] if exog else [])
+    # dates stay outside: of the last rows only plain numbers go to Python
+    inputs = [*ORDER_COLUMNS, "h", "held", "kind", "use_exog", "n", "parts", F.expr("tail.close").alias("closes")]
+    inputs += [F.expr("tail.xs").alias("xs"), "shocks"] if exog else []
     run = _forecaster(design, exog_mode)
     start = F.try_element_at("tail", -(F.col("held") + 1).cast("int"))
     test = F.when((F.col("held") > 0) & (F.size("tail") >= F.col("held")), F.slice(

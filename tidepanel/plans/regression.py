@@ -6,6 +6,8 @@ generated code); what reaches Python is one small matrix per key.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, functions as F
 
@@ -25,8 +27,15 @@ def cross_products(cols: list[str], use: str | None) -> Column:
 def unpack(cells, size: int) -> np.ndarray:
     """Full symmetric matrix from the upper triangle."""
     full = np.zeros((size, size))
-    full[np.triu_indices(size)] = cells
-    return full + np.triu(full, 1).T
+    upper = _triangle(size)
+    full[upper] = cells
+    full[upper[::-1]] = cells
+    return full
+
+
+@lru_cache
+def _triangle(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(size)
 
 
 def least_squares(gram: np.ndarray, use: list[int]) -> tuple[np.ndarray, float]:
