@@ -511,3 +511,31 @@ def test_a_large_batch_of_fits_is_not_held_as_objects():
     last = closes[3, design.tail - 6:design.tail - 5].item()
     move = last - closes[3, design.tail - 7].item()
     assert found.field(5)[3].as_py() == pytest.approx([last + move * sum(0.5 ** j for j in range(1, i + 1)) for i in range(1, 6)])
+
+
+def test_scores_of_a_large_batch_are_not_held_as_objects(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(arima, "SLICE", 50)
+    orders = [arima.Order(p, 1, 0) for p in range(4)]
+    design = arima.design_of([(o, False) for o in orders], [], (), shared=True)
+    rnd = np.random.default_rng(2)
+    z = np.column_stack([np.ones(300), rnd.normal(size=(300, 4))])
+    part = {"kind": 0, "seg": 0, "known": 1, "n_rows": 300, "gram": (z.T @ z)[np.triu_indices(5)].tolist(), "moves": []}
+    kind = pa.struct([("kind", pa.int32()), ("seg", pa.int32()), ("known", pa.int64()), ("n_rows", pa.int64()),
+                      ("gram", pa.list_(pa.float64())), ("moves", pa.list_(pa.list_(pa.float64())))])
+    rows = 2_000
+    numbers, parts = pa.array(np.zeros(rows, np.int32)), pa.array([[part] * 8] * rows, pa.list_(kind))
+    run = arima.score_batch(design, orders, False)
+    run(numbers.slice(0, 50), parts.slice(0, 50))
+    tracemalloc.start()
+    found = run(numbers, parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6
+    assert len(found) == rows and [r["rank"] for r in found[rows - 1].as_py()] == [0, 1, 2, 3]
+    y, n = z[:, 1], 2400
+    assert found[0].as_py()[0]["n_used"] == n
+    assert found[0].as_py()[0]["aic"] == pytest.approx(n * np.log(8 * (y @ y) / n))

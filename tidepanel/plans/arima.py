@@ -21,7 +21,6 @@ import itertools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -637,6 +636,33 @@ ARIMA_GRID = order_grid()
 SEASONAL_GRID = order_grid((0, 1), (0, 1), (0, 1), (0, 1), (0, 1), (0, 1), 12)
 
 
+def score_batch(design: Design, orders: list[Order], exog: bool):
+    """Function over a batch of (kind, sums) rows to the scores of the orders of the kind; ``SLICE`` rows are Python
+    objects at a time."""
+    ranks = {k: [(rank, o) for rank, o in enumerate(orders) if o.kind == k] for k in design.kinds}
+    long = {k: sorted({b for _, o in ranks[k] if o.moving for b in o.first_lags()}) for k in design.kinds}
+    result = pa.list_(pa.struct([*((c, pa.int32()) for c in ("rank", *ORDER_COLUMNS)), ("n_used", pa.int64()), ("aic", pa.float64())]))
+
+    def row(i: int, parts: list[dict]) -> list[dict]:
+        k, rows = design.kinds[i], []
+        sums, need = Sums(design, k, parts), design.needs[k][0]
+        for rank, o in ranks[k]:
+            try:
+                fit = fit_order(o, sums, 0, exog, needs=(need, need), first=long[k])
+            except (ValueError, np.linalg.LinAlgError):
+                continue  # a fit that is not possible is skipped
+            rows.append({"rank": rank, "p": o.p, "d": o.d, "q": o.q, "sp": o.P, "sd": o.D, "sq": o.Q, "m": o.m,
+                         "n_used": fit.used, "aic": aic(fit.rss, fit.used, fit.size)})
+        return rows
+
+    def run(kind: pa.Array, parts: pa.Array) -> pa.Array:
+        some = [pa.array(list(map(row, *(x.slice(at, SLICE).to_pylist() for x in (kind, parts)))), result)
+                for at in range(0, len(kind), SLICE)]
+        return pa.concat_arrays(some) if some else pa.array([], result)
+
+    return run
+
+
 def order_search(panel: DataFrame, orders: list[Order], exog: tuple[str, ...] = ()) -> DataFrame:
     """AIC of every order for every series: (symbol, rank, order, n_used, aic).
 
@@ -646,24 +672,11 @@ def order_search(panel: DataFrame, orders: list[Order], exog: tuple[str, ...] =
     design = design_of([(o, bool(exog)) for o in orders], [], exog, shared=True)
     ranks = {k: [(rank, o) for rank, o in enumerate(orders) if o.kind == k] for k in design.kinds}
     long = {k: sorted({b for _, o in ranks[k] if o.moving for b in o.first_lags()}) for k in design.kinds}
-    result = ("array<struct<rank:int,p:int,d:int,q:int,sp:int,sd:int,sq:int,m:int,"
-              "n_used:long,aic:double>>")
-
-    @F.pandas_udf(result)
-    def scores(kind: pd.Series, parts: pd.Series) -> pd.Series:
-        out = []
-        for i, mine in zip(kind, parts):
-            k, rows = design.kinds[i], []
-            sums, need = Sums(design, k, mine), design.needs[k][0]
-            for rank, o in ranks[k]:
-                try:
-                    fit = fit_order(o, sums, 0, bool(exog), needs=(need, need), first=long[k])
-                except (ValueError, np.linalg.LinAlgError):
-                    continue  # a fit that is not possible is skipped
-                rows.append({"rank": rank, "p": o.p, "d": o.d, "q": o.q, "sp": o.P, "sd": o.D, "sq": o.Q, "m": o.m,
-                             "n_used": fit.used, "aic": aic(fit.rss, fit.used, fit.size)})
-            out.append(rows)
-        return pd.Series(out)
+    batch = score_batch(design, orders, bool(exog))
+
+    @F.arrow_udf("array<struct<rank:int,p:int,d:int,q:int,sp:int,sd:int,sq:int,m:int,n_used:long,aic:double>>")
+    def scores(kind: pa.Array, parts: pa.Array) -> pa.Array:
+        return batch(kind, parts)
 
     parts = segment_sums(panel, design).groupBy("symbol", "kind").agg(
         F.collect_list(F.struct("kind", "seg", "known", "n_rows", "gram", "moves")).alias("parts"))
