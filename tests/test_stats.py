@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -189,3 +190,18 @@ def test_pair_correlation_against_numpy(spark, weekdays):
     zero = correlation.pair_correlation(df, pairs, "close", zero_if_flat=True).where("right_key = 'flat'").first()
     assert zero["corr"] == 0.0
     assert correlation.pair_correlation(df, pairs.limit(0), "close").collect() == []
+
+
+def test_correlation_blocks_do_not_grow_with_the_series(spark, make_prices, monkeypatch):
+    """One bucket asked for and 60 series: blocks of 7, read from files; nothing grouped or joined for the products."""
+    monkeypatch.setattr(correlation, "ROWS", 7, raising=False)
+    data = np.random.default_rng(8).normal(size=(60, 40)).cumsum(axis=1)
+    start = dt.date(2024, 1, 1)
+    df = make_prices({f"s{i}": [(start + dt.timedelta(days=j), x) for j, x in enumerate(row)] for i, row in enumerate(data)})
+    found = correlation.correlation_matrix(df, "close", buckets=1, chunk=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Aggregate" not in plan and "Join" not in plan
+    assert found.rdd.getNumPartitions() >= 45
+    got, want = {(r[0], r[1]): r[2] for r in found.collect()}, np.corrcoef(data)
+    assert len(got) == 3_600 == found.count()
+    assert all(abs(got[f"s{i}", f"s{j}"] - want[i, j]) < 1e-12 for i in range(60) for j in range(60))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.session import small_batches  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,17 +35,3 @@ def each_utf8(values):
     for value in values:
         buffer = value.as_buffer()
         yield b"" if buffer is None else buffer.to_pybytes()
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 512, size: str = "4m"):
-    """Rows go to Python in small Arrow batches in all jobs run inside; the session's settings come back after it."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {name: spark.conf.get(name) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
